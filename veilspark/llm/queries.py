@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, sketch, token_table
+from . import bpe, packing, pii, quality, secrets, simhash, sketch, token_table
 from .common import shared_dir, table
 
 
@@ -32,6 +32,22 @@ def op2_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.read_tables(spark, path).mapInArrow(checksum, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -48,7 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_token_tables, op7_sketch, op9_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_tables, op3_secrets, op4_quality, op6_pii, op7_sketch, op9_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
