@@ -1,37 +1,81 @@
 """Whole texts to ids with the tokenizers library, pieces between blanks kept in a table.
 
-The library does the encoding; only pieces (runs without ASCII white space) that a
-worker has not met lately are given to it.  That is exact for vocabularies whose
-normalizer and pre-tokenizer never look across white space, which ``encoder`` checks
+The library does the encoding, but for a piece (a run without ASCII white space) that a
+worker has met lately its table has the ids.  That is exact for vocabularies whose
+normalizer and pre-tokenizer never look across white space, which ``by_piece`` checks
 against the vocabulary file: it accepts lower-casing, NFC and white-space replacement,
-and pre-token patterns that drop white space.  Any other file is encoded text by text.
+and a pre-token pattern that keeps letters, digits and marks apart.  A new piece is cut
+where that pattern cuts it; a pre-token of plain letters goes to the library's model,
+anything else through the whole of the library.  Any other vocabulary file is encoded
+text by text.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
-#: Entries after which a worker's table of pieces starts anew.
-CACHE_PIECES = 800_000
-#: Fixed value: the end of a pre-token pattern that keeps letters and other marks apart.
-LETTERS_THEN_MARKS = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+from .bpe import byte_letters
+
+#: Entries after which a worker's table becomes its old one, which is asked second.
+TABLE_PIECES = 400_000
+#: Fixed value: the pre-token pattern that pieces are cut by.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters that lower-case one by one and are in normal form, digits, and marks but the apostrophe.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 def by_piece(spec: dict) -> bool:
     """Whether texts can be encoded piece by piece."""
     normal = spec.get("normalizer") or {}
     steps = normal.get("normalizers", [normal])
-    safe = all(s.get("type") in ("NFC", "Lowercase") or s == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} for s in steps)
+    kinds = [s.get("type") for s in steps]
+    safe = "Lowercase" in kinds and all(k in ("NFC", "Lowercase") or s == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} for k, s in zip(kinds, steps))
     pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    split = pre[:1] and pre[0].get("type") == "Split" and pre[0].get("invert") and pre[0].get("behavior") == "Removed"
-    rest = all(p.get("type") == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in pre[1:])
+    split = pre[:1] == [{"type": "Split", "pattern": {"Regex": PRE_TOKEN}, "behavior": "Removed", "invert": True}]
+    level = len(pre) == 2 and pre[1].get("type") == "ByteLevel" and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"]
     strict = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
-    return bool(safe and split and rest and strict and "\\s" in pre[0]["pattern"]["Regex"])
+    return bool(safe and split and level and strict)
+
+
+class Pieces(dict):
+    """UTF-8 pieces to ids as little-endian unsigned 32-bit numbers; a missing one is encoded."""
+
+    def __init__(self, library, special: list[str]):
+        super().__init__()
+        self.library, self.model, self.special, self.old = library, library.model, special, {}
+        self.letters = {chr(b): x for b, x in enumerate(byte_letters())}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        self[piece] = ids
+        return ids
+
+    def encode(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        parts = PLAIN.findall(text)
+        if "".join(parts) == text and not any(s in text for s in self.special):
+            if len(parts) > 1:
+                return b"".join([self[p.encode()] for p in parts])
+            if text.isalpha():
+                low = text.lower()
+                if not low.isascii():
+                    low = "".join(map(self.letters.__getitem__, low.encode().decode("latin-1")))
+                return np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def turn(self) -> None:
+        """Forget what has not been met since the last turn, once the table is full."""
+        if len(self) > TABLE_PIECES:
+            self.old = dict(self)
+            self.clear()
 
 
 @lru_cache(maxsize=4)
@@ -43,41 +87,15 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    raw = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     if not by_piece(spec):
-        return raw
-    commas = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].endswith(LETTERS_THEN_MARKS)
-    table: dict[bytes, bytes] = {}
-    between = next((t["content"] for t in spec["added_tokens"]), None)
-    between_id, bare = between and library.token_to_id(between), between and between.encode()
-
-    def learn(keys: list[bytes]) -> None:
-        """Many pieces in one text, a special token between them, whose id then cuts the ids."""
-        plain = [k for k in keys if between and bare not in k]
-        for i in range(0, len(plain), 512):
-            part = plain[i : i + 512]
-            ids = np.array(library.encode(f" {between} ".join([k.decode() for k in part]), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(ids == between_id)
-            data, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
-            table.update(zip(part, [data[s:e] for s, e in zip([0, *[e + 4 for e in ends[:-1]]], ends)]))
-        other = [k for k in keys if not between or bare in k]
-        table.update(zip(other, raw([k.decode() for k in other])))
+        return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    table = Pieces(library, [t["content"] for t in spec["added_tokens"]])
 
     def encode(texts: list[str]) -> list[bytes]:
-        cut = [t.encode("utf-8", "replace").split() for t in texts]
-        new = set().union(*cut) - table.keys()
-        if len(table) + len(new) > CACHE_PIECES:
-            table.clear()
-            new = set().union(*cut)
-        # a comma or full stop after a letter is a pre-token of its own
-        ended = {k: k[:-1] for k in new if k[-1:] in (b",", b".") and k[-2:-1].isalpha()} if commas else {}
-        bases = {x for x in ended.values() if x not in table}
-        learn([*(new - ended.keys() | bases), *[x for x in (b",", b".") if commas and x not in table and x not in new]])
-        for k, base in ended.items():
-            table[k] = table[base] + table[k[-1:]]
+        table.turn()
         get = table.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return [b"".join(map(get, t.encode("utf-8", "replace").split())) for t in texts]
 
     return encode
