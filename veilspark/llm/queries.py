@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, secrets, simhash, sketch, token_table
-from .common import shared_dir, table
+from . import bpe, language, packing, pii, quality, secrets, simhash, sketch, token_table, toxicity
+from .common import crc_of_id, shared_dir, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_of_id(F.col("doc_id")) % 4 == 2
+    model = language.fit(docs.where(~held_out))
+    found = language.predict(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -52,6 +60,14 @@ def op7_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_of_id(F.col("doc_id")) % 5 == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.predict(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
@@ -64,7 +80,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_token_tables, op3_secrets, op4_quality, op6_pii, op7_sketch, op9_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_tables, op3_secrets, op4_quality, op5_language, op6_pii, op7_sketch, op8_toxicity, op9_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
