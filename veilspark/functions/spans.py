@@ -9,6 +9,16 @@ CHUNK = 128
 SPAN = "struct<start:bigint,end:bigint,surface:string>"
 
 
+def held(value: Column) -> Column:
+    """``value``, computed where it is written.
+
+    Catalyst puts a column's expression in the place of its name when it merges
+    projections or moves a filter down; inside a lambda it would then be computed for
+    every element.  It leaves expressions alone that aren't deterministic.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _running(pairs: Column) -> Column:
     """Spans from (gap, match) pairs: two folds, so that long arrays are not copied for each element."""
     first = F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), F.lit("").alias("surface"))
@@ -34,7 +44,7 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     pairs = {}
     for n, p in patterns.items():
         zipped = F.arrays_zip(F.split(F.col(text), p, -1).alias("gap"), F.col(f"{n}__hits").alias("hit"))
-        pairs[f"{n}__pairs"] = F.when(F.size(f"{n}__hits") > 0, F.slice(zipped, F.lit(1), F.size(f"{n}__hits")))
+        pairs[f"{n}__pairs"] = held(F.when(F.size(f"{n}__hits") > 0, F.slice(zipped, F.lit(1), F.size(f"{n}__hits"))))
     zipped = hits.withColumns(pairs)
     spans = {}
     for n in patterns:
