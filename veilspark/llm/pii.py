@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.spans import held
+
 from .common import free_name
 
 ROUNDS = 8
@@ -178,7 +180,7 @@ def _replaced(df: DataFrame, text: str, key: str, inverse: bool, out: str, count
     df = df.withColumn(hits, found)
     zipped = F.arrays_zip(F.split(F.col(text), ANY, -1).alias("gap"), F.col(hits).alias("hit"))
     named = F.transform(zipped, lambda z: F.struct(z["gap"].alias("gap"), z["hit"].alias("hit"), kind_of(z["hit"]).alias("kind")))
-    df = df.withColumn(parts, F.when(F.size(hits) > 0, named))
+    df = df.withColumn(parts, held(F.when(F.size(hits) > 0, named)))
     masked = F.array_join(F.transform(parts, lambda z: F.concat(z["gap"], F.coalesce(pseudonym(z["hit"], z["kind"], key, inverse), F.lit("")))), "")
     df = df.withColumn(out, F.coalesce(masked, F.col(text)))
     if counts:

@@ -17,6 +17,10 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.spans import held
+
+from .common import materialize
+
 SAMPLE_DOCS = 1000
 
 # What separates words, and the characters that count as symbols.
@@ -40,7 +44,7 @@ BASE = ("few_words", "repeated_words")
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts that rules use, and ``q_text``, ``q_words``, ``q_lines`` they are made from."""
     df = docs.withColumn("q_text", F.coalesce(text, F.lit("")))
-    df = df.withColumns({"q_words": F.array_remove(F.split("q_text", BLANK, -1), ""), "q_lines": F.filter(F.split("q_text", "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)})
+    df = df.withColumns({"q_words": held(F.array_remove(F.split("q_text", BLANK, -1), "")), "q_lines": held(F.filter(F.split("q_text", "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0))})
     hashes = F.when(F.size("q_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("q_words") - 3), lambda i: F.xxhash64(F.get("q_words", i), F.get("q_words", i + 1), F.get("q_words", i + 2))))
     df = df.withColumns(
         {
@@ -48,14 +52,14 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
             "word_chars": F.length(F.translate("q_text", BLANKS, "")).cast("long"),
             "n_symbols": (F.length("q_text") - F.length(F.translate("q_text", SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
-            "q_hash": hashes,
+            "q_hash": held(hashes),
         }
     )
     # windows in the order of their hashes: equal ones are neighbours
     repeats = F.size("q_hash") > F.size(F.array_distinct("q_hash"))
-    df = df.withColumn("q_sorted", F.when(repeats, F.array_sort(F.transform("q_hash", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumn("q_sorted", held(F.when(repeats, F.array_sort(F.transform("q_hash", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))))
     same = lambda s, k: F.coalesce(F.get("q_sorted", k)["h"] == s["h"], F.lit(False))
-    df = df.withColumn("q_again", F.when(F.col("q_sorted").isNotNull(), F.array_sort(F.transform(F.filter("q_sorted", lambda s, k: same(s, k - 1) | same(s, k + 1)), lambda s: s["i"]))))
+    df = df.withColumn("q_again", held(F.when(F.col("q_sorted").isNotNull(), F.array_sort(F.transform(F.filter("q_sorted", lambda s, k: same(s, k - 1) | same(s, k + 1)), lambda s: s["i"])))))
     # words under the windows that occur again
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     cover = F.aggregate("q_again", zero, lambda a, i: F.struct((i + 3).alias("end"), (a["n"] + (i + 3 - F.greatest(i, a["end"]))).alias("n")), lambda a: a["n"])
@@ -69,8 +73,6 @@ def measure(docs: DataFrame, rules: dict[str, str], text: str = "text", sample_d
         return {r: (1.0, 0.0) for r in rules}
     sample = docs.select(F.col(text).alias("text"))
     sample = sample.sample(fraction=min(1.0, sample_docs / n), seed=seed) if n > sample_docs else sample
-    from .common import materialize
-
     sample = materialize(sample, "quality-sample")
 
     def timed(column: Column) -> tuple[float, float]:

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.spans import with_spans
+from veilspark.functions.spans import held, with_spans
 
 from .common import free_name
 
@@ -89,7 +89,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
 
     secret = F.filter(marked("assign", True), lambda s: F.length(F.regexp_extract(s["surface"], ASSIGN, 2)) >= ASSIGN_LEAST)
     base = free_name(df, "base__")
-    found = found.withColumn(base, F.concat(secret, marked("access", True), marked("hex", True)))
+    found = found.withColumn(base, held(F.concat(secret, marked("access", True), marked("hex", True))))
     taken = free_name(df, "added__")
 
     def added(kind: str) -> Column:

@@ -34,6 +34,8 @@ from .common import longs, materialize, slices, small_batches
 SEED = 42
 DISTANCE = 4
 SEGMENTS = 32
+#: Bits of a cell's number below its view.
+VIEW = 44
 
 
 # -- fingerprints
@@ -83,8 +85,8 @@ def hex_digits(fp: Column) -> Column:
 # -- grid
 
 
-def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, cell and step (0: own cell) for each fingerprint and cell."""
+def cells(fp: np.ndarray, view: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, cell (with its view) and step (0: own cell) for each fingerprint and cell."""
     u = fp.view(np.uint64)
     pairs = (u[:, None] >> np.arange(0, 64, 2, dtype=np.uint64)) & np.uint64(3)
     points = (pairs & 1) + (pairs >> np.uint64(1))
@@ -94,7 +96,7 @@ def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     everyone = np.arange(len(fp))
     for h in range(2):
         p = points[:, h * half : (h + 1) * half].astype(np.int64)
-        own = p @ weight + (h << 40)
+        own = p @ weight + (h << 40) + (view.astype(np.int64) << VIEW)
         rows.append(everyone), keys.append(own), steps.append(np.zeros(len(fp), np.int8))
         for j in range(half):
             for sign in (1, -1):
@@ -131,8 +133,8 @@ def forest(points: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def links_of(keys: np.ndarray, fp: np.ndarray, steps: np.ndarray) -> list[tuple[int, int]]:
-    """Links among rows in cell order; ``keys``: groups that lie together."""
+def links_of(keys: np.ndarray, fp: np.ndarray, steps: np.ndarray) -> list[tuple[int, int, int]]:
+    """(view, larger, smaller fingerprint) among rows in cell order; ``keys``: their cells."""
     cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.concatenate([cut, [len(keys)]]))
     out = set()
@@ -141,26 +143,26 @@ def links_of(keys: np.ndarray, fp: np.ndarray, steps: np.ndarray) -> list[tuple[
     for d in range(1, 24):  # neighbours in cells with few members, all cells at once
         if d >= len(keys):
             break
-        # equal steps from the same cell have one own cell, where they meet too
         at = np.flatnonzero((keys[d:] == keys[:-d]) & few[d:])
         if not len(at):
             break
+        # equal steps from the same cell have one own cell, where they meet too
         at = at[(steps[at + d] != steps[at]) | (steps[at] == 0)]
         at = at[near(u[at], u[at + d])]
         a, b = fp[at], fp[at + d]
-        out |= set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist()))
+        out |= set(zip((keys[at] >> VIEW).tolist(), np.maximum(a, b).tolist(), np.minimum(a, b).tolist()))
     for s, n in zip(cut[sizes > 24].tolist(), sizes[sizes > 24].tolist()):
-        out |= set(forest(fp[s : s + n]))
-    return [(a, b) for a, b in out if a != b]
+        out |= {(int(keys[s]) >> VIEW, a, b) for a, b in forest(fp[s : s + n])}
+    return [x for x in out if x[1] != x[2]]
 
 
 def candidate_links(distinct: DataFrame) -> DataFrame:
-    """Verified links (``a`` > ``b``) that join the near ones among distinct fingerprints (column ``fp``)."""
+    """Verified links (``view``, ``a`` > ``b``) that join the near ones among distinct fingerprints (``view``, ``fp``)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            row, key, step = cells(fp)
+            view, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("view", "fp"))
+            row, key, step = cells(fp, view)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(step)], names=["cell", "fp", "step"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +177,13 @@ def candidate_links(distinct: DataFrame) -> DataFrame:
         if len(held[0]):
             yield edges(links_of(*held))
 
-    def edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([longs([a for a, _ in found]), longs([b for _, b in found])], names=["a", "b"])
+    def edges(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), longs([x[1] for x in found]), longs([x[2] for x in found])], names=["view", "a", "b"])
 
-    placed = distinct.select("fp").mapInArrow(spread, "cell long, fp long, step byte")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = distinct.select("view", "fp").mapInArrow(spread, "cell long, fp long, step byte")
     dealt = placed.repartition(n, "cell").sortWithinPartitions("cell", "fp")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    return dealt.mapInArrow(meet, "view int, a long, b long").distinct()
 
 
 # -- components
@@ -211,8 +213,68 @@ def near_duplicates(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", tex
     """``doc_id``, ``fp`` and ``component_id``, the least identifier that links reach from each document."""
     each = materialize(fingerprints(docs, words, doc_id, text), "fingerprints")
     distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(candidate_links(distinct))
+    roots = components(candidate_links(distinct.withColumn("view", F.lit(0))).select("a", "b"))
     known = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = known.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = known.join(named, "root").select("fp", "component_id")
     return each.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+# -- one document of each group, by several fingerprints of the words
+
+
+def word_views(text: str, views: int) -> list[int]:
+    """Fingerprints of the set of a text's words; every view mixes the words' hashes anew."""
+    digest = xxhash.xxh64_intdigest
+    words = np.array([digest(w, SEED) for w in set(text.encode("utf-8", "replace").lower().split())], np.uint64)
+    out = []
+    for v in range(views):
+        h = words ^ np.uint64((0x9E3779B97F4A7C15 * (v + 1)) % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        total = np.zeros(64, np.int64)
+        for k in range(0, len(h), 65536):
+            total += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        out.append(int(np.packbits(2 * total > len(h), bitorder="little").view("<u8").view("<i8")[0]))
+    return out
+
+
+def one_of_each(docs: DataFrame, views: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each group of near copies: the least identifier (null first) stays.
+
+    Texts of which five-word shingles are 0.8 alike or more differ in one word of forty;
+    64 bits over shingles are then about ten apart, too far for a grid, but bits over
+    the set of words about four.  Texts link if one of ``views`` such fingerprints is
+    at most ``DISTANCE`` apart.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            found = [word_views(t, views) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "h", "fps"])
+
+    # a row is known by its identifier and a hash of its text
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    each = materialize(keyed.mapInArrow(run, "doc_id long, h long, fps array<bigint>").withColumn("unit", F.xxhash64("fps")), "views")
+    units = each.groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("least"), F.first("fps").alias("fps"))
+    units = materialize(units, "units")
+    placed = units.select("unit", F.posexplode("fps").alias("view", "fp"))
+    first = materialize(placed.groupBy("view", "fp").agg(F.min("unit").alias("node")), "first")
+    same = placed.join(first, ["view", "fp"]).where("unit <> node").select(F.col("unit").alias("a"), F.col("node").alias("b"))
+    links = candidate_links(first)
+    at = lambda c: first.select("view", F.col("fp").alias(c), F.col("node").alias(f"node_{c}"))
+    linked = links.join(at("a"), ["view", "a"]).join(at("b"), ["view", "b"]).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    roots = components(same.unionByName(linked))
+    kept = units.join(roots, units.unit == roots.node, "left").groupBy(F.coalesce("root", "unit").alias("group")).agg(F.min("least").alias("least")).select("least.doc_id", "least.h")
+    # of rows that are repeated whole, one
+    again = each.groupBy("doc_id", "h").agg(F.count("*").alias("rows")).where("rows > 1")
+    k, a = kept.alias("k"), again.alias("a")
+    marked = k.join(a, F.col("k.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("k.h") == F.col("a.h")), "left").select(F.col("k.doc_id").alias("kept_id"), F.col("k.h").alias("kept_h"), F.col("a.rows").isNotNull().alias("repeated"))
+    marked = materialize(marked, "kept")
+    on = F.col(doc_id).cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_h"))
+    once = docs.join(marked.where("not repeated"), on, "left_semi")
+    twice = docs.join(marked.where("repeated"), on, "left_semi").dropDuplicates([doc_id, text])
+    return once.unionByName(twice)
