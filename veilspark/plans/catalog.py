@@ -4,16 +4,291 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veilspark.functions.spans import with_spans
+from veilspark.operators import admission, detect, mask, metrics, rules
+
+from . import notes as N
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+URL = r"(?:https?://|www\.)[^\s<>\"]+"
+IPV4 = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
+CARD = r"\b\d{16}\b"
+NETWORKS = ["10.0.0.0/8", "192.168.0.0/20"]
+TEXT_KINDS = {"EMAIL": EMAIL, "IPV4": IPV4, "CARD": CARD}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "n_chars")
+    """Documents with their personal data behind placeholders."""
+    return masked_documents(spark, "/root/testdata/sf0.001")
+
+
+# -- extraction
+
+
+def _extract(table: str, key: str, column: str, pattern: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = _t(spark, sf, table).where(F.col(column).isNotNull())
+        found = with_spans(df.select(F.col(key).alias("doc_id"), F.col(column).alias("t")), "t", {"s": pattern})
+        return found.select("doc_id", F.explode("s").alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), "s.surface")
+
+    return run
+
+
+def _extract_sql(table: str, key: str, column: str, pattern: str) -> str:
+    return f"SELECT doc_id, span_start, span_end, surface FROM ({N.spans_sql(table, key, column, pattern)})"
+
+
+def pii_by_lang_source(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents").select("lang", "source", *[F.regexp_count("text", F.lit(p)).alias(k) for k, p in TEXT_KINDS.items()])
+    rows = docs.unpivot(["lang", "source"], list(TEXT_KINDS), "label", "n")
+    return rows.groupBy("lang", "source", "label").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def masked_documents(spark: SparkSession, sf: str) -> DataFrame:
+    found = detect.detect(_t(spark, sf, "documents").select("doc_id", "text"), rules=[r for r in rules.RULES if r.name in ("email", "url")])
+    done = mask.mask_each(found.where("text is not null"))
+    return done.select("doc_id", F.size("mapping").cast("long").alias("n_placeholders"), "masked")
+
+
+def dni_check(spark: SparkSession, sf: str) -> DataFrame:
+    n = (F.col("c_custkey") * 7919 + 13) % 100000000
+    surface = F.concat(F.lpad(n.cast("string"), 8, "0"), F.substring(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), (F.col("c_custkey") % 23 + 1).cast("int"), F.lit(1)))
+    return _t(spark, sf, "customer").select("c_custkey", surface.alias("dni")).withColumn("valid", rules.valid_dni(F.col("dni")))
+
+
+def nie_check(spark: SparkSession, sf: str) -> DataFrame:
+    head = F.substring(F.lit("XYZ"), (F.col("c_custkey") % 3 + 1).cast("int"), F.lit(1))
+    surface = F.concat(head, F.lpad((F.col("c_custkey") * 31).cast("string"), 7, "0"), F.substring(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), (F.col("c_custkey") % 23 + 1).cast("int"), F.lit(1)))
+    return _t(spark, sf, "customer").select("c_custkey", surface.alias("nie")).withColumn("valid", rules.valid_nie(F.col("nie")))
+
+
+# -- notes
+
+
+def _notes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = N.notes(spark, sf)
+    gold = detect.exploded(docs, spans="gold").drop("surface", "rule")
+    pred = detect.exploded(detect.detect(docs)).select("doc_id", "span_start", "span_end", "label", "surface")
+    return docs, gold, pred
+
+
+def gold_spans(spark, sf):
+    return _notes(spark, sf)[1]
+
+
+def resolved_spans(spark, sf):
+    return _notes(spark, sf)[2]
+
+
+def placeholder_numbering(spark, sf):
+    _, _, pred = _notes(spark, sf)
+    return mask.numbered(pred, "doc_id").select("doc_id", "surface", "label", "placeholder")
+
+
+def mask_text(spark, sf):
+    return mask.mask_each(detect.detect(N.notes(spark, sf).drop("gold"))).select("doc_id", "masked")
+
+
+def restore_roundtrip(spark, sf):
+    back = mask.restore(mask.mask_each(detect.detect(N.notes(spark, sf).drop("gold"))))
+    return back.agg(F.count("*").alias("docs"), F.count_if(F.col("restored") == F.col("text")).alias("exact"))
+
+
+def robustness(spark, sf):
+    done = mask.mask_each(detect.detect(N.notes(spark, sf).drop("gold"))).select("doc_id", "mapping", "masked").where("size(mapping) > 0")
+    bent = done.select("mapping", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), f(F.col("masked")).alias("masked")) for n, (f, _) in mask.PERTURBATIONS.items()])).alias("p")).select("mapping", "p.name", "p.masked")
+    back = mask.restore(bent)
+    whole = F.forall("mapping", lambda m: F.contains(F.col("restored"), m["surface"]))
+    return back.groupBy("name").agg(F.count("*").alias("texts"), F.count_if(whole).alias("restored"))
+
+
+def escape_literals(spark, sf):
+    df = _t(spark, sf, "customer").select("c_custkey", F.concat(F.lit("Hospital "), F.col("c_custkey").cast("string"), F.lit(" y [FECHA_"), (F.col("c_custkey") % 9).cast("string"), F.lit("] fin")).alias("text"))
+    out = mask.escape_literals(df)
+    back = mask.unescape(out.withColumnRenamed("text", "before"), out="after")
+    return back.select("c_custkey", "escaped", F.size("literals").cast("long").alias("n"), (F.col("before") == F.col("after")).alias("same"))
+
+
+def word_prf(spark, sf):
+    docs, gold, pred = _notes(spark, sf)
+    return metrics.word_scores(metrics.words_of(docs), gold, pred)
+
+
+def per_class_prf(spark, sf):
+    _, gold, pred = _notes(spark, sf)
+    return metrics.per_class(gold, pred)
+
+
+def span_strict(spark, sf):
+    _, gold, pred = _notes(spark, sf)
+    return metrics.span_scores(gold, pred, exact=True)
+
+
+def span_relaxed(spark, sf):
+    _, gold, pred = _notes(spark, sf)
+    return metrics.span_scores(gold, pred, exact=False)
+
+
+def leakage(spark, sf):
+    return metrics.leakage(*_notes(spark, sf))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def leak_attribution(spark, sf):
+    return metrics.leak_attribution(*_notes(spark, sf))
+
+
+def neutralised(spark, sf):
+    return metrics.neutralised(*_notes(spark, sf)[1:])
+
+
+def strict_coverage(spark, sf):
+    return metrics.strict_coverage(*_notes(spark, sf)[1:])
+
+
+def confusion_matrix(spark, sf):
+    return metrics.confusion(*_notes(spark, sf)[1:])
+
+
+def over_redaction(spark, sf):
+    docs, gold, pred = _notes(spark, sf)
+    return metrics.over_redaction(metrics.words_of(docs), gold, pred)
+
+
+def top_false_positives(spark, sf):
+    _, gold, pred = _notes(spark, sf)
+    text = F.trim(F.lower(F.regexp_replace("surface", r"\s+", " ")))
+    strict = pred.join(gold, ["doc_id", "span_start", "span_end"], "left_anti")
+    return strict.groupBy(text.alias("text"), "label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "text", "label").limit(20)
+
+
+def bootstrap_neutralised(spark, sf):
+    _, gold, pred = _notes(spark, sf)
+    hit = metrics.uncovered(gold, pred, "left_semi").groupBy("doc_id").agg(F.count("*").alias("num"))
+    per_doc = gold.groupBy("doc_id").agg(F.count("*").alias("den")).join(hit, "doc_id", "left").select("doc_id", F.coalesce("num", F.lit(0)).alias("num"), "den")
+    return metrics.bootstrap_ratio(per_doc)
+
+
+def consistency(spark, sf):
+    _, _, pred = _notes(spark, sf)
+    named = pred.join(mask.numbered(pred, "doc_id").select("doc_id", "surface", "placeholder"), ["doc_id", "surface"])
+    each = named.groupBy("doc_id", "surface").agg(F.count_distinct("placeholder").alias("n"), F.count("*").alias("mentions"))
+    return each.agg(F.count("*").alias("entities"), F.count_if(F.col("n") == 1).alias("consistent"), F.sum("mentions").alias("mentions"))
+
+
+def request_numbering(spark, sf):
+    """Numbers that go on over the turns of a conversation."""
+    conv = _t(spark, sf, "conversations").where("text is not null")
+    found = with_spans(conv.select("conv_id", "turn", "text"), "text", {"s": r"[A-Z][a-z]{6,}"})
+    spans = found.select("conv_id", "turn", F.explode("s").alias("s")).select("conv_id", "turn", F.col("s.start").alias("span_start"), F.lit("NAME").alias("label"), "s.surface")
+    return mask.numbered(spans, "conv_id", "turn").select("conv_id", "surface", "placeholder")
+
+
+# -- admission
+
+
+def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    e = _t(spark, sf, "events")
+    u = F.col("user_id")
+    return e.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long").alias("t"), F.concat_ws(".", F.when(u % 3 == 0, "10").otherwise("192"), F.when(u % 3 == 0, "0").otherwise("168"), (u % 40).cast("string"), (u % 250).cast("string")).alias("ip"))
+
+
+def cidr_membership(spark, sf):
+    a = _arrivals(spark, sf)
+    return a.select("event_id", "ip", admission.in_networks(admission.ipv4_number(F.col("ip")), NETWORKS).alias("allowed"))
+
+
+def rate_limit(spark, sf):
+    a = _arrivals(spark, sf).withColumn("t", F.col("t").cast("double"))
+    return admission.rate_limit(a, "user_id", "t", "event_id", limit=2, window=7200).select("user_id", "event_id", "admitted")
+
+
+def replay_check(spark, sf):
+    a = _arrivals(spark, sf).select((F.col("user_id") % 50).alias("req"), F.col("t").cast("double").alias("t"), "event_id")
+    return admission.replays(a, "req", "t", "event_id", ttl=3600).select("req", "event_id", "replayed")
+
+
+def freshness(spark, sf):
+    a = _arrivals(spark, sf)
+    return a.select("event_id", admission.fresh(F.col("t") + F.col("event_id") % 300, F.col("t")).alias("fresh"))
+
+
+def admission_cascade(spark, sf):
+    a = _arrivals(spark, sf)
+    allowed = admission.in_networks(admission.ipv4_number(F.col("ip")), NETWORKS)
+    size = (F.col("event_id") * 37) % 5000
+    fresh = admission.fresh(F.col("t") + F.col("event_id") % 300, F.col("t"))
+    verdict = admission.cascade([(404, "path", F.col("event_id") % 97 == 0), (403, "ip", ~allowed), (413, "size", size > 4500), (401, "stale", ~fresh)])
+    return a.withColumn("v", verdict).groupBy("v.status", "v.reason").agg(F.count("*").alias("n"))
+
+
+def json_allowlist(spark, sf):
+    """Requests with a key outside the list, or a value of the wrong kind, are rejected with a reason."""
+    e = _t(spark, sf, "events").select("event_id", "props")
+    keys = F.coalesce(F.json_object_keys("props"), F.array().cast("array<string>"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    reason = F.when(F.size(F.array_except(keys, F.array(F.lit("k")))) > 0, "unknown_key").when(k.isNull(), "missing").when(k > 90, "out_of_range").otherwise("ok")
+    return e.select("event_id", reason.alias("reason"))
+
+
+def latency_percentiles(spark, sf):
+    """Median by interpolation, and the 95th by nearest rank, of a value for each kind of event."""
+    e = _t(spark, sf, "events").where("value is not null")
+    n = Window.partitionBy("event_type")
+    ranked = e.select("event_type", "value", F.row_number().over(n.orderBy("value")).alias("k"), F.count("*").over(n).alias("n"))
+    high = ranked.where("k = floor(0.95 * (n - 1)) + 1").groupBy("event_type").agg(F.max("value").alias("p95"))
+    return e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("p50"), F.count("*").alias("n")).join(high, "event_type")
+
+
+def unmapped_labels(spark, sf):
+    """Kinds of events that a mapping lacks."""
+    known = spark.createDataFrame([("click",), ("view",)], "event_type string")
+    return _t(spark, sf, "events").select("event_type").where("event_type is not null").distinct().join(known, "event_type", "left_anti")
+
+
+def best_config(spark, sf):
+    g = _t(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    return g.groupBy("l_linestatus").agg(F.max_by("l_returnflag", F.struct("n", "l_returnflag")).alias("best"))
+
+
+def audit_records(spark, sf):
+    a = _arrivals(spark, sf)
+    return a.select("event_id", F.to_json(F.struct(F.col("t").alias("ts"), "ip", F.lit("POST").alias("method"), F.when(F.col("event_id") % 5 == 0, "replay").alias("reason"))).alias("line"))
+
+
+def sealed_roundtrip(spark, sf):
+    key = bytes(range(32))
+    e = _t(spark, sf, "events").select("event_id", "props")
+    nonce = F.unhex(F.substring(F.md5(F.col("event_id").cast("string")), 1, 24))
+    aad = admission.additional_data(F.lit(1), F.lit(1), F.col("event_id"), F.unhex(F.md5(F.col("event_id").cast("string"))))
+    wrong = admission.additional_data(F.lit(1), F.lit(2), F.col("event_id"), F.unhex(F.md5(F.col("event_id").cast("string"))))
+    sealed = e.withColumn("z", admission.seal(F.col("props"), key, nonce, aad))
+    opened = sealed.select("props", admission.open_sealed(F.col("z"), key, aad).alias("same"), admission.open_sealed(F.col("z"), key, wrong).alias("other"))
+    return opened.agg(F.count("*").alias("n"), F.count_if(F.col("props") == F.col("same")).alias("opened"), F.count("other").alias("opened_wrongly"))
+
+
+NOTE_QUERIES = [gold_spans, resolved_spans, placeholder_numbering, mask_text, restore_roundtrip, robustness, word_prf, per_class_prf, span_strict, span_relaxed, leakage, leak_attribution, neutralised, strict_coverage, confusion_matrix, over_redaction, top_false_positives, bootstrap_neutralised, consistency]
+OTHER_QUERIES = [pii_by_lang_source, masked_documents, dni_check, nie_check, escape_literals, request_numbering, cidr_membership, rate_limit, replay_check, freshness, admission_cascade, json_allowlist, latency_percentiles, unmapped_labels, best_config, audit_records, sealed_roundtrip]
+EXTRACTS = {
+    "extract_email": ("documents", "doc_id", "text", EMAIL),
+    "extract_ipv4": ("documents", "doc_id", "text", IPV4),
+    "extract_card": ("documents", "doc_id", "text", CARD),
+    "extract_url": ("pages", "page_id", "html", URL),
+}
+
+
+def queries() -> dict[str, Query]:
+    return {n: _extract(*a) for n, a in EXTRACTS.items()} | {f.__name__: f for f in NOTE_QUERIES + OTHER_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+
+    return {n: _extract_sql(*a) for n, a in EXTRACTS.items()} | oracles.sql()
