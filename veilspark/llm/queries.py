@@ -83,5 +83,23 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_bpe, op2_token_tables, op3_secrets, op4_quality, op5_language, op6_pii, op7_sketch, op8_toxicity, op9_packing, op10_simhash)}
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+p AS (SELECT k, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT k, i, a, lead(a, 1) OVER (PARTITION BY k ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY k ORDER BY i) AS c FROM p),
+r AS (SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c) AS n FROM g WHERE c IS NOT NULL),
+again AS (SELECT k, count(DISTINCT i + j) AS n FROM r, (VALUES (0), (1), (2)) v(j) WHERE n > 1 GROUP BY k),
+f AS (SELECT doc_id, t, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words,
+  len(ls) AS n_lines, length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS upper, length(t) - length(replace(t, '!', '')) AS marks
+  FROM w LEFT JOIN again USING (k)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 3 * upper > word_chars OR 2 * marks > n_words OR word_chars < 2 * n_words OR word_chars > 16 * n_words) AS kept
+FROM j
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality": OP4_SQL}
