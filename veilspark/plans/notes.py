@@ -56,8 +56,13 @@ def start_sql(i: int) -> str:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``text`` and ``gold`` (an array of true spans)."""
-    parts = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as doc_id", *columns())
+    """``doc_id``, ``text`` and ``gold`` (an array of true spans).
+
+    Three narrow columns are dealt out by document before texts are made: detection is
+    what costs, and later joins and sums by document find their rows in place.
+    """
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    parts = orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey").selectExpr("o_orderkey as doc_id", *columns())
     spans = []
     for i, (_, label) in enumerate(SEGMENTS):
         if label:
