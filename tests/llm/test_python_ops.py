@@ -262,7 +262,8 @@ def test_op10(spark, texts):
     assert all(rows[d].fingerprint == f"{f:016x}" and rows[d].component_id == want[d] for d, f in zip(ids, fps))
 
 
-def test_simhash_dense_groups(spark):
+@pytest.mark.parametrize("most", [simhash.CELL, 20])
+def test_simhash_dense_groups(spark, most):
     """Hundreds of fingerprints around a few centres: large cells, chains, and outsiders."""
     rng = np.random.default_rng(5)
     fps = set()
@@ -274,7 +275,9 @@ def test_simhash_dense_groups(spark):
             fps.add(f)
     fps = sorted(fps)
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    links = simhash.candidate_links(spark.createDataFrame([(0, f) for f in signed], "view int, fp long")).select("a", "b")
+    frame = spark.createDataFrame([(0, f) for f in signed], "view int, fp long")
+    assert (simhash.crowded(frame, most).count() > 0) == (most == 20)
+    links = simhash.candidate_links(frame, most).select("a", "b")
     roots = {r.node: r.root for r in simhash.components(links).collect()}
     got, want = defaultdict(set), defaultdict(set)
     for f in signed:

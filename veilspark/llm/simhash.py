@@ -10,6 +10,7 @@ that meet in a cell are verified exactly on all 64 bits.
 
 A cell hands on no more links than join its members: components stay whole, and a large
 cell of near copies gives as many rows as it has members, not as many as it has pairs.
+Crowded cells are split into blocks, and every pair of blocks is a group of its own.
 Components are found by alternating large-star and
 small-star steps on a table of links, written out after every step.
 
@@ -34,8 +35,10 @@ from .common import longs, materialize, slices, small_batches
 SEED = 42
 DISTANCE = 4
 SEGMENTS = 32
-#: Bits of a cell's number below its view.
-VIEW = 44
+#: Bits of a cell's number below its view, and below the two blocks of a split cell.
+VIEW, BLOCK_A, BLOCK_B = 44, 50, 56
+#: Fingerprints that a cell may get from one neighbour before it is split, in 64 blocks at most.
+CELL = 2048
 
 
 # -- fingerprints
@@ -150,13 +153,31 @@ def links_of(keys: np.ndarray, fp: np.ndarray, steps: np.ndarray) -> list[tuple[
         at = at[(steps[at + d] != steps[at]) | (steps[at] == 0)]
         at = at[near(u[at], u[at + d])]
         a, b = fp[at], fp[at + d]
-        out |= set(zip((keys[at] >> VIEW).tolist(), np.maximum(a, b).tolist(), np.minimum(a, b).tolist()))
+        out |= set(zip(((keys[at] >> VIEW) & 63).tolist(), np.maximum(a, b).tolist(), np.minimum(a, b).tolist()))
     for s, n in zip(cut[sizes > 24].tolist(), sizes[sizes > 24].tolist()):
-        out |= {(int(keys[s]) >> VIEW, a, b) for a, b in forest(fp[s : s + n])}
+        out |= {((int(keys[s]) >> VIEW) & 63, a, b) for a, b in forest(fp[s : s + n])}
     return [x for x in out if x[1] != x[2]]
 
 
-def candidate_links(distinct: DataFrame) -> DataFrame:
+def crowded(distinct: DataFrame, most: int) -> DataFrame:
+    """``cell`` and ``parts`` of cells at or beside one that is the own cell of more than ``most`` fingerprints."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            view, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("view", "fp"))
+            _, key, step = cells(fp, view)
+            yield pa.RecordBatch.from_arrays([pa.array(key[step == 0])], names=["cell"])
+
+    many = distinct.select("view", "fp").mapInArrow(own, "cell long").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    digit = lambda j: F.shiftrightunsigned("cell", 2 * j).bitwiseAND(F.lit(3))
+    beside = [F.col("cell")]
+    for j in range(SEGMENTS // 2):
+        beside += [F.when(digit(j) < 2, F.col("cell") + 4**j), F.when(digit(j) > 0, F.col("cell") - 4**j)]
+    around = many.select("n", F.explode(F.array(*beside)).alias("cell")).where("cell is not null")
+    return around.groupBy("cell").agg(F.least(F.lit(64), F.ceil(F.sum("n") / most)).cast("int").alias("parts"))
+
+
+def candidate_links(distinct: DataFrame, most: int = CELL) -> DataFrame:
     """Verified links (``view``, ``a`` > ``b``) that join the near ones among distinct fingerprints (``view``, ``fp``)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +203,13 @@ def candidate_links(distinct: DataFrame) -> DataFrame:
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = distinct.select("view", "fp").mapInArrow(spread, "cell long, fp long, step byte")
-    dealt = placed.repartition(n, "cell").sortWithinPartitions("cell", "fp")
+    # a crowded cell is split into blocks; every pair of blocks is a group of its own
+    split = placed.join(materialize(crowded(distinct, most), "crowded"), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    block = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("long")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<bigint>"))
+    split = split.select("cell", "fp", "step", block.alias("mine"), other.alias("other"))
+    group = F.col("cell") + F.shiftleft(F.least("mine", "other"), BLOCK_A) + F.shiftleft(F.greatest("mine", "other"), BLOCK_B)
+    dealt = split.select(group.alias("cell"), "fp", "step").repartition(n, "cell").sortWithinPartitions("cell", "fp")
     return dealt.mapInArrow(meet, "view int, a long, b long").distinct()
 
 
