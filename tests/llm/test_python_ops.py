@@ -301,3 +301,45 @@ def test_one_of_each(spark, odd, empty):
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == [1, 3]
     assert simhash.one_of_each(empty).count() == 0 and simhash.one_of_each(odd).count() < odd.count()
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def edited_copies(rng, kind, n, share):
+    """A text of n words and a copy of which so great a share of shingles has changed by one kind of edit."""
+    words = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    fresh = [f"x{x}" for x in rng.integers(0, 10**6, n)]
+    m = round(share * (n - 4))
+    if kind == "appended":
+        new = words + fresh[:m]
+    elif kind == "truncated":
+        new = words[: n - m]
+    elif kind == "replaced":
+        at, m = int(rng.integers(10, n // 2)), m - 4
+        new = words[:at] + fresh[:m] + words[at + m :]
+    else:
+        new = list(words)
+        for i in (np.arange(m // 5) * 7 + 5).tolist():
+            new[i] = fresh[i]
+    return " ".join(words), " ".join(new)
+
+
+#: Shares of changed shingles that give similarities just above 0.8, and below.
+KINDS = {"appended": (0.24, 0.30), "truncated": (0.19, 0.25), "replaced": (0.105, 0.15), "scattered": (0.105, 0.15)}
+
+
+@pytest.mark.parametrize("most", [simhash.CELL, 2])
+def test_one_of_each_finds_every_kind_of_copy(spark, most):
+    rng = np.random.default_rng(7)
+    rows = []
+    for kind, (near, _) in KINDS.items():
+        for n in (120, 400, 1500):
+            for _ in range(20):
+                a, b = edited_copies(rng, kind, n, near)
+                assert 0.8 <= jaccard(a, b) < 0.85
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()
+    assert sorted(r.doc_id for r in kept) == [r[0] for r in rows[::2]]
