@@ -343,3 +343,21 @@ def test_one_of_each_finds_every_kind_of_copy(spark, most):
                 rows += [(len(rows), a), (len(rows) + 1, b)]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()
     assert sorted(r.doc_id for r in kept) == [r[0] for r in rows[::2]]
+
+
+def test_one_of_each_keeps_texts_below_the_similarity(spark):
+    """Pairs below 0.8 stay whole; of a chain of links at 0.8 or more one text stays."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for kind, (_, far) in KINDS.items():
+        for n in (120, 400, 1500):
+            for _ in range(10):
+                a, b = edited_copies(rng, kind, n, far)
+                assert 0.7 <= jaccard(a, b) < 0.8
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    far = len(rows)
+    words = [f"c{i}" for i in range(600)]
+    rows += [(far + i, " ".join(words[30 * i : 30 * i + 400])) for i in range(4)]
+    assert jaccard(rows[far][1], rows[far + 1][1]) >= 0.8 > jaccard(rows[far][1], rows[far + 3][1])
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(far + 1))
