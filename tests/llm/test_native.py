@@ -133,3 +133,12 @@ def test_pii_formats_and_restore(spark):
 def test_pii_odd_rows(odd, empty):
     assert pii.pseudonymise(odd).count() == odd.count() and pii.pseudonymise(empty).count() == 0
     assert pii.pseudonymise(odd).where("text is null").count() == 1
+
+
+def test_entropy_finds_unquoted_assignments_and_parameters(spark):
+    blob, digits = "aZ3kQ9xLm2Pw7Rt5Yb8Nc4Vd6Ee1Gh0J", "04DBEBAB91AB85687D33EE"
+    made = [f"AWS_SECRET_ACCESS_KEY={blob}", f"GET /x?id=7&sig={blob}&v=2", f"?sig={blob}==", f"KEY=={blob}", f"HASH={digits};", f"x={blob}={blob}"]
+    want = [[blob], [blob], [f"{blob}=="], [blob], [digits], [f"{blob}=", blob]]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[s.surface for s in r.spans] for r in rows] == want
+    assert {s.kind for s in rows[4].spans} == {"entropy_hex"}

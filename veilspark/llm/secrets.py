@@ -35,8 +35,8 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
 #: Alphabet, pattern and least entropy in bits of each class of candidates.
 CLASSES = {
-    "entropy_hex": ("0123456789abcdefABCDEF", r"(?<![A-Za-z0-9+/_=-])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{20,}+(?![A-Za-z0-9+/_-])", 2.9),
-    "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}", 3.6),
+    "entropy_hex": ("0123456789abcdefABCDEF", r"(?<![A-Za-z0-9+/_-])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{20,}+(?![A-Za-z0-9+/_-])", 2.9),
+    "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}", 3.6),
 }
 ALLOWED = "|".join(
     [
