@@ -123,3 +123,22 @@ def test_standoff(spark, tmp_path):
     (d / "b.ann").write_text("")
     row = standoff.read(spark, f"file://{tmp_path}", ["dev"]).collect()
     assert [(r.doc_id, [(g.label, g.start, g.end) for g in r.gold]) for r in row] == [("a", [("NAME", 0, 3), ("PLACE", 4, 13)])]
+
+
+def test_one_key_with_very_many_hits(spark):
+    """A run without a gap is a pass with little state: no array of all its hits, no work that grows with its square."""
+    n = 200_000
+    hits = spark.range(n).select(F.when(F.col("id") < n - 9, 1).otherwise(2).alias("k"), (F.col("id") * 7 % n).cast("double").alias("t"), "id")
+    limited, checked = admission.rate_limit(hits, "k", "t", "id", limit=2, window=10), admission.replays(hits, "k", "t", "id", ttl=10)
+    for df in (limited, checked):
+        assert "collect_list" not in df._jdf.queryExecution().toString()
+    want_ok, want_again, recent, until = {}, {}, {1: [], 2: []}, {1: -1.0, 2: -1.0}
+    for t, i in sorted((float(i * 7 % n), i) for i in range(n)):
+        k = 1 if i < n - 9 else 2
+        recent[k] = [x for x in recent[k] if t - x < 10]
+        want_ok[i] = len(recent[k]) < 2
+        recent[k] += [t] if want_ok[i] else []
+        want_again[i] = until[k] > t
+        until[k] = until[k] if want_again[i] else t + 10
+    assert {r.id: r.admitted for r in limited.collect()} == want_ok
+    assert {r.id: r.replayed for r in checked.collect()} == want_again

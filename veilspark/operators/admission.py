@@ -1,13 +1,17 @@
 """Admission of requests: networks, routes, rates, replays, freshness, and the cascade of reasons.
 
-Folds run within one client's (or one request id's) rows in order of time.  A client
-with very many requests is split into runs first: a gap of a whole window between two
-requests starts anew, so a fold never has to hold more than one run.
+A client's (or a request id's) rows are gone through in order of time, sorted on disk if
+need be; all that is kept between two rows is the time of expiry, or the last admitted
+times.  The rows of one key are one task's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW_S = 60
@@ -44,41 +48,49 @@ def client_ip(peer: Column, forwarded: Column, real: Column, trusted: list[str])
     return F.when(in_networks(ipv4_number(peer), trusted) if trusted else F.lit(False), named).otherwise(peer)
 
 
-def runs(df: DataFrame, key: str, ts: str, order: list[str], gap: int) -> DataFrame:
-    """Add ``run``: it goes up where ``gap`` seconds or more lie before a row of its key."""
-    w = Window.partitionBy(key).orderBy(ts, *order)
-    new = F.when(F.col(ts) - F.lag(ts).over(w) >= gap, 1).otherwise(0)
-    return df.withColumn("new__", new).withColumn("run", F.sum("new__").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new__")
+def in_order(df: DataFrame, key: str, ts: str, ident: str, flag: str, start: Callable, step: Callable) -> DataFrame:
+    """``key``, ``ident``, ``ts`` and ``flag``: each key's rows in order of time through ``step`` (state, time) -> (state, flag)."""
+    rows = df.select(key, F.col(ident).cast("bigint").alias(ident), F.col(ts).cast("double").alias(ts))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = object(), None
+        for batch in batches:
+            flags = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if k != at:
+                    at, state = k, start()
+                state, value = step(state, t)
+                flags.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=[key, ident, ts, flag])
+
+    return rows.repartition(n, key).sortWithinPartitions(key, ts, ident).mapInArrow(run, rows.schema.add(flag, "boolean"))
 
 
 def rate_limit(df: DataFrame, key: str, ts: str, ident: str, limit: int, window: int = WINDOW_S) -> DataFrame:
     """``key``, ``ident``, ``ts``, ``admitted``: at most ``limit`` admitted in any ``window`` seconds; rejected ones don't count."""
     if limit <= 0:
         return df.select(key, ident, ts, F.lit(True).alias("admitted"))
-    packed = runs(df, key, ts, [ident], window).groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct(F.col(ts).cast("double").alias("t"), F.col(ident).alias("id")))).alias("hits"))
-    kinds = "array<double>", "array<struct<id:bigint,t:double,ok:boolean>>"
-    start = F.struct(F.array().cast(kinds[0]).alias("recent"), F.array().cast(kinds[1]).alias("out"))
 
-    def step(s: Column, h: Column) -> Column:
-        live = F.filter(s["recent"], lambda t: h["t"] - t < window)
-        ok = F.size(live) < limit
-        return F.struct(F.when(ok, F.concat(live, F.array(h["t"]))).otherwise(live).alias("recent"), F.concat(s["out"], F.array(F.struct(h["id"].alias("id"), h["t"].alias("t"), ok.alias("ok")))).alias("out"))
+    def step(recent: deque, t: float | None) -> tuple[deque, bool]:
+        while recent and (t is None or recent[0] is None or not t - recent[0] < window):
+            recent.popleft()
+        ok = len(recent) < limit
+        if ok:
+            recent.append(t)
+        return recent, ok
 
-    out = packed.select(key, F.explode(F.aggregate("hits", start, step, lambda s: s["out"])).alias("h"))
-    return out.select(key, F.col("h.id").alias(ident), F.col("h.t").alias(ts), F.col("h.ok").alias("admitted"))
+    return in_order(df, key, ts, ident, "admitted", deque, step)
 
 
 def replays(df: DataFrame, key: str, ts: str, ident: str, ttl: int = TTL_S) -> DataFrame:
     """``key``, ``ident``, ``ts``, ``replayed``: seen before and not yet expired; a replay doesn't extend the time."""
-    packed = runs(df, key, ts, [ident], ttl).groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct(F.col(ts).cast("double").alias("t"), F.col(ident).alias("id")))).alias("hits"))
-    start = F.struct(F.lit(None).cast("double").alias("until"), F.array().cast("array<struct<id:bigint,t:double,again:boolean>>").alias("out"))
 
-    def step(s: Column, h: Column) -> Column:
-        again = F.coalesce(s["until"] > h["t"], F.lit(False))
-        return F.struct(F.when(again, s["until"]).otherwise(h["t"] + ttl).alias("until"), F.concat(s["out"], F.array(F.struct(h["id"].alias("id"), h["t"].alias("t"), again.alias("again")))).alias("out"))
+    def step(until: float | None, t: float | None) -> tuple[float | None, bool]:
+        again = until is not None and t is not None and until > t
+        return (until if again else None if t is None else t + ttl), again
 
-    out = packed.select(key, F.explode(F.aggregate("hits", start, step, lambda s: s["out"])).alias("h"))
-    return out.select(key, F.col("h.id").alias(ident), F.col("h.t").alias(ts), F.col("h.again").alias("replayed"))
+    return in_order(df, key, ts, ident, "replayed", lambda: None, step)
 
 
 def fresh(now: Column, ts: Column, skew: int = MAX_SKEW_S) -> Column:
