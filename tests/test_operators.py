@@ -142,3 +142,33 @@ def test_one_key_with_very_many_hits(spark):
         until[k] = until[k] if want_again[i] else t + 10
     assert {r.id: r.admitted for r in limited.collect()} == want_ok
     assert {r.id: r.replayed for r in checked.collect()} == want_again
+
+
+def test_masked_documents_hide_what_every_rule_finds(spark, tmp_path):
+    from veilspark.plans import catalog
+
+    want = {
+        "a@x.es from 173.33.203.46 paid 4111111111111111": "[CORREO_1] from [ID_2] paid [ID_1]",
+        "4111 1111 1111 1111 on 2024-02-29": "[ID_1] on [FECHA_1]",
+        "+1 (980) 555-6268, (980) 555-6268, 980-555-6268": "[TELEFONO_3], [TELEFONO_2], [TELEFONO_1]",
+        "+44 20 7946 0958; +33 6 12 34 56 78; +34 612 345 678": "[TELEFONO_3]; [TELEFONO_2]; [TELEFONO_1]",
+        "www.x.org y DNI 12345678Z": "[URL_1] y DNI [ID_1]",
+        "su madre vive en Barcelona, 45 años, a las 10:30 h": "su [FAMILIAR_1] vive en [LUGAR_1], [EDAD_1], a las [HORA_1]",
+        "nothing here, v1.2 of 10 words": "nothing here, v1.2 of 10 words",
+    }
+    rows = list(enumerate(want))
+    spark.createDataFrame([*rows, (99, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.masked for r in catalog.masked_documents(spark, f"file://{tmp_path}").collect()}
+    assert got == {i: want[t] for i, t in rows}
+
+
+def test_masked_documents_leave_no_number_or_address(spark):
+    """Plain Python looks for what was to be masked, in every document of the smallest table."""
+    from veilspark.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    private = re.compile(r"[\w.+-]+@[\w-]+\.\w+|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])|\b\d{16}\b|\(\d{3}\) \d{3}-\d{4}")
+    before = {r.doc_id: set(private.findall(r.text or "")) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    after = {r.doc_id: r.masked for r in catalog.masked_documents(spark, sf).collect()}
+    assert sum(map(len, before.values())) > 10
+    assert not [x for d, m in after.items() for x in private.findall(m)]

@@ -76,6 +76,16 @@ RULES = [
 ]
 
 
+#: Rules for documents of any country, beside ``RULES``.
+WIDE_RULES = [
+    Rule("ipv4", "IDENTIFICADOR", 5, r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"),
+    Rule("card", "IDENTIFICADOR", 5, r"(?U)(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)"),
+    Rule("phone_international", "PHONE", 5, r"(?U)(?<!\w)\+(?=(?:[ ().-]*\d){8,15}(?![ ().-]*\d))\d(?:[ ().-]{0,2}\d){7,14}(?!\w)"),
+    Rule("phone_grouped", "PHONE", 5, r"(?U)(?<![\w+])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"),
+    Rule("date_iso", "DATE", 5, r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"),
+]
+
+
 def check_letter(number: Column) -> Column:
     return F.substring(F.lit(CHECK_LETTERS), (number % 23 + 1).cast("int"), F.lit(1))
 

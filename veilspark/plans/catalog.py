@@ -53,7 +53,7 @@ def pii_by_lang_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def masked_documents(spark: SparkSession, sf: str) -> DataFrame:
-    found = detect.detect(_t(spark, sf, "documents").select("doc_id", "text"), rules=[r for r in rules.RULES if r.name in ("email", "url")])
+    found = detect.detect(_t(spark, sf, "documents").select("doc_id", "text"), rules=rules.RULES + rules.WIDE_RULES)
     done = mask.mask_each(found.where("text is not null"))
     return done.select("doc_id", F.size("mapping").cast("long").alias("n_placeholders"), "masked")
 
