@@ -361,3 +361,13 @@ def test_one_of_each_keeps_texts_below_the_similarity(spark):
     assert jaccard(rows[far][1], rows[far + 1][1]) >= 0.8 > jaccard(rows[far][1], rows[far + 3][1])
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == list(range(far + 1))
+
+
+def test_packing_groups_do_not_hang_on_identifiers(spark):
+    docs = spark.range(64).select(F.when(F.col("id") < 32, 7).cast("long").alias("doc_id"), F.lit("some words of a text").alias("text"))
+    rows = packing.pack(packing.cut_pieces(docs, WORD, 0, 2048), 64, 2048, group_docs=8).collect()
+    check_packing(rows, None)
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.sequence_id >> 32] += 1
+    assert len(rows) == 64 and max(sizes.values()) < 24

@@ -96,10 +96,10 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack(pieces: DataFrame, n_docs: int, capacity: int, group_docs: int = 8192) -> DataFrame:
-    """Add ``sequence_id`` and ``offset``.  A group's sequences depend on its rows alone, not on their order."""
+    """Add ``sequence_id`` and ``offset``.  Groups are dealt by the place in the written table, so identifiers don't matter."""
     groups = max(1, -(-n_docs // group_docs))
     pieces = materialize(pieces, "pieces")  # texts are encoded once, and row numbers stay the same
-    small = pieces.where(F.col("length") < capacity).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("long"))
+    small = pieces.where(F.col("length") < capacity).withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=False, ignore_index=True)
