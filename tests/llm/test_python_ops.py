@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veilspark.llm import bpe, language, packing, queries, simhash, sketch, token_table, toxicity
+from veilspark.llm import bpe, language, near_copies, packing, queries, simhash, sketch, token_table, toxicity
 from veilspark.llm.common import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -298,9 +298,9 @@ def test_one_of_each(spark, odd, empty):
     near = base[:100] + ["other"] + base[101:200] + ["thing"] + base[201:]
     apart = [f"else{i}" for i in range(300)]
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(apart)), (4, " ".join(base)), (4, " ".join(base)), (3, " ".join(apart))]
-    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == [1, 3]
-    assert simhash.one_of_each(empty).count() == 0 and simhash.one_of_each(odd).count() < odd.count()
+    assert near_copies.one_of_each(empty).count() == 0 and near_copies.one_of_each(odd).count() < odd.count()
 
 
 def jaccard(a, b):
@@ -331,7 +331,7 @@ def edited_copies(rng, kind, n, share):
 KINDS = {"appended": (0.24, 0.30), "truncated": (0.19, 0.25), "replaced": (0.105, 0.15), "scattered": (0.105, 0.15)}
 
 
-@pytest.mark.parametrize("most", [simhash.CELL, 2])
+@pytest.mark.parametrize("most", [near_copies.BLOCK_TEXTS, 2])
 def test_one_of_each_finds_every_kind_of_copy(spark, most):
     rng = np.random.default_rng(7)
     rows = []
@@ -341,7 +341,7 @@ def test_one_of_each_finds_every_kind_of_copy(spark, most):
                 a, b = edited_copies(rng, kind, n, near)
                 assert 0.8 <= jaccard(a, b) < 0.85
                 rows += [(len(rows), a), (len(rows) + 1, b)]
-    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()
+    kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()
     assert sorted(r.doc_id for r in kept) == [r[0] for r in rows[::2]]
 
 
@@ -359,7 +359,7 @@ def test_one_of_each_keeps_texts_below_the_similarity(spark):
     words = [f"c{i}" for i in range(600)]
     rows += [(far + i, " ".join(words[30 * i : 30 * i + 400])) for i in range(4)]
     assert jaccard(rows[far][1], rows[far + 1][1]) >= 0.8 > jaccard(rows[far][1], rows[far + 3][1])
-    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == list(range(far + 1))
 
 

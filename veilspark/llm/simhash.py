@@ -27,11 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import longs, materialize, slices, small_batches
-from .sketch import shingle_hashes, word_hashes
+from .common import discard, longs, materialize, slices, small_batches
 
 SEED = 42
 DISTANCE = 4
@@ -138,12 +137,16 @@ def forest(points: np.ndarray) -> list[tuple[int, int]]:
 
 
 def links_of(keys: np.ndarray, fp: np.ndarray, steps: np.ndarray) -> list[tuple[int, int, int]]:
-    """(view, larger, smaller fingerprint) among rows in cell order; ``keys``: their cells."""
+    """(view, larger, smaller fingerprint) among rows in cell order; ``keys``: their cells.
+
+    In every cell each member links to the least of those it is joined to there: one link
+    a member at most, so a fingerprint gets no more links than it has cells.
+    """
     cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.concatenate([cut, [len(keys)]]))
-    out = set()
     few = np.repeat(sizes, sizes) <= 24
     u = fp.view(np.uint64)
+    pairs = []
     for d in range(1, 24):  # neighbours in cells with few members, all cells at once
         if d >= len(keys):
             break
@@ -153,11 +156,21 @@ def links_of(keys: np.ndarray, fp: np.ndarray, steps: np.ndarray) -> list[tuple[
         # equal steps from the same cell have one own cell, where they meet too
         at = at[(steps[at + d] != steps[at]) | (steps[at] == 0)]
         at = at[near(u[at], u[at + d])]
-        a, b = fp[at], fp[at + d]
-        out |= set(zip(((keys[at] >> VIEW) & 63).tolist(), np.maximum(a, b).tolist(), np.minimum(a, b).tolist()))
+        pairs.append((at, at + d))
+    root = np.arange(len(keys))
+    if pairs:
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        while len(a):  # the least row that pairs lead to; rows of a cell are in order of fingerprints
+            least = np.minimum(root[a], root[b])
+            np.minimum.at(root, a, least), np.minimum.at(root, b, least)
+            root = root[root]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+    joined = np.flatnonzero(fp != fp[root])
+    out = set(zip(((keys[joined] >> VIEW) & 63).tolist(), fp[joined].tolist(), fp[root[joined]].tolist()))
     for s, n in zip(cut[sizes > 24].tolist(), sizes[sizes > 24].tolist()):
         out |= {((int(keys[s]) >> VIEW) & 63, a, b) for a, b in forest(fp[s : s + n])}
-    return [x for x in out if x[1] != x[2]]
+    return [(v, max(a, b), min(a, b)) for v, a, b in out if a != b]
 
 
 def crowded(distinct: DataFrame, most: int) -> DataFrame:
@@ -218,7 +231,7 @@ def candidate_links(distinct: DataFrame, most: int = CELL) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (the least node it is joined to) for every node of the links ``a``, ``b``."""
+    """``node`` and ``root`` (the least node it is joined to) for every node of the links ``a``, ``b``; a written table."""
     spark = links.sparkSession
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     while True:
@@ -232,8 +245,12 @@ def components(links: DataFrame) -> DataFrame:
         new = materialize(small.where("a <> b").distinct(), "links")
         # done when every node has one link, to a node that has none
         stars = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
-        if stars and new.join(new.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count() == 0:
-            return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        stars = stars and new.join(new.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count() == 0
+        discard(edges)
+        if stars:
+            out = new.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out.written_to = new.written_to
+            return out
         edges = new
 
 
@@ -246,153 +263,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", tex
     named = known.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = known.join(named, "root").select("fp", "component_id")
     return each.join(of_fp, "fp").select("doc_id", "fp", "component_id")
-
-
-# -- one document of each group, by the shingles of the texts
-
-#: Words of a shingle, and least hashes of a text's shingles that pairs are looked for by.
-WORDS, LOW = 5, 20
-#: Sets that are 0.8 alike share more than so many of their ``LOW`` hashes.
-SPARED = 3
-#: Bytes of a signature, and how many of them must agree.
-SIGNS, AGREE = 128, 72
-_MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, SIGNS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingle_set(text: str) -> np.ndarray:
-    """The distinct hashes of the text's shingles, ascending."""
-    return np.unique(shingle_hashes(word_hashes(text.encode("utf-8", "replace").lower().split()), WORDS))
-
-
-def signature(hashes: np.ndarray) -> bytes:
-    """The last bytes of the least hashes under ``SIGNS`` orders: as many agree as the sets are alike."""
-    least = np.full(SIGNS, 2**64 - 1, np.uint64)
-    for k in range(0, len(hashes), 4096):
-        least = np.minimum(least, ((hashes[k : k + 4096, None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
-    return least.astype(np.uint8).tobytes()
-
-
-def resembling(unit: np.ndarray, root: np.ndarray, n: np.ndarray, sign: np.ndarray, best: bool) -> list[tuple[int, int]]:
-    """Pairs of a bucket's sets, ascending in size, that may be 0.8 alike and have two roots; ``best``: each one's best only."""
-    top, partner, out = np.full(len(unit), AGREE - 1), np.full(len(unit), -1), []
-    ends = np.searchsorted(n, n * 5 // 4, "right")
-    for i, end in enumerate(ends.tolist()):
-        if end <= i + 1:
-            continue
-        same = (sign[i + 1 : end] == sign[i]).sum(axis=1)
-        same[root[i + 1 : end] == root[i]] = 0
-        if not best:
-            out += [(int(unit[i]), x) for x in unit[i + 1 : end][same >= AGREE].tolist()]
-            continue
-        better = i + 1 + np.flatnonzero(same > top[i + 1 : end])
-        top[better], partner[better] = same[better - i - 1], i
-        k = int(same.argmax())
-        if same[k] > top[i]:
-            top[i], partner[i] = same[k], i + 1 + k
-    out += [(int(unit[i]), int(unit[partner[i]])) for i in np.flatnonzero(partner >= 0)]
-    return [(max(x), min(x)) for x in out]
-
-
-def buckets(units: DataFrame) -> DataFrame:
-    """``unit``, ``key`` and ``members`` of the key: a text's least hashes without its ``SPARED`` most frequent ones.
-
-    Of more than ``SPARED`` common hashes the rarest is none of either text's most
-    frequent ones, so the pair meets there.  Hashes of one text only are left out.
-    """
-    placed = units.select("unit", F.explode("low").alias("key"))
-    many = placed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    order = Window.partitionBy("unit").orderBy(F.desc("members"), F.desc("key"))
-    return placed.join(many, "key").withColumn("place", F.row_number().over(order)).where(F.col("place") > SPARED).select("unit", "key", "members")
-
-
-def candidate_pairs(placed: DataFrame, units: DataFrame, best: bool, most: int = CELL) -> DataFrame:
-    """``a`` > ``b``: pairs of ``units`` (``unit``, ``root``, ``n``, ``sign``) that meet in a bucket; crowded ones are split into blocks."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "unit", "root", "n")]
-            new.append(np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(-1, SIGNS))
-            rows = [np.concatenate(x) for x in zip(rest, new)] if rest else new
-            last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            rest = [x[last:] for x in rows]
-            if last:
-                yield found([x[:last] for x in rows])
-        if rest:
-            yield found(rest)
-
-    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-        cut = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]])).tolist() if len(rows[0]) else []
-        out: set[tuple[int, int]] = set()
-        for s, e in zip(cut, [*cut[1:], len(rows[0])]):
-            if e - s > 1:
-                out.update(resembling(*(x[s:e] for x in rows[1:]), best))
-        return pa.RecordBatch.from_arrays([longs([x[0] for x in out]), longs([x[1] for x in out])], names=["a", "b"])
-
-    rooted = placed.join(units.select("unit", "root"), "unit")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    live = placed.join(mixed, "key").join(units.select("unit", "root", "n", "sign"), "unit")
-    live = live.withColumn("parts", F.least(F.lit(64), F.ceil(F.col("members") / most)).cast("int"))
-    mine = F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int")
-    live = live.select("key", "unit", "root", "n", "sign", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    bucket = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = live.select(bucket.alias("bucket"), "unit", "root", "n", "sign").repartition(tasks, "bucket").sortWithinPartitions("bucket", "n", "unit")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of which the sets (``unit``, ``shingles``) are 0.8 alike or more: common ones to all, counted."""
-    of = lambda c: sets.select(F.col("unit").alias(c), F.col("shingles").alias(f"of_{c}"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(9 * common >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = CELL) -> DataFrame:
-    """The rows of ``docs`` without all but one of each group of near copies: the least identifier (null first) stays.
-
-    Texts link if their sets of five-word shingles have a Jaccard similarity of 0.8 or
-    more, counted on the whole sets.  Two such texts have more than ``SPARED`` of their
-    ``LOW`` least hashes in common, wherever the edits lie (but for less than one pair in
-    10^9 at 0.8), and meet in a bucket.  Each text is tried with the best of a bucket
-    first; then all pairs that these links leave apart are.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
-            found = []
-            for t in texts:
-                x = shingle_set(t)
-                signed = x.view(np.int64)
-                found.append((xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63, len(x), signed, signed[:LOW], signature(x)))
-            made = [pa.array(x, t) for x, t in zip(zip(*found), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *made], names=["doc_id", "h", "unit", "n", "shingles", "low", "sign"])
-
-    # a row is known by its identifier and a hash of its text; a unit is a set of shingles
-    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    each = materialize(keyed.mapInArrow(run, "doc_id long, h long, unit long, n int, shingles array<long>, low array<long>, sign binary"), "shingles")
-    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("least")
-    units = each.groupBy("unit").agg(least, *[F.first(c).alias(c) for c in ("n", "low", "sign")])
-    units = materialize(units, "units")
-    placed = materialize(buckets(units), "buckets")
-    wanted = units.join(placed.select("unit").distinct(), "unit").select("unit", "least").alias("w")
-    same_row = (F.col("e.unit") == F.col("w.unit")) & (F.col("e.h") == F.col("w.least.h")) & F.col("e.doc_id").eqNullSafe(F.col("w.least.doc_id"))
-    sets = materialize(each.alias("e").join(wanted, same_row).select("e.unit", "e.shingles").dropDuplicates(["unit"]), "sets")
-    links = materialize(verified(candidate_pairs(placed, units.withColumn("root", F.col("unit")), True, most), sets), "near")
-    roots = components(links)
-    rooted = units.join(roots, units.unit == roots.node, "left").select("unit", F.coalesce("root", "unit").alias("root"), "n", "sign")
-    more = materialize(verified(candidate_pairs(placed, rooted, False, most), sets), "near")
-    roots = components(links.unionByName(more))
-    kept = units.join(roots, units.unit == roots.node, "left").groupBy(F.coalesce("root", "unit").alias("group")).agg(F.min("least").alias("least")).select("least.doc_id", "least.h")
-    # of rows that are repeated whole, one
-    again = each.groupBy("doc_id", "h").agg(F.count("*").alias("rows")).where("rows > 1")
-    k, a = kept.alias("k"), again.alias("a")
-    marked = k.join(a, F.col("k.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("k.h") == F.col("a.h")), "left").select(F.col("k.doc_id").alias("kept_id"), F.col("k.h").alias("kept_h"), F.col("a.rows").isNotNull().alias("repeated"))
-    marked = materialize(marked, "kept")
-    on = F.col(doc_id).cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_h"))
-    once = docs.join(marked.where("not repeated"), on, "left_semi")
-    twice = docs.join(marked.where("repeated"), on, "left_semi").dropDuplicates([doc_id, text])
-    return once.unionByName(twice)
