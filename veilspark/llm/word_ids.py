@@ -15,6 +15,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
+import sys
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -27,7 +30,19 @@ TABLE_PIECES = 400_000
 #: Fixed value: the pre-token pattern that pieces are cut by.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters that lower-case one by one and are in normal form, digits, and marks but the apostrophe.
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+PLAIN = re.compile(LETTERS.pattern + r"|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+#: Marks that often end a piece.
+TAIL = b".,;:!?)"
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def by_piece(spec: dict) -> bool:
@@ -49,7 +64,9 @@ class Pieces(dict):
     def __init__(self, library, special: list[str]):
         super().__init__()
         self.library, self.model, self.special, self.old = library, library.model, special, {}
-        self.letters = {chr(b): x for b, x in enumerate(byte_letters())}
+        self.letters = dict(enumerate(byte_letters()))
+        # no special token lies within letters or within the marks behind them
+        self.bare = all(set(s) - set(string.ascii_letters) and set(s) - set(TAIL.decode()) and not re.search(r"[A-Za-z][.,;:!?)]", s) for s in special)
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.old.get(piece)
@@ -59,17 +76,23 @@ class Pieces(dict):
         return ids
 
     def encode(self, piece: bytes) -> bytes:
+        word = piece.rstrip(TAIL)
+        if self.bare and (low := word.lower().decode() if word.isalpha() else self.level(word.decode())):
+            # letters, and perhaps marks behind them: two pre-tokens
+            ids = packed([t.id for t in self.model.tokenize(low)])
+            return ids if len(word) == len(piece) else ids + self[piece[len(word) :]]
         text = piece.decode()
         parts = PLAIN.findall(text)
         if "".join(parts) == text and not any(s in text for s in self.special):
             if len(parts) > 1:
                 return b"".join([self[p.encode()] for p in parts])
-            if text.isalpha():
-                low = text.lower()
-                if not low.isascii():
-                    low = "".join(map(self.letters.__getitem__, low.encode().decode("latin-1")))
-                return np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if low := self.level(text):
+                return packed([t.id for t in self.model.tokenize(low)])
+        return packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def level(self, text: str) -> str:
+        """Lower-case letters as the model's letters for their bytes; empty if it isn't plain letters."""
+        return text.lower().encode().decode("latin-1").translate(self.letters) if LETTERS.fullmatch(text) else ""
 
     def turn(self) -> None:
         """Forget what has not been met since the last turn, once the table is full."""
