@@ -3,6 +3,8 @@
 import hashlib
 import math
 import re
+
+import pytest
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -88,6 +90,18 @@ def test_cascade_order():
     assert quality.cascade({"a": (1.0, 0.1), "b": (0.1, 0.1), "c": (0.1, 0.0)}) == ["b", "a", "c"]
 
 
+def test_cascade_works_out_nothing_for_rejected_rows(spark):
+    """An expensive rule that fails when it is run: it must not run on rows that an earlier rule rejected."""
+    frame = spark.createDataFrame([(1, "one two"), (2, "one two three")], "doc_id long, text string")
+    rules = {"few": "{n_words} < 3", "bomb": "if({n_repeat_words} >= 0 and size({words}) < 3, raise_error('ran'), {n_marks} > 0)"}
+    rows = {r.doc_id: r.rejected_by for r in quality.judge(frame, rules=rules, order=["few", "bomb"], counts=False).collect()}
+    assert rows == {1: "few", 2: None}
+    with pytest.raises(Exception, match="ran"):
+        quality.judge(frame, rules=rules, order=["bomb", "few"], counts=False).collect()
+    values = quality.judge(frame.withColumn("Q_words", F.lit("mine")).withColumn("KEPT", F.lit(1)), order=["few_words"])
+    assert [r.Q_words for r in values.collect()] == ["mine"] * 2 and "KEPT" not in values.columns
+
+
 def test_quality_empty(empty):
     assert quality.judge(empty).count() == 0
 
