@@ -371,3 +371,70 @@ def test_packing_groups_do_not_hang_on_identifiers(spark):
     for r in rows:
         sizes[r.sequence_id >> 32] += 1
     assert len(rows) == 64 and max(sizes.values()) < 24
+
+
+def test_names_that_differ_in_case_are_replaced(spark, docs):
+    few = spark.createDataFrame([(1, "plain words of a text", 5, "x")], "doc_id long, text string, IDS int, Score string")
+    few = few.withColumns({"Lang_Pred": F.lit(1), "Fingerprint": F.lit(2), "N_Tokens": F.lit(3)})
+    assert bpe.encode_text(few, BYTE).select("ids", "n_tokens").first().n_tokens > 0
+    assert toxicity.predict(few, toxicity.Model(toxicity.Lexicon([], []), None)).select("score").first().score == 0
+    assert language.predict(few, None).select("lang_pred", "score").first().lang_pred == "und"
+    assert len(sketch.fingerprint(few).select("fingerprint").first().fingerprint) == 16
+
+
+@pytest.mark.parametrize("n", [100, 400, 1600])
+def test_links_grow_with_members_not_pairs(spark, n):
+    """Around one centre a fingerprint has no more links than it has cells, however large the group."""
+    rng = np.random.default_rng(n)
+    fps = {int(rng.integers(0, 2**62))}
+    centre = min(fps)
+    while len(fps) < n:
+        f = centre
+        for b in rng.choice(62, rng.integers(1, 4), replace=False):
+            f ^= 1 << int(b)
+        fps.add(f)
+    frame = spark.createDataFrame([(0, f) for f in sorted(fps)], "view int, fp long")
+    assert simhash.candidate_links(frame).count() <= 34 * n
+
+
+def test_language_against_brute_force(spark):
+    """Scores of the queries' model against kernels, features and regressions worked out whole."""
+    rng = np.random.default_rng(2)
+    words = {"aa": ["bana", "lono", "mira"], "bb": ["krst", "prsk", "vlk"], "cc": ["yueh", "xiao", "qing"]}
+    texts = [(lang, " ".join(rng.choice(w, 12))) for lang, w in words.items() for _ in range(20)]
+    bits = np.array([language.bitmap(t) for _, t in texts], np.float64).reshape(len(texts), -1)
+    langs = [x for x, _ in texts]
+    model = language.train(np.packbits(bits.astype(np.uint8), axis=1), langs, landmarks=9)
+    unit = bits / np.sqrt(bits.sum(axis=1, keepdims=True))
+    chosen = [i for k in range(3) for i in range(20 * k, 20 * k + 3)]
+    kernel = unit[chosen] @ unit[chosen].T
+    value, vector = np.linalg.eigh(kernel)
+    white = vector[:, value > 1e-6 * value.max()] / np.sqrt(value[value > 1e-6 * value.max()])
+    feature = unit @ unit[chosen].T @ white
+    target = np.array([[1.0 if x == n else -1.0 for n in sorted(words)] for x in langs])
+    solved = np.linalg.solve(feature.T @ feature + language.RIDGE * len(texts) * np.eye(feature.shape[1]), feature.T @ target)
+    assert (model.scores(bits.astype(np.float32)).argmax(axis=1) == (feature @ solved).argmax(axis=1)).all()
+    assert [sorted(words)[k] for k in model.scores(bits.astype(np.float32)).argmax(axis=1)] == langs
+
+
+def test_near_edited_and_near_next_against_whole_sets(texts, spark):
+    """Estimates of op7 against resemblance counted on whole shingle sets."""
+    rows = queries.op7_sketch(spark, SF).collect()
+    order = sorted(texts, reverse=True)
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def share(a, b):
+        a, b = shingles(a), shingles(b)
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    off = []
+    for r in rows:
+        own, after = texts[r.doc_id], texts[order[(order.index(r.doc_id) + 1) % len(order)]]
+        cut = len(own) // 2
+        edited = own[: len(own) - cut] + after[:cut]
+        assert hashlib.sha256(edited.encode()).hexdigest() == r.edited_sha256 and r.n_chars == len(own)
+        off += [abs(r.near_edited - share(own, edited)), abs(r.near_next - share(own, after))]
+    assert np.mean(off) < 0.03 and np.max(off) < 0.2

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches
+from .common import columns_but, slices, small_batches
 
 LONG_WORD = 512
 #: Entries after which a worker's table of segments starts anew.
@@ -218,7 +218,7 @@ def vocabulary(path: str) -> ByteBPE:
 def _mapped(df: DataFrame, made: dict[str, T.DataType], work) -> DataFrame:
     """``df`` with the columns ``made``, which ``work`` gives for each part of a batch."""
     small_batches(df.sparkSession)
-    keep = [c for c in df.columns if c not in made]
+    keep = columns_but(df, *made)
     schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(c, t) for c, t in made.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

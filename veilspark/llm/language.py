@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import columns_but, slices, small_batches
 
 BUCKETS = 1 << 15
 TRAIN_DOCS = 2000
@@ -61,17 +61,25 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def train(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Ridge regressions on Nyström features; rows in a fixed order give a fixed model."""
+def train(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Ridge regressions on Nyström features, from packed bitmaps; rows in a fixed order give a fixed model.
+
+    Only landmarks and a few rows at a time are unpacked: the driver holds the packed
+    bits, the landmarks and one feature for each row and landmark.
+    """
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        bits = np.unpackbits(rows, axis=1).astype(np.float32)
+        return bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
+
     names = sorted(set(langs))
-    unit = bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
     of = {n: [i for i, x in enumerate(langs) if x == n] for n in names}
     chosen = sorted({i for n in names for i in of[n][: max(1, landmarks // len(names))]})
-    marks = unit[chosen]
+    marks = unit(packed[chosen])
     value, vector = np.linalg.eigh(marks @ marks.T)
     keep = value > 1e-6 * value.max()
     white = vector[:, keep] / np.sqrt(value[keep])
-    feature = unit @ marks.T @ white
+    feature = np.concatenate([unit(packed[k : k + 128]) @ marks.T for k in range(0, len(packed), 128)]) @ white
     target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # every language counts alike
     weight = np.array([1.0 / len(of[x]) for x in langs])[:, None] * len(langs) / len(names)
@@ -102,13 +110,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     made = rows.mapInArrow(run, "key string, lang string, bits binary").orderBy(F.xxhash64("key"), "key", "bits").limit(2 * most).collect()
     if not made:
         return None
-    return train(np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in made], np.float32), [r.lang for r in made])
+    return train(np.array([np.frombuffer(r.bits, np.uint8) for r in made]), [r.lang for r in made])
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
     """Add the likeliest language and its share."""
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in (out, score)]
+    keep = columns_but(docs, out, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -126,6 +126,30 @@ def refill(shape: Column, digits: Column) -> Column:
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("n")), fill, lambda s: s["out"])
 
 
+def mod97(account: Column) -> Column:
+    """The remainder by 97 of an account number without blanks, its first four characters put last, letters as 10 to 35."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+    digit = lambda c: F.ascii(c).cast("int") - F.when(c.rlike("[0-9]"), 48).otherwise(55)
+    step = lambda s, c: (s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + digit(c)) % 97
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def permute_iban(surface: Column, key: str, inverse: bool = False) -> Column:
+    """Account numbers with right check digits to such numbers of the same country; others as plain digits."""
+    compact = lambda s: F.replace(s, F.lit(" "), F.lit(""))
+    digits = lambda s: F.regexp_replace(s, "[^0-9]", "")
+    valid = lambda s: (mod97(compact(s)) == 1) & (F.length(digits(s)) >= 6)
+    plain = lambda s: refill(s, permute_digits(digits(s), key, "number", inverse))
+
+    def moved(s: Column) -> Column:
+        body = permute_digits(F.substring(digits(s), F.lit(3), F.length(s)), key, "iban", inverse)
+        open_ = refill(s, F.concat(F.lit("00"), body))
+        return refill(open_, F.concat(F.lpad((98 - mod97(compact(open_))).cast("string"), 2, "0"), body))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(4)), plain(surface), lambda s, _: F.when(valid(s), plain(s)).otherwise(s))
+    return let(surface, lambda s: F.when(valid(s), moved(s)).otherwise(walked))
+
+
 def permute_date(surface: Column, key: str, inverse: bool = False) -> Column:
     """A real date of 1800 to 2199 to another; what is none (months first, say) as plain digits."""
     first = F.to_date(F.lit("1800-01-01"))
@@ -168,6 +192,7 @@ def pseudonym(surface: Column, kind: Column, key: str, inverse: bool = False) ->
         .when(kind == "ipv4", permute_ipv4(surface, key, inverse))
         .when(kind.isin("iso_date", "day_date"), permute_date(surface, key, inverse))
         .when(kind == "phone", phone)
+        .when(kind == "iban", permute_iban(surface, key, inverse))
         .when(kind == "card", of(lambda d: refill(surface, permute_card(d, key, inverse))))
         .otherwise(of(lambda d: refill(surface, permute_digits(d, key, "number", inverse))))
     )

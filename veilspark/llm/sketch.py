@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import columns_but, slices, small_batches
 
 WORDS = 5
 K = 128
@@ -99,7 +99,7 @@ def read(digits: str) -> np.ndarray:
 def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint", size: int = WORDS, k: int = K) -> DataFrame:
     """Add the sketch of each whole text and ``n_shingles``, its estimated distinct shingle count."""
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in (out, "n_shingles")]
+    keep = columns_but(docs, out, "n_shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, text):

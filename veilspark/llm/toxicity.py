@@ -26,10 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, small_batches
+from .common import columns_but, materialize, slices, small_batches
 
 TRAIN_DOCS = 6000
-LEXICON = 2000
 FUZZY_LETTERS, TWICE_LETTERS = 6, 10
 WINDOW = 6
 TABLE_PIECES = 300_000
@@ -223,6 +222,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
+def support(n_toxic: int) -> float:
+    """Toxic texts of the sample that must have an entry."""
+    return max(3, 0.004 * n_toxic)
+
+
 def choose(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean: int, scale: float) -> tuple[list[str], list[str]]:
     """Words and stems from (entry, is stem, toxic texts, clean texts); shorter stems stand for longer ones.
 
@@ -230,7 +234,7 @@ def choose(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean: int, s
     """
 
     def good(toxic: int, clean: int) -> bool:
-        return toxic >= max(3, 0.004 * n_toxic) and toxic >= 4 * scale * clean
+        return toxic >= support(n_toxic) and toxic >= 4 * scale * clean
 
     words = {e: t for e, stem, t, c in rows if not stem and len(e) > 2 and good(t, c)}
     stems: dict[str, int] = {}
@@ -264,7 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     entries = sample.withColumn("words", words).select("y", F.explode(F.concat(marked("words", False), marked(stems, True))).alias("e"))
     table = entries.groupBy("e.entry", "e.stem").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
     scale = (total[0] / counts[0]) / (total[1] / counts[1])
-    best = table.where((F.col("toxic") >= 3) & (F.col("toxic") >= 4 * scale * F.col("clean"))).orderBy(F.desc(F.col("toxic") - 4 * scale * F.col("clean")), "entry", "stem").limit(LEXICON)
+    # one toxic text in 250 has each entry, so their number is bounded by the words of 250 texts
+    best = table.where((F.col("toxic") >= support(counts[1])) & (F.col("toxic") >= 4 * scale * F.col("clean")))
     lexicon = Lexicon(*choose([tuple(r) for r in best.collect()], counts[1], counts[0], scale))
     rows = featured(sample, lexicon).select("y", "x").collect()
     x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
@@ -273,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
 
 
 def featured(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    keep = [c for c in docs.columns if c not in ("x", text)]
+    keep = columns_but(docs, "x", text)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +294,7 @@ def featured(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame
 def predict(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """Add the score, 0 to 1; an empty text has the score of a text without a hit."""
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c != score]
+    keep = columns_but(docs, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
