@@ -55,10 +55,60 @@ def test_restore_does_not_read_what_it_put_in(spark):
     assert mask.restore(df).first().restored == "[ID_2]x [ID_9]"
 
 
+def test_restore_takes_bold_and_suffix_along(spark):
+    m = [("Ana", "NOMBRE", 1, "[NOMBRE_1]"), ("b", "ID", 1, "[ID_1]")]
+    df = spark.createDataFrame([("**[NOMBRE_1]** [name_1]'s [ nombre 1 ]s [NOMBRE_1]S [NOMBRE_10] [ID\n1] [NOMBRE_1 NOMBRE_1]", m)], "masked string, mapping array<struct<surface:string,tag:string,n:int,placeholder:string>>")
+    assert mask.restore(df).first().restored == "Ana Ana Ana AnaS [NOMBRE_10] b [NOMBRE_1 NOMBRE_1]"
+
+
+def test_words_that_the_user_wrote_stay(spark):
+    m = [("Ana", "NOMBRE", 1, "[NOMBRE_1]")]
+    rows = [("(**[NOMBRE_1]**) y [Name_1] y [NOMBRE_1]", m, ["[name_1]"])]
+    df = spark.createDataFrame(rows, "masked string, mapping array<struct<surface:string,tag:string,n:int,placeholder:string>>, tokens array<string>")
+    assert mask.restore(df, tokens="tokens").first().restored == "(Ana) y [Name_1] y Ana"
+
+
+TEXTS = [
+    "Paciente: Ana Ruiz, Hospital 12 y [NOMBRE_1], ana@x.es",
+    "[[FECHA_2]] hora 14, HORA14 **[ID_3]**s [EMAIL 4 el 01/02/2020 y 01/02/2020",
+    "nada",
+    "",
+    "Ana\ue0000\ue001 [NOMBRE_1",
+    "612345678 [PHONE_1]'s TELEFONO_1] 612345678",
+]
+
+
+def test_requests_come_back_as_they_were(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string")
+    back = mask.deanonymize(mask.anonymize(rows))
+    got = {r.id: r for r in back.collect()}
+    for i, t in enumerate(TEXTS):
+        if "\ue000" not in t:
+            assert got[i].restored == t, got[i].masked
+    assert "Ana" not in got[0].masked and "612345678" not in got[5].masked
+    # the texts of one request: numbers, markers and words go on
+    masked, keys = mask.anonymize_requests(rows.where("id <> 4").withColumn("req", F.lit(1)), "req", "id")
+    once = keys.collect()
+    assert len(once) == 1 and len({m.placeholder for m in once[0].mapping}) == len(once[0].mapping) == len({m.surface for m in once[0].mapping})
+    back = mask.deanonymize(masked.join(keys, "req"))
+    assert {r.id: r.restored for r in back.collect()} == {i: t for i, t in enumerate(TEXTS) if i != 4}
+
+
+def test_random_texts_come_back(spark):
+    import random
+
+    rng = random.Random(3)
+    # no bold or genitive right beside an entity: they go with its placeholder
+    parts = ["[NOMBRE_1]", "[ID_2", "hora 14", "Ana Ruiz", "a@b.es", "612345678", "Paciente:", " ", "\n", ", ", "x", "[", "]", "12345678Z", "URL3]"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert [(r.text, r.restored) for r in mask.deanonymize(mask.anonymize(rows)).where("text <> restored").collect()] == []
+
+
 def test_escape(spark):
     df = spark.createDataFrame([("hora 14 y [NOMBRE_2]",)], "text string")
     out = mask.escape_literals(df)
-    assert out.first().literals == ["hora 14", "[NOMBRE_2]"]
+    assert out.first().literals == ["hora 14 ", "[NOMBRE_2]"]
     assert mask.unescape(out.drop("text")).first().text == "hora 14 y [NOMBRE_2]"
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.spans import held, with_spans
 
-from .rules import RULES, UNIFIED, Rule, passes
+from .lexicon import UNIFIED
+from .names import add_names
+from .rules import RULES, Rule, passes
 
 ENTITY = "array<struct<start:bigint,end:bigint,label:string,surface:string,rule:string>>"
 
@@ -16,16 +18,25 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def candidates(df: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """Add ``candidates``: every match of every rule, best first (priority, length, start, place in the table)."""
-    found = with_spans(df.withColumn("r__text", F.coalesce(text, F.lit(""))), "r__text", {f"r__{r.name}": r.pattern for r in rules})
+def matches(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
+    """Add ``matches``: every match of every rule, in the order of the rules and of the text."""
+    found = with_spans(df, text, {f"r__{r.name}": r.pattern for r in rules})
 
-    def of(seq: int, r: Rule) -> Column:
+    def of(r: Rule) -> Column:
         kept = F.filter(f"r__{r.name}", lambda s: (F.length(F.trim(s["surface"])) > 0) & passes(r, s["surface"]))
-        return F.transform(kept, lambda s: F.struct(F.lit(-r.priority).alias("order"), (s["start"] - s["end"]).alias("neg_len"), s["start"].alias("start"), F.lit(seq).alias("seq"), s["end"].alias("end"), F.lit(UNIFIED.get(r.label, "OTHER")).alias("label"), s["surface"].alias("surface"), F.lit(r.name).alias("rule")))
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(r.label).alias("label"), s["surface"].alias("surface"), F.lit(r.priority).alias("priority"), F.lit(r.name).alias("rule")))
 
-    every = F.array_sort(F.concat(*[of(i, r) for i, r in enumerate(rules)]))
-    return found.withColumn("candidates", held(every)).drop("r__text", *[f"r__{r.name}" for r in rules])
+    return found.withColumn("matches", held(F.concat(*[of(r) for r in rules]))).drop(*[f"r__{r.name}" for r in rules])
+
+
+def candidates(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = False) -> DataFrame:
+    """Add ``candidates``, best first (priority, length, start, place in the order of rules); with ``names`` those of ``names`` too."""
+    found = matches(df.withColumn("r__text", F.coalesce(text, F.lit(""))), "r__text", rules)
+    if names:
+        found = add_names(found, "r__text", "matches")
+    label = F.create_map(*[F.lit(x) for kv in UNIFIED.items() for x in kv])
+    every = F.transform("matches", lambda m, i: F.struct((-m["priority"]).alias("order"), (m["start"] - m["end"]).alias("neg_len"), m["start"].alias("start"), i.alias("seq"), m["end"].alias("end"), F.coalesce(label[m["label"]], F.lit("OTHER")).alias("label"), m["surface"].alias("surface"), m["rule"].alias("rule")))
+    return found.withColumn("candidates", held(F.array_sort(every))).drop("r__text", "matches")
 
 
 def resolved(best_first: Column) -> Column:
@@ -35,9 +46,9 @@ def resolved(best_first: Column) -> Column:
     return F.array_sort(kept)
 
 
-def detect(df: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """Add ``entities``: resolved spans by start."""
-    return candidates(df, text, rules).withColumn("entities", held(resolved(F.col("candidates")))).drop("candidates")
+def detect(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = False) -> DataFrame:
+    """Add ``entities``: resolved spans by start; with ``names`` also by line, signature and second search."""
+    return candidates(df, text, rules, names).withColumn("entities", held(resolved(F.col("candidates")))).drop("candidates")
 
 
 def arbitrate(rule_spans: Column, model_spans: Column, strong: tuple[str, ...] = ("DATE", "TIME", "PHONE", "EMAIL", "URL", "ID")) -> Column:

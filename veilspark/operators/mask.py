@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.spans import held
+from veilspark.functions.spans import held, with_spans
 
-from .rules import OTHER_TAGS, TAGS
+from .detect import detect
+from .lexicon import OTHER_TAGS, TAGS
+from .rules import RULES, Rule
 
 TAG_WORDS = "|".join(sorted({*TAGS.values(), *OTHER_TAGS}, key=lambda t: (-len(t), t)))
-#: What a language model may make of a placeholder: bold, inner blanks or a line break, any case, plural or genitive.
-PLACEHOLDER = rf"\*{{0,2}}\[\s*\*{{0,2}}(?i:{TAG_WORDS})[\s_]*_?[\s_]*\d+\s*\*{{0,2}}\](?:'s|s)?\*{{0,2}}"
-LITERAL = rf"(?i)\[?\b(?:{TAG_WORDS})[ _]\d+\b\]?"
-OPEN, CLOSE = "", ""
+NUMBERED_TAG = rf"(?:{TAG_WORDS})[\s_]*\d+(?!\d)"
+#: What a language model may make of a placeholder: bold, inner blanks or a line break, any case, another language's tag, plural or genitive.
+PLACEHOLDER = rf"(?iU)\*{{0,2}}\[\s*{NUMBERED_TAG}\s*\](?-i:'s|s)?\*{{0,2}}"
+#: Text that is shaped like a placeholder or like a part of one.
+LITERAL = rf"(?iU)\*{{0,2}}(?:\[\s*{NUMBERED_TAG}(?:\s*\](?-i:'s|s)?)?|(?<![A-Za-z0-9]){NUMBERED_TAG}\s*\]?)\*{{0,2}}"
+OPEN, CLOSE = "\ue000", "\ue001"
 
 
 def tag_of(label: Column) -> Column:
@@ -39,15 +43,8 @@ def mask(df: DataFrame, mapping: DataFrame, request: str, text: str = "text", sp
     """Put each span's placeholder in its place; ``mapping`` as from ``numbered``."""
     table = mapping.groupBy(request).agg(F.map_from_entries(F.collect_list(F.struct("surface", "placeholder"))).alias("m__"))
     joined = df.join(table, request, "left")
-    joined = joined.withColumn("m__", held(F.coalesce("m__", F.create_map().cast("map<string,string>"))))
-    state = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(s: Column, e: Column) -> Column:
-        gap = F.substring(F.col(text), (s["at"] + 1).cast("int"), (e["start"] - s["at"]).cast("int"))
-        return F.struct(F.concat(s["done"], gap, F.coalesce(F.col("m__")[e["surface"]], e["surface"])).alias("done"), e["end"].alias("at"))
-
-    tail = lambda s: F.concat(s["done"], F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(text)))
-    return joined.withColumn(out, F.aggregate(spans, state, step, tail)).drop("m__")
+    joined = joined.withColumns({"m__": held(F.coalesce("m__", F.create_map().cast("map<string,string>"))), "m__spans": held(F.array_sort(spans))})
+    return joined.withColumn(out, spliced(F.col(text), F.col("m__spans"), F.col("m__"))).drop("m__", "m__spans")
 
 
 def mask_each(df: DataFrame, key: str = "doc_id", text: str = "text", spans: str = "entities") -> DataFrame:
@@ -61,48 +58,117 @@ def mask_each(df: DataFrame, key: str = "doc_id", text: str = "text", spans: str
         return F.when(F.exists(done, lambda m: m["surface"] == e["surface"]), done).otherwise(F.concat(done, F.array(new)))
 
     df = df.withColumn("mapping", held(F.aggregate(F.reverse(F.array_sort(spans)), zero, visit)))
-    state = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at"))
+    names = F.map_from_entries(F.transform("mapping", lambda m: F.struct(m["surface"], m["placeholder"])))
+    df = df.withColumns({"m__names": held(names), "m__spans": held(F.array_sort(spans))})
+    return df.withColumn("masked", spliced(F.col(text), F.col("m__spans"), F.col("m__names"))).drop("m__names", "m__spans")
+
+
+def spliced(text: Column, spans: Column, names: Column) -> Column:
+    """The text with ``names[surface]`` in the place of each span (by start, none overlaps): gaps and names, joined once."""
+
+    def piece(e: Column, i: Column) -> Column:
+        at = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(spans, i - 1)["end"])
+        gap = F.substring(text, (at + 1).cast("int"), (e["start"] - at).cast("int"))
+        return F.concat(gap, F.coalesce(names[e["surface"]], e["surface"]))
 
-    def step(s: Column, e: Column) -> Column:
-        gap = F.substring(F.col(text), (s["at"] + 1).cast("int"), (e["start"] - s["at"]).cast("int"))
-        mine = F.element_at(F.filter("mapping", lambda m: m["surface"] == e["surface"]), 1)["placeholder"]
-        return F.struct(F.concat(s["done"], gap, mine).alias("done"), e["end"].alias("at"))
+    last = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0).cast("bigint"))
+    return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
 
-    tail = lambda s: F.concat(s["done"], F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(text)))
-    return df.withColumn("masked", F.aggregate(F.array_sort(spans), state, step, tail))
 
+def restore(df: DataFrame, text: str = "masked", mapping: str = "mapping", out: str = "restored", tokens: str | None = None) -> DataFrame:
+    """Originals in the place of placeholders, in one pass: what is put in is not read again.
 
-def restore(df: DataFrame, text: str = "masked", mapping: str = "mapping", out: str = "restored") -> DataFrame:
-    """Originals in the place of placeholders, in one pass: what is put in is not read again."""
-    parts = F.arrays_zip(F.split(F.col(text), PLACEHOLDER, -1).alias("gap"), F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)).alias("hit"))
+    ``tokens``: lower-case words that the user wrote; a bent placeholder that lies in one
+    of them whole stays as it is.  Unknown numbers stay too.
+    """
+    patterns = {"r__hit": PLACEHOLDER} | ({"r__token": r"(?U)\S+"} if tokens else {})
+    df = with_spans(df.withColumn("r__text", F.coalesce(text, F.lit(""))), "r__text", patterns)
+    df = df.withColumns({"r__parts": held(F.arrays_zip(F.split("r__text", PLACEHOLDER, -1).alias("gap"), F.col("r__hit").alias("hit"))), "r__names": held(F.map_from_entries(F.transform(mapping, lambda m: F.struct(m["placeholder"], m["surface"]))))})
+    if tokens:
+        df = df.withColumn("r__own", held(F.filter("r__token", lambda t: F.array_contains(tokens, F.lower(t["surface"])))))
     names = F.create_map(*[F.lit(x) for kv in OTHER_TAGS.items() for x in kv])
-    df = df.withColumn("r__parts", held(parts))
 
     def original(hit: Column) -> Column:
-        tag = F.upper(F.regexp_extract(hit, rf"(?i)({TAG_WORDS})", 1))
-        n = F.regexp_extract(hit, r"(\d+)", 1)
-        tail = F.regexp_extract(hit, r"\]('s|s)?\*{0,2}$", 1)
-        want = F.concat(F.lit("["), F.coalesce(names[tag], tag), F.lit("_"), n, F.lit("]"))
-        found = F.try_element_at(F.filter(mapping, lambda m: m["placeholder"] == want), F.lit(1))["surface"]
-        bold = F.when(hit.startswith("**") & hit.endswith("**"), F.lit("**")).otherwise(F.lit(""))
-        return F.coalesce(F.concat(bold, found, tail, bold), hit)
+        tag = F.upper(F.regexp_extract(hit["surface"], rf"(?i)({TAG_WORDS})", 1))
+        want = F.concat(F.lit("["), F.coalesce(names[tag], tag), F.lit("_"), F.regexp_extract(hit["surface"], r"(?U)(\d+)", 1), F.lit("]"))
+        found = F.col("r__names")[want]
+        if tokens:
+            plain = F.lower(F.trim(hit["surface"], F.lit("*"))) == F.lower(want)
+            own = F.exists("r__own", lambda t: (t["start"] <= hit["start"]) & (hit["end"] <= t["end"]))
+            found = F.when(plain | ~own, found)
+        return F.coalesce(found, hit["surface"])
 
     whole = F.array_join(F.transform("r__parts", lambda z: F.concat(z["gap"], F.when(z["hit"].isNotNull(), original(z["hit"])).otherwise(F.lit("")))), "")
-    return df.withColumn(out, whole).drop("r__parts")
+    return df.withColumn(out, whole).drop("r__text", "r__parts", "r__names", "r__own", *patterns)
+
+
+def escape_literals(df: DataFrame, text: str = "text", out: str = "escaped", literals: str = "literals", first: Column | None = None) -> DataFrame:
+    """Text shaped like a placeholder becomes a private-use marker; adds the literals, in order; ``first``: the number of the first."""
+    df = df.withColumn("e__text", F.coalesce(text, F.lit("")))
+    df = df.withColumn(literals, held(F.regexp_extract_all("e__text", F.lit(LITERAL), F.lit(0))))
+    df = df.withColumns({"e__gaps": held(F.split("e__text", LITERAL, -1)), "e__first": F.lit(0).cast("bigint") if first is None else first})
+    marked = F.transform("e__gaps", lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.lit(OPEN), (F.col("e__first") + i - 1).cast("string"), F.lit(CLOSE), g)))
+    return df.withColumn(out, F.array_join(marked, "")).drop("e__gaps", "e__text", "e__first")
+
 
+def unescape(df: DataFrame, text: str = "escaped", out: str = "text", literals: str = "literals") -> DataFrame:
+    """Literals in the place of their markers, in one pass; unknown markers stay."""
+    marker = f"{OPEN}(\\d+){CLOSE}"
+    df = df.withColumn("u__hits", held(F.regexp_extract_all(text, F.lit(marker), F.lit(1)))).withColumn("u__gaps", held(F.split(F.col(text), marker, -1)))
+    known = lambda i: F.coalesce(F.get(literals, F.get("u__hits", i - 1).cast("int")), F.concat(F.lit(OPEN), F.get("u__hits", i - 1), F.lit(CLOSE)))
+    joined = F.array_join(F.transform("u__gaps", lambda g, i: F.when(i == 0, g).otherwise(F.concat(known(i), g))), "")
+    return df.withColumn(out, joined).drop("u__hits", "u__gaps")
 
-def escape_literals(df: DataFrame, text: str = "text", out: str = "escaped") -> DataFrame:
-    """Text shaped like a placeholder becomes a private-use marker; adds ``literals``, in order."""
-    df = df.withColumn("literals", held(F.regexp_extract_all(text, F.lit(LITERAL), F.lit(0))))
-    df = df.withColumn("e__gaps", held(F.split(F.col(text), LITERAL, -1)))
-    marked = F.transform("e__gaps", lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.lit(OPEN), (i - 1).cast("string"), F.lit(CLOSE), g)))
-    return df.withColumn(out, F.array_join(marked, "")).drop("e__gaps")
 
+# -- whole requests
 
-def unescape(df: DataFrame, text: str = "escaped", out: str = "text") -> DataFrame:
-    put = lambda t, x: F.replace(t, F.concat(F.lit(OPEN), x["i"].cast("string"), F.lit(CLOSE)), x["s"])
-    pairs = F.transform("literals", lambda s, i: F.struct(i.alias("i"), s.alias("s")))
-    return df.withColumn(out, F.aggregate(pairs, F.col(text), put))
+
+def words_of(text: Column) -> Column:
+    """Lower-case words, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\S+"), F.lit(0)))
+
+
+def anonymize(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = True) -> DataFrame:
+    """Every row is a request: adds ``masked`` and what ``deanonymize`` needs: ``mapping``, ``literals``, ``tokens``."""
+    df = escape_literals(df.withColumn("tokens", words_of(F.col(text))), text, "a__text")
+    found = detect(df, "a__text", rules, names)
+    return mask_each(found, text="a__text").drop("a__text", "entities")
+
+
+def deanonymize(df: DataFrame, text: str = "masked", out: str = "restored") -> DataFrame:
+    """Originals for placeholders, then literals for markers."""
+    return unescape(restore(df, text, "mapping", "d__text", "tokens"), "d__text", out).drop("d__text")
+
+
+def anonymize_requests(df: DataFrame, request: str, seq: str, text: str = "text", rules: list[Rule] = RULES, names: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Requests of several texts: the rows with ``masked``, and for each request ``mapping``, ``literals``, ``tokens``.
+
+    Placeholders, markers and words go on over a request's texts in the order of ``seq``.
+    A request's spans meet in one task; its texts don't.
+    """
+    counted = df.withColumn("q__n", F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LITERAL), F.lit(0))))
+    before = F.coalesce(F.sum("q__n").over(Window.partitionBy(request).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    rows = escape_literals(counted.withColumn("q__first", before), text, "q__text", "q__literals", F.col("q__first"))
+    found = detect(rows, "q__text", rules, names)
+    spans = found.select(request, seq, F.explode("entities").alias("s")).select(request, seq, F.col("s.start").alias("span_start"), F.col("s.label").alias("label"), F.col("s.surface").alias("surface"))
+    table = numbered(spans, request, seq)
+    masked = mask(found, table, request, "q__text").drop("q__n", "q__first", "q__text", "entities")
+    named = table.groupBy(request).agg(F.array_sort(F.collect_list(F.struct("surface", "tag", "n", "placeholder"))).alias("mapping"))
+    texts = found.groupBy(request).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("q__first").alias("first"), F.col("q__literals").alias("x")))), lambda s: s["x"])).alias("literals"),
+        F.array_distinct(F.flatten(F.collect_list(words_of(F.col(text))))).alias("tokens"),
+    )
+    none = F.array().cast("array<struct<surface:string,tag:string,n:int,placeholder:string>>")
+    keys = texts.join(named, request, "left").withColumn("mapping", F.coalesce("mapping", none))
+    return masked.drop("q__literals"), keys
+
+
+def translated(text: Column) -> Column:
+    """Tags with another name under that name; the sign keeps one that was put in from being read again."""
+    for other, tag in OTHER_TAGS.items():
+        if other != "OTHER":
+            text = F.replace(text, F.lit(f"[{tag}_"), F.lit(f"[={other}_"))
+    return text
 
 
 #: Nine ways in which a model's answer may bend a placeholder; the flag says whether restoration undoes it.
@@ -111,8 +177,8 @@ PERTURBATIONS = {
     "bold": (lambda c: F.regexp_replace(c, r"(\[[A-Z]+_\d+\])", "**$1**"), True),
     "lost_brackets": (lambda c: F.regexp_replace(c, r"\[([A-Z]+_\d+)\]", "$1"), False),
     "single_bracket": (lambda c: F.regexp_replace(c, r"\[([A-Z]+_\d+)\]", "[$1"), False),
-    "inner_space": (lambda c: F.regexp_replace(c, r"\[([A-Z]+)_(\d+)\]", "[ $1_$2 ]"), True),
-    "translated": (lambda c: F.replace(F.replace(F.replace(c, F.lit("[CORREO_"), F.lit("[EMAIL_")), F.lit("[FECHA_"), F.lit("[DATE_")), F.lit("[TELEFONO_"), F.lit("[PHONE_")), True),
+    "inner_space": (lambda c: F.regexp_replace(c, r"\[([A-Z]+)_(\d+)\]", "[$1 _ $2]"), True),
+    "translated": (lambda c: F.regexp_replace(translated(c), r"\[=([A-Z]+)_", "[$1_"), True),
     "plural": (lambda c: F.regexp_replace(c, r"(\[[A-Z]+_\d+\])", "$1s"), True),
     "genitive": (lambda c: F.regexp_replace(c, r"(\[[A-Z]+_\d+\])", "$1's"), True),
     "newline": (lambda c: F.regexp_replace(c, r"\[([A-Z]+)_(\d+)\]", "[$1_\n$2]"), True),

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.operators.rules import CHECK_LETTERS
+from veilspark.operators.lexicon import CHECK_LETTERS
 
 
 def text(x: str, width: int = 0) -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from veilspark.operators.metrics import POISSON
-from veilspark.operators.rules import CHECK_LETTERS, TAGS
+from veilspark.operators.lexicon import CHECK_LETTERS, TAGS
 
 from . import notes as N
 
@@ -64,7 +64,7 @@ def sql() -> dict[str, str]:
         width = 8 if name == "dni" else 7
         value = number if name == "dni" else f"(c_custkey % 3) * 10000000 + {number}"
         out[f"{name}_check"] = f"SELECT c_custkey, {head}lpad(CAST({number} AS VARCHAR), {width}, '0') || substr('{CHECK_LETTERS}', CAST(c_custkey % 23 AS INT) + 1, 1) AS {name}, ({value}) % 23 = c_custkey % 23 AS valid FROM customer"
-    out["escape_literals"] = f"SELECT c_custkey, '{chr(0xE000)}0{chr(0xE001)} y {chr(0xE000)}1{chr(0xE001)} fin' AS escaped, CAST(2 AS BIGINT) AS n, true AS same FROM customer"
+    out["escape_literals"] = f"SELECT c_custkey, '{chr(0xE000)}0{chr(0xE001)}y {chr(0xE000)}1{chr(0xE001)} fin' AS escaped, CAST(2 AS BIGINT) AS n, true AS same FROM customer"
     spans = N.spans_sql("(SELECT conv_id * 100000 + turn AS k, text FROM conversations)", "k", "text", r"[A-Z][a-z]{6,}", "'NAME' AS label,")
     out["request_numbering"] = f"WITH s AS (SELECT doc_id // 100000 AS conv_id, doc_id % 100000 AS turn, label, surface, span_start FROM ({spans})), {numbered('s', 'conv_id', 'turn, span_start DESC')} SELECT conv_id, surface, placeholder FROM named"
     out["cidr_membership"] = f"WITH {ARRIVALS} SELECT event_id, ip, {ALLOWED} AS allowed FROM arrivals"
