@@ -1,8 +1,9 @@
-"""Scores of predicted against true spans, as joins and grouped sums.
+"""Scores of predicted against true spans, worked out in each document's row.
 
-``gold`` and ``pred`` have ``doc_id``, ``span_start``, ``span_end``, ``label``; ``words``
-has ``doc_id``, ``word_start``, ``word_end``.  Intervals are joined by document, with the
-overlap as a condition of that join.
+A frame has ``doc_id``, ``text``, ``gold`` and ``pred`` (arrays of spans by start) and,
+where words count, ``words``.  Spans of a document meet in its row, so no span is
+exploded, joined or sorted by document: every figure is an expression of the arrays, then
+one sum over documents, of which tasks pass on a row or a row for each label.
 """
 
 from __future__ import annotations
@@ -12,7 +13,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.spans import held, with_spans
+
+from .detect import overlaps
+
+# Labels of direct identifiers, and of the wide definition of a leak.
 DIRECT = ("NAME", "ID", "PHONE", "EMAIL")
+WIDE = ("EMAIL", "FAMILY", "NAME", "ID", "PHONE", "URL", "PROFESSIONAL")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -26,145 +33,271 @@ def prf(df: DataFrame) -> DataFrame:
     return df.withColumns({"precision": F.round(p, 6), "recall": F.round(r, 6), "f1": F.round(f1, 6)})
 
 
-def words_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Runs without white space, with their places."""
-    from veilspark.functions.spans import with_spans
+def count(array: Column) -> Column:
+    return F.size(array).cast("long")
+
+
+def total(value: Column) -> Column:
+    return F.coalesce(F.sum(value), F.lit(0).cast("long"))
+
 
-    found = with_spans(docs.select("doc_id", F.coalesce(text, F.lit("")).alias("w__t")), "w__t", {"w": r"\S+"})
-    return found.select("doc_id", F.explode("w").alias("w")).select("doc_id", F.col("w.start").alias("word_start"), F.col("w.end").alias("word_end"), F.col("w.surface").alias("word"))
+# -- of one row
 
 
-def covered(words: DataFrame, spans: DataFrame) -> DataFrame:
-    """Words that a span overlaps."""
-    s = spans.select(F.col("doc_id").alias("d"), "span_start", "span_end")
-    return words.join(s, (words.doc_id == s.d) & (F.col("word_start") < F.col("span_end")) & (F.col("span_start") < F.col("word_end")), "left_semi")
+def hits(span: Column, others: Column) -> Column:
+    """Whether one of the others overlaps the span."""
+    return F.exists(others, lambda o: overlaps(span, o))
 
 
-def word_scores(words: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
-    flag = lambda spans, name: covered(words, spans).select("doc_id", "word_start", F.lit(1).alias(name))
-    both = flag(gold, "g").join(flag(pred, "p"), ["doc_id", "word_start"], "full")
-    g, p = F.coalesce("g", F.lit(0)), F.coalesce("p", F.lit(0))
-    return prf(both.agg(F.sum(g * p).alias("tp"), F.sum((1 - g) * p).alias("fp"), F.sum(g * (1 - p)).alias("fn")))
+def lost(gold: str = "gold", pred: str = "pred") -> Column:
+    """True spans that no predicted one overlaps."""
+    return F.filter(gold, lambda g: ~hits(g, F.col(pred)))
 
 
-def per_class(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Strict scores for each label: spans and labels must be equal."""
-    keys = ["doc_id", "label", "span_start", "span_end"]
-    g = gold.groupBy(*keys).agg(F.count("*").alias("g"))
-    p = pred.groupBy(*keys).agg(F.count("*").alias("p"))
-    n = g.join(p, keys, "full").withColumns({"g": F.coalesce("g", F.lit(0)), "p": F.coalesce("p", F.lit(0))})
-    sums = n.groupBy("label").agg(F.sum(F.least("g", "p")).alias("tp"), F.sum(F.col("p") - F.least("g", "p")).alias("fp"), F.sum(F.col("g") - F.least("g", "p")).alias("fn"), F.sum("g").alias("support"))
-    return prf(sums)
+def equal(a: Column, b: Column) -> Column:
+    return (a["start"] == b["start"]) & (a["end"] == b["end"])
 
 
-def greedy_matches(gold: DataFrame, pred: DataFrame, exact: bool = False) -> DataFrame:
-    """Per document: each true span in order takes the first free predicted one that overlaps (or equals) it."""
-    pack = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias(name))
-    empty = F.array().cast("array<struct<span_start:bigint,span_end:bigint>>")
-    both = pack(gold, "g").join(pack(pred, "p"), "doc_id", "full").select("doc_id", F.coalesce("g", empty).alias("g"), F.coalesce("p", empty).alias("p"))
-    ok = (lambda a, b: (a["span_start"] == b["span_start"]) & (a["span_end"] == b["span_end"])) if exact else (lambda a, b: (a["span_start"] < b["span_end"]) & (b["span_start"] < a["span_end"]))
-    start = F.struct(F.col("p").alias("free"), F.lit(0).alias("tp"))
+def with_words(df: DataFrame) -> DataFrame:
+    """Add ``words``: runs without white space, and whether true and predicted spans overlap them."""
+    found = with_spans(df.withColumn("w__text", F.coalesce("text", F.lit(""))), "w__text", {"w__words": r"(?U)\S+"})
+    flags = F.transform("w__words", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["surface"].alias("surface"), hits(w, F.col("gold")).alias("g"), hits(w, F.col("pred")).alias("p")))
+    return found.withColumn("words", held(flags)).drop("w__text", "w__words")
+
+
+def greedy(exact: bool) -> Column:
+    """True spans in order, each taking the first free predicted one that overlaps (or equals) it: how many find one."""
+    ok = equal if exact else overlaps
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).cast("long").alias("tp"))
 
     def step(s: Column, g: Column) -> Column:
-        hit = F.filter(s["free"], lambda p: ok(g, p))
-        first = F.try_element_at(hit, F.lit(1))
-        at = F.array_position(s["free"], first)
-        rest = F.concat(F.slice(s["free"], F.lit(1), (at - 1).cast("int")), F.slice(s["free"], (at + 1).cast("int"), F.size(s["free"])))
-        return F.when(F.size(hit) > 0, F.struct(rest.alias("free"), (s["tp"] + 1).alias("tp"))).otherwise(s)
+        free = F.filter(F.transform("pred", lambda p, i: F.when(ok(g, p) & ~F.array_contains(s["used"], i), i)), lambda i: i.isNotNull())
+        first = F.try_element_at(free, F.lit(1))
+        return F.when(first.isNull(), s).otherwise(F.struct(F.array_append(s["used"], first).alias("used"), (s["tp"] + 1).alias("tp")))
+
+    return F.aggregate("gold", start, step, lambda s: s["tp"])
+
+
+def removed(span: Column, pred: str = "pred") -> Column:
+    """Characters of the span that predicted ones (which don't overlap each other) take out."""
+    part = lambda n, p: n + F.greatest(F.lit(0).cast("long"), F.least(span["end"], p["end"]) - F.greatest(span["start"], p["start"]))
+    return F.aggregate(pred, F.lit(0).cast("long"), part)
 
-    return both.select("doc_id", F.aggregate("g", start, step, lambda s: s["tp"]).cast("long").alias("tp"), F.size("g").cast("long").alias("n_gold"), F.size("p").cast("long").alias("n_pred"))
 
+def residue(span: Column, pred: str = "pred", text: str = "text") -> Column:
+    """The span's text that no predicted span takes out."""
+    inner = F.filter(pred, lambda p: overlaps(p, span))
+    cut = lambda a, b: F.when(b > a, F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
+    ends = F.concat(F.array(span["start"]), F.transform(inner, lambda p: p["end"]))
+    starts = F.concat(F.transform(inner, lambda p: p["start"]), F.array(span["end"]))
+    return F.array_join(F.zip_with(ends, starts, cut), "")
 
-def span_scores(gold: DataFrame, pred: DataFrame, exact: bool) -> DataFrame:
-    m = greedy_matches(gold, pred, exact)
-    return prf(m.agg(F.sum("tp").alias("tp"), F.sum(F.col("n_pred") - F.col("tp")).alias("fp"), F.sum(F.col("n_gold") - F.col("tp")).alias("fn")))
 
+# -- over all documents
 
-def uncovered(gold: DataFrame, pred: DataFrame, how: str = "left_anti") -> DataFrame:
-    """True spans that no predicted one overlaps (``left_semi``: that one does)."""
-    p = pred.select(F.col("doc_id").alias("d"), F.col("span_start").alias("ps"), F.col("span_end").alias("pe"))
-    return gold.join(p, (gold.doc_id == p.d) & (F.col("span_start") < F.col("pe")) & (F.col("ps") < F.col("span_end")), how)
 
+def word_scores(df: DataFrame) -> DataFrame:
+    n = lambda keep: count(F.filter("words", keep))
+    each = with_words(df).select(n(lambda w: w["g"] & w["p"]).alias("tp"), n(lambda w: ~w["g"] & w["p"]).alias("fp"), n(lambda w: w["g"] & ~w["p"]).alias("fn"))
+    return prf(each.agg(*[total(F.col(c)).alias(c) for c in ("tp", "fp", "fn")]))
 
-def leakage(docs: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Documents with an uncovered span: of a direct class, of any."""
-    lost = uncovered(gold, pred).groupBy("doc_id").agg(F.max(F.col("label").isin(*DIRECT).cast("int")).alias("direct"), F.lit(1).alias("any"))
-    each = docs.select("doc_id").join(lost, "doc_id", "left")
-    return each.agg(F.count("*").alias("docs"), F.sum(F.coalesce("direct", F.lit(0))).alias("direct"), F.sum(F.coalesce("any", F.lit(0))).alias("any"))
 
+def per_class(df: DataFrame) -> DataFrame:
+    """Strict scores for each label: spans and labels must be equal, each predicted span counts for one true one."""
+    same = lambda a, b: equal(a, b) & (a["label"] == b["label"])
+    one = lambda s, g, p, tp: F.struct(s["label"].alias("label"), F.lit(g).alias("g"), F.lit(p).alias("p"), tp.cast("long").alias("tp"))
+    nth = lambda s, i: F.size(F.filter(F.slice("gold", F.lit(1), i + 1), lambda o: same(o, s)))
+    gold = F.transform("gold", lambda s, i: one(s, 1, 0, nth(s, i) <= F.size(F.filter("pred", lambda o: same(o, s)))))
+    rows = df.select(F.explode(F.concat(gold, F.transform("pred", lambda s: one(s, 0, 1, F.lit(0))))).alias("x"))
+    sums = rows.groupBy("x.label").agg(F.sum("x.tp").alias("tp"), F.sum("x.p").alias("p"), F.sum("x.g").alias("support"))
+    return prf(sums.select("label", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"), "support"))
 
-def leak_attribution(docs: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Documents by what leaks: none, one class alone, several."""
-    lost = uncovered(gold, pred).groupBy("doc_id").agg(F.count_distinct("label").alias("n"), F.min("label").alias("one"))
-    each = docs.select("doc_id").join(lost, "doc_id", "left")
-    kind = F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, F.concat(F.lit("solo_"), "one")).otherwise("multiple")
-    return each.groupBy(kind.alias("bucket")).agg(F.count("*").alias("docs"))
 
+def span_scores(df: DataFrame, exact: bool) -> DataFrame:
+    m = df.select(greedy(exact).alias("tp"), count(F.col("gold")).alias("g"), count(F.col("pred")).alias("p"))
+    return prf(m.agg(total(F.col("tp")).alias("tp"), total(F.col("p") - F.col("tp")).alias("fp"), total(F.col("g") - F.col("tp")).alias("fn")))
 
-def neutralised(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    all_, hit = gold.groupBy("label").agg(F.count("*").alias("total")), uncovered(gold, pred, "left_semi").groupBy("label").agg(F.count("*").alias("covered"))
-    return all_.join(hit, "label", "left").select("label", "total", F.coalesce("covered", F.lit(0)).alias("covered"))
 
+def leaks(labels: tuple[str, ...] | None) -> Column:
+    """1 if a true span (with one of these labels) is lost, else 0."""
+    which = lost() if labels is None else F.filter(lost(), lambda g: g["label"].isin(*labels))
+    return (F.size(which) > 0).cast("long")
 
-def strict_coverage(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """True spans by how many of their characters are removed: full, partial, missed (predicted spans don't overlap each other)."""
-    p = pred.select(F.col("doc_id").alias("d"), F.col("span_start").alias("ps"), F.col("span_end").alias("pe"))
-    j = gold.join(p, (gold.doc_id == p.d) & (F.col("span_start") < F.col("pe")) & (F.col("ps") < F.col("span_end")), "left")
-    n = F.coalesce(F.sum(F.least("span_end", "pe") - F.greatest("span_start", "ps")), F.lit(0))
-    each = j.groupBy("doc_id", "span_start", "span_end", "label").agg(n.alias("removed"))
-    state = F.when(F.col("removed") == 0, "missed").when(F.col("removed") >= F.col("span_end") - F.col("span_start"), "full").otherwise("partial")
-    return each.groupBy(state.alias("state")).agg(F.count("*").alias("spans"))
 
+def leakage(df: DataFrame) -> DataFrame:
+    """Documents, and those with a lost span: of a direct class, of the wide definition, of any."""
+    kinds = {"direct": DIRECT, "wide": WIDE, "any": None}
+    each = df.select(*[leaks(x).alias(n) for n, x in kinds.items()])
+    return each.agg(F.count("*").alias("docs"), *[total(F.col(n)).alias(n) for n in kinds])
 
-def over_redaction(words: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
+
+def leak_attribution(df: DataFrame) -> DataFrame:
+    """Documents by what leaks of the wide definition: one class alone, or several; ``several`` comes first, documents without a leak count for the rate only."""
+    classes = F.array_distinct(F.transform(F.filter(lost(), lambda g: g["label"].isin(*WIDE)), lambda g: g["label"]))
+    each = df.select(held(classes).alias("c"))
+    kind = F.when(F.size("c") == 0, None).when(F.size("c") == 1, F.concat(F.lit("solo_"), F.get("c", F.lit(0)))).otherwise("multiple")
+    buckets = each.groupBy(kind.alias("bucket")).agg(F.count("*").alias("docs"))
+    every = buckets.agg(F.sum("docs").alias("every"))
+    return buckets.crossJoin(F.broadcast(every)).where("bucket is not null").select("bucket", "docs", F.round(F.col("docs") / F.col("every"), 6).alias("rate")).orderBy(F.col("bucket") != "multiple", "bucket")
+
+
+def neutralised(df: DataFrame) -> DataFrame:
+    """For each label its true spans, and those that a predicted one overlaps."""
+    rows = df.select(F.explode(F.transform("gold", lambda g: F.struct(g["label"].alias("label"), hits(g, F.col("pred")).cast("long").alias("hit")))).alias("x"))
+    return rows.groupBy("x.label").agg(F.count("*").alias("total"), F.sum("x.hit").alias("covered"))
+
+
+def strict_coverage(df: DataFrame) -> DataFrame:
+    """True spans (all, direct) by how much of them is taken out, and those of which letters or digits stay."""
+    rest = lambda g: F.regexp_replace(residue(g), r"[^\p{L}\p{N}]", "")
+    state = lambda g: F.when(removed(g) == 0, "missed").when(removed(g) >= g["end"] - g["start"], "full").otherwise("partial")
+    rows = df.select(F.explode(F.transform("gold", lambda g: F.struct(g["label"].isin(*DIRECT).alias("direct"), state(g).alias("state"), (F.length(rest(g)) > 0).cast("long").alias("left")))).alias("x"))
+    return rows.groupBy("x.state").agg(F.count("*").alias("spans"), F.sum(F.col("x.direct").cast("long")).alias("direct"), F.sum("x.left").alias("with_residue"), F.sum(F.when(F.col("x.direct"), F.col("x.left")).otherwise(0)).alias("direct_with_residue"))
+
+
+def over_redaction(df: DataFrame) -> DataFrame:
     """Words outside true spans, and those of them that are covered."""
-    g = covered(words, gold).select("doc_id", "word_start")
-    outside = words.join(g, ["doc_id", "word_start"], "left_anti")
-    hit = covered(outside, pred).select("doc_id", "word_start", F.lit(1).alias("hit"))
-    n = outside.join(hit, ["doc_id", "word_start"], "left").agg(F.count("*").alias("outside"), F.sum(F.coalesce("hit", F.lit(0))).alias("covered"))
-    return n.withColumn("rate", F.round(ratio(F.col("covered"), F.col("outside")), 6))
+    n = lambda keep: count(F.filter("words", keep))
+    each = with_words(df).select(n(lambda w: ~w["g"]).alias("outside"), n(lambda w: ~w["g"] & w["p"]).alias("covered"))
+    sums = each.agg(total(F.col("outside")).alias("outside"), total(F.col("covered")).alias("covered"))
+    return sums.withColumn("rate", F.round(ratio(F.col("covered"), F.col("outside")), 6))
+
+
+def source_of(span: Column, model: Column, rule: Column) -> Column:
+    """Which detector covers a place: both, the model, a rule by the label of its first span, or none."""
+    by_rule = F.try_element_at(F.filter(rule, lambda r: overlaps(span, r)), F.lit(1))["label"]
+    by_model = hits(span, model)
+    return F.when(by_model & by_rule.isNotNull(), "model+rule").when(by_model, "model").when(by_rule.isNotNull(), F.concat(F.lit("rule:"), by_rule)).otherwise("unattributed")
+
 
+def over_redaction_sources(df: DataFrame, model: str = "model", rule: str = "rules") -> DataFrame:
+    """Covered words outside true spans by the detector that covers them, most first."""
+    words = F.filter("words", lambda w: ~w["g"] & w["p"])
+    rows = with_words(df).select(F.explode(F.transform(words, lambda w: source_of(w, F.col(model), F.col(rule)))).alias("source"))
+    return rows.groupBy("source").agg(F.count("*").alias("words")).orderBy(F.desc("words"), "source")
 
-def confusion(gold: DataFrame, pred: DataFrame) -> DataFrame:
+
+def plain_text(surface: Column) -> Column:
+    """Blanks as one, lower case, no punctuation at the ends."""
+    return F.trim(F.lower(F.regexp_replace(surface, r"(?U)\s+", " ")), F.lit(" .,;:()[]-/"))
+
+
+def top_false_positives(df: DataFrame, n: int = 20, model: str = "model", rule: str = "rules") -> DataFrame:
+    """The texts that are found most often where no true span is, with their most frequent detector (ties: by name)."""
+    wrong = F.filter("pred", lambda p: ~hits(p, F.col("gold")))
+    rows = df.select(F.explode(F.transform(wrong, lambda p: F.struct(plain_text(p["surface"]).alias("text"), source_of(p, F.col(model), F.col(rule)).alias("source")))).alias("x")).where("x.text <> ''")
+    counts = rows.groupBy("x.text", "x.source").agg(F.count("*").alias("k"))
+    best = counts.groupBy("text").agg(F.sum("k").alias("n"), F.min(F.struct((-F.col("k")).alias("k"), "source"))["source"].alias("source"))
+    return best.orderBy(F.desc("n"), "text").limit(n)
+
+
+def rule_false_words(df: DataFrame, matches: str = "matches") -> DataFrame:
+    """For each rule the words outside true spans that its matches cover, before anything is resolved."""
+    outside = F.filter("words", lambda w: ~w["g"])
+    names = F.array_distinct(F.transform(matches, lambda m: m["rule"]))
+    mine = lambda r: F.filter(matches, lambda m: m["rule"] == r)
+    rows = with_words(df).select(F.explode(F.transform(names, lambda r: F.struct(r.alias("rule"), count(F.filter(outside, lambda w: hits(w, mine(r)))).alias("n")))).alias("x"))
+    return rows.groupBy("x.rule").agg(F.sum("x.n").alias("words"))
+
+
+def confusion(df: DataFrame) -> DataFrame:
     """True label against the label of the first overlapping predicted span, or (FN)."""
-    p = pred.select(F.col("doc_id").alias("d"), F.col("span_start").alias("ps"), F.col("span_end").alias("pe"), F.col("label").alias("pl"))
-    j = gold.join(p, (gold.doc_id == p.d) & (F.col("span_start") < F.col("pe")) & (F.col("ps") < F.col("span_end")), "left")
-    first = j.groupBy("doc_id", "span_start", "span_end", "label").agg(F.min_by("pl", "ps").alias("pl"))
-    return first.groupBy("label", F.coalesce("pl", F.lit("(FN)")).alias("predicted")).agg(F.count("*").alias("n"))
+    first = lambda g: F.coalesce(F.try_element_at(F.filter("pred", lambda p: overlaps(g, p)), F.lit(1))["label"], F.lit("(FN)"))
+    rows = df.select(F.explode(F.transform("gold", lambda g: F.struct(g["label"].alias("label"), first(g).alias("predicted")))).alias("x"))
+    return rows.groupBy("x.label", "x.predicted").agg(F.count("*").alias("n"))
+
+
+# -- entities with several mentions
+
 
+def consistency(df: DataFrame) -> DataFrame:
+    """Entities of which a mention has a placeholder, and those whose mentions share one.
 
-def poisson_weight(key: Column, replicate: Column) -> Column:
-    """How often a document is drawn in a replicate: Poisson of mean 1, from a hash that every engine has alike."""
-    u = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit("-"), replicate.cast("string"))), 1, 8), 16, 10).cast("bigint")
-    out = F.lit(0)
-    for k, bound in enumerate(POISSON):
-        out = F.when(u >= bound, k + 1).otherwise(out)
-    return out
+    ``mentions``: array of (entity, surface) in order; ``names``: surface to placeholder.
+    """
+    named = F.filter(F.transform("mentions", lambda m: F.struct(m["entity"].alias("entity"), F.col("names")[m["surface"]].alias("ph"))), lambda m: m["ph"].isNotNull())
+    rows = df.select(held(named).alias("m")).select("m", F.explode(F.array_distinct(F.transform("m", lambda x: x["entity"]))).alias("entity"))
+    kinds = F.size(F.array_distinct(F.transform(F.filter("m", lambda x: x["entity"] == F.col("entity")), lambda x: x["ph"])))
+    return rows.agg(F.count("*").alias("entities"), F.count_if(kinds == 1).alias("consistent"))
+
+
+def collisions(df: DataFrame) -> DataFrame:
+    """How often a placeholder goes from one entity to another in the order of mentions."""
+    named = F.filter(F.transform("mentions", lambda m: F.struct(m["entity"].alias("entity"), F.col("names")[m["surface"]].alias("ph"))), lambda m: m["ph"].isNotNull())
+    rows = df.select(held(named).alias("m"))
+    before = lambda x, i: F.try_element_at(F.filter(F.slice("m", F.lit(1), i), lambda o: o["ph"] == x["ph"]), F.lit(-1))["entity"]
+    moves = F.transform("m", lambda x, i: F.coalesce(before(x, i) != x["entity"], F.lit(False)))
+    return rows.agg(F.count("*").alias("docs"), total(count(F.filter(moves, lambda x: x))).alias("collisions"))
+
+
+# -- intervals
+
+PRIME = 2147483647
 
 
 def poisson_bounds(most: int = 8) -> list[int]:
-    """Bounds, in 2^32 parts, of 0, 1, 2 ... draws."""
-    share = total = math.exp(-1)
-    bounds = [round(total * 2**32)]
+    """Bounds, in parts of ``PRIME``, of 0, 1, 2 ... draws of mean 1."""
+    share = whole = math.exp(-1)
+    bounds = [round(whole * PRIME)]
     for k in range(1, most):
         share /= k
-        total += share
-        bounds.append(round(total * 2**32))
+        whole += share
+        bounds.append(round(whole * PRIME))
     return bounds
 
 
 POISSON = poisson_bounds()
 
 
-def bootstrap_ratio(per_doc: DataFrame, replicates: int = 100) -> DataFrame:
-    """95 % interval of a sum over a sum, from ``doc_id``, ``num``, ``den``.
+def weighted(per_doc: DataFrame, columns: list[str], replicates: int) -> DataFrame:
+    """``r`` and the weighted sum of each column in that replicate; documents are drawn where they are."""
+    rows = per_doc.select("doc_id", *columns, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<bigint>")).alias("r"))
+    doc = F.pmod(F.col("doc_id"), F.lit(PRIME))
+    rows = rows.withColumn("x", F.pmod(doc * 48271 + F.col("r") * 69621 + 12345, F.lit(PRIME)))
+    for add in (7, 11, 13):  # squares mix the two; a line in both alone would draw documents evenly
+        rows = rows.withColumn("x", F.pmod(F.col("x") * F.col("x") + F.col("r") * add + doc, F.lit(PRIME)))
+    k = F.lit(len(POISSON))
+    for i in range(len(POISSON) - 1, -1, -1):
+        k = F.when(F.col("x") < POISSON[i], i).otherwise(k)
+    rows = rows.withColumn("k", k)
+    return rows.groupBy("r").agg(*[F.sum(F.col("k") * F.col(c)).alias(c) for c in columns])
+
+
+#: Metric: what it is made from, and its value.
+INTERVALS = {
+    "neutralised": (("covered", "total"), lambda c: ratio(c["covered"], c["total"])),
+    "leakage": (("leak", "doc"), lambda c: ratio(c["leak"], c["doc"])),
+    "word_f1": (("tp", "fp", "fn"), lambda c: ratio(2 * c["tp"], 2 * c["tp"] + c["fp"] + c["fn"])),
+}
+
+
+def intervals(per_doc: DataFrame, metrics: dict = INTERVALS, replicates: int = 1000) -> DataFrame:
+    """``metric``, ``point``, ``low``, ``high`` (95 % by percentiles) and whether the point lies between.
 
-    A Poisson bootstrap: each document's weight in a replicate follows from a hash, so
-    sums are taken where the documents are and no document has to be drawn by rank.
+    A Poisson bootstrap: each document's weight in a replicate follows from its identifier
+    and the replicate, so no document is drawn by rank, and tasks pass on one row for each
+    replicate.  It covers a mean, a ratio of sums and an F1 alike.
     """
-    each = per_doc.select("doc_id", "num", "den", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
-    w = poisson_weight(F.col("doc_id"), F.col("r"))
-    values = each.groupBy("r").agg((F.sum(w * F.col("num")) / F.sum(w * F.col("den"))).alias("v"))
+    columns = sorted({c for needs, _ in metrics.values() for c in needs})
+    col = {c: F.col(c) for c in columns}
+    values = F.array(*[F.struct(F.lit(n).alias("metric"), f(col).alias("v")) for n, (_, f) in metrics.items()])
+    point = per_doc.agg(*[total(F.col(c)).alias(c) for c in columns]).select(F.explode(values).alias("x")).select("x.metric", F.col("x.v").alias("point"))
     low, high = int(0.025 * (replicates - 1)), int(0.975 * (replicates - 1))
-    ranked = values.agg(F.array_sort(F.collect_list("v")).alias("vs"), F.count("*").alias("replicates"))
-    return ranked.select("replicates", F.round(F.get("vs", F.lit(low)), 6).alias("low"), F.round(F.get("vs", F.lit(high)), 6).alias("high"))
+    ranked = weighted(per_doc, columns, replicates).select(F.explode(values).alias("x")).groupBy("x.metric").agg(F.array_sort(F.collect_list("x.v")).alias("vs"))
+    both = point.join(ranked, "metric").select("metric", F.round("point", 6).alias("point"), F.round(F.get("vs", F.lit(low)), 6).alias("low"), F.round(F.get("vs", F.lit(high)), 6).alias("high"))
+    return both.withColumn("inside", F.col("point").between(F.col("low") - 1e-6, F.col("high") + 1e-6))
+
+
+def per_document(df: DataFrame) -> DataFrame:
+    """What ``INTERVALS`` are made from."""
+    n = lambda keep: count(F.filter("words", keep))
+    return with_words(df).select(
+        "doc_id",
+        count(F.filter("gold", lambda g: hits(g, F.col("pred")))).alias("covered"),
+        count(F.col("gold")).alias("total"),
+        leaks(DIRECT).alias("leak"),
+        F.lit(1).cast("long").alias("doc"),
+        n(lambda w: w["g"] & w["p"]).alias("tp"),
+        n(lambda w: ~w["g"] & w["p"]).alias("fp"),
+        n(lambda w: w["g"] & ~w["p"]).alias("fn"),
+    )

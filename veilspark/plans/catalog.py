@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.spans import with_spans
+from veilspark.functions.spans import held, with_spans
 from veilspark.operators import admission, detect, mask, metrics, rules
 
 from . import cases
@@ -74,24 +74,26 @@ def nie_check(spark: SparkSession, sf: str) -> DataFrame:
 # -- notes
 
 
-def _notes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = N.notes(spark, sf)
-    gold = detect.exploded(docs, spans="gold").drop("surface", "rule")
-    pred = detect.exploded(detect.detect(docs)).select("doc_id", "span_start", "span_end", "label", "surface")
-    return docs, gold, pred
+def _notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes with ``gold`` and ``pred``, both in the row; rules are the only detector here."""
+    found = detect.detect(N.notes(spark, sf)).withColumnRenamed("entities", "pred")
+    return found.withColumns({"model": F.array().cast(detect.ENTITY), "rules": F.col("pred")})
+
+
+def _spans(df: DataFrame, spans: str) -> DataFrame:
+    return detect.exploded(df, spans=spans).drop("rule")
 
 
 def gold_spans(spark, sf):
-    return _notes(spark, sf)[1]
+    return _spans(N.notes(spark, sf), "gold").drop("surface")
 
 
 def resolved_spans(spark, sf):
-    return _notes(spark, sf)[2]
+    return _spans(_notes(spark, sf), "pred")
 
 
 def placeholder_numbering(spark, sf):
-    _, _, pred = _notes(spark, sf)
-    return mask.numbered(pred, "doc_id").select("doc_id", "surface", "label", "placeholder")
+    return mask.numbered(resolved_spans(spark, sf), "doc_id").select("doc_id", "surface", "label", "placeholder")
 
 
 def mask_text(spark, sf):
@@ -119,69 +121,89 @@ def escape_literals(spark, sf):
 
 
 def word_prf(spark, sf):
-    docs, gold, pred = _notes(spark, sf)
-    return metrics.word_scores(metrics.words_of(docs), gold, pred)
+    return metrics.word_scores(_notes(spark, sf))
 
 
 def per_class_prf(spark, sf):
-    _, gold, pred = _notes(spark, sf)
-    return metrics.per_class(gold, pred)
+    return metrics.per_class(_notes(spark, sf))
 
 
 def span_strict(spark, sf):
-    _, gold, pred = _notes(spark, sf)
-    return metrics.span_scores(gold, pred, exact=True)
+    return metrics.span_scores(_notes(spark, sf), exact=True)
 
 
 def span_relaxed(spark, sf):
-    _, gold, pred = _notes(spark, sf)
-    return metrics.span_scores(gold, pred, exact=False)
+    return metrics.span_scores(_notes(spark, sf), exact=False)
 
 
 def leakage(spark, sf):
-    return metrics.leakage(*_notes(spark, sf))
+    return metrics.leakage(_notes(spark, sf))
 
 
 def leak_attribution(spark, sf):
-    return metrics.leak_attribution(*_notes(spark, sf))
+    return metrics.leak_attribution(_notes(spark, sf))
 
 
 def neutralised(spark, sf):
-    return metrics.neutralised(*_notes(spark, sf)[1:])
+    return metrics.neutralised(_notes(spark, sf))
 
 
 def strict_coverage(spark, sf):
-    return metrics.strict_coverage(*_notes(spark, sf)[1:])
+    return metrics.strict_coverage(_notes(spark, sf))
 
 
 def confusion_matrix(spark, sf):
-    return metrics.confusion(*_notes(spark, sf)[1:])
+    return metrics.confusion(_notes(spark, sf))
 
 
 def over_redaction(spark, sf):
-    docs, gold, pred = _notes(spark, sf)
-    return metrics.over_redaction(metrics.words_of(docs), gold, pred)
+    return metrics.over_redaction(_notes(spark, sf))
+
+
+def over_redaction_sources(spark, sf):
+    return metrics.over_redaction_sources(_notes(spark, sf))
+
+
+def rule_false_words(spark, sf):
+    """Raw matches of every rule on words outside true spans."""
+    notes = detect.matches(N.notes(spark, sf), "text", rules.RULES)
+    return metrics.rule_false_words(notes.withColumn("pred", F.array().cast(detect.ENTITY))).where("words > 0")
 
 
 def top_false_positives(spark, sf):
-    _, gold, pred = _notes(spark, sf)
-    text = F.trim(F.lower(F.regexp_replace("surface", r"\s+", " ")))
-    strict = pred.join(gold, ["doc_id", "span_start", "span_end"], "left_anti")
-    return strict.groupBy(text.alias("text"), "label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "text", "label").limit(20)
+    return metrics.top_false_positives(_notes(spark, sf))
 
 
-def bootstrap_neutralised(spark, sf):
-    _, gold, pred = _notes(spark, sf)
-    hit = metrics.uncovered(gold, pred, "left_semi").groupBy("doc_id").agg(F.count("*").alias("num"))
-    per_doc = gold.groupBy("doc_id").agg(F.count("*").alias("den")).join(hit, "doc_id", "left").select("doc_id", F.coalesce("num", F.lit(0)).alias("num"), "den")
-    return metrics.bootstrap_ratio(per_doc)
+def interval_gate(spark, sf):
+    """Point and 95 % interval of a ratio, a mean and an F1 over 1,000 replicates, and whether the point lies inside."""
+    return metrics.intervals(metrics.per_document(_notes(spark, sf)))
+
+
+def class_winners(spark, sf):
+    """Labels at which a detector of few rules (emails, dates, phones) has a better F1 than the whole table without them."""
+    few = [r for r in rules.RULES if r.name in ("email", "date", "phone")]
+    rest = [r for r in rules.RULES if r not in few]
+    score = lambda chosen, name: metrics.per_class(detect.detect(N.notes(spark, sf), rules=chosen).withColumnRenamed("entities", "pred")).select("label", F.col("f1").alias(name), F.col("support").alias(f"support_{name}"))
+    both = score(few, "few").join(score(rest, "rest"), "label")
+    return both.where("support_few > 0 and few > rest").select("label", "few", "rest")
+
+
+def _mentions(spark, sf):
+    """Notes with placeholders of their surfaces, and mentions of true spans in order."""
+    done = mask.mask_each(_notes(spark, sf).withColumnRenamed("pred", "entities"))
+    return done.withColumn("names", held(F.map_from_entries(F.transform("mapping", lambda m: F.struct(m["surface"], m["placeholder"])))))
 
 
 def consistency(spark, sf):
-    _, _, pred = _notes(spark, sf)
-    named = pred.join(mask.numbered(pred, "doc_id").select("doc_id", "surface", "placeholder"), ["doc_id", "surface"])
-    each = named.groupBy("doc_id", "surface").agg(F.count_distinct("placeholder").alias("n"), F.count("*").alias("mentions"))
-    return each.agg(F.count("*").alias("entities"), F.count_if(F.col("n") == 1).alias("consistent"), F.sum("mentions").alias("mentions"))
+    """An entity is all that a note says under one label: two numbers, one email twice."""
+    mentions = F.transform("gold", lambda g: F.struct(g["label"].alias("entity"), g["surface"].alias("surface")))
+    return metrics.consistency(_mentions(spark, sf).withColumn("mentions", mentions))
+
+
+def collisions(spark, sf):
+    """Every mention is an entity of its own: the email that comes twice goes from one to another."""
+    mentions = F.transform("gold", lambda g, i: F.struct(i.alias("entity"), g["surface"].alias("surface")))
+    return metrics.collisions(_mentions(spark, sf).withColumn("mentions", mentions))
 
 
 def request_numbering(spark, sf):
@@ -275,7 +297,7 @@ def sealed_roundtrip(spark, sf):
     return opened.agg(F.count("*").alias("n"), F.count_if(F.col("props") == F.col("same")).alias("opened"), F.count("other").alias("opened_wrongly"))
 
 
-NOTE_QUERIES = [gold_spans, resolved_spans, placeholder_numbering, mask_text, restore_roundtrip, robustness, word_prf, per_class_prf, span_strict, span_relaxed, leakage, leak_attribution, neutralised, strict_coverage, confusion_matrix, over_redaction, top_false_positives, bootstrap_neutralised, consistency]
+NOTE_QUERIES = [over_redaction_sources, rule_false_words, interval_gate, class_winners, collisions, gold_spans, resolved_spans, placeholder_numbering, mask_text, restore_roundtrip, robustness, word_prf, per_class_prf, span_strict, span_relaxed, leakage, leak_attribution, neutralised, strict_coverage, confusion_matrix, over_redaction, top_false_positives, consistency]
 OTHER_QUERIES = [pii_by_lang_source, masked_documents, dni_check, nie_check, escape_literals, request_numbering, cidr_membership, rate_limit, replay_check, freshness, admission_cascade, json_allowlist, latency_percentiles, unmapped_labels, best_config, audit_records, sealed_roundtrip]
 EXTRACTS = {
     "extract_email": ("documents", "doc_id", "text", EMAIL),

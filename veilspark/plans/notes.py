@@ -43,6 +43,8 @@ SEGMENTS = [
     (f"{text('o_orderkey', 7)}", "ID"),
     ("', correo alterno '", None),
     (f"'user' || {text('o_custkey')} || '@mail.example.com'", "EMAIL"),
+    ("', control '", None),
+    (f"{text('100000 + o_orderkey % 7')}", None),
     ("'.'", None),
 ]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilspark.operators.metrics import POISSON
+from veilspark.operators.metrics import DIRECT, POISSON, PRIME, WIDE
 from veilspark.operators.lexicon import CHECK_LETTERS, TAGS
 
 from . import notes as N
@@ -44,20 +44,36 @@ def sql() -> dict[str, str]:
         "span_strict": f"{c}, n AS (SELECT (SELECT count(*) FROM gold JOIN pred USING (doc_id, span_start, span_end)) AS tp, (SELECT count(*) FROM pred) AS np, (SELECT count(*) FROM gold) AS ng), m AS (SELECT tp, np - tp AS fp, ng - tp AS fn FROM n) SELECT *, {PRF} FROM m",
         # on notes no predicted span overlaps two true ones, nor the other way round
         "span_relaxed": f"{c}, n AS (SELECT (SELECT count(*) FROM gold a WHERE EXISTS (SELECT 1 FROM pred b WHERE {OVER})) AS tp, (SELECT count(*) FROM pred) AS np, (SELECT count(*) FROM gold) AS ng), m AS (SELECT tp, np - tp AS fp, ng - tp AS fn FROM n) SELECT *, {PRF} FROM m",
-        "leakage": f"{c}, {LOST}, each AS (SELECT doc_id, max(CASE WHEN label IN ('NAME', 'ID', 'PHONE', 'EMAIL') THEN 1 ELSE 0 END) AS direct FROM lost GROUP BY 1) SELECT (SELECT count(*) FROM notes) AS docs, CAST((SELECT coalesce(sum(direct), 0) FROM each) AS BIGINT) AS direct, (SELECT count(*) FROM each) AS \"any\"",
-        "leak_attribution": f"{c}, {LOST}, each AS (SELECT doc_id, CASE WHEN count(DISTINCT label) = 1 THEN 'solo_' || min(label) ELSE 'multiple' END AS bucket FROM lost GROUP BY 1) SELECT coalesce(bucket, 'none') AS bucket, count(*) AS docs FROM notes LEFT JOIN each USING (doc_id) GROUP BY 1",
+        "leakage": f"{c}, {LOST}, each AS (SELECT doc_id, max(CASE WHEN label IN {DIRECT} THEN 1 ELSE 0 END) AS direct, max(CASE WHEN label IN {WIDE} THEN 1 ELSE 0 END) AS wide FROM lost GROUP BY 1) SELECT (SELECT count(*) FROM notes) AS docs, CAST((SELECT coalesce(sum(direct), 0) FROM each) AS BIGINT) AS direct, CAST((SELECT coalesce(sum(wide), 0) FROM each) AS BIGINT) AS wide, (SELECT count(*) FROM each) AS \"any\"",
+        "leak_attribution": f"{c}, {LOST}, each AS (SELECT doc_id, CASE WHEN count(DISTINCT label) = 1 THEN 'solo_' || min(label) ELSE 'multiple' END AS bucket FROM lost WHERE label IN {WIDE} GROUP BY 1) SELECT bucket, count(*) AS docs, round(count(*) / (SELECT count(*) FROM notes), 6) AS rate FROM each GROUP BY 1",
         "neutralised": f"{c} SELECT label, count(*) AS total, CAST(count_if(EXISTS (SELECT 1 FROM pred b WHERE {OVER})) AS BIGINT) AS covered FROM gold a GROUP BY label",
-        "strict_coverage": f"{c}, n AS (SELECT a.doc_id, a.span_start, a.span_end, coalesce(sum(least(a.span_end, b.span_end) - greatest(a.span_start, b.span_start)), 0) AS removed FROM gold a LEFT JOIN pred b ON {OVER} GROUP BY ALL) SELECT CASE WHEN removed = 0 THEN 'missed' WHEN removed >= span_end - span_start THEN 'full' ELSE 'partial' END AS state, count(*) AS spans FROM n GROUP BY 1",
+        "strict_coverage": f"""{c}, chars AS (SELECT g.doc_id, g.span_start, g.span_end, g.label, i, substr(n.text, CAST(i + 1 AS BIGINT), 1) AS ch FROM (SELECT *, unnest(range(span_start, span_end)) AS i FROM gold) g JOIN notes n USING (doc_id)),
+            n AS (SELECT a.doc_id, a.span_start, a.span_end, label, count(*) AS size, count_if(cut) AS cut, max(CASE WHEN NOT cut AND regexp_matches(ch, '[\\p{{L}}\\p{{N}}]') THEN 1 ELSE 0 END) AS stays FROM (SELECT c.*, EXISTS (SELECT 1 FROM pred b WHERE c.doc_id = b.doc_id AND c.i >= b.span_start AND c.i < b.span_end) AS cut FROM chars c) a GROUP BY ALL)
+            SELECT CASE WHEN cut = 0 THEN 'missed' WHEN cut = size THEN 'full' ELSE 'partial' END AS state, count(*) AS spans, count_if(label IN {DIRECT}) AS direct, CAST(sum(stays) AS BIGINT) AS with_residue, CAST(sum(CASE WHEN label IN {DIRECT} THEN stays ELSE 0 END) AS BIGINT) AS direct_with_residue FROM n GROUP BY 1""",
         "confusion_matrix": f"{c}, f AS (SELECT a.doc_id, a.span_start, a.span_end, a.label, arg_min(b.label, b.span_start) AS pl FROM gold a LEFT JOIN pred b ON {OVER} GROUP BY ALL) SELECT label, coalesce(pl, '(FN)') AS predicted, count(*) AS n FROM f GROUP BY ALL",
         "over_redaction": f"{c}, {words}, n AS (SELECT count(*) AS outside, CAST(count_if(p) AS BIGINT) AS covered FROM flags WHERE NOT g) SELECT *, round(CASE WHEN outside > 0 THEN covered / outside ELSE 0.0 END, 6) AS rate FROM n",
-        "top_false_positives": f"{c} SELECT trim(lower(regexp_replace(surface, '\\s+', ' ', 'g'))) AS text, label, count(*) AS n FROM pred ANTI JOIN gold USING (doc_id, span_start, span_end) GROUP BY 1, 2 ORDER BY n DESC, text, label LIMIT 20",
-        "consistency": f"{c}, {num}, e AS (SELECT p.doc_id, p.surface, count(DISTINCT n.placeholder) AS k, count(*) AS m FROM pred p JOIN named n USING (doc_id, surface) GROUP BY 1, 2) SELECT count(*) AS entities, CAST(count_if(k = 1) AS BIGINT) AS consistent, CAST(sum(m) AS BIGINT) AS mentions FROM e",
+        "top_false_positives": f"{c} SELECT trim(lower(regexp_replace(surface, '\\s+', ' ', 'g')), ' .,;:()[]-/') AS text, count(*) AS n, 'rule:' || min(label) AS source FROM pred a WHERE NOT EXISTS (SELECT 1 FROM gold b WHERE {OVER}) GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20",
+        "over_redaction_sources": f"{c}, {words} SELECT 'rule:' || (SELECT arg_min(b.label, b.span_start) FROM pred b WHERE f.doc_id = b.doc_id AND f.word_start < b.span_end AND b.span_start < w.word_end) AS source, count(*) AS words FROM flags f JOIN words w USING (doc_id, word_start) WHERE f.p AND NOT f.g GROUP BY 1",
+        # numbers that are no true span, and the digits of what looks like a number in a name
+        "rule_false_words": f"{c}, {words} SELECT CASE label WHEN 'ID' THEN 'plain' ELSE lower(label) END AS rule, count(DISTINCT (f.doc_id, f.word_start)) AS words FROM flags f JOIN words w USING (doc_id, word_start) JOIN cand b ON f.doc_id = b.doc_id AND f.word_start < b.span_end AND b.span_start < w.word_end WHERE NOT f.g GROUP BY 1",
+        "class_winners": f"""{c}, sides AS (SELECT doc_id, label, span_start, span_end, label IN ('EMAIL', 'DATE', 'PHONE') AS few FROM pred), g AS (SELECT label, count(*) AS support FROM gold GROUP BY 1)
+            SELECT label, round(2 * tp / (p + support), 6) AS few, CAST(0.0 AS DOUBLE) AS rest FROM (SELECT label, count(*) AS p, count_if(EXISTS (SELECT 1 FROM gold b WHERE a.doc_id = b.doc_id AND a.label = b.label AND a.span_start = b.span_start AND a.span_end = b.span_end)) AS tp FROM sides a WHERE few GROUP BY 1) JOIN g USING (label) WHERE tp > 0""",
+        "collisions": f"{c} SELECT (SELECT count(*) FROM notes) AS docs, count(*) AS collisions FROM notes",
+        # the numbers of a note are two; all else of one label is one text, or isn't found
+        "consistency": f"{c}, {num}, e AS (SELECT g.doc_id, g.label, count(DISTINCT n.placeholder) AS k FROM gold g JOIN notes t USING (doc_id) JOIN named n ON n.doc_id = g.doc_id AND n.surface = substr(t.text, g.span_start + 1, g.span_end - g.span_start) GROUP BY 1, 2) SELECT count(*) AS entities, count_if(k = 1) AS consistent FROM e",
     }
-    weight = "CASE " + " ".join(f"WHEN u < {b} THEN {k}" for k, b in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
-    out["bootstrap_neutralised"] = f"""{c}, d AS (SELECT a.doc_id, count(*) AS den, count_if(EXISTS (SELECT 1 FROM pred b WHERE {OVER})) AS num FROM gold a GROUP BY 1),
-      w AS (SELECT r, num, den, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '-' || CAST(r AS VARCHAR)), 1, 8) AS BIGINT) AS u FROM d, range(100) t(r)),
-      v AS (SELECT r, sum({weight} * num) / sum({weight} * den) AS v FROM w GROUP BY r), k AS (SELECT v, row_number() OVER (ORDER BY v) AS k FROM v)
-      SELECT count(*) AS replicates, round(max(CASE WHEN k = 3 THEN v END), 6) AS low, round(max(CASE WHEN k = 97 THEN v END), 6) AS high FROM k"""
+    weight = "CASE " + " ".join(f"WHEN x < {b} THEN {k}" for k, b in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
+    mixed = "".join(f", x{k} AS (SELECT * EXCLUDE (x), (x * x + r * {add} + doc_id % {PRIME}) % {PRIME} AS x FROM x{k - 1})" for k, add in enumerate((7, 11, 13), 1))
+    sums = ", ".join(f"sum({weight} * {x}) AS {x}" for x in ("covered", "total", "leak", "tp", "fp", "fn")) + f", sum({weight}) AS doc"
+    values = "unnest([{'metric': 'neutralised', 'v': covered / total}, {'metric': 'leakage', 'v': leak / doc}, {'metric': 'word_f1', 'v': 2 * tp / (2 * tp + fp + fn)}], recursive := true)"
+    out["interval_gate"] = f"""{c}, {words}, {LOST}, a AS (SELECT doc_id, count_if(EXISTS (SELECT 1 FROM pred b WHERE {OVER})) AS covered, count(*) AS total FROM gold a GROUP BY 1),
+      l AS (SELECT DISTINCT doc_id, 1 AS leak FROM lost WHERE label IN {DIRECT}), w AS (SELECT doc_id, count_if(g AND p) AS tp, count_if(p AND NOT g) AS fp, count_if(g AND NOT p) AS fn FROM flags GROUP BY 1),
+      d AS MATERIALIZED (SELECT doc_id, covered, total, coalesce(leak, 0) AS leak, tp, fp, fn FROM a JOIN w USING (doc_id) LEFT JOIN l USING (doc_id)),
+      x0 AS (SELECT *, (doc_id % {PRIME} * 48271 + r * 69621 + 12345) % {PRIME} AS x FROM d, range(1000) t(r)){mixed},
+      s AS (SELECT r, {sums} FROM x3 GROUP BY r), v AS (SELECT {values} FROM s), k AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY v) AS k FROM v),
+      p AS (SELECT {values} FROM (SELECT sum(covered) AS covered, sum(total) AS total, sum(leak) AS leak, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, count(*) AS doc FROM d)),
+      q AS (SELECT metric, round(max(CASE WHEN k = 25 THEN v END), 6) AS low, round(max(CASE WHEN k = 975 THEN v END), 6) AS high FROM k GROUP BY 1)
+      SELECT metric, round(p.v, 6) AS point, low, high, round(p.v, 6) BETWEEN low - 1e-6 AND high + 1e-6 AS inside FROM p JOIN q USING (metric)"""
     kinds = {"EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "IPV4": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "CARD": r"\b\d{16}\b"}
     out["pii_by_lang_source"] = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS label, CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS n FROM documents GROUP BY 1, 2 HAVING sum(len(regexp_extract_all(text, '{p}'))) > 0" for k, p in kinds.items())
     for name, number, head in (("dni", "((c_custkey * 7919 + 13) % 100000000)", ""), ("nie", "(c_custkey * 31)", "substr('XYZ', CAST(c_custkey % 3 AS INT) + 1, 1) || ")):
