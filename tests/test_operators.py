@@ -136,7 +136,7 @@ def test_merge_adjacent(spark):
 def test_admission_columns(spark):
     rows = [("10.1.2.3", True), ("11.0.0.1", False), ("10.1.2.300", False), (None, False)]
     df = spark.createDataFrame(rows, "ip string, want boolean")
-    assert all(r.want == r.got for r in df.withColumn("got", admission.in_networks(admission.ipv4_number(F.col("ip")), ["10.0.0.0/8"])).collect())
+    assert all(r.want == r.got for r in df.withColumn("got", admission.in_networks(F.col("ip"), ["10.0.0.0/8"])).collect())
     paths = spark.createDataFrame([("/api/x", True), ("api", False), ("//a", False), ("/a?b", False), ("/a@b", False)], "p string, want boolean")
     assert all(r.want == r.got for r in paths.withColumn("got", admission.valid_path(F.col("p"))).collect())
 
@@ -152,12 +152,13 @@ def test_rate_limit_and_replays(spark):
 def test_streams_give_what_batches_give(spark, tmp_path):
     from veilspark.streaming.admission import rate_limited, replay_checked
 
-    hits = spark.createDataFrame([(k, float(t), 10 * k + i) for k in (1, 2) for i, t in enumerate([0, 10, 20, 59, 60, 61])], "k long, t double, id long")
+    hits = spark.createDataFrame([(k, 1000.0 + t, 10 * k + i) for k in (1, 2) for i, t in enumerate([0, 10, 20, 59, 60, 61])], "k long, t double, id long")
     hits.coalesce(1).write.parquet(str(tmp_path / "in"))
     for name, stream, batch in (
         ("a", lambda s: rate_limited(s, "k", "t", "id", 2), admission.rate_limit(hits, "k", "t", "id", 2)),
         ("b", lambda s: replay_checked(s, "k", "t", "id", 60), admission.replays(hits, "k", "t", "id", 60)),
     ):
+        batch = batch.select("k", "id", "t", batch.columns[-1])
         source = spark.readStream.schema(hits.schema).parquet(str(tmp_path / "in"))
         q = stream(source).writeStream.format("memory").queryName(f"out_{name}").option("checkpointLocation", str(tmp_path / name)).start()
         q.processAllAvailable()
@@ -222,3 +223,55 @@ def test_masked_documents_leave_no_number_or_address(spark):
     after = {r.doc_id: r.masked for r in catalog.masked_documents(spark, sf).collect()}
     assert sum(map(len, before.values())) > 10
     assert not [x for d, m in after.items() for x in private.findall(m)]
+
+
+def test_networks_of_both_versions(spark):
+    from ipaddress import ip_address, ip_network
+
+    listed = ["10.1.0.0/16", "2001:db8::/33", "fe80::1/128", "no network"]
+    ips = ["10.1.2.3", "10.2.0.0", "2001:db8::1", "2001:DB8:7fff::", "2001:db8:8000::", "fe80::1", "fe80:0:0:0:0:0:0:1", "::", "1::2::3", "1:2:3:4:5:6:7:8:9", "12345::", "x", "", "1:2:3:4:5:6:7::8", "::1:2:3:4:5:6:7:8"]
+
+    def want(ip):
+        try:
+            return any(ip_address(ip) in ip_network(n) for n in listed[:3])
+        except ValueError:
+            return False
+
+    df = spark.createDataFrame([(x,) for x in ips] + [(None,)], "ip string")
+    got = {r.ip: r.x for r in df.withColumn("x", admission.in_networks(F.col("ip"), listed)).collect()}
+    assert got == {x: want(x) for x in ips} | {None: False}
+    assert not any(r.x for r in df.select(admission.in_networks(F.col("ip"), ["nothing valid"]).alias("x")).collect())
+    assert all(r.x for r in df.select(admission.in_networks(F.col("ip"), []).alias("x")).collect())
+
+
+def test_known_answers(spark):
+    # RFC 5869, test case 3
+    okm = "8da4e775a563c18f715f802a063c5a31b8a11f5c5ee1879ec3454e5f3c738d2d9d201395faa4b61a96c8"
+    assert admission.derived_key(b"\x0b" * 22, b"", 42).hex() == okm
+    aad = admission.additional_data(F.lit(2), F.lit(1), F.lit(0x0102030405060708), F.lit(bytes([16] * 16)))
+    assert bytes(spark.range(1).select(aad.alias("x")).first().x) == b"\x02\x01" + (0x0102030405060708).to_bytes(8, "big") + bytes([16] * 16)
+    assert spark.range(1).select(admission.additional_data(F.lit(2), F.lit(1), F.lit(-1).cast("long"), F.lit(b"x")).alias("x")).first().x is None
+
+
+def test_keys_that_cannot_be_followed_are_rejected(spark):
+    hits = spark.createDataFrame([(k, float(t), 10 * k + t) for k in (3, 1, 2) for t in range(3)], "k long, t double, id long").withColumn("t", F.col("t") + F.col("k"))
+    got = {(r.k, r.id): r.admitted for r in admission.rate_limit(hits, "k", "t", "id", limit=2, most_keys=2).collect()}
+    assert {k for (k, _), ok in got.items() if ok} == {1, 2} and sum(got.values()) == 4
+
+
+def test_streams_let_go_of_old_keys_and_take_rows_out_of_order(spark, tmp_path):
+    from veilspark.streaming.admission import rate_limited
+
+    kind = "k long, t double, id long"
+    parts = [[(1, 100.0, 0), (1, 50.0, 1)], [(1, 90.0, 2), (2, 100.0, 3)], [(9, 10_000.0, 4)], [(1, 10_001.0, 5)]]
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = rate_limited(source, "k", "t", "id", 2, delay="60 seconds").writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).start()
+    for part in parts:
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    states = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    got = {r.id: r.admitted for r in spark.table("late").collect()}
+    assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 5: True}
+    assert states == 2

@@ -7,12 +7,16 @@ times.  The rows of one key are one task's.
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW_S = 60
 MAX_SKEW_S = 120
@@ -26,51 +30,117 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ok, sum((p[i].cast("bigint") * 256 ** (3 - i) for i in range(1, 4)), p[0].cast("bigint") * 256**3))
 
 
-def cidr_bounds(cidrs: list[str]) -> list[tuple[int, int]]:
-    """Lowest and highest address of each network; raises on one that isn't."""
-    from ipaddress import IPv4Network
+def ipv6_digits(ip: Column) -> Column:
+    """The address as 32 hexadecimal digits, so that the order of texts is that of addresses; null if it is none."""
+    sides = F.split(F.lower(ip), "::", -1)
+    groups = lambda x: F.filter(F.split(x, ":", -1), lambda g: g != "") if x is not None else None
+    left, right = groups(sides[0]), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
+    gap = F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))
+    every = F.concat(left, F.array_repeat(F.lit("0"), gap), right)
+    shape = F.lower(ip).rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}|(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)$")
+    ok = shape & (F.size(every) == 8) & ((F.size(sides) == 1) | (gap >= 1))
+    return F.when(ok, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
 
-    return [(int(n.network_address), int(n.broadcast_address)) for n in (IPv4Network(c, strict=False) for c in cidrs)]
 
+def networks(listed: list[str]) -> list[tuple[int, int, int]]:
+    """Version, lowest and highest address of each network; what is none is left out."""
+    from ipaddress import ip_network
 
-def in_networks(number: Column, cidrs: list[str]) -> Column:
-    """Whether a network of the configured list has the address; an empty list allows all, a null address none."""
-    out = F.lit(not cidrs)
-    for low, high in cidr_bounds(cidrs):
-        out = out | number.between(low, high)
-    return F.coalesce(out, F.lit(False)) if cidrs else F.lit(True)
+    out = []
+    for item in filter(None, map(str.strip, listed)):
+        try:
+            n = ip_network(item, strict=False)
+        except ValueError:
+            continue
+        out.append((n.version, int(n.network_address), int(n.broadcast_address)))
+    return out
+
+
+def in_networks(ip: Column, listed: list[str]) -> Column:
+    """Whether a network of the configured list has the address.
+
+    An empty list allows all; a list without a single valid network allows none, and so
+    does an address that is none.
+    """
+    if not any(map(str.strip, listed)):
+        return F.lit(True)
+    out, four, six = F.lit(False), ipv4_number(ip), ipv6_digits(ip)
+    for version, low, high in networks(listed):
+        out = out | (four.between(low, high) if version == 4 else six.between(f"{low:032x}", f"{high:032x}"))
+    return F.coalesce(out, F.lit(False))
 
 
 def client_ip(peer: Column, forwarded: Column, real: Column, trusted: list[str]) -> Column:
-    """Behind a trusted proxy the first forwarded address, else the real-ip header, else the peer."""
-    first = F.trim(F.split(forwarded, ",")[0])
-    named = F.coalesce(F.when(ipv4_number(first).isNotNull(), first), F.when(ipv4_number(real).isNotNull(), real), peer)
-    return F.when(in_networks(ipv4_number(peer), trusted) if trusted else F.lit(False), named).otherwise(peer)
+    """Behind a trusted proxy the first forwarded address, else the real-ip header, else the peer; headers are taken as they are."""
+    if not networks(trusted):
+        return peer
+    first = F.when(forwarded != "", F.trim(F.split(forwarded, ",")[0]))
+    return F.when(in_networks(peer, trusted), F.coalesce(first, F.when(real != "", F.trim(real)), peer)).otherwise(peer)
+
+
+# Routes that requests may take, and those for managing models.
+ROUTES = [
+    ("GET", "/api/tags"), ("GET", "/api/version"), ("POST", "/api/show"), ("POST", "/api/chat"), ("POST", "/api/generate"), ("POST", "/api/embed"),
+    ("POST", "/api/embeddings"), ("GET", "/v1/models"), ("POST", "/v1/chat/completions"), ("POST", "/v1/completions"), ("POST", "/v1/embeddings"),
+]
+MANAGEMENT = ["/api/pull", "/api/delete", "/api/create", "/api/copy", "/api/push", "/api/blobs"]
+
+
+def route_allowed(method: Column, path: Column, management: bool = False) -> Column:
+    """Whether method and path are a listed pair; with ``management`` any method on its paths too."""
+    listed = F.concat_ws(" ", F.upper(method), path).isin(*[" ".join(r) for r in ROUTES])
+    return F.coalesce(listed | path.isin(*MANAGEMENT) if management else listed, F.lit(False))
+
+
+def config_matches(config: dict[str, Column], wanted: dict[str, str]) -> Column:
+    """Every field that the server sets must be equal; one it leaves empty isn't checked, a missing one counts as empty."""
+    out = F.lit(True)
+    for field, value in wanted.items():
+        if value:
+            out = out & (F.coalesce(config[field], F.lit("")) == value)
+    return out
 
 
-def in_order(df: DataFrame, key: str, ts: str, ident: str, flag: str, start: Callable, step: Callable) -> DataFrame:
-    """``key``, ``ident``, ``ts`` and ``flag``: each key's rows in order of time through ``step`` (state, time) -> (state, flag)."""
-    rows = df.select(key, F.col(ident).cast("bigint").alias(ident), F.col(ts).cast("double").alias(ts))
+def in_order(df: DataFrame, key: str, ts: str, ident: str, flag: str, start: Callable, step: Callable, when: str | None = None) -> DataFrame:
+    """``df`` with ``flag``: each key's rows in order of time through ``step`` (state, time) -> (state, flag).
+
+    Rows for which ``when`` isn't true neither change the state nor get a flag.
+    """
+    columns = [c for c in df.columns if c.lower() != flag.lower()]
+    rows = df.select(*columns)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = {c: columns.index(c) for c in (key, ts, *([when] if when else []))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = object(), None
         for batch in batches:
+            counts = batch.column(place[when]).to_pylist() if when else [True] * batch.num_rows
             flags = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for k, t, use in zip(batch.column(place[key]).to_pylist(), batch.column(place[ts]).to_pylist(), counts):
+                if not use:
+                    flags.append(None)
+                    continue
                 if k != at:
                     at, state = k, start()
                 state, value = step(state, t)
                 flags.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=[key, ident, ts, flag])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=[*columns, flag])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(flag, T.BooleanType())])
+    return rows.repartition(n, key).sortWithinPartitions(key, ts, ident).mapInArrow(run, schema)
 
-    return rows.repartition(n, key).sortWithinPartitions(key, ts, ident).mapInArrow(run, rows.schema.add(flag, "boolean"))
 
+def rate_limit(df: DataFrame, key: str, ts: str, ident: str, limit: int, window: int = WINDOW_S, when: str | None = None, most_keys: int | None = None) -> DataFrame:
+    """``df`` with ``admitted``: at most ``limit`` admitted in any ``window`` seconds; rejected ones don't count.
 
-def rate_limit(df: DataFrame, key: str, ts: str, ident: str, limit: int, window: int = WINDOW_S) -> DataFrame:
-    """``key``, ``ident``, ``ts``, ``admitted``: at most ``limit`` admitted in any ``window`` seconds; rejected ones don't count."""
+    ``most_keys``: keys that can be followed, those that come first; others are rejected.
+    """
     if limit <= 0:
-        return df.select(key, ident, ts, F.lit(True).alias("admitted"))
+        return df.withColumn("admitted", F.lit(True) if when is None else F.when(F.col(when), True))
+    if most_keys is not None:
+        first = (df if when is None else df.where(when)).groupBy(F.col(key).alias("k__")).agg(F.min(F.struct(ts, ident)).alias("first"))
+        followed = first.orderBy("first").limit(most_keys).select("k__", F.lit(True).alias("followed__"))
+        df = df.join(followed, df[key].eqNullSafe(F.col("k__")), "left").drop("k__").withColumn("followed__", F.coalesce("followed__", F.lit(False)))
 
     def step(recent: deque, t: float | None) -> tuple[deque, bool]:
         while recent and (t is None or recent[0] is None or not t - recent[0] < window):
@@ -80,17 +150,18 @@ def rate_limit(df: DataFrame, key: str, ts: str, ident: str, limit: int, window:
             recent.append(t)
         return recent, ok
 
-    return in_order(df, key, ts, ident, "admitted", deque, step)
+    out = in_order(df, key, ts, ident, "admitted", deque, step, when)
+    return out if most_keys is None else out.withColumn("admitted", F.col("admitted") & F.col("followed__")).drop("followed__")
 
 
-def replays(df: DataFrame, key: str, ts: str, ident: str, ttl: int = TTL_S) -> DataFrame:
-    """``key``, ``ident``, ``ts``, ``replayed``: seen before and not yet expired; a replay doesn't extend the time."""
+def replays(df: DataFrame, key: str, ts: str, ident: str, ttl: int = TTL_S, when: str | None = None) -> DataFrame:
+    """``df`` with ``replayed``: seen before and not yet expired; a replay doesn't extend the time."""
 
     def step(until: float | None, t: float | None) -> tuple[float | None, bool]:
         again = until is not None and t is not None and until > t
         return (until if again else None if t is None else t + ttl), again
 
-    return in_order(df, key, ts, ident, "replayed", lambda: None, step)
+    return in_order(df, key, ts, ident, "replayed", lambda: None, step, when)
 
 
 def fresh(now: Column, ts: Column, skew: int = MAX_SKEW_S) -> Column:
@@ -99,7 +170,7 @@ def fresh(now: Column, ts: Column, skew: int = MAX_SKEW_S) -> Column:
 
 def valid_path(path: Column) -> Column:
     """An absolute path without tricks: no empty parts, users, backslashes, queries, fragments, control characters."""
-    return path.rlike(r"^/") & ~path.rlike(r"//|[@\\?#\x00-\x1f\x7f]")
+    return path.rlike(r"^/") & ~path.rlike(r"//|[@\\?#\x00-\x1f]")
 
 
 def cascade(checks: list[tuple[int, str, Column]]) -> Column:
@@ -111,9 +182,23 @@ def cascade(checks: list[tuple[int, str, Column]]) -> Column:
     return out.otherwise(F.struct(F.lit(200).alias("status"), F.lit("ok").alias("reason")))
 
 
+# -- sealed requests
+
+VERSION, TO_SERVER, TO_CLIENT = 2, 1, 2
+
+
+def derived_key(secret: bytes, info: bytes, size: int = 32) -> bytes:
+    """HKDF with SHA-256 and no salt (RFC 5869); keys are made on the driver."""
+    prk, out, block = hmac.new(b"\0" * 32, secret, hashlib.sha256).digest(), b"", b""
+    for i in range(1, -(-size // 32) + 1):
+        block = hmac.new(prk, block + info + bytes([i]), hashlib.sha256).digest()
+        out += block
+    return out[:size]
+
+
 def additional_data(version: Column, direction: Column, ts: Column, req_id: Column) -> Column:
-    """Version, direction, eight big-endian bytes of the time, request id."""
-    return F.concat(F.unhex(F.lpad(F.hex(version), 2, "0")), F.unhex(F.lpad(F.hex(direction), 2, "0")), F.unhex(F.lpad(F.hex(ts), 16, "0")), req_id)
+    """Version, direction, eight big-endian bytes of the time, request id; null for a time below zero."""
+    return F.when(ts >= 0, F.concat(F.unhex(F.lpad(F.hex(version), 2, "0")), F.unhex(F.lpad(F.hex(direction), 2, "0")), F.unhex(F.lpad(F.hex(ts), 16, "0")), req_id))
 
 
 def seal(text: Column, key: bytes, nonce: Column, aad: Column) -> Column:
@@ -124,3 +209,75 @@ def seal(text: Column, key: bytes, nonce: Column, aad: Column) -> Column:
 def open_sealed(sealed: Column, key: bytes, aad: Column) -> Column:
     """The text, or null if key, data or additional data are not those it was sealed with."""
     return F.try_aes_decrypt(sealed, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), aad).cast("string")
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a server is set to; empty lists and fields aren't checked."""
+
+    path: str = "/secure/request"
+    allowed: tuple[str, ...] = ()
+    limit: int = 60
+    window: int = WINDOW_S
+    most_keys: int | None = 100_000
+    max_body: int = 10 * 1024 * 1024
+    skew: int = MAX_SKEW_S
+    ttl: int = TTL_S
+    config: tuple[tuple[str, str], ...] = ()
+    management: bool = False
+
+
+def decide(requests: DataFrame, key: bytes, settings: Settings) -> DataFrame:
+    """``status`` and ``reason`` of every request: the first check that fails decides.
+
+    ``requests``: ``ident``, ``path``, ``ip``, ``now`` (seconds), ``length`` (text),
+    ``envelope`` (a JSON text: ts, req_id, sealed), ``upstream`` (a status; null: no answer).
+    The rate limit counts only requests that get past path and address, the replay check
+    only those that could be opened: two shuffles, by address and by request id.
+    """
+    s = settings
+    df = requests.withColumns({"early": F.when(~F.coalesce(F.rtrim("path", F.lit("/")) == s.path, F.lit(False)), "path").when(~in_networks(F.col("ip"), list(s.allowed)), "ip_not_allowed")})
+    df = df.withColumn("counts", F.col("early").isNull())
+    df = rate_limit(df, "ip", "now", "ident", s.limit, s.window, "counts", s.most_keys)
+    length = F.when(F.trim("length") == "", F.lit(0)).otherwise(F.expr("try_cast(length as bigint)"))
+    env = F.from_json("envelope", "ts bigint, req_id string, sealed string", {"mode": "PERMISSIVE"})
+    df = df.withColumns({"n": F.coalesce(length, F.when(F.col("length").isNull(), F.lit(0))), "e": F.when(F.json_object_keys("envelope").isNotNull(), env)})
+    req, sealed = F.expr("try_to_binary(e.req_id, 'base64')"), F.expr("try_to_binary(e.sealed, 'base64')")
+    opened = open_sealed(sealed, key, additional_data(F.lit(VERSION), F.lit(TO_SERVER), F.col("e.ts"), req))
+    df = df.withColumn("inner", F.when(fresh(F.col("now"), F.col("e.ts"), s.skew), opened))
+    df = df.withColumn("middle", F.coalesce("early", F.when(~F.col("admitted"), "rate_limited").when(F.col("n").isNull(), "bad_content_length").when((F.col("n") < 0) | (F.col("n") > s.max_body), "body_too_large").when(F.col("e").isNull(), "bad_request").when(F.col("inner").isNull(), "decrypt_failure")))
+    df = df.withColumns({"reaches": F.col("middle").isNull(), "req": F.col("e.req_id")})
+    df = replays(df, "req", "now", "ident", s.ttl, "reaches")
+    get = lambda f: F.get_json_object("inner", f"$.{f}")
+    config = {f: get(f"config.{f}") for f, _ in s.config}
+    method, path = F.coalesce(get("method"), F.lit("GET")), F.coalesce(get("path"), F.lit("/"))
+    late = (
+        F.when(F.col("replayed"), "replay")
+        .when(F.json_object_keys("inner").isNull(), "bad_inner_json")
+        .when(~(get("config").isNotNull() & config_matches(config, dict(s.config))), "bad_config")
+        .when(~valid_path(path), "invalid_path")
+        .when(~route_allowed(method, path, s.management), "route_denied")
+        .when(F.col("upstream").isNull(), "upstream_error")
+    )
+    status = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])
+    df = df.withColumn("reason", F.coalesce("middle", late))
+    return df.select("ident", "ip", "now", F.coalesce(status[F.col("reason")], F.col("upstream")).cast("int").alias("status"), F.coalesce("reason", F.lit("ok")).alias("reason"), F.when(F.col("reaches"), F.col("req")).alias("req_id"))
+
+
+# The status of each reason.
+STATUS = {
+    "path": 404, "ip_not_allowed": 403, "rate_limited": 429, "bad_content_length": 400, "body_too_large": 413, "bad_request": 400, "decrypt_failure": 401,
+    "replay": 401, "bad_inner_json": 400, "bad_config": 401, "invalid_path": 400, "route_denied": 403, "upstream_error": 502,
+}
+
+
+def audit_lines(decided: DataFrame, method: str = "POST", path: str = Settings.path) -> DataFrame:
+    """A JSON line for each decision, without bodies; fields that have nothing are left out."""
+    at = F.date_format(F.timestamp_seconds(F.col("now").cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    reason = F.when(F.col("reason") != "ok", F.col("reason"))
+    return decided.select("ident", F.to_json(F.struct(at.alias("ts"), "ip", F.lit(method).alias("method"), F.lit(path).alias("path"), "status", "req_id", reason.alias("reason"))).alias("line"))
+
+
+def write_audit(decided: DataFrame, path: str) -> None:
+    """Append the lines as text files; requests in the order of time within a file."""
+    audit_lines(decided).select("line").write.mode("append").text(path)

@@ -225,7 +225,7 @@ def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
 
 def cidr_membership(spark, sf):
     a = _arrivals(spark, sf)
-    return a.select("event_id", "ip", admission.in_networks(admission.ipv4_number(F.col("ip")), NETWORKS).alias("allowed"))
+    return a.select("event_id", "ip", admission.in_networks(F.col("ip"), NETWORKS).alias("allowed"))
 
 
 def rate_limit(spark, sf):
@@ -243,13 +243,54 @@ def freshness(spark, sf):
     return a.select("event_id", admission.fresh(F.col("t") + F.col("event_id") % 300, F.col("t")).alias("fresh"))
 
 
+SECRET = bytes(range(32))
+SETTINGS = admission.Settings(allowed=tuple(NETWORKS), limit=2, window=7200, most_keys=300, max_body=4500, ttl=3600, config=(("user", "ana"), ("model", "m1"), ("bert_model", "")))
+
+
+def _requests(spark, sf):
+    """Sealed requests made from events, some of them wrong in each of the ways that are checked."""
+    e = F.col("event_id")
+    a = _arrivals(spark, sf).where("t is not null")
+    inner = F.to_json(F.struct(F.when(e % 61 == 0, "DELETE").otherwise("post").alias("method"), F.when(e % 67 == 0, "//x").otherwise("/api/chat").alias("path"), F.struct(F.when(e % 71 == 0, "eva").otherwise("ana").alias("user"), F.lit("m1").alias("model")).alias("config")))
+    inner = F.when(e % 73 == 0, "[1]").otherwise(inner)
+    req = F.unhex(F.md5((F.col("user_id") % 50).cast("string")))
+    nonce = F.unhex(F.substring(F.md5(e.cast("string")), 1, 24))
+    sent = F.col("t") - e % 150
+    aad = admission.additional_data(F.lit(admission.VERSION), F.when(e % 79 == 0, admission.TO_CLIENT).otherwise(admission.TO_SERVER), sent, req)
+    sealed = admission.seal(inner, admission.derived_key(SECRET, b"\x01"), nonce, aad)
+    envelope = F.to_json(F.struct(sent.alias("ts"), F.base64(req).alias("req_id"), F.base64(sealed).alias("sealed")))
+    return a.select(
+        e.alias("ident"), "ip", F.col("t").cast("double").alias("now"),
+        F.when(e % 97 == 0, "/x").otherwise("/secure/request/").alias("path"),
+        F.when(e % 89 == 0, "abc").otherwise(((e * 37) % 5000).cast("string")).alias("length"),
+        F.when(e % 83 == 0, "{").otherwise(envelope).alias("envelope"),
+        F.when(e % 59 != 0, 200).alias("upstream"),
+    )
+
+
+def decisions(spark, sf):
+    """Every request with its status and reason; rate and replays count only what gets so far."""
+    return admission.decide(_requests(spark, sf), admission.derived_key(SECRET, b"\x01"), SETTINGS).select("ident", "status", "reason")
+
+
 def admission_cascade(spark, sf):
-    a = _arrivals(spark, sf)
-    allowed = admission.in_networks(admission.ipv4_number(F.col("ip")), NETWORKS)
-    size = (F.col("event_id") * 37) % 5000
-    fresh = admission.fresh(F.col("t") + F.col("event_id") % 300, F.col("t"))
-    verdict = admission.cascade([(404, "path", F.col("event_id") % 97 == 0), (403, "ip", ~allowed), (413, "size", size > 4500), (401, "stale", ~fresh)])
-    return a.withColumn("v", verdict).groupBy("v.status", "v.reason").agg(F.count("*").alias("n"))
+    return decisions(spark, sf).groupBy("status", "reason").agg(F.count("*").alias("n"))
+
+
+def routes(spark, sf):
+    e = _t(spark, sf, "events").select("event_id")
+    pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (F.col("event_id") / k % len(xs) + 1).cast("int"))
+    method, path = pick(["GET", "post", "PUT"], 1), pick(["/api/chat", "/api/tags", "/api/pull", "/v1/models", "/x"], 3)
+    return e.select("event_id", admission.route_allowed(method, path).alias("allowed"), admission.route_allowed(method, path, True).alias("managed"))
+
+
+def client_addresses(spark, sf):
+    """The address of a client behind a trusted proxy, of either version."""
+    e = F.col("event_id")
+    peer = F.when(e % 2 == 0, F.concat(F.lit("10.0.0."), (e % 250).cast("string"))).otherwise(F.concat(F.lit("2001:db8::"), F.lower(F.hex(e % 65536))))
+    forwarded = F.when(e % 3 == 0, F.concat(F.lit(" 1.2.3."), (e % 250).cast("string"), F.lit(", 9.9.9.9")))
+    real = F.when(e % 5 == 0, F.lit("8.8.8.8"))
+    return _t(spark, sf, "events").select("event_id", admission.client_ip(peer, forwarded, real, ["10.0.0.0/25", "2001:db8::/113"]).alias("ip"))
 
 
 def json_allowlist(spark, sf):
@@ -282,8 +323,10 @@ def best_config(spark, sf):
 
 
 def audit_records(spark, sf):
-    a = _arrivals(spark, sf)
-    return a.select("event_id", F.to_json(F.struct(F.col("t").alias("ts"), "ip", F.lit("POST").alias("method"), F.when(F.col("event_id") % 5 == 0, "replay").alias("reason"))).alias("line"))
+    a = _arrivals(spark, sf).where("t is not null")
+    reason = F.when(F.col("event_id") % 5 == 0, "replay").otherwise("ok")
+    decided = a.select(F.col("event_id").alias("ident"), "ip", F.col("t").alias("now"), F.when(reason == "ok", 200).otherwise(401).alias("status"), reason.alias("reason"), F.lit(None).cast("string").alias("req_id"))
+    return admission.audit_lines(decided)
 
 
 def sealed_roundtrip(spark, sf):
@@ -298,7 +341,7 @@ def sealed_roundtrip(spark, sf):
 
 
 NOTE_QUERIES = [over_redaction_sources, rule_false_words, interval_gate, class_winners, collisions, gold_spans, resolved_spans, placeholder_numbering, mask_text, restore_roundtrip, robustness, word_prf, per_class_prf, span_strict, span_relaxed, leakage, leak_attribution, neutralised, strict_coverage, confusion_matrix, over_redaction, top_false_positives, consistency]
-OTHER_QUERIES = [pii_by_lang_source, masked_documents, dni_check, nie_check, escape_literals, request_numbering, cidr_membership, rate_limit, replay_check, freshness, admission_cascade, json_allowlist, latency_percentiles, unmapped_labels, best_config, audit_records, sealed_roundtrip]
+OTHER_QUERIES = [decisions, routes, client_addresses, pii_by_lang_source, masked_documents, dni_check, nie_check, escape_literals, request_numbering, cidr_membership, rate_limit, replay_check, freshness, admission_cascade, json_allowlist, latency_percentiles, unmapped_labels, best_config, audit_records, sealed_roundtrip]
 EXTRACTS = {
     "extract_email": ("documents", "doc_id", "text", EMAIL),
     "extract_ipv4": ("documents", "doc_id", "text", IPV4),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from veilspark.operators.metrics import DIRECT, POISSON, PRIME, WIDE
+from veilspark.operators.admission import STATUS
 from veilspark.operators.lexicon import CHECK_LETTERS, TAGS
 
 from . import notes as N
@@ -85,8 +86,24 @@ def sql() -> dict[str, str]:
     out["request_numbering"] = f"WITH s AS (SELECT doc_id // 100000 AS conv_id, doc_id % 100000 AS turn, label, surface, span_start FROM ({spans})), {numbered('s', 'conv_id', 'turn, span_start DESC')} SELECT conv_id, surface, placeholder FROM named"
     out["cidr_membership"] = f"WITH {ARRIVALS} SELECT event_id, ip, {ALLOWED} AS allowed FROM arrivals"
     out["freshness"] = "SELECT event_id, event_id % 300 <= 120 AS fresh FROM events"
-    out["admission_cascade"] = f"""WITH v AS (SELECT CASE WHEN event_id % 97 = 0 THEN 404 WHEN NOT {ALLOWED} THEN 403 WHEN (event_id * 37) % 5000 > 4500 THEN 413 WHEN event_id % 300 > 120 THEN 401 ELSE 200 END AS status FROM events)
-      SELECT CAST(status AS INT) AS status, CASE status WHEN 404 THEN 'path' WHEN 403 THEN 'ip' WHEN 413 THEN 'size' WHEN 401 THEN 'stale' ELSE 'ok' END AS reason, count(*) AS n FROM v GROUP BY 1, 2"""
+    out["decisions"] = f"""WITH RECURSIVE {ARRIVALS}, a AS MATERIALIZED (SELECT *, event_id AS e, md5(CAST(user_id % 50 AS VARCHAR)) AS req, CASE WHEN event_id % 97 = 0 THEN 'path' WHEN NOT {ALLOWED} THEN 'ip_not_allowed' END AS early FROM arrivals WHERE t IS NOT NULL),
+      followed AS (SELECT ip FROM a WHERE early IS NULL GROUP BY 1 ORDER BY min((t, e)) LIMIT 300),
+      r AS MATERIALIZED (SELECT ip, e, t, row_number() OVER (PARTITION BY ip ORDER BY t, e) AS k FROM a WHERE early IS NULL),
+      f AS (SELECT ip, e, k, true AS ok, [t] AS live FROM r WHERE k = 1
+        UNION ALL SELECT r.ip, r.e, r.k, len(list_filter(f.live, lambda x: r.t - x < 7200)) < 2,
+          CASE WHEN len(list_filter(f.live, lambda x: r.t - x < 7200)) < 2 THEN list_append(list_filter(f.live, lambda x: r.t - x < 7200), r.t) ELSE list_filter(f.live, lambda x: r.t - x < 7200) END FROM f JOIN r ON r.ip = f.ip AND r.k = f.k + 1),
+      m AS MATERIALIZED (SELECT a.*, CASE WHEN early IS NOT NULL THEN early WHEN NOT f.ok OR a.ip NOT IN (SELECT ip FROM followed) THEN 'rate_limited' WHEN a.e % 89 = 0 THEN 'bad_content_length' WHEN a.e * 37 % 5000 > 4500 THEN 'body_too_large' WHEN a.e % 83 = 0 THEN 'bad_request'
+          WHEN a.e % 79 = 0 OR a.e % 150 > 120 THEN 'decrypt_failure' END AS middle FROM a LEFT JOIN f ON a.ip = f.ip AND a.e = f.e),
+      s AS MATERIALIZED (SELECT req, e, t, row_number() OVER (PARTITION BY req ORDER BY t, e) AS k FROM m WHERE middle IS NULL),
+      g AS (SELECT req, e, k, false AS again, t + 3600 AS until FROM s WHERE k = 1 UNION ALL SELECT s.req, s.e, s.k, g.until > s.t, CASE WHEN g.until > s.t THEN g.until ELSE s.t + 3600 END FROM g JOIN s ON s.req = g.req AND s.k = g.k + 1),
+      d AS (SELECT m.e AS ident, CASE WHEN middle IS NOT NULL THEN middle WHEN g.again THEN 'replay' WHEN m.e % 73 = 0 THEN 'bad_inner_json' WHEN m.e % 71 = 0 THEN 'bad_config' WHEN m.e % 67 = 0 THEN 'invalid_path' WHEN m.e % 61 = 0 THEN 'route_denied' WHEN m.e % 59 = 0 THEN 'upstream_error' ELSE 'ok' END AS reason FROM m LEFT JOIN g ON m.e = g.e)
+      SELECT ident, CAST(CASE reason {' '.join(f"WHEN '{k}' THEN {v}" for k, v in STATUS.items())} ELSE 200 END AS INT) AS status, reason FROM d"""
+    out["admission_cascade"] = f"SELECT status, reason, count(*) AS n FROM ({out['decisions']}) GROUP BY 1, 2"
+    out["routes"] = """WITH x AS (SELECT event_id, ['GET', 'POST', 'PUT'][CAST(event_id % 3 AS INT) + 1] || ' ' || ['/api/chat', '/api/tags', '/api/pull', '/v1/models', '/x'][CAST(event_id // 3 % 5 AS INT) + 1] AS r FROM events)
+      SELECT event_id, r IN ('POST /api/chat', 'GET /api/tags', 'GET /v1/models') AS allowed, r IN ('POST /api/chat', 'GET /api/tags', 'GET /v1/models') OR r LIKE '%/api/pull' AS managed FROM x"""
+    out["client_addresses"] = """SELECT event_id, CASE WHEN CASE WHEN event_id % 2 = 0 THEN event_id % 250 < 128 ELSE event_id % 65536 < 32768 END AND event_id % 3 = 0 THEN '1.2.3.' || CAST(event_id % 250 AS VARCHAR)
+      WHEN CASE WHEN event_id % 2 = 0 THEN event_id % 250 < 128 ELSE event_id % 65536 < 32768 END AND event_id % 5 = 0 THEN '8.8.8.8'
+      WHEN event_id % 2 = 0 THEN '10.0.0.' || CAST(event_id % 250 AS VARCHAR) ELSE '2001:db8::' || lower(to_hex(event_id % 65536)) END AS ip FROM events"""
     out["rate_limit"] = f"""WITH RECURSIVE {ARRIVALS}, r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM arrivals),
       f AS (SELECT user_id, event_id, k, true AS admitted, [t] AS live FROM r WHERE k = 1
         UNION ALL SELECT r.user_id, r.event_id, r.k, len(list_filter(f.live, lambda x: r.t - x < 7200)) < 2,
@@ -99,6 +116,6 @@ def sql() -> dict[str, str]:
     out["latency_percentiles"] = "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, round(median(value), 6) AS p50, count(*) AS n, max(CASE WHEN k = floor(0.95 * (n - 1)) + 1 THEN value END) AS p95 FROM r GROUP BY event_type"
     out["unmapped_labels"] = "SELECT DISTINCT event_type FROM events WHERE event_type NOT IN ('click', 'view')"
     out["best_config"] = "WITH g AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_linestatus, arg_max(l_returnflag, (n, l_returnflag)) AS best FROM g GROUP BY 1"
-    out["audit_records"] = f"""WITH {ARRIVALS} SELECT event_id, '{{"ts":' || CAST(t AS VARCHAR) || ',"ip":"' || ip || '","method":"POST"' || CASE WHEN event_id % 5 = 0 THEN ',"reason":"replay"' ELSE '' END || '}}' AS line FROM arrivals"""
+    out["audit_records"] = f"""WITH {ARRIVALS} SELECT event_id AS ident, '{{"ts":"' || strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') || '","ip":"' || ip || '","method":"POST","path":"/secure/request","status":' || CASE WHEN event_id % 5 = 0 THEN '401,"reason":"replay"' ELSE '200' END || '}}' AS line FROM arrivals WHERE t IS NOT NULL"""
     out["sealed_roundtrip"] = "SELECT count(*) AS n, count(*) AS opened, CAST(0 AS BIGINT) AS opened_wrongly FROM events"
     return out

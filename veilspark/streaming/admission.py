@@ -1,49 +1,61 @@
-"""The sliding-window rate limit and the replay check on streams, with state for each key."""
+"""The sliding-window rate limit and the replay check on streams, with state for each key.
+
+Requests are decided as they come: in the order of time within a batch, batches one after
+another.  A key's state goes when the watermark has passed its window, so state is bounded
+by the keys of one window and the delay; rows later than the delay are dropped before.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilspark.operators.admission import TTL_S, WINDOW_S
 
 
-def rate_limited(stream: DataFrame, key: str, ts: str, ident: str, limit: int, window: int = WINDOW_S) -> DataFrame:
-    """As ``operators.admission.rate_limit``, in the order of time within each batch."""
+def _with_state(stream: DataFrame, key: str, ts: str, ident: str, flag: str, kind: str, start: tuple, decide: Callable, keep: float, delay: str) -> DataFrame:
+    """``decide`` (state, time) -> (state, flag) for each row; the state ends ``keep`` seconds after the key's latest row."""
 
     def work(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, latest = state.get if state.exists else (start[0], float("-inf"))
         rows = pd.concat(batches).sort_values([ts, ident])
         out = []
         for t, i in zip(rows[ts], rows[ident]):
-            recent = [x for x in recent if t - x < window]
-            ok = limit <= 0 or len(recent) < limit
-            if ok:
-                recent.append(t)
-            out.append((k[0], i, t, ok))
-        state.update((recent,))
-        yield pd.DataFrame(out, columns=[key, ident, ts, "admitted"])
+            held, value = decide(held, t)
+            out.append((k[0], i, t, value))
+            latest = max(latest, t)
+        state.update((held, latest))
+        state.setTimeoutTimestamp(max(int((latest + keep) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, ident, ts, flag])
+
+    timed = stream.select(key, F.col(ident).cast("bigint").alias(ident), F.col(ts).cast("double").alias(ts), F.timestamp_millis((F.col(ts) * 1000).cast("bigint")).alias("event_time")).withWatermark("event_time", delay)
+    out = f"{key} {dict(stream.dtypes)[key]}, {ident} bigint, {ts} double, {flag} boolean"
+    return timed.groupBy(key).applyInPandasWithState(work, out, f"held {kind}, latest double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def rate_limited(stream: DataFrame, key: str, ts: str, ident: str, limit: int, window: int = WINDOW_S, delay: str = "10 minutes") -> DataFrame:
+    """As ``operators.admission.rate_limit``."""
+
+    def decide(recent: list, t: float) -> tuple[list, bool]:
+        recent = [x for x in recent if t - x < window]
+        ok = limit <= 0 or len(recent) < limit
+        return (recent + [t] if ok else recent), ok
 
-    kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(work, f"{key} {kind}, {ident} bigint, {ts} double, admitted boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    return _with_state(stream, key, ts, ident, "admitted", "array<double>", ([],), decide, window, delay)
 
 
-def replay_checked(stream: DataFrame, key: str, ts: str, ident: str, ttl: int = TTL_S) -> DataFrame:
+def replay_checked(stream: DataFrame, key: str, ts: str, ident: str, ttl: int = TTL_S, delay: str = "10 minutes") -> DataFrame:
     """As ``operators.admission.replays``; a key's state holds one time of expiry."""
 
-    def work(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(batches).sort_values([ts, ident])
-        out = []
-        for t, i in zip(rows[ts], rows[ident]):
-            again = until > t
-            until = until if again else t + ttl
-            out.append((k[0], i, t, again))
-        state.update((until,))
-        yield pd.DataFrame(out, columns=[key, ident, ts, "replayed"])
-
-    kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(work, f"{key} {kind}, {ident} bigint, {ts} double, replayed boolean", "until double", "append", GroupStateTimeout.NoTimeout)
+    def decide(until: float, t: float) -> tuple[float, bool]:
+        again = until > t
+        return (until if again else t + ttl), again
+
+    return _with_state(stream, key, ts, ident, "replayed", "double", (float("-inf"),), decide, ttl, delay)
