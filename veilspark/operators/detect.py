@@ -9,7 +9,7 @@ from veilspark.functions.spans import held, with_spans
 
 from .lexicon import UNIFIED
 from .names import add_names
-from .rules import RULES, Rule, passes
+from .rules import RULES, WIDE_RULES, Rule, passes
 
 ENTITY = "array<struct<start:bigint,end:bigint,label:string,surface:string,rule:string>>"
 
@@ -85,3 +85,19 @@ def exploded(df: DataFrame, key: str = "doc_id", spans: str = "entities") -> Dat
     """One row for each span: key, span_start, span_end, label, surface, rule."""
     rows = df.select(key, F.explode(spans).alias("s"))
     return rows.select(key, F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), "s.label", "s.surface", "s.rule")
+
+
+#: Ways of detecting, by name: each adds ``entities``.
+SYSTEMS = {
+    "rules": lambda df, text="text": detect(df, text),
+    "rules+names": lambda df, text="text": detect(df, text, names=True),
+    "rules+wide": lambda df, text="text": detect(df, text, RULES + WIDE_RULES),
+}
+
+
+def combined(df: DataFrame, model: str, more: str | None = None, text: str = "text", names: bool = True) -> DataFrame:
+    """Add ``entities``: rule spans against those of a model (column ``model``), gaps filled from a third detector (``more``)."""
+    found = detect(df, text, names=names)
+    slim = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
+    spans = arbitrate(slim("entities"), slim(model))
+    return found.withColumn("entities", held(fill_gaps(spans, slim(more)) if more else spans))

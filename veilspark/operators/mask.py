@@ -120,6 +120,29 @@ def unescape(df: DataFrame, text: str = "escaped", out: str = "text", literals:
     return df.withColumn(out, joined).drop("u__hits", "u__gaps")
 
 
+def removed_intervals(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = False) -> DataFrame:
+    """Add ``removed``: what masking takes out of the text, as intervals of the text itself, by start.
+
+    These are the literals that are escaped before detection, and the spans found in the
+    escaped text, moved back by what the literals before them had gained or lost.
+    """
+    df = with_spans(df.withColumn("i__text", F.coalesce(text, F.lit(""))), "i__text", {"i__literal": LITERAL})
+    marker = lambda i: 2 + F.length(i.cast("string"))
+    gain = lambda x, i: (x["end"] - x["start"]) - marker(i)
+    df = df.withColumn("i__literal", held(F.transform("i__literal", lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), gain(x, i).alias("gain")))))
+    found = detect(escape_literals(df, "i__text", "i__escaped", "i__texts"), "i__escaped", rules, names)
+
+    def back(s: Column) -> Column:
+        # a literal lies before the span if it begins before the place that the span has after it is moved
+        step = lambda moved, x: F.when(x["start"] <= s["start"] + moved, moved + x["gain"]).otherwise(moved)
+        shift = F.aggregate("i__literal", F.lit(0).cast("bigint"), step)
+        return F.struct((s["start"] + shift).alias("start"), (s["end"] + shift).alias("end"))
+
+    plain = F.transform("i__literal", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    out = F.array_sort(F.concat(plain, F.transform("entities", back)))
+    return found.withColumn("removed", held(out)).drop("i__text", "i__literal", "i__escaped", "i__texts", "entities")
+
+
 # -- whole requests
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.spans import held, with_spans
 from veilspark.operators import admission, detect, mask, metrics, rules
 
-from . import cases
+from . import cases, more
 from . import notes as N
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -351,10 +351,10 @@ EXTRACTS = {
 
 
 def queries() -> dict[str, Query]:
-    return {n: _extract(*a) for n, a in EXTRACTS.items()} | {f.__name__: f for f in NOTE_QUERIES + OTHER_QUERIES} | cases.queries()
+    return {n: _extract(*a) for n, a in EXTRACTS.items()} | {f.__name__: f for f in NOTE_QUERIES + OTHER_QUERIES} | cases.queries() | more.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {n: _extract_sql(*a) for n, a in EXTRACTS.items()} | oracles.sql() | cases.oracle_sql()
+    return {n: _extract_sql(*a) for n, a in EXTRACTS.items()} | oracles.sql() | cases.oracle_sql() | more.oracle_sql()

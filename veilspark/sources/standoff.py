@@ -25,6 +25,19 @@ def read(spark: SparkSession, path: str, splits: list[str]) -> DataFrame:
     return out
 
 
+def read_apart(spark: SparkSession, annotations: str, texts: str, fallback: str) -> DataFrame:
+    """Annotation files in one folder, texts in another or, where that lacks one, in a third."""
+    stem = F.regexp_extract("_metadata.file_name", r"^(.*)\.[^.]+$", 1)
+    files = lambda path, kind, name: spark.read.text(path, wholetext=True, pathGlobFilter=f"*.{kind}").select(stem.alias("doc_id"), F.col("value").alias(name))
+    both = files(annotations, "ann", "ann").join(files(texts, "txt", "raw"), "doc_id", "left").join(files(fallback, "txt", "other"), "doc_id", "left")
+    return both.select("doc_id", F.coalesce("raw", "other").alias("text"), entities(F.col("ann")).alias("gold")).where("text is not null")
+
+
+def sample(docs: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` documents by name."""
+    return docs.orderBy("doc_id").limit(n)
+
+
 def whitelist(spark: SparkSession, path: str) -> DataFrame:
     """Lower-case words of a file, without blank lines and comments."""
     words = spark.read.text(path).select(F.lower(F.trim("value")).alias("word"))
