@@ -2,7 +2,7 @@
 
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -438,3 +438,35 @@ def test_near_edited_and_near_next_against_whole_sets(texts, spark):
         assert hashlib.sha256(edited.encode()).hexdigest() == r.edited_sha256 and r.n_chars == len(own)
         off += [abs(r.near_edited - share(own, edited)), abs(r.near_next - share(own, after))]
     assert np.mean(off) < 0.03 and np.max(off) < 0.2
+
+
+def test_short_terms_and_stems_are_found_misspelled():
+    lexicon = toxicity.Lexicon(["moron", "idiot", "rareword"], ["worthl"], ["moron", "idiot"], ["moroon"])
+    near = {w: lexicon.kind(w) for w in ("moron", "morn", "idoit", "idiots", "lozer", "moroon", "rarewurd", "worthless", "wortless", "worthxess", "mo", "x")}
+    fuzzy = {w for w, k in near.items() if k == toxicity.FUZZY}
+    # one letter left out, put in or changed; two that change places are two edits, which long words alone may have
+    assert fuzzy == {"morn", "idiots", "wortless", "worthxess"} and near["moron"] == near["worthless"] == toxicity.EXACT
+
+
+def test_lexicon_and_regression_against_brute_force(spark):
+    """Counts of distinct texts, support and the fitted weights, worked out in plain Python."""
+    import re
+
+    rows = [(i, f"{w} plain text number n{i} you {w}") for i, w in enumerate(["moron"] * 4 + ["scumbag"] * 4)] + [(100 + i, f"a clean text of words c{i} and more") for i in range(12)] + [(0, "moron plain text number n0 you moron")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d < 100)) for d, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    texts = {(t, int(d < 100)) for d, t in rows}
+    toxic = Counter(w for t, y in texts if y for w in set(re.findall(r"[^\W\d_]+", t)))
+    clean = Counter(w for t, y in texts if not y for w in set(re.findall(r"[^\W\d_]+", t)))
+    good = {w for w, k in toxic.items() if len(w) > 2 and k >= 3 and not clean[w]}
+    assert {w for w in good if model.lexicon.exact(w)} == {w for w in good if w not in ("text",)} and model.lexicon.exact("moron")
+    table = toxicity.Pieces(model.lexicon)
+    x = np.array([toxicity.features(t.lower().split(), table) for _, t in rows])
+    y = np.array([int(d < 100) for d, _ in rows])
+    total = {1: 8, 0: 12}
+    weight = np.where(y == 1, total[1] / y.sum(), total[0] / (1 - y).sum())
+    weights = toxicity.logistic(x, y, weight / weight.mean())
+    assert np.allclose(weights, model.weights, atol=1e-6)
+    score = {r.doc_id: r.score for r in toxicity.predict(docs, model).collect()}
+    assert all((score[d] >= 0.5) == (d < 100) for d, _ in rows)

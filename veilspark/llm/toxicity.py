@@ -1,10 +1,12 @@
 """Toxicity: a learned lexicon, misspellings by Levenshtein automata, and context windows.
 
 The lexicon holds whole words and stems (beginnings of words) that labelled toxic texts
-have and others lack.  The words are a trie; a word that isn't in the lexicon is run
+have and others lack.  Words and stems are tries; a word that isn't in the lexicon is run
 through a Levenshtein automaton (one edit from ``FUZZY_LETTERS`` letters on, two from
 ``TWICE_LETTERS`` on) in step with the trie, and digits and signs that stand for letters
-are put right, so "m0ron" and "wortless" are found.  Around every hit a window
+are put right, so "m0ron", "morn" and "wortless" are found.  Stems of ``STEM_LETTERS``
+letters are found misspelled at the beginning of a word.  A form that labelled clean texts
+have is no misspelling, however near it is.  Around every hit a window
 of ``WINDOW`` words tells quotation (quote marks on both sides, words of reporting)
 from abuse (words of address).  A logistic regression on a few counts gives the score.
 
@@ -26,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns_but, materialize, slices, small_batches
+from .common import columns_but, discard, materialize, slices, small_batches
 
 TRAIN_DOCS = 6000
-FUZZY_LETTERS, TWICE_LETTERS = 6, 10
+FUZZY_LETTERS, STEM_LETTERS, TWICE_LETTERS = 4, 6, 10
 WINDOW = 6
+#: Share of toxic texts that have a word of which misspellings are looked for.
+COMMON = 0.02
 TABLE_PIECES = 300_000
 AUTOMATON_STATES = 50_000
 
@@ -50,11 +54,12 @@ class Automaton:
     """A Levenshtein automaton in step with a trie of words, made deterministic as it is used.
 
     A state is the set of trie nodes that the letters so far can have led to, each with
-    the fewest edits; a step over a letter is worked out once and then kept.
+    the fewest edits; a step over a letter is worked out once and then kept.  With
+    ``prefix`` a word is accepted as soon as its beginning is.
     """
 
-    def __init__(self, words: list[str], edits: int):
-        self.edits = edits
+    def __init__(self, words: list[str], edits: int, prefix: bool = False):
+        self.edits, self.prefix = edits, prefix
         self.children: list[dict[str, int]] = [{}]
         self.ends: set[int] = set()
         for w in words:
@@ -117,25 +122,34 @@ class Automaton:
             at = self.step(at, c) if now is None else now
             if at < 0:
                 return False
+            if self.prefix and self.accepts[at]:
+                return True
         return self.accepts[at]
 
 
 class Lexicon:
-    """Words, which misspellings are looked for, and stems, which words begin with."""
+    """Words and stems (beginnings of words), the common words that misspellings are looked for of, and near forms that clean texts have."""
 
-    def __init__(self, words: list[str], stems: list[str]):
-        self.words, self.stems = frozenset(words), frozenset(stems)
+    def __init__(self, words: list[str], stems: list[str], common: list[str] | None = None, clean: list[str] = ()):
+        self.words, self.stems, self.clean = frozenset(words), frozenset(stems), frozenset(clean)
+        self.common = frozenset(words if common is None else common)
         self.lengths = sorted({len(s) for s in stems})
-        self.near = {k: Automaton(sorted(w for w in words if len(w) >= FUZZY_LETTERS - 1), k) for k in (1, 2)}
+        self.near = {k: Automaton(sorted(w for w in self.common if len(w) >= FUZZY_LETTERS), k) for k in (1, 2)}
+        self.begins = Automaton(sorted(s for s in stems if len(s) >= STEM_LETTERS), 1, prefix=True)
 
     def exact(self, word: str) -> bool:
         return word in self.words or any(word[:n] in self.stems for n in self.lengths)
 
+    def misspelled(self, word: str) -> bool:
+        """Whether one edit (two in a long word) makes it a word, or its beginning a long stem."""
+        if len(word) < FUZZY_LETTERS:
+            return False
+        return self.near[2 if len(word) >= TWICE_LETTERS else 1].accepts_word(word) or (len(word) >= STEM_LETTERS and self.begins.accepts_word(word))
+
     def kind(self, word: str) -> int:
         if self.exact(word):
             return EXACT
-        edits = 2 if len(word) >= TWICE_LETTERS else 1 if len(word) >= FUZZY_LETTERS else 0
-        return FUZZY if edits and self.near[edits].accepts_word(word) else 0
+        return FUZZY if word not in self.clean and self.misspelled(word) else 0
 
 
 class Pieces(dict):
@@ -265,18 +279,38 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     begins = lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w), F.lit(8))), lambda n: F.substring(w, F.lit(1), n))
     stems = F.array_distinct(F.flatten(F.transform(F.filter("words", lambda w: F.length(w) >= 4), begins)))
     marked = lambda array, stem: F.transform(array, lambda e: F.struct(e.alias("entry"), F.lit(stem).alias("stem")))
-    entries = sample.withColumn("words", words).select("y", F.explode(F.concat(marked("words", False), marked(stems, True))).alias("e"))
-    table = entries.groupBy("e.entry", "e.stem").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-    scale = (total[0] / counts[0]) / (total[1] / counts[1])
+    # copies of a text say no more about its words than the text does
+    once = materialize(sample.dropDuplicates(["y", "text"]), "toxicity-texts")
+    texts = {r.y: r.n for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    entries = once.withColumn("words", words).select("y", F.explode(F.concat(marked("words", False), marked(stems, True))).alias("e"))
+    table = materialize(entries.groupBy("e.entry", "e.stem").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")), "toxicity-entries")
+    scale = (total[0] / texts[0]) / (total[1] / texts[1])
     # one toxic text in 250 has each entry, so their number is bounded by the words of 250 texts
-    best = table.where((F.col("toxic") >= support(counts[1])) & (F.col("toxic") >= 4 * scale * F.col("clean")))
-    lexicon = Lexicon(*choose([tuple(r) for r in best.collect()], counts[1], counts[0], scale))
+    best = table.where((F.col("toxic") >= support(texts[1])) & (F.col("toxic") >= 4 * scale * F.col("clean")))
+    rows = [tuple(r) for r in best.collect()]
+    words, stems = choose(rows, texts[1], texts[0], scale)
+    often = {e for e, stem, toxic, _ in rows if not stem and toxic >= COMMON * texts[1]}
+    lexicon = Lexicon(words, stems, sorted(often & set(words)))
+    lexicon = Lexicon(words, stems, sorted(lexicon.common), near_forms(table.where("not stem and clean > 0").select("entry"), lexicon))
+    discard(table, once)
     rows = featured(sample, lexicon).select("y", "x").collect()
     x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
     weight = np.where(y == 1, total[1] / counts[1], total[0] / counts[0])
     return Model(lexicon, logistic(x, y, weight / weight.mean()))
 
 
+def near_forms(words: DataFrame, lexicon: Lexicon) -> list[str]:
+    """Those of the words (of clean texts) that look like misspellings; no more than the lexicon has neighbours."""
+    shared = words.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [w for w in batch.column("entry").to_pylist() if not shared.value.exact(w) and shared.value.misspelled(w)]
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], names=["entry"])
+
+    return sorted(r.entry for r in words.mapInArrow(run, "entry string").collect())
+
+
 def featured(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     keep = columns_but(docs, "x", text)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
