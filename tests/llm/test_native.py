@@ -60,6 +60,23 @@ def test_entropy_against_python(spark):
     assert abs(got - want) < 1e-5
 
 
+def test_entropy_of_long_candidates(spark):
+    """Windows over the borders of pieces count, and a long run takes time in proportion to its length."""
+    rng = __import__("random").Random(3)
+    alphabet = secrets.CLASSES["entropy_base64"][0]
+    made = ["a" * (n - 10) + "".join(rng.sample(alphabet, 20)) + "b" * 300 for n in (30, 128, 129, 138, 256, 1000)]
+    made += ["".join(rng.choices(alphabet[:8], k=n)) for n in (20, 127, 128, 129, 147, 148, 149, 700)]
+    want = []
+    for value in made:
+        windows = [Counter(value[i : i + 20]) for i in range(len(value) - 19)]
+        want.append(max(-sum(c / 20 * math.log2(c / 20) for c in w.values()) for w in windows))
+    rows = spark.createDataFrame(list(enumerate(made)), "i long, v string").select("i", secrets.entropy(F.col("v"), alphabet).alias("e")).collect()
+    assert all(abs(r.e - want[r.i]) < 1e-5 for r in rows) and len(rows) == len(want)
+    blob = "aZ3kQ9xLm2Pw7Rt5" * 20000
+    found = secrets.scan(spark.createDataFrame([(1, f"data {blob} end")], "doc_id long, text string")).first().spans
+    assert [(s.kind, s.start, s.end) for s in found] == [("entropy_base64", 5, 5 + len(blob))]
+
+
 def test_entropy_adds_and_allow_list_drops(spark):
     texts = ["blob aZ3kQ9xLm2Pw7Rt5Yb8Nc4Vd6Ee1 end", "id 123e4567-e89b-12d3-a456-426614174000", "12345678901234567890", "aB1" + "z" * 30, "key aZ3kQ9exampleLm2Pw7Rt5Yb8"]
     rows = secrets.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()

@@ -8,8 +8,10 @@ The window with the highest entropy decides.  Candidates on the allow-list (lett
 only, digits only, identifiers with dashes, paths, placeholders) are dropped, and so are
 those inside a base span.
 
-Null and empty texts have no spans.  Rows are independent and other columns stay; an
-output name that clashes replaces the column.
+Null and empty texts have no spans.  Rows are independent, repeated ones too, and other
+columns stay; an output name that clashes replaces the column.  Very long texts and
+candidates take time in proportion to their length.  Of candidates at one start the kinds'
+order decides.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from veilspark.functions.spans import held, with_spans
 from .common import free_name
 
 WINDOW = 20
+#: Characters of a candidate that are gone through at once.
+PIECE = 128
 UNIT = 1_000_000
 
 # The base patterns and the least length of what they must hold.
@@ -62,14 +66,25 @@ def least_sum(text: Column, alphabet: str, window: int = WINDOW) -> Column:
         counts = F.concat(F.slice(a["counts"], F.lit(1), e["at"] - 1), F.array(old + e["by"]), F.slice(a["counts"], e["at"] + 1, F.lit(size)))
         return F.when(e["at"] > 0, F.struct(counts.alias("counts"), (a["total"] + F.get(weights, old + e["by"]) - F.get(weights, old)).alias("total"), a["least"].alias("least"))).otherwise(a)
 
-    def step(a: Column, i: Column) -> Column:
-        out_at = F.when(i > window, F.instr(F.lit(alphabet), F.substring(text, i - window, F.lit(1)))).otherwise(F.lit(0))
-        in_at = F.instr(F.lit(alphabet), F.substring(text, i, F.lit(1)))
-        events = F.array(F.struct(out_at.alias("at"), F.lit(-1).alias("by")), F.struct(in_at.alias("at"), F.lit(1).alias("by")))
-        moved = F.aggregate(events, a, change)
-        return F.element_at(F.transform(F.array(moved), lambda m: F.struct(m["counts"].alias("counts"), m["total"].alias("total"), F.when(i >= window, F.least(m["least"], m["total"])).alias("least"))), 1)
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda a: a["least"])
+    def slid(part: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            out_at = F.when(i > window, F.instr(F.lit(alphabet), F.substring(part, i - window, F.lit(1)))).otherwise(F.lit(0))
+            in_at = F.instr(F.lit(alphabet), F.substring(part, i, F.lit(1)))
+            events = F.array(F.struct(out_at.alias("at"), F.lit(-1).alias("by")), F.struct(in_at.alias("at"), F.lit(1).alias("by")))
+            moved = F.aggregate(events, a, change)
+            return F.element_at(F.transform(F.array(moved), lambda m: F.struct(m["counts"].alias("counts"), m["total"].alias("total"), F.when(i >= window, F.least(m["least"], m["total"])).alias("least"))), 1)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(part)), start, step, lambda a: a["least"])
+
+    def piece(a: Column, p: Column) -> Column:
+        """A piece with the end of the one before it, so that every window lies in one of them."""
+        least = F.element_at(F.transform(F.array(F.concat(a["before"], p)), slid), 1)
+        return F.struct(F.right(p, F.lit(window - 1)).alias("before"), F.least(a["least"], least).alias("least"))
+
+    # a character's place is counted from the beginning of its text: pieces keep that short
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{max(PIECE, window)}}}"), F.lit(0))
+    none = F.struct(F.lit("").alias("before"), F.lit(None).cast("bigint").alias("least"))
+    return F.aggregate(pieces, none, piece, lambda a: a["least"])
 
 
 def entropy(text: Column, alphabet: str, window: int = WINDOW) -> Column:
