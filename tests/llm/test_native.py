@@ -77,6 +77,18 @@ def test_entropy_of_long_candidates(spark):
     assert [(s.kind, s.start, s.end) for s in found] == [("entropy_base64", 5, 5 + len(blob))]
 
 
+def test_allow_list_by_plain_patterns(spark):
+    """The allow-list against the same rules with repeated groups, and on candidates of many parts."""
+    groups = re.compile(r"[0-9]+([-/_+][0-9]+)+|/?([a-z0-9_-]{1,16}/){2,}[a-z0-9_-]*")
+    rng = __import__("random").Random(5)
+    made = ["".join(rng.choices(c, k=rng.randrange(20, 45))) for c in ("1234-", "12-/", "ab1/", "a1/_-", "abcdef12/", "/ab1", "A1/b") for _ in range(60)]
+    rows = spark.createDataFrame([(x,) for x in made], "v string").select("v", F.col("v").rlike(secrets.ALLOWED).alias("ok")).collect()
+    other = re.compile(r"[0-9]+|(.)\1+")
+    assert all(r.ok == bool(groups.fullmatch(r.v) or other.fullmatch(r.v)) for r in rows) and len({r.ok for r in rows}) == 2
+    long = ["1-2_3/" * 50000 + "4", "ab1/" * 50000]
+    assert [r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).collect()] == [[], []]
+
+
 def test_entropy_adds_and_allow_list_drops(spark):
     texts = ["blob aZ3kQ9xLm2Pw7Rt5Yb8Nc4Vd6Ee1 end", "id 123e4567-e89b-12d3-a456-426614174000", "12345678901234567890", "aB1" + "z" * 30, "key aZ3kQ9exampleLm2Pw7Rt5Yb8"]
     rows = secrets.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()

@@ -46,8 +46,9 @@ ALLOWED = "|".join(
     [
         r"^[0-9]+$",
         r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
-        r"^[0-9]+([-/_+][0-9]+)+$",
-        r"^/?([a-z0-9_-]{1,16}/){2,}[a-z0-9_-]*$",
+        # numbers with a mark between, then paths of short names: no repeated groups, as those recurse once a repetition
+        r"^(?=.*[-/_+])(?!.*[-/_+]{2})[0-9][-0-9/_+]*+(?<=[0-9])$",
+        r"^(?=/?[a-z0-9_-]++/[a-z0-9_-]++/)(?!.*//)(?!.*[a-z0-9_-]{17}/)[a-z0-9_/-]*+$",
         r"(?i)example|placeholder|changeme|xxxx|dummy|sample",
         r"^(.)\1+$",
     ]
