@@ -34,7 +34,7 @@ L, R = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 # in this order: the first that matches at a place wins
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}",  # a domain has at most 127 labels
     "ipv4": rf"{L}(?<![0-9]\.){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9]){R}",
     "iso_date": rf"{L}(?<![-/])[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?![-/]?[0-9]){R}",
     "day_date": rf"{L}(?<![-/])[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}(?![-/]?[0-9]){R}",
