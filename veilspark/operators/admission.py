@@ -37,7 +37,7 @@ def ipv6_digits(ip: Column) -> Column:
     left, right = groups(sides[0]), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
     gap = F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))
     every = F.concat(left, F.array_repeat(F.lit("0"), gap), right)
-    shape = F.lower(ip).rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}|(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)$")
+    shape = F.lower(ip).rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}|(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,7})?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,7})?)$")
     ok = shape & (F.size(every) == 8) & ((F.size(sides) == 1) | (gap >= 1))
     return F.when(ok, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
 

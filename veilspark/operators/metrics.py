@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.spans import held, with_spans
@@ -137,8 +137,9 @@ def leak_attribution(df: DataFrame) -> DataFrame:
     each = df.select(held(classes).alias("c"))
     kind = F.when(F.size("c") == 0, None).when(F.size("c") == 1, F.concat(F.lit("solo_"), F.get("c", F.lit(0)))).otherwise("multiple")
     buckets = each.groupBy(kind.alias("bucket")).agg(F.count("*").alias("docs"))
-    every = buckets.agg(F.sum("docs").alias("every"))
-    return buckets.crossJoin(F.broadcast(every)).where("bucket is not null").select("bucket", "docs", F.round(F.col("docs") / F.col("every"), 6).alias("rate")).orderBy(F.col("bucket") != "multiple", "bucket")
+    # a row for each label at most
+    rate = F.round(F.col("docs") / F.sum("docs").over(Window.partitionBy(F.lit(0))), 6)
+    return buckets.select("bucket", "docs", rate.alias("rate")).where("bucket is not null").orderBy(F.col("bucket") != "multiple", "bucket")
 
 
 def neutralised(df: DataFrame) -> DataFrame:

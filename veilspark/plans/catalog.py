@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.spans import held, with_spans
-from veilspark.operators import admission, detect, mask, metrics, rules
+from veilspark.operators import admission, detect, mask, metrics, ranks, rules
 
 from . import cases, more
 from . import notes as N
@@ -304,11 +304,9 @@ def json_allowlist(spark, sf):
 
 def latency_percentiles(spark, sf):
     """Median by interpolation, and the 95th by nearest rank, of a value for each kind of event."""
-    e = _t(spark, sf, "events").where("value is not null")
-    n = Window.partitionBy("event_type")
-    ranked = e.select("event_type", "value", F.row_number().over(n.orderBy("value")).alias("k"), F.count("*").over(n).alias("n"))
-    high = ranked.where("k = floor(0.95 * (n - 1)) + 1").groupBy("event_type").agg(F.max("value").alias("p95"))
-    return e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("p50"), F.count("*").alias("n")).join(high, "event_type")
+    n = F.col("n")
+    found = ranks.values_at(_t(spark, sf, "events"), "event_type", "value", {"low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1, "p95": F.floor(0.95 * (n - 1)) + 1})
+    return found.select("event_type", F.round((F.col("low") + F.col("high")) / 2, 6).alias("p50"), "n", "p95")
 
 
 def unmapped_labels(spark, sf):

@@ -137,7 +137,8 @@ def prompt_consistency(spark, sf):
     """Entities of made-up prompts whose found mentions share a placeholder, and collisions, by template."""
     found = detect.detect(synthetic.prompts(spark, 5000).withColumnRenamed("id", "doc_id"), names=True)
     named = mask.mask_each(found).withColumn("names", F.map_from_entries(F.transform("mapping", lambda m: F.struct(m["surface"], m["placeholder"]))))
-    return metrics.consistency(named).crossJoin(metrics.collisions(named))
+    both = metrics.consistency(named).unionByName(metrics.collisions(named), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def spurious_restores(spark, sf):
