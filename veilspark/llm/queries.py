@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, pii, quality, secrets, simhash, sketch, token_table, toxicity
+from . import bpe, conversation_repair, language, packing, pii, quality, secrets, simhash, sketch, token_table, toxicity, url_filter
 from .common import crc_of_id, shared_dir, table
 
 
@@ -79,8 +79,32 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: The rules of ``op12_url_filter``: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults: a row's identifiers settle which one it gets; dropped rows stay, with ``present`` false."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    rows = turns.select("conv_id", "turn", "role", "text", kind.alias("kind"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"), (F.col("kind") != 0).alias("present"), F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"))
+    return rows.drop("again")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_token_tables, op3_secrets, op4_quality, op5_language, op6_pii, op7_sketch, op8_toxicity, op9_packing, op10_simhash)}
+    ops = (op1_bpe, op2_token_tables, op3_secrets, op4_quality, op5_language, op6_pii, op7_sketch, op8_toxicity, op9_packing, op10_simhash, op12_url_filter, op13_conversations)
+    return {f.__name__: f for f in ops}
 
 
 OP4_SQL = r"""
@@ -101,5 +125,59 @@ FROM j
 """
 
 
+OP12_SQL = r"""
+WITH r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+u AS (SELECT row_number() OVER () AS k, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT k, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT s.k, arg_max(h || p, (length(h) + length(p), length(h))) AS rule, arg_max(v, (length(h) + length(p), length(h))) AS v
+  FROM s JOIN r ON (s.host = h OR suffix(s.host, '.' || h)) AND starts_with(s.path, p) GROUP BY s.k)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM s LEFT JOIN f USING (k)
+"""
+
+
+def _op13_sql() -> str:
+    """Backward dynamic programming over each conversation's rows: per state the least (cost, audit) and its text."""
+    none = f"{{'c': 1000000000, 'a': '', 't': ''}}"
+    least = lambda *x: f"list_sort([{', '.join(x)}])[1]"
+    piece = lambda head, rest: f"{head} || CASE WHEN {rest} = '' THEN '' ELSE chr(10) || {rest} END"
+    edit = lambda f, cost, letter, head: f"{{'c': {f}.c + {cost}, 'a': '{letter}' || {f}.a, 't': {piece(head, f + '.t') if head else f + '.t'}}}"
+    new = {"z": ("u", "user"), "s": ("u", "user"), "a": ("u", "user"), "u": ("a", "assistant")}
+    keep = {"z": [("s", "s"), ("u", "u")], "s": [("u", "u")], "a": [("u", "u")], "u": [("a", "a")]}
+
+    def insert(f: str, q: str) -> str:
+        return edit(f, 5, "I", f"'{new[q][1]}:'")
+
+    def closed(g: dict[str, str]) -> str:
+        u, a = least(g["u"], insert(g["a"], "u")), least(g["a"], insert(g["u"], "a"))
+        return f"{{'z': {least(g['z'], insert('(' + u + ')', 'z'))}, 's': {least(g['s'], insert('(' + u + ')', 's'))}, 'u': {u}, 'a': {a}}}"
+
+    def row(q: str) -> str:
+        to, role = new[q]
+        kept = "".join(f"WHEN x.i = '{i}' THEN {edit('f.' + p, '5 * x.cut', 'K', "x.role || ':' || x.text")} " for i, p in keep[q])
+        keeps = f"CASE WHEN x.gone THEN {none} {kept} ELSE {none} END"
+        reroled = f"CASE WHEN x.gone THEN {none} ELSE {edit('f.' + to, '1 + 5 * x.cut', 'R', "'" + role + ":' || x.text")} END"
+        return least(edit("f." + q, 2, "D", ""), keeps, reroled)
+
+    zero = "{'c': 0, 'a': '', 't': ''}"
+    ends = closed({"z": zero, "s": none, "u": none, "a": zero})
+    rows = f"{{'z': {row('z')}, 's': {row('s')}, 'u': {row('u')}, 'a': {row('a')}}}"
+    inserted = closed({q: f"g.{q}" for q in "zsua"})
+    return rf"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+n AS (SELECT *, xor(list_reduce(list_transform(string_split(key, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS again FROM n WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) > 1 AS again_seen,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen FROM d),
+e AS (SELECT *, CASE WHEN seen = '' THEN 'b' WHEN again_seen THEN 'd' WHEN NOT regexp_matches(seen, '[.!?]$') THEN 't' ELSE '' END AS fault, left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, list({{'role': role, 'text': text, 'i': left(role, 1), 'gone': fault IN ('b', 'd'), 'cut': CAST(fault = 't' AS INTEGER)}} ORDER BY i DESC) AS xs FROM e GROUP BY conv_id),
+b AS (SELECT *, list_reduce(xs, lambda f, x: list_transform([{rows}], lambda g: {inserted})[1], {ends}).z AS f FROM c)
+SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(f.c, 0) AS BIGINT) AS cost, coalesce(f.a, '') AS audit, sha256(coalesce(f.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN b ON v.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": OP4_SQL}
+    return {"op4_quality": OP4_SQL, "op12_url_filter": OP12_SQL, "op13_conversations": _op13_sql()}
