@@ -1,16 +1,19 @@
 """URL rules, conversation repair and ranked search: against SQL, brute force and on odd rows."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from functools import cache
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.llm import conversation_repair as cr
-from veilspark.llm import queries, url_filter
+from veilspark.llm import queries, ranked_search, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +26,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["op12_url_filter", "op13_conversations"])
+@pytest.mark.parametrize("name", ["op11_ranked_search", "op12_url_filter", "op13_conversations"])
 def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     df = queries.queries()[name](spark, SF)
     rel = duck.sql(queries.oracle_sql()[name])
@@ -134,3 +137,77 @@ def test_damage_follows_the_checksum(spark):
         kind = zlib.crc32(f"{c}:{t}".encode()) % 20
         want = {0: [("assistant", "a. b!", False)], 1: [("assistant", "", True)], 2: [("assistant", "a b", True)], 3: [("assistant", "a. b!", True)] * 2, 4: [("user", "a. b!", True)]}
         assert v == want.get(kind, [("assistant", "a. b!", True)])
+
+
+def ranked(docs, items, k):
+    """Brute force: every document's score for every item."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words = [(d, split(t)) for d, t in docs]
+    words = [(d, w) for d, w in words if w]
+    n_docs, n_terms = len(words), sum(len(w) for _, w in words)
+    out = []
+    for item in {i for i, _ in items}:
+        score = [0] * n_docs
+        for t in {t for i, x in items if i == item for t in split(x)}:
+            df = sum(t in w for _, w in words)
+            if df:
+                weight = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
+                for j, (_, w) in enumerate(words):
+                    if tf := w.count(t):
+                        score[j] += weight * (1_000_000_000 * tf // (1000 * tf + 8 * (10 + 90 * len(w) * n_docs // n_terms)))
+        best = sorted((-s, d is not None, d or 0, d) for s, (d, _) in zip(score, words) if s)[:k]
+        out += [(item, rank, d, -s) for rank, (s, _, _, d) in enumerate(best, 1)]
+    return out
+
+
+@pytest.mark.parametrize("shard, block, items_at_once", [(7, 2, 5), (1000, 64, 100_000)])
+def test_search_is_brute_force(spark, odd, monkeypatch, shard, block, items_at_once):
+    """Small shards, blocks and blocks of items; ties, repeated rows, nulls, a text that is longer than a shard."""
+    for name, value in (("SHARD_DOCS", shard), ("SHARD_CHARS", 5000), ("ITEM_TERMS", items_at_once)):
+        monkeypatch.setattr(ranked_search, name, value)
+    monkeypatch.setattr(ranked_search.block_ends, "__defaults__", (200_000, block))
+    rng = random.Random(3)
+    docs = [(r.doc_id, r.text) for r in odd.collect()] + [(100 + i, " ".join(rng.choices("aa Bb cC été w1 w2 w3 w4 w5".split(), weights=[40, 20, 9, 5, 3, 2, 1, 1, 1], k=rng.randint(1, 30)))) for i in range(200)]
+    docs += docs[-30:]
+    items = [(1, "aa bb-cc AA"), (2, "ÉTÉ été w5 w4 w3"), (3, None), (4, ""), (5, "nowhere"), (6, "w1 w2 w3 w4 w5 aa bb cc x tail"), (7, "text same"), (7, "w77"), (None, "mail words line")]
+    frame = spark.createDataFrame([(d, t, "z") for d, t in docs], "doc_id long, text string, SHARD string").repartition(3)
+    queried = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, w int")
+    got = ranked_search.search(ranked_search.index(frame), queried, k=4).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted((tuple(r) for r in got), key=key) == sorted(ranked(docs, items, 4), key=key)
+    assert ranked_search.search(ranked_search.index(frame.where("false")), queried).count() == 0
+    assert ranked_search.search(ranked_search.index(frame), queried.where("false")).count() == 0
+
+
+def test_blocks_are_the_cheapest():
+    """The choice of ends against all choices."""
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(1, 100, n) for n in (17, 18, 20, 1, 3, 19)]
+    places = [np.sort(rng.choice(60, len(x), replace=False)) for x in lists]
+    sizes = np.array([len(x) for x in lists])
+    values = np.concatenate(lists).astype(np.int32)
+    ends = ranked_search.block_ends(np.concatenate(places), values, np.cumsum(sizes) - sizes, sizes, cost=300, most=6)
+    for x, d, e in zip(lists, places, ends):
+        block = lambda a, b: 300 + int(d[b - 1] - d[a] + 1) * int(x[a:b].max())  # noqa: E731, B023
+        least = [0]
+        for i in range(1, len(x) + 1):
+            least.append(min(least[j] + block(j, i) for j in range(max(0, i - 6), i)))
+        assert e[-1] == len(x) and sum(map(block, [0, *e[:-1]], e)) == least[-1] and np.diff([0, *e]).max() <= 6
+
+
+def test_search_skips_blocks_and_stays_exact():
+    rng, n = np.random.default_rng(6), 4000
+    lists = []
+    for share in (0.5, 0.3, 0.02, 0.01):
+        docs = np.flatnonzero(rng.random(n) < share).astype(np.int32)
+        impacts = rng.integers(1, 1000, len(docs)).astype(np.int32)
+        ends = ranked_search.block_ends(docs, impacts, np.array([0]), np.array([len(docs)]), cost=3000)[0]
+        lists.append((int(100 / share), ranked_search.Postings(docs, impacts, docs[np.append(0, ends[:-1])], docs[ends - 1], np.maximum.reduceat(impacts, np.append(0, ends[:-1])))))
+    ids, known = np.arange(n), np.ones(n, bool)
+    found, scored = ranked_search.best_in_shard(lists, ids, known, 10)
+    score = np.zeros(n, np.int64)
+    for w, p in lists:
+        score[p.docs] += w * p.impacts.astype(np.int64)
+    want = np.lexsort((ids, -score))[:10]
+    assert found == [(int(d), int(score[d])) for d in want]
+    assert scored < sum(len(p.docs) for _, p in lists) / 2

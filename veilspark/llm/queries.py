@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, language, packing, pii, quality, secrets, simhash, sketch, token_table, toxicity, url_filter
+from . import bpe, conversation_repair, language, packing, pii, quality, ranked_search, secrets, simhash, sketch, token_table, toxicity, url_filter
 from .common import crc_of_id, shared_dir, table
 
 
@@ -79,6 +79,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"), k=10)
+
+
 #: The rules of ``op12_url_filter``: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -103,7 +108,7 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_bpe, op2_token_tables, op3_secrets, op4_quality, op5_language, op6_pii, op7_sketch, op8_toxicity, op9_packing, op10_simhash, op12_url_filter, op13_conversations)
+    ops = (op1_bpe, op2_token_tables, op3_secrets, op4_quality, op5_language, op6_pii, op7_sketch, op8_toxicity, op9_packing, op10_simhash, op11_ranked_search, op12_url_filter, op13_conversations)
     return {f.__name__: f for f in ops}
 
 
@@ -125,6 +130,19 @@ FROM j
 """
 
 
+OP11_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT k, doc_id, ws, CAST(len(ws) AS BIGINT) AS n FROM t WHERE len(ws) > 0),
+g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM s),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+p AS MATERIALIZED (SELECT k, w, CAST(count(*) AS BIGINT) AS tf FROM (SELECT k, unnest(ws) AS w FROM s) WHERE w IN (SELECT w FROM q) GROUP BY k, w),
+d AS (SELECT w, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM g) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM p GROUP BY w),
+i AS (SELECT k, w, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)) AS impact FROM p JOIN s USING (k), g),
+r AS (SELECT item_id, k, CAST(sum(weight * impact) AS BIGINT) AS score FROM q JOIN d USING (w) JOIN i USING (w) GROUP BY item_id, k),
+o AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank FROM r JOIN s USING (k) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
 OP12_SQL = r"""
 WITH r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 u AS (SELECT row_number() OVER () AS k, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -180,4 +198,4 @@ FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN b ON v.conv_id IS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": OP4_SQL, "op12_url_filter": OP12_SQL, "op13_conversations": _op13_sql()}
+    return {"op4_quality": OP4_SQL, "op11_ranked_search": OP11_SQL, "op12_url_filter": OP12_SQL, "op13_conversations": _op13_sql()}
