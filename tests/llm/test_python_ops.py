@@ -331,7 +331,7 @@ def edited_copies(rng, kind, n, share):
 KINDS = {"appended": (0.24, 0.30), "truncated": (0.19, 0.25), "replaced": (0.105, 0.15), "scattered": (0.105, 0.15)}
 
 
-@pytest.mark.parametrize("most", [near_copies.BLOCK_TEXTS, 2])
+@pytest.mark.parametrize("most", [near_copies.MOST, 2])
 def test_one_of_each_finds_every_kind_of_copy(spark, most):
     rng = np.random.default_rng(7)
     rows = []
@@ -363,6 +363,36 @@ def test_one_of_each_keeps_texts_below_the_similarity(spark):
     assert sorted(r.doc_id for r in kept) == list(range(far + 1))
 
 
+@pytest.mark.parametrize("n", [1000, 4000, 16000])
+def test_dealt_rows_are_constant_a_text(spark, n):
+    """Texts that share 100 words and nothing else: rows that meet don't grow with the size of their group."""
+    phrase = " ".join(f"licence{i}" for i in range(100))
+    rows = [(k, k, f"{phrase} " + " ".join(f"own{k}x{i}" for i in range(115))) for k in range(n)]
+    keyed = spark.createDataFrame(rows, "doc_id long, h long, text string").repartition(8)
+    rooted = near_copies.sketches(keyed).select("unit", F.col("unit").alias("root"), "n", "sign")
+    small, pairs, written = near_copies.dealt(rooted)
+    assert sum(w.count() for w in written) <= 8 * n and pairs.count() <= n
+    assert max(s.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0 for s in small) <= near_copies.MOST
+
+
+def test_copies_under_a_shared_phrase_are_found(spark):
+    """Copies among texts that all share a phrase, and a group of hundreds of copies of one another."""
+    rng = np.random.default_rng(9)
+    phrase = " ".join(f"licence{i}" for i in range(100))
+    rows = []
+    for _ in range(150):
+        a, b = edited_copies(rng, "scattered", 400, 0.09)
+        rows += [(len(rows), f"{phrase} {a}"), (len(rows) + 1, f"{phrase} {b}")]
+    base = [f"base{i}" for i in range(300)]
+    for k in range(300):
+        words = list(base)
+        for i in rng.choice(300, 3, replace=False):
+            words[i] = f"edit{k}x{i}"
+        rows.append((1000 + k, " ".join(words)))
+    kept = {r.doc_id for r in near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {*range(0, 300, 2), 1000}
+
+
 def test_packing_groups_do_not_hang_on_identifiers(spark):
     docs = spark.range(64).select(F.when(F.col("id") < 32, 7).cast("long").alias("doc_id"), F.lit("some words of a text").alias("text"))
     rows = packing.pack(packing.cut_pieces(docs, WORD, 0, 2048), 64, 2048, group_docs=8).collect()
