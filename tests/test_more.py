@@ -26,12 +26,62 @@ def test_bodies_are_masked_and_come_back(spark):
     assert json.loads(back) == {k: v for k, v in body.items() if k != "tools"}
 
 
-@pytest.mark.parametrize("body, want", more.BODIES)
+@pytest.mark.parametrize("body, want", more.BODIES + more.FORGED)
 def test_refusals(spark, body, want):
     row = requests.leaves(spark.createDataFrame([(body,)], "body string")).select(requests.reason().alias("r")).first()
     assert (row.r or "ok") == want
 
 
+def _random_value(rng, depth):
+    keys = ["input", "[]", "messages", "content", "input/[]", "role", ".prompt", "prompt", "text", "type", "model", "a b", "", "options", "x"]
+    kind = rng.random()
+    if depth == 0 or kind < 0.4:
+        return rng.choice(["secret", "user", "text", "json", "5m", 1, None, True])
+    if kind < 0.6:
+        return [_random_value(rng, depth - 1) for _ in range(rng.randrange(3))]
+    return {rng.choice(keys): _random_value(rng, depth - 1) for _ in range(rng.randrange(3))}
+
+
+def _may_pass(body):
+    """Brute force: whether every string is a text that is masked, or of a listed field and value."""
+    fields = ("prompt", "input", "system", "template", "suffix")
+
+    def fine(value, path):
+        if isinstance(value, dict):
+            return all(k not in requests.BLOCKED and fine(v, (*path, ("key", k))) for k, v in value.items())
+        if isinstance(value, list):
+            return all(fine(v, (*path, "at")) for v in value)
+        if not isinstance(value, str):
+            return True
+        keys = [p[1] if p != "at" else None for p in path]
+        if len(path) <= 2 and keys[0] in fields and (len(path) == 1 or path[1] == "at") or keys == ["model"]:
+            return True
+        if keys in (["messages", None, "content"], ["messages", None, "content", None, "text"]):
+            return True
+        return {("format",): ["json"], ("encoding_format",): ["float", "base64"], ("think",): ["low", "medium", "high"], ("keep_alive",): ["5m"], ("messages", None, "role"): ["system", "developer", "user", "assistant", "tool"], ("messages", None, "content", None, "type"): ["text"]}.get(tuple(keys), []).count(value) > 0
+
+    def message(m):
+        if not isinstance(m, dict) or not isinstance(m.get("content"), (str, list)):
+            return False
+        return isinstance(m["content"], str) or all(isinstance(p, dict) and sorted(p) == ["text", "type"] and isinstance(p["text"], str) and p["type"] == "text" for p in m["content"])
+
+    messages = body.get("messages")
+    if not (messages is None or isinstance(messages, list) and all(map(message, messages))):
+        return False
+    if any(f in body and not (isinstance(body[f], str) or isinstance(body[f], list) and all(isinstance(x, str) for x in body[f])) for f in fields):
+        return False
+    return fine(body, ())
+
+
+def test_random_bodies_pass_only_if_all_strings_are_known(spark):
+    rng = random.Random(4)
+    bodies = [{rng.choice(["input", "prompt", "messages", "model", "input/[]", "options", "[]", "format", "messages/[]"]): _random_value(rng, 3) for _ in range(rng.randrange(4))} for _ in range(3000)]
+    bodies += [{"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}]}], "format": "json", "keep_alive": "5m", "model": "m"}]
+    rows = requests.leaves(spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "i long, body string")).select("i", requests.reason().alias("r")).collect()
+    passed = {r.i for r in rows if r.r is None}
+    assert passed == {i for i, b in enumerate(bodies) if _may_pass(b)} and 300 < len(passed) < 2700
+
+
 def test_cache_predicts_what_is_missing(spark, tmp_path):
     asked = []
 

@@ -34,13 +34,16 @@ def _running(pairs: Column) -> Column:
     return F.flatten(F.transform(F.aggregate(parts, F.array(F.array(first)), chunk), lambda x: F.slice(x, F.lit(2), F.lit(CHUNK))))
 
 
-def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+def with_spans(df: DataFrame, text: str, patterns: dict[str, str], gates: dict[str, Column] | None = None) -> DataFrame:
     """Add, for each name, the array of (start, end, surface) of a pattern's leftmost non-overlapping matches.
 
     ``text`` must not be null.  A match must not be empty.  Texts without a match are
-    gone through once; the others a second time, for the gaps between matches.
+    gone through once; the others a second time, for the gaps between matches.  Texts
+    for which a pattern's gate is false aren't gone through for it.
     """
-    hits = df.withColumns({f"{n}__hits": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for n, p in patterns.items()})
+    gates = gates or {}
+    found = {n: F.regexp_extract_all(text, F.lit(p), F.lit(0)) for n, p in patterns.items()}
+    hits = df.withColumns({f"{n}__hits": F.when(gates[n], x).otherwise(F.array().cast("array<string>")) if n in gates else x for n, x in found.items()})
     pairs = {}
     for n, p in patterns.items():
         zipped = F.arrays_zip(F.split(F.col(text), p, -1).alias("gap"), F.col(f"{n}__hits").alias("hit"))

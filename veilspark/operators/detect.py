@@ -1,54 +1,128 @@
-"""From texts to resolved entity spans: rules, greedy overlap resolution, arbitration."""
+"""From texts to resolved entity spans: rules, names, greedy overlap resolution, arbitration.
+
+Patterns run as DataFrame expressions on texts that a rule's gate lets through.  Walks,
+names, the second search and the choice among overlapping candidates need what was found before;
+they are a pass over a text's spans in Arrow batches, and take bisections where they look for a
+span.  A null text has no spans; texts are gone through whole; repeated rows are rows of their own.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.functions.spans import held, with_spans
 
 from .lexicon import UNIFIED
-from .names import add_names
-from .rules import RULES, WIDE_RULES, Rule, passes
+from .names import discovered, named
+from .rules import RULES, WIDE_RULES, Rule, listed_words, may_match, passes
+from .spansets import Found, greedy
+from .walks import WALKS, Words
 
 ENTITY = "array<struct<start:bigint,end:bigint,label:string,surface:string,rule:string>>"
+#: What is found, by stage: every match of every rule, candidates best first, entities.
+STAGES = {
+    "matches": "array<struct<start:bigint,end:bigint,label:string,surface:string,priority:int,rule:string>>",
+    "candidates": "array<struct<order:int,neg_len:bigint,start:bigint,seq:int,end:bigint,label:string,surface:string,rule:string>>",
+    "entities": ENTITY,
+}
 
 
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def matches(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
-    """Add ``matches``: every match of every rule, in the order of the rules and of the text."""
-    found = with_spans(df, text, {f"r__{r.name}": r.pattern for r in rules})
+def list_of(rows: list[list[tuple]], kind: pa.DataType) -> pa.Array:
+    """An Arrow list of structs from lists of tuples."""
+    ends = np.cumsum([0] + [len(r) for r in rows])
+    columns = list(zip(*[x for r in rows for x in r])) or [()] * kind.value_type.num_fields
+    fields = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
+    made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
+
+
+def arrow_type(spark_type: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    def of(r: Rule) -> Column:
+    return to_arrow_type(T._parse_datatype_string(spark_type))
+
+
+def ranked(found: list[tuple]) -> list[tuple]:
+    """Matches as candidates, best first: priority, length, start, place in the order of rules."""
+    return sorted((-priority, s - e, s, i, e, UNIFIED.get(label, "OTHER"), surface, rule) for i, (s, e, label, surface, priority, rule) in enumerate(found))
+
+
+def _stage(df: DataFrame, text: str, rules: list[Rule], names: bool, out: str, gated: bool = True) -> DataFrame:
+    """Add one of ``STAGES``."""
+    keep = [c for c in df.columns if c.lower() != out.lower()]
+    rows = df.withColumn("r__text", F.coalesce(text, F.lit("")))
+    if gated:
+        rows = rows.withColumn("r__words", held(listed_words(F.col("r__text"), rules)))
+    gate = {r.name: may_match(r, F.col("r__text"), F.col("r__words")) if gated else F.lit(True) for r in rules}
+    rows = with_spans(rows, "r__text", {f"r__{r.name}": r.pattern for r in rules if r.pattern}, {f"r__{r.name}": g for r in rules if r.pattern for g in [gate[r.name]]})
+
+    def of(i: int, r: Rule) -> Column:
         kept = F.filter(f"r__{r.name}", lambda s: (F.length(F.trim(s["surface"])) > 0) & passes(r, s["surface"]))
-        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(r.label).alias("label"), s["surface"].alias("surface"), F.lit(r.priority).alias("priority"), F.lit(r.name).alias("rule")))
+        return F.transform(kept, lambda s: F.struct(F.lit(i).alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
+
+    none = F.array().cast("array<struct<rule:int,start:bigint,end:bigint>>")
+    spans = F.concat(none, *[of(i, r) for i, r in enumerate(rules) if r.pattern])
+    walks = F.array_compact(F.array(F.lit(None).cast("int"), *[F.when(gate[r.name], F.lit(i)) for i, r in enumerate(rules) if r.walk]))
+    kept = [F.col(f"`{c}`") for c in keep]
+    rows = rows.select(*kept, F.col("r__text"), spans.alias("r__spans"), walks.alias("r__walks"))
+    kind, last = arrow_type(STAGES[out]), len(keep)
+
+    def found_in(t: str, spans: list[tuple[int, int, int]], walks: list[int]) -> list[tuple]:
+        words = Words(t) if walks or names else None
+        every = spans + [(i, s, e) for i in walks for s, e in WALKS[rules[i].walk](words)]
+        found = Found()
+        for i, s, e in sorted(every) if walks else every:
+            found.add(s, e, rules[i].label, t[s:e], rules[i].priority, rules[i].name)
+        if names:
+            named(found, words)
+            discovered(found, t)
+        if out == "matches":
+            return found.all
+        best = ranked(found.all)
+        return best if out == "candidates" else greedy([(s, e, label, surface, rule) for _, _, s, _, e, label, surface, rule in best])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans, walks = (batch.column(last + k) for k in range(3))
+            flat = spans.flatten()
+            places = list(zip(*[flat.field(n).to_pylist() for n in ("rule", "start", "end")]))
+            ends = np.cumsum([0, *spans.value_lengths().to_pylist()]).tolist()
+            made = []
+            for k, (t, w) in enumerate(zip(texts.to_pylist(), walks.to_pylist())):
+                here = places[ends[k] : ends[k + 1]]
+                made.append(found_in(t, here, w) if here or w or names else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], list_of(made, kind)], names=[*keep, out])
+
+    schema = T.StructType([*rows.schema.fields[:last], T.StructField(out, T._parse_datatype_string(STAGES[out]))])
+    return rows.mapInArrow(run, schema)
 
-    return found.withColumn("matches", held(F.concat(*[of(r) for r in rules]))).drop(*[f"r__{r.name}" for r in rules])
 
+def matches(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
+    """Add ``matches``: every match of every rule, in the order of the rules and of the text."""
+    return _stage(df, text, rules, False, "matches")
 
-def candidates(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = False) -> DataFrame:
-    """Add ``candidates``, best first (priority, length, start, place in the order of rules); with ``names`` those of ``names`` too."""
-    found = matches(df.withColumn("r__text", F.coalesce(text, F.lit(""))), "r__text", rules)
-    if names:
-        found = add_names(found, "r__text", "matches")
-    label = F.create_map(*[F.lit(x) for kv in UNIFIED.items() for x in kv])
-    every = F.transform("matches", lambda m, i: F.struct((-m["priority"]).alias("order"), (m["start"] - m["end"]).alias("neg_len"), m["start"].alias("start"), i.alias("seq"), m["end"].alias("end"), F.coalesce(label[m["label"]], F.lit("OTHER")).alias("label"), m["surface"].alias("surface"), m["rule"].alias("rule")))
-    return found.withColumn("candidates", held(F.array_sort(every))).drop("r__text", "matches")
 
+def candidates(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = False, gated: bool = True) -> DataFrame:
+    """Add ``candidates``, best first; with ``names`` those of ``names`` too."""
+    return _stage(df, text, rules, names, "candidates", gated)
 
-def resolved(best_first: Column) -> Column:
-    """Greedy: a candidate stays if it overlaps none that stayed; then by start."""
-    slim = F.transform(best_first, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["label"].alias("label"), c["surface"].alias("surface"), c["rule"].alias("rule")))
-    kept = F.aggregate(slim, F.array().cast(ENTITY), lambda done, c: F.when(F.exists(done, lambda k: overlaps(k, c)), done).otherwise(F.concat(done, F.array(c))))
-    return F.array_sort(kept)
 
+def detect(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = False, gated: bool = True) -> DataFrame:
+    """Add ``entities``: resolved spans by start; with ``names`` also by line, signature and second search.
 
-def detect(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = False) -> DataFrame:
-    """Add ``entities``: resolved spans by start; with ``names`` also by line, signature and second search."""
-    return candidates(df, text, rules, names).withColumn("entities", held(resolved(F.col("candidates")))).drop("candidates")
+    Greedy: a candidate stays if it overlaps none that stayed.
+    """
+    return _stage(df, text, rules, names, "entities", gated)
 
 
 def arbitrate(rule_spans: Column, model_spans: Column, strong: tuple[str, ...] = ("DATE", "TIME", "PHONE", "EMAIL", "URL", "ID")) -> Column:

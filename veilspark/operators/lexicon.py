@@ -47,6 +47,15 @@ DOMAINS = "com es net org cat eu edu gov info biz".split()
 # Words that may not follow a doctor's title.
 NOT_AFTER_TITLE = "OI OD HTA EA AP ANM AMC dret dreta drenaje dren droga drogueta dramático drástica".split()
 
+NOT_AFTER_TITLE_LOW = {w.lower() for w in NOT_AFTER_TITLE}
+
+# doctors' titles (the short ones may have a dot), units of age, a country's calling code, what a URL begins with.
+TITLES_SHORT = "dr dra drs".split()
+TITLES = [*TITLES_SHORT, "doctor", "doctora"]
+AGE_UNITS = "año años a".split()
+COUNTRY_CODES = ["+34", "0034"]
+URL_LEADS = ["http://", "https://", "ftp://", "www."]
+
 # Kinship words in Spanish and Catalan.
 KINSHIP = (
     "madre padre hijo hija esposo esposa marido mujer hermano hermana tío tía abuelo abuela nieto nieta sobrino sobrina primo prima cuñado cuñada "

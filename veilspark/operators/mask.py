@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.functions.rows import with_rows
 from veilspark.functions.spans import held, with_spans
 
 from .detect import detect
@@ -17,6 +18,7 @@ NUMBERED_TAG = rf"(?:{TAG_WORDS})[\s_]*\d+(?!\d)"
 PLACEHOLDER = rf"(?iU)\*{{0,2}}\[\s*{NUMBERED_TAG}\s*\](?-i:'s|s)?\*{{0,2}}"
 #: Text that is shaped like a placeholder or like a part of one.
 LITERAL = rf"(?iU)\*{{0,2}}(?:\[\s*{NUMBERED_TAG}(?:\s*\](?-i:'s|s)?)?|(?<![A-Za-z0-9]){NUMBERED_TAG}\s*\]?)\*{{0,2}}"
+MAPPING = "array<struct<surface:string,tag:string,n:int,placeholder:string>>"
 OPEN, CLOSE = "\ue000", "\ue001"
 
 
@@ -39,40 +41,45 @@ def numbered(spans: DataFrame, request: str, text_seq: str | None = None) -> Dat
     return tagged.withColumn("n", n).withColumn("placeholder", F.concat(F.lit("["), "tag", F.lit("_"), F.col("n").cast("string"), F.lit("]"))).drop("visit")
 
 
-def mask(df: DataFrame, mapping: DataFrame, request: str, text: str = "text", spans: str = "entities", out: str = "masked") -> DataFrame:
-    """Put each span's placeholder in its place; ``mapping`` as from ``numbered``."""
-    table = mapping.groupBy(request).agg(F.map_from_entries(F.collect_list(F.struct("surface", "placeholder"))).alias("m__"))
-    joined = df.join(table, request, "left")
-    joined = joined.withColumns({"m__": held(F.coalesce("m__", F.create_map().cast("map<string,string>"))), "m__spans": held(F.array_sort(spans))})
-    return joined.withColumn(out, spliced(F.col(text), F.col("m__spans"), F.col("m__"))).drop("m__", "m__spans")
+def spliced(text: str, spans: list[dict], names: dict[str, str]) -> str:
+    """The text with ``names[surface]`` in the place of each span (none overlaps): gaps and names, joined once."""
+    pieces, at = [], 0
+    for s in sorted(spans, key=lambda s: s["start"]):
+        pieces += [text[at : s["start"]], names.get(s["surface"], s["surface"])]
+        at = s["end"]
+    return "".join([*pieces, text[at:]])
 
 
-def mask_each(df: DataFrame, key: str = "doc_id", text: str = "text", spans: str = "entities") -> DataFrame:
-    """Every row is a request of its own: numbers from the array of spans, without a shuffle; adds ``mapping`` and ``masked``."""
-    zero = F.array().cast("array<struct<surface:string,tag:string,n:int,placeholder:string>>")
+def named(spans: list[dict]) -> dict[str, tuple[str, int, str]]:
+    """Of each surface its tag, number and placeholder, from the last span to the first; numbers count up for each tag."""
+    found, last = {}, {}
+    for s in sorted(spans, key=lambda s: (s["start"], s["end"]), reverse=True):
+        if s["surface"] not in found:
+            tag = TAGS.get(s["label"], "ANONIMO")
+            last[tag] = n = last.get(tag, 0) + 1
+            found[s["surface"]] = (tag, n, f"[{tag}_{n}]")
+    return found
+
 
-    def visit(done: Column, e: Column) -> Column:
-        tag = tag_of(e["label"])
-        n = F.size(F.filter(done, lambda m: m["tag"] == tag)) + 1
-        new = F.struct(e["surface"].alias("surface"), tag.alias("tag"), n.alias("n"), F.concat(F.lit("["), tag, F.lit("_"), n.cast("string"), F.lit("]")).alias("placeholder"))
-        return F.when(F.exists(done, lambda m: m["surface"] == e["surface"]), done).otherwise(F.concat(done, F.array(new)))
+def _slim(spans: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["surface"].alias("surface")))
 
-    df = df.withColumn("mapping", held(F.aggregate(F.reverse(F.array_sort(spans)), zero, visit)))
-    names = F.map_from_entries(F.transform("mapping", lambda m: F.struct(m["surface"], m["placeholder"])))
-    df = df.withColumns({"m__names": held(names), "m__spans": held(F.array_sort(spans))})
-    return df.withColumn("masked", spliced(F.col(text), F.col("m__spans"), F.col("m__names"))).drop("m__names", "m__spans")
 
+def mask(df: DataFrame, mapping: DataFrame, request: str, text: str = "text", spans: str = "entities", out: str = "masked") -> DataFrame:
+    """Put each span's placeholder in its place; ``mapping`` as from ``numbered``."""
+    table = mapping.groupBy(request).agg(F.collect_list(F.struct("surface", "placeholder")).alias("m__"))
+    work = lambda t, spans, names: (None if t is None else spliced(t, spans or [], {n["surface"]: n["placeholder"] for n in names or []}),)
+    return with_rows(df.join(table, request, "left"), {"text": F.col(text), "spans": _slim(spans), "names": F.col("m__")}, work, {out: "string"}).drop("m__")
 
-def spliced(text: Column, spans: Column, names: Column) -> Column:
-    """The text with ``names[surface]`` in the place of each span (by start, none overlaps): gaps and names, joined once."""
 
-    def piece(e: Column, i: Column) -> Column:
-        at = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(spans, i - 1)["end"])
-        gap = F.substring(text, (at + 1).cast("int"), (e["start"] - at).cast("int"))
-        return F.concat(gap, F.coalesce(names[e["surface"]], e["surface"]))
+def mask_each(df: DataFrame, key: str = "doc_id", text: str = "text", spans: str = "entities") -> DataFrame:
+    """Every row is a request of its own: numbers from its spans, without a shuffle; adds ``mapping`` and ``masked``."""
+
+    def work(t: str | None, spans: list[dict] | None) -> tuple:
+        names = named(spans or [])
+        return [(s, *x) for s, x in names.items()], None if t is None else spliced(t, spans or [], {s: p for s, (_, _, p) in names.items()})
 
-    last = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0).cast("bigint"))
-    return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
+    return with_rows(df, {"text": F.col(text), "spans": _slim(spans)}, work, {"mapping": MAPPING, "masked": "string"})
 
 
 def restore(df: DataFrame, text: str = "masked", mapping: str = "mapping", out: str = "restored", tokens: str | None = None) -> DataFrame:
@@ -181,7 +188,7 @@ def anonymize_requests(df: DataFrame, request: str, seq: str, text: str = "text"
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("q__first").alias("first"), F.col("q__literals").alias("x")))), lambda s: s["x"])).alias("literals"),
         F.array_distinct(F.flatten(F.collect_list(words_of(F.col(text))))).alias("tokens"),
     )
-    none = F.array().cast("array<struct<surface:string,tag:string,n:int,placeholder:string>>")
+    none = F.array().cast(MAPPING)
     keys = texts.join(named, request, "left").withColumn("mapping", F.coalesce("mapping", none))
     return masked.drop("q__literals"), keys
 

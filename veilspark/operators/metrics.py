@@ -2,21 +2,27 @@
 
 A frame has ``doc_id``, ``text``, ``gold`` and ``pred`` (arrays of spans by start) and,
 where words count, ``words``.  Spans of a document meet in its row, so no span is
-exploded, joined or sorted by document: every figure is an expression of the arrays, then
+exploded, joined or sorted by document: what overlaps what is found once for a row, by
+bisection (``with_touch``); every figure is an expression of the arrays, then
 one sum over documents, of which tasks pass on a row or a row for each label.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.functions.rows import with_rows
 from veilspark.functions.spans import held, with_spans
 
-from .detect import overlaps
-
 # Labels of direct identifiers, and of the wide definition of a leak.
 DIRECT = ("NAME", "ID", "PHONE", "EMAIL")
 WIDE = ("EMAIL", "FAMILY", "NAME", "ID", "PHONE", "URL", "PROFESSIONAL")
@@ -44,49 +50,77 @@ def total(value: Column) -> Column:
 # -- of one row
 
 
-def hits(span: Column, others: Column) -> Column:
-    """Whether one of the others overlaps the span."""
-    return F.exists(others, lambda o: overlaps(span, o))
+def touched(spans: list[dict], others: list[dict]) -> list[tuple[int, int]]:
+    """For each span where the others (by start) begin and end among which those are that overlap it; the first of them does, (-1, -1) if none."""
+    starts, ends = [o["start"] for o in others], list(accumulate((o["end"] for o in others), max))
+    out = []
+    for s in spans:
+        low, high = bisect_right(ends, s["start"]), bisect_left(starts, s["end"])
+        out.append((low, high) if low < high else (-1, -1))
+    return out
 
 
-def lost(gold: str = "gold", pred: str = "pred") -> Column:
-    """True spans that no predicted one overlaps."""
-    return F.filter(gold, lambda g: ~hits(g, F.col(pred)))
+def with_touch(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
+    """Add, for each pair of arrays of spans, an array of (first, stop): where the second has what overlaps each of the first."""
+    columns = sorted({c for pair in pairs.values() for c in pair})
+    slim = lambda c: F.coalesce(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    at = [(columns.index(a), columns.index(b)) for a, b in pairs.values()]
+    work = lambda *spans: tuple(touched(spans[a], spans[b]) for a, b in at)
+    return with_rows(df, {c: slim(c) for c in columns}, work, {n: "array<struct<first:int,stop:int>>" for n in pairs})
+
+
+def hit(touch: str, i: Column) -> Column:
+    """Whether something overlaps the i-th span."""
+    return F.get(touch, i)["first"] >= 0
 
 
-def equal(a: Column, b: Column) -> Column:
-    return (a["start"] == b["start"]) & (a["end"] == b["end"])
+def lost(gold: str = "gold", touch: str = "t_gold") -> Column:
+    """True spans that no predicted one overlaps."""
+    return F.filter(gold, lambda g, i: ~hit(touch, i))
 
 
 def with_words(df: DataFrame) -> DataFrame:
     """Add ``words``: runs without white space, and whether true and predicted spans overlap them."""
     found = with_spans(df.withColumn("w__text", F.coalesce("text", F.lit(""))), "w__text", {"w__words": r"(?U)\S+"})
-    flags = F.transform("w__words", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["surface"].alias("surface"), hits(w, F.col("gold")).alias("g"), hits(w, F.col("pred")).alias("p")))
-    return found.withColumn("words", held(flags)).drop("w__text", "w__words")
+    found = with_touch(found, w__gold=("w__words", "gold"), w__pred=("w__words", "pred"))
+    flags = F.transform("w__words", lambda w, i: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["surface"].alias("surface"), hit("w__gold", i).alias("g"), hit("w__pred", i).alias("p")))
+    return found.withColumn("words", held(flags)).drop("w__text", "w__words", "w__gold", "w__pred")
 
 
-def greedy(exact: bool) -> Column:
+def greedy(gold: list[dict], pred: list[dict], exact: bool) -> int:
     """True spans in order, each taking the first free predicted one that overlaps (or equals) it: how many find one."""
-    ok = equal if exact else overlaps
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).cast("long").alias("tp"))
+    if exact:
+        return (Counter((g["start"], g["end"]) for g in gold) & Counter((p["start"], p["end"]) for p in pred)).total()
+    free, taken = list(range(len(pred) + 1)), 0
+
+    def next_free(k: int) -> int:
+        while free[k] != k:
+            free[k] = free[free[k]]
+            k = free[k]
+        return k
 
-    def step(s: Column, g: Column) -> Column:
-        free = F.filter(F.transform("pred", lambda p, i: F.when(ok(g, p) & ~F.array_contains(s["used"], i), i)), lambda i: i.isNotNull())
-        first = F.try_element_at(free, F.lit(1))
-        return F.when(first.isNull(), s).otherwise(F.struct(F.array_append(s["used"], first).alias("used"), (s["tp"] + 1).alias("tp")))
+    for g, (first, stop) in zip(gold, touched(gold, pred)):
+        k = next_free(first) if first >= 0 else stop
+        while k < stop and pred[k]["end"] <= g["start"]:
+            k = next_free(k + 1)
+        if k < stop:
+            free[k], taken = k + 1, taken + 1
+    return taken
 
-    return F.aggregate("gold", start, step, lambda s: s["tp"])
 
+def among(touch: Column, pred: str = "pred") -> Column:
+    """The predicted spans (which don't overlap each other) that a touch points at."""
+    return F.when(touch["first"] >= 0, F.slice(pred, touch["first"] + 1, touch["stop"] - touch["first"])).otherwise(F.slice(pred, F.lit(1), F.lit(0)))
 
-def removed(span: Column, pred: str = "pred") -> Column:
-    """Characters of the span that predicted ones (which don't overlap each other) take out."""
-    part = lambda n, p: n + F.greatest(F.lit(0).cast("long"), F.least(span["end"], p["end"]) - F.greatest(span["start"], p["start"]))
-    return F.aggregate(pred, F.lit(0).cast("long"), part)
 
+def removed(span: Column, inner: Column) -> Column:
+    """Characters of the span that the predicted ones in it take out."""
+    part = lambda n, p: n + F.least(span["end"], p["end"]) - F.greatest(span["start"], p["start"])
+    return F.aggregate(inner, F.lit(0).cast("long"), part)
 
-def residue(span: Column, pred: str = "pred", text: str = "text") -> Column:
-    """The span's text that no predicted span takes out."""
-    inner = F.filter(pred, lambda p: overlaps(p, span))
+
+def residue(span: Column, inner: Column, text: str = "text") -> Column:
+    """The span's text that none of the predicted ones in it takes out."""
     cut = lambda a, b: F.when(b > a, F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
     ends = F.concat(F.array(span["start"]), F.transform(inner, lambda p: p["end"]))
     starts = F.concat(F.transform(inner, lambda p: p["start"]), F.array(span["end"]))
@@ -104,17 +138,27 @@ def word_scores(df: DataFrame) -> DataFrame:
 
 def per_class(df: DataFrame) -> DataFrame:
     """Strict scores for each label: spans and labels must be equal, each predicted span counts for one true one."""
-    same = lambda a, b: equal(a, b) & (a["label"] == b["label"])
-    one = lambda s, g, p, tp: F.struct(s["label"].alias("label"), F.lit(g).alias("g"), F.lit(p).alias("p"), tp.cast("long").alias("tp"))
-    nth = lambda s, i: F.size(F.filter(F.slice("gold", F.lit(1), i + 1), lambda o: same(o, s)))
-    gold = F.transform("gold", lambda s, i: one(s, 1, 0, nth(s, i) <= F.size(F.filter("pred", lambda o: same(o, s)))))
-    rows = df.select(F.explode(F.concat(gold, F.transform("pred", lambda s: one(s, 0, 1, F.lit(0))))).alias("x"))
-    sums = rows.groupBy("x.label").agg(F.sum("x.tp").alias("tp"), F.sum("x.p").alias("p"), F.sum("x.g").alias("support"))
+
+    def work(gold: list[dict], pred: list[dict]) -> tuple:
+        of = lambda spans: Counter((s["label"], s["start"], s["end"]) for s in spans or [])
+        g, p = of(gold), of(pred)
+        sums: dict = {}
+        for part, counts in enumerate((g & p, p, g)):
+            for (label, _, _), n in counts.items():
+                sums.setdefault(label, [0, 0, 0])[part] += n
+        return ([(label, *n) for label, n in sums.items()],)
+
+    slim = lambda c: F.transform(c, lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end")))
+    each = with_rows(df.select("gold", "pred"), {"gold": slim("gold"), "pred": slim("pred")}, work, {"scores": "array<struct<label:string,tp:bigint,p:bigint,g:bigint>>"})
+    sums = each.select(F.explode("scores").alias("x")).groupBy("x.label").agg(F.sum("x.tp").alias("tp"), F.sum("x.p").alias("p"), F.sum("x.g").alias("support"))
     return prf(sums.select("label", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"), "support"))
 
 
 def span_scores(df: DataFrame, exact: bool) -> DataFrame:
-    m = df.select(greedy(exact).alias("tp"), count(F.col("gold")).alias("g"), count(F.col("pred")).alias("p"))
+    slim = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    work = lambda gold, pred: (greedy(gold or [], pred or [], exact),)
+    m = with_rows(df.select("gold", "pred"), {"gold": slim("gold"), "pred": slim("pred")}, work, {"tp": "bigint"})
+    m = m.select("tp", count(F.col("gold")).alias("g"), count(F.col("pred")).alias("p"))
     return prf(m.agg(total(F.col("tp")).alias("tp"), total(F.col("p") - F.col("tp")).alias("fp"), total(F.col("g") - F.col("tp")).alias("fn")))
 
 
@@ -127,14 +171,14 @@ def leaks(labels: tuple[str, ...] | None) -> Column:
 def leakage(df: DataFrame) -> DataFrame:
     """Documents, and those with a lost span: of a direct class, of the wide definition, of any."""
     kinds = {"direct": DIRECT, "wide": WIDE, "any": None}
-    each = df.select(*[leaks(x).alias(n) for n, x in kinds.items()])
+    each = with_touch(df, t_gold=("gold", "pred")).select(*[leaks(x).alias(n) for n, x in kinds.items()])
     return each.agg(F.count("*").alias("docs"), *[total(F.col(n)).alias(n) for n in kinds])
 
 
 def leak_attribution(df: DataFrame) -> DataFrame:
     """Documents by what leaks of the wide definition: one class alone, or several; ``several`` comes first, documents without a leak count for the rate only."""
     classes = F.array_distinct(F.transform(F.filter(lost(), lambda g: g["label"].isin(*WIDE)), lambda g: g["label"]))
-    each = df.select(held(classes).alias("c"))
+    each = with_touch(df, t_gold=("gold", "pred")).select(held(classes).alias("c"))
     kind = F.when(F.size("c") == 0, None).when(F.size("c") == 1, F.concat(F.lit("solo_"), F.get("c", F.lit(0)))).otherwise("multiple")
     buckets = each.groupBy(kind.alias("bucket")).agg(F.count("*").alias("docs"))
     # a row for each label at most
@@ -144,15 +188,16 @@ def leak_attribution(df: DataFrame) -> DataFrame:
 
 def neutralised(df: DataFrame) -> DataFrame:
     """For each label its true spans, and those that a predicted one overlaps."""
-    rows = df.select(F.explode(F.transform("gold", lambda g: F.struct(g["label"].alias("label"), hits(g, F.col("pred")).cast("long").alias("hit")))).alias("x"))
+    rows = with_touch(df, t_gold=("gold", "pred")).select(F.explode(F.transform("gold", lambda g, i: F.struct(g["label"].alias("label"), hit("t_gold", i).cast("long").alias("hit")))).alias("x"))
     return rows.groupBy("x.label").agg(F.count("*").alias("total"), F.sum("x.hit").alias("covered"))
 
 
 def strict_coverage(df: DataFrame) -> DataFrame:
     """True spans (all, direct) by how much of them is taken out, and those of which letters or digits stay."""
-    rest = lambda g: F.regexp_replace(residue(g), r"[^\p{L}\p{N}]", "")
-    state = lambda g: F.when(removed(g) == 0, "missed").when(removed(g) >= g["end"] - g["start"], "full").otherwise("partial")
-    rows = df.select(F.explode(F.transform("gold", lambda g: F.struct(g["label"].isin(*DIRECT).alias("direct"), state(g).alias("state"), (F.length(rest(g)) > 0).cast("long").alias("left")))).alias("x"))
+    within = lambda i: among(F.get("t_gold", i))
+    rest = lambda g, i: F.regexp_replace(residue(g, within(i)), r"[^\p{L}\p{N}]", "")
+    state = lambda g, i: F.when(removed(g, within(i)) == 0, "missed").when(removed(g, within(i)) >= g["end"] - g["start"], "full").otherwise("partial")
+    rows = with_touch(df, t_gold=("gold", "pred")).select(F.explode(F.transform("gold", lambda g, i: F.struct(g["label"].isin(*DIRECT).alias("direct"), state(g, i).alias("state"), (F.length(rest(g, i)) > 0).cast("long").alias("left")))).alias("x"))
     return rows.groupBy("x.state").agg(F.count("*").alias("spans"), F.sum(F.col("x.direct").cast("long")).alias("direct"), F.sum("x.left").alias("with_residue"), F.sum(F.when(F.col("x.direct"), F.col("x.left")).otherwise(0)).alias("direct_with_residue"))
 
 
@@ -164,17 +209,18 @@ def over_redaction(df: DataFrame) -> DataFrame:
     return sums.withColumn("rate", F.round(ratio(F.col("covered"), F.col("outside")), 6))
 
 
-def source_of(span: Column, model: Column, rule: Column) -> Column:
-    """Which detector covers a place: both, the model, a rule by the label of its first span, or none."""
-    by_rule = F.try_element_at(F.filter(rule, lambda r: overlaps(span, r)), F.lit(1))["label"]
-    by_model = hits(span, model)
+def source_of(i: Column, model: str, rule: str, rules: str) -> Column:
+    """Which detector covers the i-th place: both, the model, a rule by the label of its first span, or none; by touches of both."""
+    by_rule = F.when(hit(rule, i), F.get(rules, F.get(rule, i)["first"])["label"])
+    by_model = hit(model, i)
     return F.when(by_model & by_rule.isNotNull(), "model+rule").when(by_model, "model").when(by_rule.isNotNull(), F.concat(F.lit("rule:"), by_rule)).otherwise("unattributed")
 
 
 def over_redaction_sources(df: DataFrame, model: str = "model", rule: str = "rules") -> DataFrame:
     """Covered words outside true spans by the detector that covers them, most first."""
-    words = F.filter("words", lambda w: ~w["g"] & w["p"])
-    rows = with_words(df).select(F.explode(F.transform(words, lambda w: source_of(w, F.col(model), F.col(rule)))).alias("source"))
+    found = with_touch(with_words(df), t_model=("words", model), t_rule=("words", rule))
+    sources = F.transform("words", lambda w, i: F.when(~w["g"] & w["p"], source_of(i, "t_model", "t_rule", rule)))
+    rows = found.select(F.explode(sources).alias("source")).where("source is not null")
     return rows.groupBy("source").agg(F.count("*").alias("words")).orderBy(F.desc("words"), "source")
 
 
@@ -185,8 +231,9 @@ def plain_text(surface: Column) -> Column:
 
 def top_false_positives(df: DataFrame, n: int = 20, model: str = "model", rule: str = "rules") -> DataFrame:
     """The texts that are found most often where no true span is, with their most frequent detector (ties: by name)."""
-    wrong = F.filter("pred", lambda p: ~hits(p, F.col("gold")))
-    rows = df.select(F.explode(F.transform(wrong, lambda p: F.struct(plain_text(p["surface"]).alias("text"), source_of(p, F.col(model), F.col(rule)).alias("source")))).alias("x")).where("x.text <> ''")
+    found = with_touch(df, t_pred=("pred", "gold"), t_model=("pred", model), t_rule=("pred", rule))
+    wrong = F.transform("pred", lambda p, i: F.when(~hit("t_pred", i), F.struct(plain_text(p["surface"]).alias("text"), source_of(i, "t_model", "t_rule", rule).alias("source"))))
+    rows = found.select(F.explode(wrong).alias("x")).where("x.text <> ''")
     counts = rows.groupBy("x.text", "x.source").agg(F.count("*").alias("k"))
     best = counts.groupBy("text").agg(F.sum("k").alias("n"), F.min(F.struct((-F.col("k")).alias("k"), "source"))["source"].alias("source"))
     return best.orderBy(F.desc("n"), "text").limit(n)
@@ -194,17 +241,21 @@ def top_false_positives(df: DataFrame, n: int = 20, model: str = "model", rule:
 
 def rule_false_words(df: DataFrame, matches: str = "matches") -> DataFrame:
     """For each rule the words outside true spans that its matches cover, before anything is resolved."""
-    outside = F.filter("words", lambda w: ~w["g"])
-    names = F.array_distinct(F.transform(matches, lambda m: m["rule"]))
-    mine = lambda r: F.filter(matches, lambda m: m["rule"] == r)
-    rows = with_words(df).select(F.explode(F.transform(names, lambda r: F.struct(r.alias("rule"), count(F.filter(outside, lambda w: hits(w, mine(r)))).alias("n")))).alias("x"))
-    return rows.groupBy("x.rule").agg(F.sum("x.n").alias("words"))
+
+    def work(words: list[dict], found: list[dict] | None) -> tuple:
+        outside, by_rule = [w for w in words if not w["g"]], {}
+        for m in found or []:
+            by_rule.setdefault(m["rule"], []).append(m)
+        return ([(r, sum(first >= 0 for first, _ in touched(outside, sorted(ms, key=lambda m: m["start"])))) for r, ms in by_rule.items()],)
+
+    each = with_rows(with_words(df).select("words", matches), {"words": F.col("words"), "found": F.col(matches)}, work, {"false_words": "array<struct<rule:string,n:bigint>>"})
+    return each.select(F.explode("false_words").alias("x")).groupBy("x.rule").agg(F.sum("x.n").alias("words"))
 
 
 def confusion(df: DataFrame) -> DataFrame:
     """True label against the label of the first overlapping predicted span, or (FN)."""
-    first = lambda g: F.coalesce(F.try_element_at(F.filter("pred", lambda p: overlaps(g, p)), F.lit(1))["label"], F.lit("(FN)"))
-    rows = df.select(F.explode(F.transform("gold", lambda g: F.struct(g["label"].alias("label"), first(g).alias("predicted")))).alias("x"))
+    first = lambda i: F.when(hit("t_gold", i), F.get("pred", F.get("t_gold", i)["first"])["label"]).otherwise("(FN)")
+    rows = with_touch(df, t_gold=("gold", "pred")).select(F.explode(F.transform("gold", lambda g, i: F.struct(g["label"].alias("label"), first(i).alias("predicted")))).alias("x"))
     return rows.groupBy("x.label", "x.predicted").agg(F.count("*").alias("n"))
 
 
@@ -251,17 +302,33 @@ POISSON = poisson_bounds()
 
 
 def weighted(per_doc: DataFrame, columns: list[str], replicates: int) -> DataFrame:
-    """``r`` and the weighted sum of each column in that replicate; documents are drawn where they are."""
-    rows = per_doc.select("doc_id", *columns, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<bigint>")).alias("r"))
-    doc = F.pmod(F.col("doc_id"), F.lit(PRIME))
-    rows = rows.withColumn("x", F.pmod(doc * 48271 + F.col("r") * 69621 + 12345, F.lit(PRIME)))
+    """``r`` and the weighted sum of each column in that replicate; documents are drawn where they are.
+
+    A block of documents times their weights in all replicates is one product of
+    matrices; a task passes on its sums, a row for each replicate.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, r = np.zeros((replicates, len(columns)), np.int64), np.arange(replicates)
+        for batch in batches:
+            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(np.float64)
+            for k in range(0, len(docs), 512):
+                sums += np.rint(draws(docs[k : k + 512, None], r).T.astype(np.float64) @ values[k : k + 512]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(r), *[pa.array(sums[:, i]) for i in range(len(columns))]], names=["r", *columns])
+
+    slim = per_doc.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), *[F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in columns])
+    rows = slim.mapInArrow(run, "r long, " + ", ".join(f"{c} long" for c in columns))
+    return rows.groupBy("r").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def draws(doc: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """How often a document is drawn in a replicate: follows from both alone."""
+    doc = doc % PRIME
+    x = (doc * 48271 + r * 69621 + 12345) % PRIME
     for add in (7, 11, 13):  # squares mix the two; a line in both alone would draw documents evenly
-        rows = rows.withColumn("x", F.pmod(F.col("x") * F.col("x") + F.col("r") * add + doc, F.lit(PRIME)))
-    k = F.lit(len(POISSON))
-    for i in range(len(POISSON) - 1, -1, -1):
-        k = F.when(F.col("x") < POISSON[i], i).otherwise(k)
-    rows = rows.withColumn("k", k)
-    return rows.groupBy("r").agg(*[F.sum(F.col("k") * F.col(c)).alias(c) for c in columns])
+        x = (x * x + r * add + doc) % PRIME
+    return np.searchsorted(np.array(POISSON), x, "right")
 
 
 #: Metric: what it is made from, and its value.
@@ -292,9 +359,9 @@ def intervals(per_doc: DataFrame, metrics: dict = INTERVALS, replicates: int = 1
 def per_document(df: DataFrame) -> DataFrame:
     """What ``INTERVALS`` are made from."""
     n = lambda keep: count(F.filter("words", keep))
-    return with_words(df).select(
+    return with_touch(with_words(df), t_gold=("gold", "pred")).select(
         "doc_id",
-        count(F.filter("gold", lambda g: hits(g, F.col("pred")))).alias("covered"),
+        count(F.filter("gold", lambda g, i: hit("t_gold", i))).alias("covered"),
         count(F.col("gold")).alias("total"),
         leaks(DIRECT).alias("leak"),
         F.lit(1).cast("long").alias("doc"),

@@ -1,10 +1,13 @@
 """Request bodies: which texts they have, masking them in place, and refusing what isn't known.
 
 A body is a JSON text of any depth.  ``leaves`` walks it (a small function over Arrow
-batches) and gives every string with its path; what is allowed, and why not, is decided
+batches) and gives every value with its path; what is allowed, and why not, is decided
 by DataFrame expressions; masked texts go back to their places by path.  Nothing of a
 body that has a reason may be forwarded.
 
+A path is an array of parts: a key is a dot and the key, a position is ``[]`` (or, where it
+says which, ``[3]``).  So no key, whatever it is called, can pass for a position or for two parts.
+
 Texts of a request go in a fixed order: messages, then prompt, input, system, template
 and suffix.  A body that is null, no JSON or no object has a reason of its own.
 """
@@ -14,10 +17,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from veilspark.functions.rows import with_rows
 
 from . import mask
 from .rules import RULES, Rule
@@ -25,22 +28,32 @@ from .rules import RULES, Rule
 # Fields that are text, keys that are never let through, strings that a field may be.
 TEXT_FIELDS = ["prompt", "input", "system", "template", "suffix"]
 BLOCKED = ["images", "tools", "tool_calls", "audio", "image_url"]
-ALLOWED = {"format": ["json"], "encoding_format": ["float", "base64"], "think": ["low", "medium", "high"], "messages/[]/role": ["system", "developer", "user", "assistant", "tool"], "messages/[]/content/[]/type": ["text"]}
+ALLOWED = {"format": ["json"], "encoding_format": ["float", "base64"], "think": ["low", "medium", "high"], "messages [] role": ["system", "developer", "user", "assistant", "tool"], "messages [] content [] type": ["text"]}
 KEEP_ALIVE = r"^-?\d+(?:ns|us|µs|ms|s|m|h)?$"
 
-LEAF = "struct<pointer:string,path:string,kind:string,value:string>"
+LEAF = "struct<pointer:array<string>,path:array<string>,kind:string,value:string>"
+
+
+def parts(path: str) -> list[str]:
+    """The parts of a path that is written with blanks: ``messages [] role``."""
+    return [p if p == "[]" else f".{p}" for p in path.split()]
+
 
+def at(leaf: Column, *paths: str) -> Column:
+    """Whether a leaf has one of these paths."""
+    return any_of([leaf["path"] == F.array(*map(F.lit, parts(p))) for p in paths])
 
-def _walk(value, pointer: str = "", path: str = "") -> Iterator[tuple[str, str, str, str | None]]:
-    """Pointer (with positions), path (positions as []), kind and string value of every value, containers before their parts."""
+
+def _walk(value, pointer: tuple = (), path: tuple = ()) -> Iterator[tuple[tuple, tuple, str, str | None]]:
+    """Pointer (with positions), path, kind and string value of every value, containers before their parts; an object's value are its keys."""
     if isinstance(value, dict):
-        yield pointer, path, "object", ",".join(sorted(value))
+        yield pointer, path, "object", json.dumps(sorted(value))
         for k, v in value.items():
-            yield from _walk(v, f"{pointer}/{k}", f"{path}/{k}")
+            yield from _walk(v, (*pointer, f".{k}"), (*path, f".{k}"))
     elif isinstance(value, list):
         yield pointer, path, "array", str(len(value))
         for i, v in enumerate(value):
-            yield from _walk(v, f"{pointer}/{i}", f"{path}/[]")
+            yield from _walk(v, (*pointer, f"[{i}]"), (*path, "[]"))
     else:
         yield pointer, path, "string" if isinstance(value, str) else "null" if value is None else "other", value if isinstance(value, str) else None
 
@@ -57,63 +70,52 @@ def _parsed(body: str | None):
 
 def leaves(df: DataFrame, body: str = "body", out: str = "leaves") -> DataFrame:
     """Add every value of the body with its path; null for what is no JSON object."""
-    columns = [c for c in df.columns if c.lower() != out.lower()]
-    at = columns.index(body)
-    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("pointer", "path", "kind", "value")]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[dict(zip(("pointer", "path", "kind", "value"), x)) for x in _walk(v)] if isinstance(v := _parsed(b), dict) else None for b in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*columns, out])
-
-    rows = df.select(*columns)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T._parse_datatype_string(f"array<{LEAF}>"))]))
+    work = lambda b: (list(_walk(v)) if isinstance(v := _parsed(b), dict) else None,)
+    return with_rows(df, {"body": F.col(body)}, work, {out: f"array<{LEAF}>"})
 
 
 def with_texts(df: DataFrame, texts: str, body: str = "body", out: str = "body") -> DataFrame:
-    """The body with ``texts`` (a map from pointer to text) in their places."""
-    columns = [c for c in df.columns if c.lower() != out.lower()]
-    source, at = df.columns.index(body), df.columns.index(texts)
-    keep = [df.columns.index(c) for c in columns]
+    """The body with ``texts`` (an array of pointer and text) in their places."""
 
-    def put(value, pointer: str, new: dict):
+    def put(value, pointer: tuple, new: dict):
         if isinstance(value, dict):
-            return {k: put(v, f"{pointer}/{k}", new) for k, v in value.items()}
+            return {k: put(v, (*pointer, f".{k}"), new) for k, v in value.items()}
         if isinstance(value, list):
-            return [put(v, f"{pointer}/{i}", new) for i, v in enumerate(value)]
+            return [put(v, (*pointer, f"[{i}]"), new) for i, v in enumerate(value)]
         return new.get(pointer, value)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [json.dumps(put(v, "", dict(t or [])), ensure_ascii=False) if isinstance(v := _parsed(b), dict) else None for b, t in zip(batch.column(source).to_pylist(), batch.column(at).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(made, pa.string())], names=[*columns, out])
+    def work(b: str | None, found: list[dict] | None) -> tuple:
+        value = _parsed(b)
+        if not isinstance(value, dict):
+            return (None,)
+        return (json.dumps(put(value, (), {tuple(x["pointer"]): x["text"] for x in found or []}), ensure_ascii=False),)
+
+    return with_rows(df, {"body": F.col(body), "texts": F.col(texts)}, work, {out: "string"})
+
 
-    return df.mapInArrow(run, T.StructType([*[df.schema.fields[i] for i in keep], T.StructField(out, T.StringType())]))
+_TEXTS = ["messages [] content", "messages [] content [] text", *[f"{f}{e}" for f in TEXT_FIELDS for e in ("", " []")]]
 
 
 def is_text(leaf: Column) -> Column:
     """Whether a leaf is text that is masked: a message's content or part, or a text field or list."""
-    path = leaf["path"]
-    fields = [f"/{f}{e}" for f in TEXT_FIELDS for e in ("", "/[]")]
-    return (leaf["kind"] == "string") & path.isin("/messages/[]/content", "/messages/[]/content/[]/text", *fields)
+    return (leaf["kind"] == "string") & at(leaf, *_TEXTS)
 
 
 def reason(found: str = "leaves") -> Column:
     """Why a body is refused; null for one that may pass once its texts are masked."""
     any_ = lambda test: F.exists(found, test)
-    at = lambda x, *paths: x["path"].isin(*paths)
-    part = "/messages/[]/content/[]"
-    allowed = lambda x: is_text(x) | at(x, "/model") | (at(x, "/keep_alive") & x["value"].rlike(KEEP_ALIVE))
-    listed = lambda x: any_of([at(x, f"/{p}") & x["value"].isin(*v) for p, v in ALLOWED.items()])
-    contents = F.size(F.filter(found, lambda x: at(x, "/messages/[]/content")))
+    part = "messages [] content []"
+    allowed = lambda x: is_text(x) | at(x, "model") | (at(x, "keep_alive") & x["value"].rlike(KEEP_ALIVE))
+    listed = lambda x: any_of([at(x, p) & x["value"].isin(*v) for p, v in ALLOWED.items()])
+    contents = F.size(F.filter(found, lambda x: at(x, "messages [] content")))
     return (
         F.when(F.col(found).isNull(), "body is no object")
-        .when(any_(lambda x: at(x, "/messages") & ~x["kind"].isin("array", "null")), "messages must be a list")
-        .when((contents != F.size(F.filter(found, lambda x: at(x, "/messages/[]")))) | any_(lambda x: at(x, "/messages/[]") & (x["kind"] != "object")), "unsupported message")
-        .when(any_(lambda x: at(x, "/messages/[]/content") & ~x["kind"].isin("string", "array")), "unsupported message content")
-        .when(any_(lambda x: at(x, part) & ~((x["kind"] == "object") & (F.coalesce(x["value"], F.lit("")) == "text,type"))) | any_(lambda x: at(x, f"{part}/text") & (x["kind"] != "string")) | any_(lambda x: at(x, f"{part}/type") & ~F.coalesce(x["value"] == "text", F.lit(False))), "unsupported message content part")
-        .when(any_(lambda x: (at(x, *[f"/{f}" for f in TEXT_FIELDS]) & ~x["kind"].isin("string", "array")) | (at(x, *[f"/{f}/[]" for f in TEXT_FIELDS]) & (x["kind"] != "string"))), "unsupported text field")
-        .when(any_(lambda x: F.regexp_extract(x["path"], r"([^/]*)$", 1).isin(*BLOCKED)), "unsupported content")
+        .when(any_(lambda x: at(x, "messages") & ~x["kind"].isin("array", "null")), "messages must be a list")
+        .when((contents != F.size(F.filter(found, lambda x: at(x, "messages []")))) | any_(lambda x: at(x, "messages []") & (x["kind"] != "object")), "unsupported message")
+        .when(any_(lambda x: at(x, "messages [] content") & ~x["kind"].isin("string", "array")), "unsupported message content")
+        .when(any_(lambda x: at(x, part) & ~((x["kind"] == "object") & (x["value"] == '["text", "type"]'))) | any_(lambda x: at(x, f"{part} text") & (x["kind"] != "string")) | any_(lambda x: at(x, f"{part} type") & ~F.coalesce(x["value"] == "text", F.lit(False))), "unsupported message content part")
+        .when(any_(lambda x: (at(x, *TEXT_FIELDS) & ~x["kind"].isin("string", "array")) | (at(x, *[f"{f} []" for f in TEXT_FIELDS]) & (x["kind"] != "string"))), "unsupported text field")
+        .when(any_(lambda x: F.coalesce(F.try_element_at(x["path"], F.lit(-1)).isin(*[f".{b}" for b in BLOCKED]), F.lit(False))), "unsupported content")
         .when(any_(lambda x: (x["kind"] == "string") & ~(allowed(x) | listed(x))), "unsupported string field")
     )
 
@@ -128,25 +130,26 @@ def any_of(tests: list[Column]) -> Column:
 def mask_bodies(df: DataFrame, request: str, body: str = "body", rules: list[Rule] = RULES, names: bool = True) -> tuple[DataFrame, DataFrame]:
     """The requests with ``reason`` and, where that is null, ``masked`` (the body); and each request's keys for ``deanonymize``."""
     known = leaves(df, body).withColumn("reason", reason())
-    order = F.when(F.col("x.pointer").startswith("/messages"), 0).otherwise(sum((F.when(F.col("x.pointer").startswith(f"/{f}"), i + 1).otherwise(0) for i, f in enumerate(TEXT_FIELDS)), F.lit(0)))
+    field = F.col("x.path")[0]
+    order = F.when(field == ".messages", 0).otherwise(F.array_position(F.array(*[F.lit(f".{f}") for f in TEXT_FIELDS]), field)).cast("int")
     rows = known.where("reason is null").select(request, F.posexplode(F.filter("leaves", is_text)).alias("place", "x"))
-    texts = rows.select(request, (order * 1_000_000 + F.col("place")).cast("bigint").alias("seq"), F.col("x.pointer").alias("pointer"), F.col("x.value").alias("text"))
+    texts = rows.select(request, F.struct(order.alias("field"), "place").alias("seq"), F.col("x.pointer").alias("pointer"), F.col("x.value").alias("text"))
     masked, keys = mask.anonymize_requests(texts, request, "seq", "text", rules, names)
-    by_request = masked.groupBy(request).agg(F.map_from_entries(F.collect_list(F.struct("pointer", "masked"))).alias("texts__"))
+    by_request = masked.groupBy(request).agg(F.collect_list(F.struct("pointer", F.col("masked").alias("text"))).alias("texts__"))
     joined = known.drop("leaves").join(by_request, request, "left")
     out = with_texts(joined, "texts__", body, "masked").drop("texts__")
     return out.withColumn("masked", F.when(F.col("reason").isNull(), F.col("masked"))), keys
 
 
 #: Paths of texts in a response.
-ANSWERS = ["/message/content", "/choices/[]/message/content", "/choices/[]/text", "/response"]
+ANSWERS = ["message content", "choices [] message content", "choices [] text", "response"]
 
 
 def restore_bodies(responses: DataFrame, keys: DataFrame, request: str, body: str = "body") -> DataFrame:
     """Responses with the originals in their texts; ``keys`` as from ``mask_bodies``."""
-    rows = leaves(responses, body).select(request, F.explode(F.filter("leaves", lambda x: (x["kind"] == "string") & x["path"].isin(*ANSWERS, "/messages/[]/content", "/messages/[]/content/[]/text", *[f"/{f}" for f in TEXT_FIELDS], *[f"/{f}/[]" for f in TEXT_FIELDS]))).alias("x"))
+    rows = leaves(responses, body).select(request, F.explode(F.filter("leaves", lambda x: (x["kind"] == "string") & at(x, *ANSWERS, *_TEXTS))).alias("x"))
     back = mask.deanonymize(rows.select(request, F.col("x.pointer").alias("pointer"), F.col("x.value").alias("masked")).join(keys, request))
-    texts = back.groupBy(request).agg(F.map_from_entries(F.collect_list(F.struct("pointer", "restored"))).alias("texts__"))
+    texts = back.groupBy(request).agg(F.collect_list(F.struct("pointer", F.col("restored").alias("text"))).alias("texts__"))
     return with_texts(responses.join(texts, request, "left"), "texts__", body, "restored").drop("texts__")
 
 

@@ -50,11 +50,35 @@ BODIES = [
 ]
 
 
+#: Keys that would pass for positions or for several parts if paths were joined texts.
+FORGED = [
+    ('{"input/[]": "llama a x@y.org"}', "unsupported string field"),
+    ('{"input": {"[]": "x"}}', "unsupported text field"),
+    ('{"messages/[]/role": "user", "prompt": "x"}', "unsupported string field"),
+    ('{"messages [] role": "user", "prompt": "x"}', "unsupported string field"),
+    ('{"messages": [{"role": "user", "content": [{"text,type": "x"}]}]}', "unsupported message content part"),
+    ('{"messages": [{"role": "user", "content": "x", "content/[]/text": "y"}]}', "unsupported string field"),
+    ('{"prompt": "x", "/model": "y"}', "unsupported string field"),
+    ('{"prompt": "x", "": {"model": "y"}}', "unsupported string field"),
+    ('{"prompt": "x", "options": {"[]": {"images": 1}}}', "unsupported content"),
+]
+
+
+def _bodies(spark, sf):
+    """Each turn's text in a request body: in a place where it may be, or in one of those that refuse the body."""
+    shapes = BODIES + FORGED
+    shape = F.element_at(F.array(*[F.lit(b) for b, _ in shapes]), ((F.col("conv_id") + F.col("turn")) % len(shapes) + 1).cast("int"))
+    text = F.to_json(F.struct(F.col("text").alias("t")))
+    quoted = F.substring(text, F.lit(6), F.length(text) - 6)
+    return _t(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", F.replace(shape, F.lit('"x"'), quoted).alias("body"))
+
+
 def json_path_allowlist(spark, sf):
-    """Every event sends one of the bodies; any leaf that isn't known refuses it."""
-    bodies = F.array(*[F.lit(b) for b, _ in BODIES])
-    e = _t(spark, sf, "events").select("event_id", F.element_at(bodies, (F.col("event_id") % len(BODIES) + 1).cast("int")).alias("body"))
-    return requests.leaves(e).select("event_id", F.coalesce(requests.reason(), F.lit("ok")).alias("reason"))
+    """Every turn is sent in one of the bodies; any leaf that isn't known refuses it."""
+    found = requests.leaves(_bodies(spark, sf))
+    texts = F.size(F.filter("leaves", requests.is_text)).cast("long")
+    why = requests.reason()
+    return found.select("conv_id", "turn", F.coalesce(why, F.lit("ok")).alias("reason"), F.when(why.isNull(), texts).otherwise(0).alias("n_texts"))
 
 
 def stream_events(spark, sf):
@@ -175,7 +199,7 @@ def oracle_sql() -> dict[str, str]:
     assert len(names) == len(unified)
     out = {
         "role_message_masking": "SELECT conv_id, count(*) AS n_messages, 'ok' AS reason, false AS in_clear, true AS same FROM conversations WHERE text IS NOT NULL GROUP BY 1",
-        "json_path_allowlist": f"SELECT event_id, {pick([r for _, r in BODIES], 'event_id')} AS reason FROM events",
+        "json_path_allowlist": f"SELECT conv_id, turn, {pick([r for _, r in BODIES + FORGED], 'conv_id + turn')} AS reason, CAST({pick(['1', '1', '2'] + ['0'] * (len(BODIES + FORGED) - 3), 'conv_id + turn')} AS BIGINT) AS n_texts FROM conversations WHERE text IS NOT NULL",
         "stream_events": """WITH c AS (SELECT conv_id, turn, text, unnest(CASE WHEN turn % 2 = 0 THEN [0, 1, 2] ELSE [0, 1] END) AS k FROM conversations WHERE text IS NOT NULL)
           SELECT conv_id, turn, CAST(k AS BIGINT) AS event_no, 'chat.completion.chunk' AS object, CASE WHEN k = 0 THEN text END AS content, CASE WHEN k = 1 THEN CASE WHEN turn % 3 = 0 THEN 'length' ELSE 'stop' END END AS finish, CAST(CASE WHEN k = 2 THEN length(text) END AS BIGINT) AS tokens FROM c""",
         "best_scored_spans": "SELECT l_orderkey, span_start, label, score, seq FROM (SELECT l_orderkey, l_partkey % 10 AS span_start, l_returnflag AS label, l_discount AS score, CAST(l_linenumber * 1000 + ascii(l_returnflag) AS INT) AS seq, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 10 ORDER BY l_discount DESC, l_linenumber * 1000 + ascii(l_returnflag)) AS k FROM lineitem) WHERE k = 1",
