@@ -20,6 +20,7 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )

@@ -2,6 +2,8 @@
 
 import re
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +277,54 @@ def test_streams_let_go_of_old_keys_and_take_rows_out_of_order(spark, tmp_path):
     got = {r.id: r.admitted for r in spark.table("late").collect()}
     assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 5: True}
     assert states == 2
+
+
+def test_busy_keys_go_on_over_tasks(spark):
+    """Against plain Python: a key without a gap in all tasks, one with gaps, rows that don't count, null keys and times."""
+    rng, rows = random.Random(5), []
+    for k, n, most in ((1, 3000, 8), (2, 3000, 90), (None, 50, 9), (3, 1, 1)):
+        t = 0.0
+        for _ in range(n):
+            t += rng.randrange(most)
+            rows.append((k, None if rng.random() < 0.01 else t, len(rows), rng.random() < 0.8))
+    df = spark.createDataFrame(rows, "k long, t double, id long, use boolean").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        limited = {r.id: r.admitted for r in admission.rate_limit(df, "k", "t", "id", 3, 20, "use").collect()}
+        checked = {r.id: r.replayed for r in admission.replays(df, "k", "t", "id", 20, "use").collect()}
+        bounded = {r.id: r.replayed for r in admission.replays(df, "k", "t", "id", 20, "use", most=2, shards=1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    recent, until, live = {}, {}, {}
+    for k, t, i, use in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        if not use:
+            assert limited[i] is None and checked[i] is None and bounded[i] is None
+            continue
+        near = [x for x in recent.get(k, []) if t is not None and x is not None and t - x < 20]
+        assert limited[i] == (len(near) < 3), (k, t, i)
+        recent[k] = near + [t] if len(near) < 3 else near
+        again = until.get(k) is not None and t is not None and until[k] > t
+        assert checked[i] == again
+        until[k] = until.get(k) if again else None if t is None else t + 20
+        live = {x: u for x, u in live.items() if t is not None and u > t}
+        assert bounded[i] == (k in live or len(live) >= 2)
+        if not bounded[i] and t is not None:
+            live[k] = t + 20
+
+
+def test_streams_keep_the_cache_bounded_and_audit_once(spark, tmp_path):
+    from veilspark.streaming.admission import audit_sink, replay_checked
+
+    hits = spark.createDataFrame([(f"id{i % 7}", 1000.0 + 3 * i, i) for i in range(60)], "k string, t double, id long")
+    hits.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(hits.schema).parquet(str(tmp_path / "in"))
+    q = replay_checked(source, "k", "t", "id", 20, most=3, shards=1).writeStream.format("memory").queryName("cache").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    want = {r.id: r.replayed for r in admission.replays(hits, "k", "t", "id", 20, most=3, shards=1).collect()}
+    assert {r.id: r.replayed for r in spark.table("cache").collect()} == want and set(want.values()) == {True, False}
+    decided = spark.createDataFrame([(1, "1.2.3.4", 5.0, 200, "ok", None), (2, "1.2.3.4", 6.0, 401, "replay", "x")], "ident long, ip string, now double, status int, reason string, req_id string")
+    sink = audit_sink(f"file://{tmp_path}/audit")
+    for number in (0, 1, 1, 0):
+        sink(decided, number)
+    assert spark.read.text(f"file://{tmp_path}/audit").count() == 4

@@ -1,26 +1,36 @@
 """Admission of requests: networks, routes, rates, replays, freshness, and the cascade of reasons.
 
-A client's (or a request id's) rows are gone through in order of time, sorted on disk if
-need be; all that is kept between two rows is the time of expiry, or the last admitted
-times.  The rows of one key are one task's.
+A client's (or a request id's) rows are gone through in order of time; all that is kept
+between two rows is the time of expiry, or the last admitted times.  Rows are sorted over
+all tasks, so a busy key lies in many.  Where nothing happened for a whole window, its
+state is empty and a task may begin afresh; only the rows from a task's beginning to the first
+such place wait for the state at the end of the task before, and are gone through once
+more.  Rows that don't count are dealt out with the others by time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
-from collections import deque
+import pickle
+from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from veilspark.functions.shared import written
 
 WINDOW_S = 60
 MAX_SKEW_S = 120
 TTL_S = 2 * MAX_SKEW_S + 1
+#: Shards of the replay cache; each holds its share of the entries.
+ID_SHARDS = 16
 
 
 def ipv4_number(ip: Column) -> Column:
@@ -101,33 +111,80 @@ def config_matches(config: dict[str, Column], wanted: dict[str, str]) -> Column:
     return out
 
 
-def in_order(df: DataFrame, key: str, ts: str, ident: str, flag: str, start: Callable, step: Callable, when: str | None = None) -> DataFrame:
-    """``df`` with ``flag``: each key's rows in order of time through ``step`` (state, time) -> (state, flag).
+def in_order(df: DataFrame, key: str, ts: str, ident: str, flag: str, start: Callable, step: Callable, apart: float, when: str | None = None, value: str | None = None) -> DataFrame:
+    """``df`` with ``flag``: each key's rows in order of time through ``step`` (state, time, value) -> (state, flag).
 
-    Rows for which ``when`` isn't true neither change the state nor get a flag.
+    A state must be as good as new after ``apart`` seconds without a row.  Rows for which
+    ``when`` isn't true neither change the state nor get a flag.
     """
     columns = [c for c in df.columns if c.lower() != flag.lower()]
-    rows = df.select(*columns)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = {c: columns.index(c) for c in (key, ts, *([when] if when else []))}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = object(), None
+    kept, last = [F.col(f"`{c}`") for c in columns], len(columns)
+    counts = F.coalesce(F.col(when), F.lit(False)) if when else F.lit(True)
+    rows = df.select(*kept, counts.alias("o__counts"), F.when(counts, F.col(key)).alias("o__key"), F.col(ts).cast("double").alias("o__t"), F.col(ident).alias("o__ident"), F.col(value or key).alias("o__value"))
+    order = ["o__counts", "o__key", "o__t", "o__ident"]
+    kind = rows.schema["o__key"].dataType.simpleString()
+    border = f"struct<part:int,first_key:{kind},first_t:double,last_key:{kind},last_t:double,state:binary>"
+    edge_type = to_arrow_type(T._parse_datatype_string(border))
+    plain = T.StructType([*rows.schema.fields[:last], T.StructField(flag, T.BooleanType())])
+
+    def new(k, t, k0, t0) -> bool:
+        return k != k0 or (t is not None and t0 is not None and t - t0 >= apart)
+
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, at, state, schema = TaskContext.get().partitionId(), None, None, None, None
         for batch in batches:
-            counts = batch.column(place[when]).to_pylist() if when else [True] * batch.num_rows
-            flags = []
-            for k, t, use in zip(batch.column(place[key]).to_pylist(), batch.column(place[ts]).to_pylist(), counts):
+            flags, waits = [], []
+            for use, k, t, _, v in zip(*[c.to_pylist() for c in batch.columns[last:]]):
                 if not use:
                     flags.append(None)
+                    waits.append(False)
                     continue
-                if k != at:
-                    at, state = k, start()
-                state, value = step(state, t)
-                flags.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=[*columns, flag])
+                if first is None:
+                    first = (k, t)
+                elif new(k, t, *at):
+                    state = start()
+                at = (k, t)
+                if state is not None:
+                    state, decided = step(state, t, v)
+                flags.append(decided if state is not None else None)
+                waits.append(state is None)
+            schema = schema or batch.schema
+            nothing = pa.nulls(batch.num_rows, edge_type)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_()), pa.array(waits, pa.bool_()), pa.array([part] * batch.num_rows, pa.int32()), nothing], names=[*batch.schema.names, flag, "o__waits", "o__part", "o__border"])
+        if first is not None:
+            edge = {"part": part, "first_key": first[0], "first_t": first[1], "last_key": at[0], "last_t": at[1], "state": None if state is None else pickle.dumps(state)}
+            empty = [pa.nulls(1, f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays([*empty, pa.nulls(1, pa.bool_()), pa.array([False]), pa.array([part], pa.int32()), pa.array([edge], edge_type)], names=[*schema.names, flag, "o__waits", "o__part", "o__border"])
+
+    nullable = [T.StructField(f.name, f.dataType, True) for f in rows.schema.fields]
+    wide = T.StructType([*nullable, T.StructField(flag, T.BooleanType()), T.StructField("o__waits", T.BooleanType()), T.StructField("o__part", T.IntegerType()), T.StructField("o__border", T._parse_datatype_string(border))])
+    found = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(first_pass, wide), "in-order")
+    # a row for each task: where a task's first rows go on, and with which state
+    chains, before = [], None
+    for e in sorted((r.o__border for r in found.where("o__border is not null").select("o__border").collect()), key=lambda e: e.part):
+        goes_on = before is not None and not new(e.first_key, e.first_t, before.last_key, before.last_t)
+        if not (goes_on and before.state is None):
+            chains.append((e.part, e.part, before.state if goes_on else None))
+        else:
+            chains.append((e.part, chains[-1][1], None))
+        before = e
+    spark = df.sparkSession
+    mapping = F.broadcast(spark.createDataFrame(chains, "o__part int, o__chain int, o__state binary"))
+
+    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            flags = []
+            for t, v, chain, entry in zip(*[batch.column(c).to_pylist() for c in ("o__t", "o__value", "o__chain", "o__state")]):
+                if chain != at:
+                    at, state = chain, start() if entry is None else pickle.loads(entry)
+                state, decided = step(state, t, v)
+                flags.append(decided)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(flags, pa.bool_())], names=[*columns, flag])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField(flag, T.BooleanType())])
-    return rows.repartition(n, key).sortWithinPartitions(key, ts, ident).mapInArrow(run, schema)
+    waiting = found.where("o__waits").drop(flag).join(mapping, "o__part")
+    waiting = waiting.select(*kept, "o__t", "o__ident", "o__value", "o__part", "o__chain", "o__state").repartition("o__chain").sortWithinPartitions("o__chain", "o__part", "o__t", "o__ident")
+    return found.where("not o__waits and o__border is null").select(*kept, F.col(f"`{flag}`")).unionByName(waiting.mapInArrow(second_pass, plain))
 
 
 def rate_limit(df: DataFrame, key: str, ts: str, ident: str, limit: int, window: int = WINDOW_S, when: str | None = None, most_keys: int | None = None) -> DataFrame:
@@ -142,7 +199,7 @@ def rate_limit(df: DataFrame, key: str, ts: str, ident: str, limit: int, window:
         followed = first.orderBy("first").limit(most_keys).select("k__", F.lit(True).alias("followed__"))
         df = df.join(followed, df[key].eqNullSafe(F.col("k__")), "left").drop("k__").withColumn("followed__", F.coalesce("followed__", F.lit(False)))
 
-    def step(recent: deque, t: float | None) -> tuple[deque, bool]:
+    def step(recent: deque, t: float | None, _) -> tuple[deque, bool]:
         while recent and (t is None or recent[0] is None or not t - recent[0] < window):
             recent.popleft()
         ok = len(recent) < limit
@@ -150,18 +207,42 @@ def rate_limit(df: DataFrame, key: str, ts: str, ident: str, limit: int, window:
             recent.append(t)
         return recent, ok
 
-    out = in_order(df, key, ts, ident, "admitted", deque, step, when)
+    out = in_order(df, key, ts, ident, "admitted", deque, step, window, when)
     return out if most_keys is None else out.withColumn("admitted", F.col("admitted") & F.col("followed__")).drop("followed__")
 
 
-def replays(df: DataFrame, key: str, ts: str, ident: str, ttl: int = TTL_S, when: str | None = None) -> DataFrame:
-    """``df`` with ``replayed``: seen before and not yet expired; a replay doesn't extend the time."""
+def shard_of(key: Column, shards: int) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint") % shards
+
+
+def replays(df: DataFrame, key: str, ts: str, ident: str, ttl: int = TTL_S, when: str | None = None, most: int | None = None, shards: int = ID_SHARDS) -> DataFrame:
+    """``df`` with ``replayed``: seen before and not yet expired; a replay doesn't extend the time.
+
+    ``most``: entries that the cache holds; a new id that finds it full counts as replayed too,
+    and isn't taken up.  The cache is split into ``shards`` by a hash of the id, each with an
+    equal share (rounded up), so that shards are gone through beside each other; with one
+    shard the bound is that of the whole.
+    """
+    if most is None:
+
+        def step(until: float | None, t: float | None, _) -> tuple[float, bool]:
+            again = until > 0 and t is not None and until > t
+            return (until if again else 0.0 if t is None else t + ttl), again
+
+        return in_order(df, key, ts, ident, "replayed", float, step, ttl, when)
+    share = -(-most // shards)
 
-    def step(until: float | None, t: float | None) -> tuple[float | None, bool]:
-        again = until is not None and t is not None and until > t
-        return (until if again else None if t is None else t + ttl), again
+    def bounded(live: OrderedDict, t: float | None, k) -> tuple[OrderedDict, bool]:
+        # entries expire in the order in which they were taken up
+        while live and (t is None or next(iter(live.values())) <= t):
+            live.popitem(last=False)
+        refused = k in live or len(live) >= share
+        if not refused and t is not None:
+            live[k] = t + ttl
+        return live, refused
 
-    return in_order(df, key, ts, ident, "replayed", lambda: None, step, when)
+    sharded = df.withColumn("replay_shard__", shard_of(F.col(key), shards))
+    return in_order(sharded, "replay_shard__", ts, ident, "replayed", OrderedDict, bounded, ttl, when, key).drop("replay_shard__")
 
 
 def fresh(now: Column, ts: Column, skew: int = MAX_SKEW_S) -> Column:
@@ -223,6 +304,8 @@ class Settings:
     max_body: int = 10 * 1024 * 1024
     skew: int = MAX_SKEW_S
     ttl: int = TTL_S
+    most_ids: int | None = None
+    id_shards: int = ID_SHARDS
     config: tuple[tuple[str, str], ...] = ()
     management: bool = False
 
@@ -247,7 +330,7 @@ def decide(requests: DataFrame, key: bytes, settings: Settings) -> DataFrame:
     df = df.withColumn("inner", F.when(fresh(F.col("now"), F.col("e.ts"), s.skew), opened))
     df = df.withColumn("middle", F.coalesce("early", F.when(~F.col("admitted"), "rate_limited").when(F.col("n").isNull(), "bad_content_length").when((F.col("n") < 0) | (F.col("n") > s.max_body), "body_too_large").when(F.col("e").isNull(), "bad_request").when(F.col("inner").isNull(), "decrypt_failure")))
     df = df.withColumns({"reaches": F.col("middle").isNull(), "req": F.col("e.req_id")})
-    df = replays(df, "req", "now", "ident", s.ttl, "reaches")
+    df = replays(df, "req", "now", "ident", s.ttl, "reaches", s.most_ids, s.id_shards)
     get = lambda f: F.get_json_object("inner", f"$.{f}")
     config = {f: get(f"config.{f}") for f, _ in s.config}
     method, path = F.coalesce(get("method"), F.lit("GET")), F.coalesce(get("path"), F.lit("/"))

@@ -244,7 +244,7 @@ def freshness(spark, sf):
 
 
 SECRET = bytes(range(32))
-SETTINGS = admission.Settings(allowed=tuple(NETWORKS), limit=2, window=7200, most_keys=300, max_body=4500, ttl=3600, config=(("user", "ana"), ("model", "m1"), ("bert_model", "")))
+SETTINGS = admission.Settings(allowed=tuple(NETWORKS), limit=2, window=7200, most_keys=300, max_body=4500, ttl=3600, most_ids=16, id_shards=8, config=(("user", "ana"), ("model", "m1"), ("bert_model", "")))
 
 
 def _requests(spark, sf):

@@ -94,8 +94,10 @@ def sql() -> dict[str, str]:
           CASE WHEN len(list_filter(f.live, lambda x: r.t - x < 7200)) < 2 THEN list_append(list_filter(f.live, lambda x: r.t - x < 7200), r.t) ELSE list_filter(f.live, lambda x: r.t - x < 7200) END FROM f JOIN r ON r.ip = f.ip AND r.k = f.k + 1),
       m AS MATERIALIZED (SELECT a.*, CASE WHEN early IS NOT NULL THEN early WHEN NOT f.ok OR a.ip NOT IN (SELECT ip FROM followed) THEN 'rate_limited' WHEN a.e % 89 = 0 THEN 'bad_content_length' WHEN a.e * 37 % 5000 > 4500 THEN 'body_too_large' WHEN a.e % 83 = 0 THEN 'bad_request'
           WHEN a.e % 79 = 0 OR a.e % 150 > 120 THEN 'decrypt_failure' END AS middle FROM a LEFT JOIN f ON a.ip = f.ip AND a.e = f.e),
-      s AS MATERIALIZED (SELECT req, e, t, row_number() OVER (PARTITION BY req ORDER BY t, e) AS k FROM m WHERE middle IS NULL),
-      g AS (SELECT req, e, k, false AS again, t + 3600 AS until FROM s WHERE k = 1 UNION ALL SELECT s.req, s.e, s.k, g.until > s.t, CASE WHEN g.until > s.t THEN g.until ELSE s.t + 3600 END FROM g JOIN s ON s.req = g.req AND s.k = g.k + 1),
+      s AS MATERIALIZED (SELECT req, e, t, shard, row_number() OVER (PARTITION BY shard ORDER BY t, e) AS k FROM (SELECT *, CAST('0x' || substr(md5(base64(unhex(req))), 1, 8) AS BIGINT) % 8 AS shard FROM m WHERE middle IS NULL)),
+      g AS (SELECT shard, e, k, false AS again, [{{'r': req, 'u': t + 3600}}] AS live FROM s WHERE k = 1
+        UNION ALL SELECT s.shard, s.e, s.k, len(list_filter(g.live, lambda x: x.u > s.t)) >= 2 OR len(list_filter(g.live, lambda x: x.u > s.t AND x.r = s.req)) > 0,
+          CASE WHEN len(list_filter(g.live, lambda x: x.u > s.t)) >= 2 OR len(list_filter(g.live, lambda x: x.u > s.t AND x.r = s.req)) > 0 THEN list_filter(g.live, lambda x: x.u > s.t) ELSE list_append(list_filter(g.live, lambda x: x.u > s.t), {{'r': s.req, 'u': s.t + 3600}}) END FROM g JOIN s ON s.shard = g.shard AND s.k = g.k + 1),
       d AS (SELECT m.e AS ident, CASE WHEN middle IS NOT NULL THEN middle WHEN g.again THEN 'replay' WHEN m.e % 73 = 0 THEN 'bad_inner_json' WHEN m.e % 71 = 0 THEN 'bad_config' WHEN m.e % 67 = 0 THEN 'invalid_path' WHEN m.e % 61 = 0 THEN 'route_denied' WHEN m.e % 59 = 0 THEN 'upstream_error' ELSE 'ok' END AS reason FROM m LEFT JOIN g ON m.e = g.e)
       SELECT ident, CAST(CASE reason {' '.join(f"WHEN '{k}' THEN {v}" for k, v in STATUS.items())} ELSE 200 END AS INT) AS status, reason FROM d"""
     out["admission_cascade"] = f"SELECT status, reason, count(*) AS n FROM ({out['decisions']}) GROUP BY 1, 2"
