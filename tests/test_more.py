@@ -104,6 +104,34 @@ def test_records_and_reports(spark, tmp_path):
     assert row.word.f1 == 0.5 and row.seed == 42 and row.rules_sha256 == results.table_hash()
 
 
+def test_frozen_values_and_what_changed(spark, tmp_path, monkeypatch):
+    from veilspark.operators import lexicon
+
+    path = f"file://{tmp_path}/frozen"
+    results.freeze(spark, path)
+    assert results.changed_since(spark, path).count() == 0
+    monkeypatch.setattr(lexicon, "WEEKDAYS", lexicon.WEEKDAYS[1:])
+    monkeypatch.setattr(lexicon, "NEW", ["x"], raising=False)
+    assert sorted(map(tuple, results.changed_since(spark, path).collect())) == [("lexicon.NEW", "added"), ("lexicon.WEEKDAYS", "changed")]
+    assert set(results.provenance(spark, 1)) == {"spark_version", "python_version", "revision", "dirty", "rules_sha256", "seed"}
+
+
+def test_white_list_of_a_file(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("# names\n\n ANA ruiz \n")
+    listed = standoff.whitelist(spark, f"file://{tmp_path}/w.txt")
+    texts = spark.createDataFrame([(1, "Paciente: Ana Ruiz\npaciente: Luis Gil")], "doc_id long, text string")
+    surfaces = lambda **k: [e.surface for e in detect.detect(texts, names=True, **k).first().entities]
+    assert surfaces() == ["Ana Ruiz", "Luis Gil"] and surfaces(whitelist=listed) == ["Luis Gil"] and surfaces(whitelist=["luis gil"]) == ["Ana Ruiz"]
+    with pytest.raises(ValueError):
+        detect.detect(texts, whitelist=["x"] * 100_001)
+
+
+def test_systems(spark):
+    texts = spark.createDataFrame([(1, "Paciente: Ana Ruiz, ana@x.es, 4111 1111 1111 1111")], "doc_id long, text string")
+    found = {n: [e.label for e in system(texts).first().entities] for n, system in detect.SYSTEMS.items()}
+    assert found == {"rules": ["EMAIL"], "rules+names": ["NAME", "EMAIL"], "rules+wide": ["EMAIL", "ID"]}
+
+
 def test_corpora_in_two_folders(spark, tmp_path):
     for d in ("ann", "raw", "other"):
         (tmp_path / d).mkdir()
@@ -146,6 +174,6 @@ def test_intervals_are_those_of_drawing_documents(spark):
 
 def test_prompts_have_their_entities_where_they_say(spark):
     for templates in (synthetic.DEV, synthetic.HELD_OUT):
-        for r in synthetic.prompts(spark, 40, templates).collect():
+        for r in synthetic.prompts(spark.range(40), templates).collect():
             assert r.gold and all(r.text[g.start : g.end] == g.surface for g in r.gold)
             assert len(r.mentions) == len(r.gold)

@@ -115,17 +115,19 @@ def test_escape(spark):
 
 
 def spans(*rows):
+    if not rows:
+        return F.array().cast("array<struct<start:bigint,end:bigint,label:string>>")
     return F.array(*[F.struct(F.lit(s).cast("bigint").alias("start"), F.lit(e).cast("bigint").alias("end"), F.lit(x).alias("label")) for s, e, x in rows])
 
 
 def test_arbitration_depends_on_order(spark):
     one = spark.range(1)
     # the first rule span pushes the model span out, so the second is free
-    got = one.select(detect.arbitrate(spans((0, 4, "DATE"), (6, 9, "LOCATION")), spans((2, 8, "NAME"))).alias("x")).first().x
+    got = detect.arbitrate(one, spans((0, 4, "DATE"), (6, 9, "LOCATION")), spans((2, 8, "NAME"))).first().entities
     assert [(s.start, s.label) for s in got] == [(0, "DATE"), (6, "LOCATION")]
-    got = one.select(detect.arbitrate(spans((0, 4, "PHONE")), spans((2, 8, "ID"))).alias("x")).first().x
+    got = detect.arbitrate(one, spans((0, 4, "PHONE")), spans((2, 8, "ID"))).first().entities
     assert [s.label for s in got] == ["ID"]
-    got = one.select(detect.fill_gaps(spans((0, 2, "A")), spans((1, 3, "B"), (4, 6, "B"), (5, 7, "B"))).alias("x")).first().x
+    got = detect.arbitrate(one, spans(), spans((0, 2, "A")), spans((1, 3, "B"), (4, 6, "B"), (5, 7, "B"))).first().entities
     assert [(s.start, s.label) for s in got] == [(0, "A"), (4, "B")]
 
 

@@ -41,7 +41,14 @@ def ipv4_number(ip: Column) -> Column:
 
 
 def ipv6_digits(ip: Column) -> Column:
-    """The address as 32 hexadecimal digits, so that the order of texts is that of addresses; null if it is none."""
+    """The address as 32 hexadecimal digits, so that the order of texts is that of addresses; null if it is none.
+
+    The last four bytes may be written with dots.
+    """
+    tail = F.regexp_extract(ip, r":([0-9]+\.[0-9.]+)$", 1)
+    number = F.hex(ipv4_number(tail))
+    pairs = F.concat_ws(":", *[F.substring(F.lpad(number, 8, "0"), k, 4) for k in (1, 5)])
+    ip = F.when((tail != "") & number.isNotNull(), F.concat(F.substring(ip, F.lit(1), F.length(ip) - F.length(tail)), pairs)).otherwise(ip)
     sides = F.split(F.lower(ip), "::", -1)
     groups = lambda x: F.filter(F.split(x, ":", -1), lambda g: g != "") if x is not None else None
     left, right = groups(sides[0]), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))

@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilspark.functions.rows import with_rows
 from veilspark.functions.spans import held, with_spans
 
 from .lexicon import UNIFIED
 from .names import discovered, named
 from .rules import RULES, WIDE_RULES, Rule, listed_words, may_match, passes
-from .spansets import Found, greedy
+from .spansets import Disjoint, Found, greedy
 from .walks import WALKS, Words
 
 ENTITY = "array<struct<start:bigint,end:bigint,label:string,surface:string,rule:string>>"
@@ -57,14 +58,28 @@ def ranked(found: list[tuple]) -> list[tuple]:
     return sorted((-priority, s - e, s, i, e, UNIFIED.get(label, "OTHER"), surface, rule) for i, (s, e, label, surface, priority, rule) in enumerate(found))
 
 
-def _stage(df: DataFrame, text: str, rules: list[Rule], names: bool, out: str, gated: bool = True) -> DataFrame:
+#: Texts that a white list may have: it goes to every task.
+MOST_ALLOWED = 100_000
+
+
+def allowed_texts(whitelist: DataFrame | list[str] | None) -> frozenset[str]:
+    """The lower-case texts of a white list: a list, or a frame of one column (``standoff.whitelist``)."""
+    if isinstance(whitelist, DataFrame):
+        whitelist = [r[0] for r in whitelist.where(F.col(whitelist.columns[0]).isNotNull()).limit(MOST_ALLOWED + 1).collect()]
+    if whitelist and len(whitelist) > MOST_ALLOWED:
+        raise ValueError(f"a white list may have {MOST_ALLOWED} texts")
+    return frozenset(x.strip().lower() for x in whitelist or ())
+
+
+def _stage(df: DataFrame, text: str, rules: list[Rule], names: bool, out: str, gated: bool = True, whitelist: DataFrame | list[str] | None = None) -> DataFrame:
     """Add one of ``STAGES``."""
+    allowed = allowed_texts(whitelist)
     keep = [c for c in df.columns if c.lower() != out.lower()]
     rows = df.withColumn("r__text", F.coalesce(text, F.lit("")))
     if gated:
         rows = rows.withColumn("r__words", held(listed_words(F.col("r__text"), rules)))
     gate = {r.name: may_match(r, F.col("r__text"), F.col("r__words")) if gated else F.lit(True) for r in rules}
-    rows = with_spans(rows, "r__text", {f"r__{r.name}": r.pattern for r in rules if r.pattern}, {f"r__{r.name}": g for r in rules if r.pattern for g in [gate[r.name]]})
+    rows = with_spans(rows, "r__text", {f"r__{r.name}": r.pattern for r in rules if r.pattern}, {f"r__{r.name}": gate[r.name] for r in rules if r.pattern})
 
     def of(i: int, r: Rule) -> Column:
         kept = F.filter(f"r__{r.name}", lambda s: (F.length(F.trim(s["surface"])) > 0) & passes(r, s["surface"]))
@@ -84,7 +99,7 @@ def _stage(df: DataFrame, text: str, rules: list[Rule], names: bool, out: str, g
         for i, s, e in sorted(every) if walks else every:
             found.add(s, e, rules[i].label, t[s:e], rules[i].priority, rules[i].name)
         if names:
-            named(found, words)
+            named(found, words, allowed)
             discovered(found, t)
         if out == "matches":
             return found.all
@@ -112,34 +127,49 @@ def matches(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     return _stage(df, text, rules, False, "matches")
 
 
-def candidates(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = False, gated: bool = True) -> DataFrame:
-    """Add ``candidates``, best first; with ``names`` those of ``names`` too."""
-    return _stage(df, text, rules, names, "candidates", gated)
+def candidates(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = False, gated: bool = True, whitelist: DataFrame | list[str] | None = None) -> DataFrame:
+    """Add ``candidates``, best first; with ``names`` those of ``names`` too, but none that the white list has."""
+    return _stage(df, text, rules, names, "candidates", gated, whitelist)
 
 
-def detect(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = False, gated: bool = True) -> DataFrame:
+def detect(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = False, gated: bool = True, whitelist: DataFrame | list[str] | None = None) -> DataFrame:
     """Add ``entities``: resolved spans by start; with ``names`` also by line, signature and second search.
 
-    Greedy: a candidate stays if it overlaps none that stayed.
+    Greedy: a candidate stays if it overlaps none that stayed.  Names that ``whitelist`` has are none.
     """
-    return _stage(df, text, rules, names, "entities", gated)
+    return _stage(df, text, rules, names, "entities", gated, whitelist)
 
 
-def arbitrate(rule_spans: Column, model_spans: Column, strong: tuple[str, ...] = ("DATE", "TIME", "PHONE", "EMAIL", "URL", "ID")) -> Column:
-    """Rule spans against model spans, in order of start: free ones are added, strong ones push overlapping spans out."""
-
-    def step(done: Column, s: Column) -> Column:
-        clash = F.filter(done, lambda m: overlaps(m, s))
-        phone_or_id = (s["label"] == "PHONE") & F.exists(clash, lambda m: m["label"] == "ID")
-        wins = s["label"].isin(*strong) & ~phone_or_id
-        return F.when(F.size(clash) == 0, F.concat(done, F.array(s))).when(wins, F.concat(F.filter(done, lambda m: ~overlaps(m, s)), F.array(s))).otherwise(done)
-
-    return F.array_sort(F.aggregate(F.array_sort(rule_spans), model_spans, step))
+def arbitrate(df: DataFrame, rule_spans: Column, model_spans: Column, more: Column | None = None, out: str = "entities", strong: tuple[str, ...] = ("DATE", "TIME", "PHONE", "EMAIL", "URL", "ID")) -> DataFrame:
+    """Add ``out``: rule spans against model spans, in order of start: free ones are added, strong ones push overlapping spans out.
 
+    Then spans of a third detector (``more``) where nothing is yet; accepted ones block later ones.
+    Spans are (start, end, label, ...).
+    """
 
-def fill_gaps(spans: Column, more: Column) -> Column:
-    """Spans of a third detector where nothing is yet; accepted ones block later ones."""
-    return F.array_sort(F.aggregate(F.array_sort(more), spans, lambda done, s: F.when(F.exists(done, lambda m: overlaps(m, s)), done).otherwise(F.concat(done, F.array(s)))))
+    def work(rule: list[dict], model: list[dict], third: list[dict]) -> tuple:
+        key = lambda s: (s["start"], s["end"], s["label"] or "")
+        done = sorted(model or [], key=key)
+        taken = Disjoint([(s["start"], s["end"]) for s in done])
+        for s in sorted(rule or [], key=key):
+            at = taken.clashing(s["start"], s["end"])
+            clash = done[at]
+            if clash:
+                if s["label"] not in strong or (s["label"] == "PHONE" and any(m["label"] == "ID" for m in clash)):
+                    continue
+                del done[at], taken.starts[at], taken.ends[at]
+            done.insert(at.start, s)
+            taken.add(s["start"], s["end"])
+        for s in sorted(third or [], key=key):
+            at = taken.clashing(s["start"], s["end"])
+            if not done[at]:
+                done.insert(at.start, s)
+                taken.add(s["start"], s["end"])
+        return ([(s["start"], s["end"], s["label"]) for s in done],)
+
+    slim = lambda c: F.transform(c, lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"), s["label"].alias("label")))
+    none = F.lit(None).cast("array<struct<start:bigint,end:bigint,label:string>>")
+    return with_rows(df, {"rule": slim(rule_spans), "model": slim(model_spans), "third": none if more is None else slim(more)}, work, {out: "array<struct<start:bigint,end:bigint,label:string>>"})
 
 
 def merge_adjacent(tokens: Column) -> Column:
@@ -172,6 +202,4 @@ SYSTEMS = {
 def combined(df: DataFrame, model: str, more: str | None = None, text: str = "text", names: bool = True) -> DataFrame:
     """Add ``entities``: rule spans against those of a model (column ``model``), gaps filled from a third detector (``more``)."""
     found = detect(df, text, names=names)
-    slim = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
-    spans = arbitrate(slim("entities"), slim(model))
-    return found.withColumn("entities", held(fill_gaps(spans, slim(more)) if more else spans))
+    return arbitrate(found, F.col("entities"), F.col(model), F.col(more) if more else None)

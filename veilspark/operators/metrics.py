@@ -175,6 +175,25 @@ def leakage(df: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("docs"), *[total(F.col(n)).alias(n) for n in kinds])
 
 
+def leak_examples(df: DataFrame, n: int = 10, labels: tuple[str, ...] = WIDE) -> DataFrame:
+    """The first ``n`` documents by identifier with lost spans of these labels, and what was lost."""
+    which = F.filter(lost(), lambda g: g["label"].isin(*labels))
+    each = with_touch(df, t_gold=("gold", "pred")).select("doc_id", held(F.transform(which, lambda g: F.concat_ws(":", g["label"], g["surface"]))).alias("lost"))
+    return each.where("size(lost) > 0").orderBy("doc_id").limit(n)
+
+
+def best_by(scores: DataFrame, score: str = "f1", name: str = "system") -> DataFrame:
+    """The scores of all systems (a row each), with ``best`` for the one with the highest (ties: the first by name)."""
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(score), name)
+    return scores.withColumn("best", F.row_number().over(order) == 1)
+
+
+def unmapped(df: DataFrame, mapping: dict[str, str], spans: str = "gold") -> DataFrame:
+    """Labels of spans that a mapping lacks, and how many spans have them."""
+    seen = df.select(F.explode(spans).alias("s")).groupBy("s.label").agg(F.count("*").alias("spans"))
+    return seen.where(~F.col("label").isin(*mapping))
+
+
 def leak_attribution(df: DataFrame) -> DataFrame:
     """Documents by what leaks of the wide definition: one class alone, or several; ``several`` comes first, documents without a leak count for the rate only."""
     classes = F.array_distinct(F.transform(F.filter(lost(), lambda g: g["label"].isin(*WIDE)), lambda g: g["label"]))

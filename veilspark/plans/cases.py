@@ -68,12 +68,12 @@ def notes(cases: list[tuple]) -> str:
     return f"select {K} as doc_id, case {at} {pick(lambda c: repr(c[0]))} end as rule, case {at} {pick(lambda c: repr(c[1]))} end as label, case {at} {pick(lambda c: c[2])} end as before, case {at} {pick(lambda c: c[3])} end as surface, case {at} {pick(lambda c: c[4])} end as behind from customer"
 
 
-def found(cases: list[tuple], names: bool):
+def found(cases: list[tuple], names: bool, whitelist: DataFrame | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(K)
         made = spark.sql(notes(cases).replace("from customer", "from {customer}").replace("\n", "\\n"), customer=customer)
         texts = made.select("doc_id", F.col("rule").alias("wanted"), F.concat("before", "surface", "behind").alias("text"))
-        spans = detect.candidates(texts, names=names).select("doc_id", "wanted", F.explode("candidates").alias("c")).where("c.rule = wanted")
+        spans = detect.candidates(texts, names=names, whitelist=whitelist).select("doc_id", "wanted", F.explode("candidates").alias("c")).where("c.rule = wanted")
         return spans.select("doc_id", F.col("c.rule").alias("rule"), F.col("c.label").alias("label"), F.col("c.start").alias("span_start"), F.col("c.end").alias("span_end"), F.col("c.surface").alias("surface"))
 
     return run

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.deltas import char_delta
-from veilspark.operators import detect, lexicon, mask, metrics, requests, scored
+from veilspark.functions.spans import with_spans
+from veilspark.operators import admission, detect, lexicon, mask, metrics, requests, rules, scored
 from veilspark.sources import results, synthetic
 
+from . import cases
 from . import notes as N
 
 
@@ -137,15 +139,22 @@ def corpus_labels(spark, sf):
 # -- made-up texts
 
 
-def _prompts(n: int, templates: list):
+def _ids(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+
+
+IDS_SQL = "(SELECT c_custkey AS id FROM customer)"
+
+
+def _prompts(templates: list):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         listed = F.array_join(F.transform("gold", lambda g: F.concat_ws(":", g["start"], g["end"], g["label"], g["entity"])), "|")
-        return synthetic.prompts(spark, n, templates).select("id", "text", listed.alias("gold"))
+        return synthetic.prompts(_ids(spark, sf), templates).select("id", "text", listed.alias("gold"))
 
     return run
 
 
-def _prompts_sql(n: int, templates: list) -> str:
+def _prompts_sql(templates: list) -> str:
     def gold(t: list) -> str:
         at, out = "0", []
         for sql, label, entity in t:
@@ -154,30 +163,91 @@ def _prompts_sql(n: int, templates: list) -> str:
             at += f" + length({sql})"
         return " || '|' || ".join(out)
 
-    return f"SELECT id, {synthetic.turns_sql([' || '.join(s for s, _, _ in t) for t in templates])} AS text, {synthetic.turns_sql([gold(t) for t in templates])} AS gold FROM range({n}) t(id)".replace("cast(id as string)", "cast(id as varchar)")
+    return f"SELECT id, {synthetic.turns_sql([' || '.join(s for s, _, _ in t) for t in templates])} AS text, {synthetic.turns_sql([gold(t) for t in templates])} AS gold FROM {IDS_SQL}".replace("cast(id as string)", "cast(id as varchar)")
 
 
 def prompt_consistency(spark, sf):
     """Entities of made-up prompts whose found mentions share a placeholder, and collisions, by template."""
-    found = detect.detect(synthetic.prompts(spark, 5000).withColumnRenamed("id", "doc_id"), names=True)
+    found = detect.detect(synthetic.prompts(_ids(spark, sf)).withColumnRenamed("id", "doc_id"), names=True)
     named = mask.mask_each(found).withColumn("names", F.map_from_entries(F.transform("mapping", lambda m: F.struct(m["surface"], m["placeholder"]))))
     both = metrics.consistency(named).unionByName(metrics.collisions(named), allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
+#: An original that shares no character with a placeholder.
+ORIGINAL = "ññ"
+
+
 def spurious_restores(spark, sf):
-    """Texts without a whole placeholder, restored with every tag known: none may change."""
-    known = F.array(*[F.struct(F.lit(f"original {n}").alias("surface"), F.lit(tag).alias("tag"), F.lit(n).alias("n"), F.lit(f"[{tag}_{n}]").alias("placeholder")) for tag in sorted(set(lexicon.TAGS.values())) for n in (1, 2, 3)])
+    """Texts without a whole placeholder but for one in ten that has one behind it, restored with every tag known: those alone may change."""
+    tags = sorted(set(lexicon.TAGS.values()))
+    known = F.array(*[F.struct(F.lit(ORIGINAL).alias("surface"), F.lit(tag).alias("tag"), F.lit(n).alias("n"), F.lit(f"[{tag}_{n}]").alias("placeholder")) for tag in tags for n in (1, 2, 3)])
     kinds = {"natural": synthetic.NATURAL, "adversarial": synthetic.ADVERSARIAL}
     rows = None
     for kind, templates in kinds.items():
-        part = synthetic.samples(spark, 300, templates).withColumn("kind", F.lit(kind))
+        part = synthetic.samples(_ids(spark, sf), templates).withColumn("kind", F.lit(kind))
         rows = part if rows is None else rows.unionByName(part)
+    rows = rows.withColumn("text", F.when(F.col("id") % 10 == 0, F.concat("text", F.lit(" [FECHA_1]"))).otherwise(F.col("text")))
     back = mask.restore(rows.withColumn("mapping", known), "text", "mapping", "restored")
     changed = F.col("text") != F.col("restored")
     return back.groupBy("kind").agg(F.count("*").alias("samples"), F.count_if(changed).alias("altered"), F.sum(F.length("text")).alias("chars"), F.sum(F.when(changed, char_delta(F.col("text"), F.col("restored"))).otherwise(0)).cast("long").alias("altered_chars"))
 
 
+def whitelisted_names(spark, sf):
+    """Names on announced lines but for those on a white list that is made from the table."""
+    named = f"lower({cases.FIRST} || ' ' || {cases.LAST})"
+    listed = _t(spark, sf, "customer").where("c_custkey % 15 in (0, 7)").selectExpr(f"{named} as word").distinct()
+    return cases.found(cases.NAME_CASES["line_scoped_names"], True, listed)(spark, sf)
+
+
+def capabilities(spark, sf):
+    """The return flags of each order as capabilities, with one more where it lacks it."""
+    modes = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("modes"))
+    return modes.select("l_orderkey", F.array_join(requests.with_capability(F.col("modes"), "R"), ",").alias("capabilities"))
+
+
+def dotted_addresses(spark, sf):
+    """Version 6 addresses with a dotted tail in networks written alike."""
+    e = F.col("event_id")
+    ip = F.concat_ws(".", F.lit("::ffff:10.0"), (e % 4).cast("string"), (e % 300).cast("string"))
+    return _t(spark, sf, "events").select("event_id", ip.alias("ip"), admission.in_networks(ip, ["::ffff:10.0.1.0/120", "10.0.0.0/8"]).alias("allowed"))
+
+
+def combined_redaction_sources(spark, sf):
+    """Words that rules and a second detector take out beside true spans, by which of them did."""
+    found = with_spans(detect.detect(N.notes(spark, sf)).withColumnRenamed("entities", "rules"), "text", {"m__number": r"\b10000\d\b", "m__word": r"\bvisto\b"})
+    as_spans = lambda c, k, label: F.transform(F.filter(c, lambda s: F.col("doc_id") % 3 == k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label")))
+    model = F.array_sort(F.concat(as_spans("m__number", 0, "ID"), as_spans("m__word", 2, "NAME")))
+    both = detect.arbitrate(found.withColumn("model", model), F.col("rules"), F.col("model"), out="pred")
+    return metrics.over_redaction_sources(both)
+
+
+#: Systems of few rules beside the whole table.
+FEW = {"contacts": ("email", "phone"), "times": ("date", "time", "age")}
+
+
+def best_system(spark, sf):
+    """Relaxed F1 of systems, and which is best."""
+    systems = {"all": rules.RULES} | {n: [r for r in rules.RULES if r.name in names] for n, names in FEW.items()}
+    scores = None
+    for name, chosen in systems.items():
+        found = detect.detect(N.notes(spark, sf), rules=chosen).withColumnRenamed("entities", "pred")
+        one = metrics.span_scores(found, exact=False).select(F.lit(name).alias("system"), "f1")
+        scores = one if scores is None else scores.unionByName(one)
+    return metrics.best_by(scores)
+
+
+def unmapped_gold_labels(spark, sf):
+    """True labels that a system of few classes lacks, and how many spans have them."""
+    return metrics.unmapped(N.notes(spark, sf), {v: v for v in scored.LIMITED.values()})
+
+
+def leak_examples(spark, sf):
+    """The first documents that leak by the wide definition, and what."""
+    found = detect.detect(N.notes(spark, sf)).withColumnRenamed("entities", "pred")
+    return metrics.leak_examples(found, 10).select("doc_id", F.array_join("lost", "|").alias("lost"))
+
+
 def metrics_report(spark, sf):
     """The table of strict scores by class as lines of Markdown."""
     scores = metrics.per_class(detect.detect(N.notes(spark, sf)).withColumnRenamed("entities", "pred"))
@@ -186,8 +256,8 @@ def metrics_report(spark, sf):
 
 
 def queries() -> dict:
-    listed = [role_message_masking, json_path_allowlist, stream_events, best_scored_spans, longest_from_left, noise_filter, limited_labels, corpus_labels, prompt_consistency, spurious_restores, metrics_report]
-    return {f.__name__: f for f in listed} | {"synthetic_prompts": _prompts(5000, synthetic.DEV), "heldout_prompts": _prompts(2500, synthetic.HELD_OUT)}
+    listed = [role_message_masking, json_path_allowlist, stream_events, best_scored_spans, longest_from_left, noise_filter, limited_labels, corpus_labels, prompt_consistency, spurious_restores, metrics_report, whitelisted_names, capabilities, dotted_addresses, combined_redaction_sources, best_system, unmapped_gold_labels, leak_examples]
+    return {f.__name__: f for f in listed} | {"synthetic_prompts": _prompts(synthetic.DEV), "heldout_prompts": _prompts(synthetic.HELD_OUT)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -209,10 +279,22 @@ def oracle_sql() -> dict[str, str]:
         "noise_filter": f"SELECT c_custkey, c_custkey % 20 / 40 < 0.1 OR trim(s) IN ('', 'a', '12', '1234', 'abc') AS noise FROM (SELECT c_custkey, {pick(SURFACES, 'c_custkey')} AS s FROM customer)",
         "limited_labels": f"SELECT c_custkey, CAST(5 * k AS INT) AS span_start, label FROM (SELECT c_custkey, k, {pick(['NAME', 'LOCATION', '', 'EMAIL', ''], 'c_custkey + k')} AS label FROM customer, (VALUES (1), (2)) v(k)) WHERE label <> ''",
         "corpus_labels": f"SELECT c_custkey, {pick(unified, 'c_custkey')} AS label FROM customer",
-        "spurious_restores": " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS samples, CAST(0 AS BIGINT) AS altered, CAST(sum(length({synthetic.turns_sql(t)})) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS altered_chars FROM range(300) t(id)" for k, t in (("natural", synthetic.NATURAL), ("adversarial", synthetic.ADVERSARIAL))),
-        "prompt_consistency": f"SELECT n AS entities, n AS consistent, CAST(5000 AS BIGINT) AS docs, CAST(0 AS BIGINT) AS collisions FROM (SELECT CAST(sum({synthetic.turns_sql([str(len({e for _, label, e in t if label})) for t in synthetic.DEV])}) AS BIGINT) AS n FROM range(5000) t(id))",
-        "synthetic_prompts": _prompts_sql(5000, synthetic.DEV),
-        "heldout_prompts": _prompts_sql(2500, synthetic.HELD_OUT),
+        "spurious_restores": " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS samples, count_if(id % 10 = 0) AS altered, CAST(sum(length({synthetic.turns_sql(t)}) + CASE WHEN id % 10 = 0 THEN 10 ELSE 0 END) AS BIGINT) AS chars, CAST(9 * count_if(id % 10 = 0) AS BIGINT) AS altered_chars FROM {IDS_SQL}".replace("cast(id as string)", "cast(id as varchar)") for k, t in (("natural", synthetic.NATURAL), ("adversarial", synthetic.ADVERSARIAL))),
+        "prompt_consistency": f"SELECT n AS entities, n AS consistent, docs, CAST(0 AS BIGINT) AS collisions FROM (SELECT CAST(sum({synthetic.turns_sql([str(len({e for _, label, e in t if label})) for t in synthetic.DEV])}) AS BIGINT) AS n, count(*) AS docs FROM {IDS_SQL})",
+        "whitelisted_names": f"WITH f AS ({cases.found_sql(cases.NAME_CASES['line_scoped_names'])}) SELECT * FROM f WHERE lower(surface) NOT IN (SELECT lower({cases.FIRST} || ' ' || {cases.LAST}) FROM customer WHERE c_custkey % 15 IN (0, 7))",
+        "capabilities": "SELECT l_orderkey, list_aggregate(CASE WHEN list_contains(m, 'R') THEN m ELSE list_append(m, 'R') END, 'string_agg', ',') AS capabilities FROM (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS m FROM lineitem GROUP BY 1)",
+        "dotted_addresses": "SELECT event_id, '::ffff:10.0.' || CAST(event_id % 4 AS VARCHAR) || '.' || CAST(event_id % 300 AS VARCHAR) AS ip, event_id % 4 = 1 AND event_id % 300 < 256 AS allowed FROM events",
+        "combined_redaction_sources": f"""{N.cte()}, model AS MATERIALIZED (SELECT doc_id, span_start, span_end FROM ({N.spans_sql('notes', 'doc_id', 'text', chr(92) + 'b10000' + chr(92) + 'd' + chr(92) + 'b')}) WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, span_start, span_end FROM ({N.spans_sql('notes', 'doc_id', 'text', chr(92) + 'bvisto' + chr(92) + 'b')}) WHERE doc_id % 3 = 2),
+          f AS (SELECT EXISTS (SELECT 1 FROM gold b WHERE w.doc_id = b.doc_id AND w.word_start < b.span_end AND b.span_start < w.word_end) AS g, EXISTS (SELECT 1 FROM model b WHERE w.doc_id = b.doc_id AND w.word_start < b.span_end AND b.span_start < w.word_end) AS m,
+            (SELECT arg_min(b.label, b.span_start) FROM pred b WHERE w.doc_id = b.doc_id AND w.word_start < b.span_end AND b.span_start < w.word_end) AS r FROM words w)
+          SELECT CASE WHEN m AND r IS NOT NULL THEN 'model+rule' WHEN m THEN 'model' ELSE 'rule:' || r END AS source, count(*) AS words FROM f WHERE NOT g AND (m OR r IS NOT NULL) GROUP BY 1""",
+        "best_system": f"""{N.cte()}, y AS MATERIALIZED (SELECT 'all' AS system, doc_id, span_start, span_end FROM pred UNION ALL SELECT 'contacts', doc_id, span_start, span_end FROM cand WHERE label IN ('EMAIL', 'PHONE') UNION ALL SELECT 'times', doc_id, span_start, span_end FROM cand WHERE label IN ('DATE', 'TIME', 'AGE')),
+          n AS (SELECT system, count(*) AS np, (SELECT count(*) FROM gold) AS ng, count_if(EXISTS (SELECT 1 FROM gold a WHERE a.doc_id = y.doc_id AND a.span_start < y.span_end AND y.span_start < a.span_end)) AS tp FROM y GROUP BY 1)
+          SELECT system, round(2 * tp / (np + ng), 6) AS f1, row_number() OVER (ORDER BY 2 * tp / (np + ng) DESC, system) = 1 AS best FROM n""",
+        "unmapped_gold_labels": f"{N.cte()} SELECT label, count(*) AS spans FROM gold WHERE label NOT IN ('NAME', 'EMAIL', 'LOCATION') GROUP BY 1",
+        "leak_examples": f"{N.cte()}, lost AS (SELECT a.*, substr(n.text, a.span_start + 1, a.span_end - a.span_start) AS surface FROM gold a JOIN notes n USING (doc_id) WHERE label IN {metrics.WIDE} AND NOT EXISTS (SELECT 1 FROM pred b WHERE a.doc_id = b.doc_id AND a.span_start < b.span_end AND b.span_start < a.span_end)) SELECT doc_id, string_agg(label || ':' || surface, '|' ORDER BY span_start) AS lost FROM lost GROUP BY 1 ORDER BY 1 LIMIT 10",
+        "synthetic_prompts": _prompts_sql(synthetic.DEV),
+        "heldout_prompts": _prompts_sql(synthetic.HELD_OUT),
     }
     pct = lambda c: f"printf('%.1f %%', 100 * {c})"
     out["metrics_report"] = f"""WITH s AS ({sql()['per_class_prf']}) SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS line_no, '| ' || concat_ws(' | ', label, {pct('precision')}, {pct('recall')}, {pct('f1')}, CAST(support AS VARCHAR)) || ' |' AS line FROM s

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import platform
+import subprocess
 from dataclasses import astuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,12 +57,39 @@ def report(title: str, scores: DataFrame, columns: list[str], order: list) -> Da
     return head.unionByName(rows)
 
 
+def fixed_values() -> dict[str, str]:
+    """All that detection hangs on, as text by name: rules and fixed values."""
+    values = {f"lexicon.{k}": repr(sorted(v) if isinstance(v, set) else v) for k, v in vars(lexicon).items() if k.isupper()}
+    return values | {f"rule.{i:02d}.{r.name}": repr(astuple(r)) for i, r in enumerate(rules.RULES)}
+
+
 def table_hash() -> str:
-    """A hash of all that detection hangs on: rules and fixed values."""
-    values = {k: sorted(v) if isinstance(v, set) else v for k, v in vars(lexicon).items() if k.isupper()}
-    return hashlib.sha256(repr(([astuple(r) for r in rules.RULES], sorted(values.items()))).encode()).hexdigest()
+    return hashlib.sha256(repr(sorted(fixed_values().items())).encode()).hexdigest()
+
+
+def freeze(spark: SparkSession, path: str) -> None:
+    """Write the fixed values, so that later ones can be held against them."""
+    spark.createDataFrame(sorted(fixed_values().items()), "name string, value string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def changed_since(spark: SparkSession, path: str) -> DataFrame:
+    """``name`` and ``change`` (added, removed, changed) of the fixed values against frozen ones; no rows: a detector as it was."""
+    now = spark.createDataFrame(sorted(fixed_values().items()), "name string, new string")
+    both = spark.read.schema("name string, value string").json(path).join(now, "name", "full")
+    change = F.when(F.col("value").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("value") != F.col("new"), "changed")
+    return both.select("name", change.alias("change")).where("change is not null")
+
+
+def revision() -> tuple[str | None, bool | None]:
+    """The commit of the code's folder and whether files differ from it; None where that isn't known."""
+    run = lambda *a: subprocess.run(["git", "-C", os.path.dirname(os.path.abspath(__file__)), *a], capture_output=True, text=True, timeout=20, check=True).stdout.strip()
+    try:
+        return run("rev-parse", "HEAD"), bool(run("status", "--porcelain"))
+    except (OSError, subprocess.SubprocessError):
+        return None, None
 
 
 def provenance(spark: SparkSession, seed: int) -> dict[str, Column]:
     """Columns that say what made a record."""
-    return {"spark_version": F.lit(spark.version), "rules_sha256": F.lit(table_hash()), "seed": F.lit(seed)}
+    commit, dirty = revision()
+    return {"spark_version": F.lit(spark.version), "python_version": F.lit(platform.python_version()), "revision": F.lit(commit).cast("string"), "dirty": F.lit(dirty).cast("boolean"), "rules_sha256": F.lit(table_hash()), "seed": F.lit(seed)}

@@ -1,4 +1,4 @@
-"""Made-up prompts with known entities, from a range of numbers: each task makes its own.
+"""Made-up prompts with known entities, one for each number of a table: each task makes its own.
 
 A template is a list of segments, SQL that Spark and DuckDB read alike; a segment with a
 label is an entity, and its name says which: mentions of one name are one entity.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # What names and places are made from.
@@ -45,10 +45,10 @@ HELD_OUT = [
 ]
 
 
-def prompts(spark: SparkSession, n: int, templates: list = DEV) -> DataFrame:
-    """``id``, ``text``, ``gold`` (spans) and ``mentions`` (entity, surface, in order)."""
+def prompts(ids: DataFrame, templates: list = DEV) -> DataFrame:
+    """``id``, ``text``, ``gold`` (spans) and ``mentions`` (entity, surface, in order) for every ``id``."""
     most, kind = max(map(len, templates)), F.col("id") % len(templates)
-    made = spark.range(n).toDF("id").select("id", *[F.expr(turns_sql([t[k][0] if k < len(t) else "''" for t in templates])).alias(f"s{k}") for k in range(most)])
+    made = ids.select("id", *[F.expr(turns_sql([t[k][0] if k < len(t) else "''" for t in templates])).alias(f"s{k}") for k in range(most)])
     gold = []
     for k in range(most):
         at = reduce(lambda a, b: a + b, [F.length(f"s{j}") for j in range(k)], F.lit(0)).cast("bigint")
@@ -83,6 +83,6 @@ def turns_sql(kinds: list[str]) -> str:
     return f"case id % {len(kinds)} " + " ".join(f"when {i} then {k}" for i, k in enumerate(kinds)) + " end"
 
 
-def samples(spark: SparkSession, n: int, kinds: list[str]) -> DataFrame:
-    """Texts without a whole placeholder, of each kind in turn."""
-    return spark.range(n).toDF("id").select("id", F.expr(turns_sql(kinds)).alias("text"))
+def samples(ids: DataFrame, kinds: list[str]) -> DataFrame:
+    """For every ``id`` a text without a whole placeholder, of each kind in turn."""
+    return ids.select("id", F.expr(turns_sql(kinds)).alias("text"))
