@@ -89,7 +89,8 @@ def listed_words(text: Column, rules: list[Rule]) -> Column:
     listed = sorted({w for r in rules for w in r.words})
     if not listed:
         return F.array().cast("array<string>")
-    low = F.lower(F.upper(F.translate(text, "İ", "i")))
+    # letters that match others of another case, though they aren't their small or capital form
+    low = F.lower(F.translate(text, "İıſK", "iisk"))
     return F.array_intersect(F.split(low, _BETWEEN), F.array(*map(F.lit, listed)))
 
 
