@@ -9,7 +9,8 @@ word costs n log n and not a round for each merge.
 
 Null and empty texts have no ids and decode to the empty text.  Rows are independent:
 repeated rows give repeated results, empty tables give empty tables, other columns
-stay as they are (an output name that clashes replaces the column).
+stay as they are (an output name that clashes replaces the column).  A text that is longer than a slice is a
+slice of its own, encoded whole.  Of equal pairs in a word the leftmost is merged first.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ of batches of bitmaps with that matrix.
 
 The model is fitted on at most ``TRAIN_DOCS`` labelled rows, drawn by a hash of their
 identifiers, evenly over languages; only their texts and languages are used.  Texts that are null or have no
-letter are ``und`` with score 0.  With no labelled rows every text is ``und``.
+letter are ``und`` with score 0.  With no labelled rows every text is ``und``.  The draw reads twice
+as many rows as it keeps, at most.  Very long texts are scored whole, repeated rows alike; of languages with one score the
+first by name is taken.  An empty table gives no rows, and columns named like the added ones are replaced.
 """
 
 from __future__ import annotations

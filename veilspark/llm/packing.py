@@ -9,7 +9,8 @@ taken out.  It ends as soon as the bin can be filled exactly.  Only the last few
 a group have slack, so the number of groups, not the input, bounds the loss.
 
 Null and empty texts are one piece that holds the end id alone.  Repeated rows are
-packed each.  An empty table gives no rows.
+packed each.  An empty table gives no rows.  Of pieces of one length in a group those with the greater identifier, piece
+and checksum go first.  Very long texts are cut, never left out.  Only identifier and text are read, so other columns' names don't matter.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ key.  Numbers of card length that fail the check are permuted too, as plain digi
              domain's digits stay (one way: an email isn't a number)
 
 Null texts stay null, empty ones empty.  Rows are independent; other columns stay, and
-an output name that clashes replaces the column.
+an output name that clashes replaces the column.  Repeated rows change alike.  Very long texts are gone
+through whole.  Of kinds that match at one place the first of ``PATTERNS`` decides.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ small-star steps on a table of links, written out after every step.
 Null and empty texts, and texts of white space only, have the fingerprint 0 and link
 like any other.  Exact copies share one fingerprint and count once in every cell.  An
 empty table gives no rows; a null identifier joins a component without naming it unless
-no member has one.
+no member has one.  Very long texts are hashed whole, and a shingle counts as often as it occurs.  A bit with as
+many ones as zeros is 0; ties of a component go to the least identifier.  Other columns aren't read.
 """
 
 from __future__ import annotations

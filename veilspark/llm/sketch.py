@@ -7,7 +7,9 @@ keeping the least hashes of both, so parts can be sketched apart.  With fewer th
 
 A sketch is written as the lowercase hex digits of its hashes, ascending, 16 each.
 Null and empty texts have the empty sketch; two empty sketches resemble by 1.  Equal
-texts have equal sketches, whatever else a row holds.
+texts have equal sketches, whatever else a row holds; repeated rows too.  Very long texts
+are sketched whole.  Equal hashes count once, so there are no ties but of neighbours with one
+identifier, which go by their texts.  An empty table gives no rows.  A column named like an added one is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns_but, slices, small_batches
@@ -109,6 +111,30 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint", s
     return docs.select(keep).mapInArrow(run, docs.select(keep).schema.add(out, "string").add("n_shingles", "double"))
 
 
+def merged(sketches: DataFrame, *keys: str, sketch: str = "fingerprint", k: int = K) -> DataFrame:
+    """One sketch for each key, of all texts whose sketches it has: the ``k`` least of their distinct hashes.
+
+    Tasks pass on at most ``k`` hashes for a key, however many sketches it has.  Keys of empty
+    sketches alone have the empty one; null keys are a key.
+    """
+    hashes = sketches.select(*keys, F.explode_outer(F.regexp_extract_all(F.coalesce(sketch, F.lit("")), F.lit("[0-9a-f]{16}"), F.lit(0))).alias("hash__")).distinct()
+    least = hashes.withColumn("place__", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("hash__")))).where(F.col("place__") <= k)
+    return least.groupBy(*keys).agg(F.concat_ws("", F.array_sort(F.collect_list("hash__"))).alias(sketch))
+
+
+def compared(pairs: DataFrame, a: str, b: str, k: int = K) -> DataFrame:
+    """Add ``resemblance`` of two columns of sketches and ``containment`` of the first in the second, estimated; null sketches count as empty."""
+    keep = columns_but(pairs, "resemblance", "containment")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [(read(x or ""), read(y or "")) for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist())]
+            found = [pa.array([f(x, y, k) for x, y in both], pa.float64()) for f in (resemblance, containment)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *found], names=[*keep, "resemblance", "containment"])
+
+    return pairs.select(keep).mapInArrow(run, pairs.select(keep).schema.add("resemblance", "double").add("containment", "double"))
+
+
 # -- neighbours in the order of identifiers
 
 

@@ -13,7 +13,8 @@ from abuse (words of address).  A logistic regression on a few counts gives the
 Lexicon and regression are fitted on at most ``TRAIN_DOCS`` labelled rows of each class
 (the bound is a parameter), drawn by a hash of the identifier.  Null and empty texts
 score as texts without a hit.  Repeated rows score alike.  With no labelled rows of
-either class every score is 0.
+either class every score is 0.  Very long texts are gone through whole; scores have no ties to break, and
+forms of one count are taken or left together.  An empty table gives no rows; a column named like the score is replaced.
 """
 
 from __future__ import annotations
