@@ -180,6 +180,23 @@ def test_standoff(spark, tmp_path):
     assert [(r.doc_id, [(g.label, g.start, g.end) for g in r.gold]) for r in row] == [("a", [("NAME", 0, 3), ("PLACE", 4, 13)])]
 
 
+def test_standoff_source_plans_tasks_and_misses_no_split(spark, tmp_path):
+    for split, names in (("dev", "abcde"), ("test", "fg"), ("none", "")):
+        (tmp_path / split / "deep").mkdir(parents=True)
+        for k, n in enumerate(names):
+            where = tmp_path / split / ("deep" if k % 2 else "")
+            (where / f"{n}.txt").write_text(f"text é {n}")
+            (where / f"{n}.ann").write_text("T1\tNAME 0 4\ttext\n")
+    spark.dataSource.register(standoff.Pairs)
+    load = lambda splits: spark.read.format("standoff").option("path", f"file://{tmp_path}").option("splits", splits).option("pairs", 2).load()
+    pairs = load('["dev", "test"]')
+    assert pairs.rdd.getNumPartitions() == 4
+    assert sorted((r.split, r.doc_id, r.text) for r in pairs.collect()) == [("dev", n, f"text é {n}") for n in "abcde"] + [("test", n, f"text é {n}") for n in "fg"]
+    assert load('["none"]').count() == 0
+    with pytest.raises(Exception, match="no split missing"):
+        load('["dev", "missing"]').count()
+
+
 def test_one_key_with_very_many_hits(spark):
     """A run without a gap is a pass with little state: no array of all its hits, no work that grows with its square."""
     n = 200_000
