@@ -18,7 +18,8 @@ moved: a task that runs again writes the same files.  The manifest, a Parquet ta
 Spark's, names the shards that count.
 
 Null and empty texts get the end id alone.  Repeated rows are all kept, beside one
-another.  An empty table gives no shards, and reading gives no rows.
+another, those of one identifier by length, then ids.  An empty table gives no shards, and reading gives no rows.  A very
+long text is one row, which may make a block of its own.  Only identifier and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -228,6 +229,9 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([press(packed(x)) for x in ids], pa.binary())], names=["doc_id", "n", "value"])
 
     def write(batches):
+        # a worker that encoded before lets go of its table of pieces
+        encoder.cache_clear()
+        pa.default_memory_pool().release_unused()
         part, shard, start, rows, number = None, None, 0, [], 0
         expand = zstandard.ZstdDecompressor().decompress
 
