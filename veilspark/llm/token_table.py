@@ -223,17 +223,15 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
     def coded(batches):
         encode = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        press = zstandard.ZstdCompressor(level=1).compress
         for batch, texts in slices(batches):
             ids = [x + end for x in encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([press(packed(x)) for x in ids], pa.binary())], names=["doc_id", "n", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(list(map(packed, ids)), pa.binary())], names=["doc_id", "n", "value"])
 
     def write(batches):
         # a worker that encoded before lets go of its table of pieces
         encoder.cache_clear()
         pa.default_memory_pool().release_unused()
-        part, shard, start, rows, number = None, None, 0, [], 0
-        expand = zstandard.ZstdDecompressor().decompress
+        part, shard, start, number = None, None, 0, 0
 
         def finish():
             nonlocal shard, number
@@ -248,7 +246,7 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
             for p, key, n_ids, value in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n", "value"))):
                 part = p
                 shard = shard or ShardWriter()
-                shard.add(key_of(key), start, n_ids, expand(value))
+                shard.add(key_of(key), start, n_ids, value)
                 start += n_ids
                 if len(shard.body) >= SHARD_BYTES:
                     yield finish()
