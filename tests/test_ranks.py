@@ -4,8 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from veilspark.functions.spans import with_spans
-from veilspark.operators import admission, names, ranks, rules
+from veilspark.operators import admission, detect, names, ranks, rules, walks
 
 
 def test_values_at_exact_ranks(spark):
@@ -31,21 +30,22 @@ def test_values_at_of_no_rows(spark):
 
 def test_patterns_go_through_long_runs(spark):
     """A run of 100,000 words of one match is found whole."""
-    rule = {r.name: r.pattern for r in rules.RULES}
-    made = {"doctor": (rule["doctor"], "dr. " + "ana ruiz " * 50000), "hospital": (rule["hospital"], "Hospital " + "Ana Ruiz " * 50000)}
-    made |= {k: (names.PATTERNS[k], ("ANA RUIZ " if k.startswith("upper") else "Ana Ruiz ") * 50000) for k in ("upper", "upper_any", "mixed")}
-    for pattern, text in made.values():
-        spans = with_spans(spark.createDataFrame([(text,)], "t string"), "t", {"s": pattern}).select(F.transform("s", lambda x: F.struct(x["start"], x["end"]))).first()[0]
-        assert [tuple(s) for s in spans] == [(0, len(text) - 1)]
+    rule = {r.name: [r] for r in rules.RULES}
+    for name, text in (("doctor", "dr. " + "ana ruiz " * 50000), ("hospital", "Hospital " + "Ana Ruiz " * 50000)):
+        found = detect.matches(spark.createDataFrame([(text,)], "t string"), "t", rule[name]).first().matches
+        assert [(m.start, m.end) for m in found] == [(0, len(text) - 1)]
+    for kind, lines, text in (("upper", False, "ANA RUIZ " * 50000), ("upper", True, "ANA RUIZ " * 50000), ("mixed", False, "Ana Ruiz " * 50000)):
+        assert [(s, e) for s, e, _ in names.runs(walks.Words(text), 0, len(text), kind, lines)] == [(0, len(text) - 1)]
 
 
-def test_names_end_at_whole_words(spark):
+def test_names_end_at_whole_words():
+    found = lambda text, kind: [x for _, _, x in names.runs(walks.Words(text), 0, len(text), kind, False)]
     cases = {"ANA RUIZ": ["ANA RUIZ"], "ANA RUIZ SOLa": ["ANA RUIZ"], "ANA RUIZa": [], "ANA, RUIZ/SOL - PO": ["ANA, RUIZ/SOL"]}
     for text, want in cases.items():
-        assert [s.surface for s in with_spans(spark.createDataFrame([(text,)], "t string"), "t", {"s": names.PATTERNS["upper"]}).first().s] == want
+        assert found(text, "upper") == want
     cases = {"Ana Ruiz Pérez": ["Ana Ruiz Pérez"], "Ana Ruiz Ramón": ["Ana Ruiz"], "Ana Ramón": [], "Ana\nRuiz": []}
     for text, want in cases.items():
-        assert [s.surface for s in with_spans(spark.createDataFrame([(text,)], "t string"), "t", {"s": names.PATTERNS["mixed"]}).first().s] == want
+        assert found(text, "mixed") == want
 
 
 def test_addresses_of_any_length(spark):
