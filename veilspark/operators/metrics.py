@@ -10,6 +10,7 @@ one sum over documents, of which tasks pass on a row or a row for each label.
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.rows import with_rows
-from veilspark.functions.spans import held, with_spans
+from veilspark.functions.spans import held
 
 # Labels of direct identifiers, and of the wide definition of a leak.
 DIRECT = ("NAME", "ID", "PHONE", "EMAIL")
@@ -79,12 +80,23 @@ def lost(gold: str = "gold", touch: str = "t_gold") -> Column:
     return F.filter(gold, lambda g, i: ~hit(touch, i))
 
 
+WORDS = "array<struct<start:bigint,end:bigint,surface:string,g:boolean,p:boolean>>"
+
+
+def _slim(spans: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end")))
+
+
 def with_words(df: DataFrame) -> DataFrame:
     """Add ``words``: runs without white space, and whether true and predicted spans overlap them."""
-    found = with_spans(df.withColumn("w__text", F.coalesce("text", F.lit(""))), "w__text", {"w__words": r"(?U)\S+"})
-    found = with_touch(found, w__gold=("w__words", "gold"), w__pred=("w__words", "pred"))
-    flags = F.transform("w__words", lambda w, i: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["surface"].alias("surface"), hit("w__gold", i).alias("g"), hit("w__pred", i).alias("p")))
-    return found.withColumn("words", held(flags)).drop("w__text", "w__words", "w__gold", "w__pred")
+    by_start = lambda spans: sorted(spans or [], key=lambda s: s["start"])
+
+    def work(text: str | None, gold: list[dict] | None, pred: list[dict] | None) -> tuple:
+        words = [{"start": m.start(), "end": m.end()} for m in re.finditer(r"\S+", text or "")]
+        flags = zip(words, touched(words, by_start(gold)), touched(words, by_start(pred)))
+        return ([(w["start"], w["end"], text[w["start"] : w["end"]], g >= 0, p >= 0) for w, (g, _), (p, _) in flags],)
+
+    return with_rows(df, {"text": F.col("text"), "gold": _slim("gold"), "pred": _slim("pred")}, work, {"words": WORDS})
 
 
 def greedy(gold: list[dict], pred: list[dict], exact: bool) -> int:
@@ -321,20 +333,22 @@ POISSON = poisson_bounds()
 
 
 def weighted(per_doc: DataFrame, columns: list[str], replicates: int) -> DataFrame:
-    """``r`` and the weighted sum of each column in that replicate; documents are drawn where they are.
+    """``r`` and the weighted sum of each column in that replicate (-1: every document once); documents are drawn where they are.
 
     A block of documents times their weights in all replicates is one product of
     matrices; a task passes on its sums, a row for each replicate.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, r = np.zeros((replicates, len(columns)), np.int64), np.arange(replicates)
+        sums, r, plain = np.zeros((replicates, len(columns)), np.int64), np.arange(replicates), np.zeros((1, len(columns)), np.int64)
         for batch in batches:
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
             values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(np.float64)
+            plain += np.rint(values.sum(axis=0)).astype(np.int64)
             for k in range(0, len(docs), 512):
                 sums += np.rint(draws(docs[k : k + 512, None], r).T.astype(np.float64) @ values[k : k + 512]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(r), *[pa.array(sums[:, i]) for i in range(len(columns))]], names=["r", *columns])
+        every = np.concatenate([plain, sums])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, r)), *[pa.array(every[:, i]) for i in range(len(columns))]], names=["r", *columns])
 
     slim = per_doc.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), *[F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in columns])
     rows = slim.mapInArrow(run, "r long, " + ", ".join(f"{c} long" for c in columns))
@@ -368,10 +382,10 @@ def intervals(per_doc: DataFrame, metrics: dict = INTERVALS, replicates: int = 1
     columns = sorted({c for needs, _ in metrics.values() for c in needs})
     col = {c: F.col(c) for c in columns}
     values = F.array(*[F.struct(F.lit(n).alias("metric"), f(col).alias("v")) for n, (_, f) in metrics.items()])
-    point = per_doc.agg(*[total(F.col(c)).alias(c) for c in columns]).select(F.explode(values).alias("x")).select("x.metric", F.col("x.v").alias("point"))
     low, high = int(0.025 * (replicates - 1)), int(0.975 * (replicates - 1))
-    ranked = weighted(per_doc, columns, replicates).select(F.explode(values).alias("x")).groupBy("x.metric").agg(F.array_sort(F.collect_list("x.v")).alias("vs"))
-    both = point.join(ranked, "metric").select("metric", F.round("point", 6).alias("point"), F.round(F.get("vs", F.lit(low)), 6).alias("low"), F.round(F.get("vs", F.lit(high)), 6).alias("high"))
+    rows = weighted(per_doc, columns, replicates).select("r", F.explode(values).alias("x"))
+    both = rows.groupBy("x.metric").agg(F.max(F.when(F.col("r") < 0, F.col("x.v"))).alias("point"), F.array_sort(F.collect_list(F.when(F.col("r") >= 0, F.col("x.v")))).alias("vs"))
+    both = both.select("metric", F.round("point", 6).alias("point"), F.round(F.get("vs", F.lit(low)), 6).alias("low"), F.round(F.get("vs", F.lit(high)), 6).alias("high"))
     return both.withColumn("inside", F.col("point").between(F.col("low") - 1e-6, F.col("high") + 1e-6))
 
 
