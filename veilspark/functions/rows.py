@@ -11,6 +11,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+#: Rows whose values are Python objects at a time: a task's memory doesn't grow with Spark's batches.
+SLICE = 512
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``SLICE`` rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE):
+            yield batch.slice(k, SLICE)
+
+
 def with_rows(df: DataFrame, inputs: dict[str, Column], work: Callable[..., tuple], outputs: dict[str, str]) -> DataFrame:
     """Add ``outputs`` (name: Spark type): ``work`` gives their values from a row's ``inputs``.
 
@@ -23,7 +34,7 @@ def with_rows(df: DataFrame, inputs: dict[str, Column], work: Callable[..., tupl
     arrow = [to_arrow_type(k) for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [work(*x) for x in zip(*[c.to_pylist() for c in batch.columns[last:]])]
             columns = zip(*made) if made else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], *[pa.array(c, k) for c, k in zip(columns, arrow)]], names=[*keep, *outputs])

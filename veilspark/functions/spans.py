@@ -34,6 +34,20 @@ def _running(pairs: Column) -> Column:
     return F.flatten(F.transform(F.aggregate(parts, F.array(F.array(first)), chunk), lambda x: F.slice(x, F.lit(2), F.lit(CHUNK))))
 
 
+def gap_pattern(pattern: str, tail: bool = False) -> str:
+    """A pattern whose first group is what stands before each match of ``pattern``; with ``tail`` also what stands behind the last.
+
+    Spark compiles the pattern of ``split`` anew for each row, that of ``regexp_extract_all`` once.
+    """
+    end = r"|\z" if tail else ""
+    return rf"\G((?s:.*?))(?:{pattern}{end})"
+
+
+def gaps(text: Column, pattern: str, hits: Column) -> Column:
+    """What ``split`` without a limit gives, for a text and the pattern's matches in it (none is empty)."""
+    return F.slice(F.regexp_extract_all(text, F.lit(gap_pattern(pattern, True)), F.lit(1)), F.lit(1), F.size(hits) + 1)
+
+
 def with_spans(df: DataFrame, text: str, patterns: dict[str, str], gates: dict[str, Column] | None = None) -> DataFrame:
     """Add, for each name, the array of (start, end, surface) of a pattern's leftmost non-overlapping matches.
 
@@ -46,8 +60,8 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, str], gates: dict[s
     hits = df.withColumns({f"{n}__hits": F.when(gates[n], x).otherwise(F.array().cast("array<string>")) if n in gates else x for n, x in found.items()})
     pairs = {}
     for n, p in patterns.items():
-        zipped = F.arrays_zip(F.split(F.col(text), p, -1).alias("gap"), F.col(f"{n}__hits").alias("hit"))
-        pairs[f"{n}__pairs"] = held(F.when(F.size(f"{n}__hits") > 0, F.slice(zipped, F.lit(1), F.size(f"{n}__hits"))))
+        zipped = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(gap_pattern(p)), F.lit(1)).alias("gap"), F.col(f"{n}__hits").alias("hit"))
+        pairs[f"{n}__pairs"] = held(F.when(F.size(f"{n}__hits") > 0, zipped))
     zipped = hits.withColumns(pairs)
     spans = {}
     for n in patterns:

@@ -1,9 +1,10 @@
 """From texts to resolved entity spans: rules, names, greedy overlap resolution, arbitration.
 
-Patterns run as DataFrame expressions on texts that a rule's gate lets through.  Walks,
-names, the second search and the choice among overlapping candidates need what was found before;
-they are a pass over a text's spans in Arrow batches, and take bisections where they look for a
-span.  A null text has no spans; texts are gone through whole; repeated rows are rows of their own.
+Patterns run as DataFrame expressions on texts that a rule's gate lets through; where their hits
+are follows from the lengths of what stands between them.  Walks, names and the second search need what was found before;
+they are a pass over a text's spans in Arrow batches, a slice of rows at a time.  The choice among overlapping candidates is
+made for all texts of a slice at once: only groups of three or more are gone through.  A null text has no spans; texts are
+gone through whole; repeated rows are rows of their own.
 """
 
 from __future__ import annotations
@@ -12,16 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.functions.rows import with_rows
-from veilspark.functions.spans import held, with_spans
+from veilspark.functions.rows import sliced, with_rows
+from veilspark.functions.spans import gap_pattern
 
 from .lexicon import UNIFIED
 from .names import discovered, named
-from .rules import RULES, WIDE_RULES, Rule, listed_words, may_match, passes
+from .rules import CHECKS, RULES, WIDE_RULES, Rule, may_match
 from .spansets import Disjoint, Found, greedy
 from .walks import WALKS, Words
 
@@ -71,52 +73,108 @@ def allowed_texts(whitelist: DataFrame | list[str] | None) -> frozenset[str]:
     return frozenset(x.strip().lower() for x in whitelist or ())
 
 
+def places(gaps: pa.Array, hits: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of every hit, from the lists of what stands before and in each of a text's hits."""
+    rows = np.repeat(np.arange(len(hits)), hits.value_lengths().fill_null(0).to_numpy())
+    long = pc.utf8_length(hits.flatten()).to_numpy()
+    ends = np.cumsum(pc.utf8_length(gaps.flatten()).to_numpy() + long)
+    first = np.searchsorted(rows, rows)
+    ends -= np.where(first > 0, ends[first - 1], 0) if len(rows) else 0
+    return rows, ends - long, ends
+
+
+def resolved(row: np.ndarray, start: np.ndarray, end: np.ndarray, priority: np.ndarray) -> np.ndarray:
+    """Which spans (in the order in which they were found) the greedy choice keeps, by row and start.
+
+    Spans that overlap in a chain are a group; of one or two the best stays, others are gone through.
+    """
+    rank = np.empty(len(row), np.int64)
+    rank[np.lexsort((np.arange(len(row)), start, start - end, -priority))] = np.arange(len(row))
+    order = np.lexsort((rank, start, row))
+    width = int(end.max(initial=0)) + 1
+    low, high = (row * width + start)[order], (row * width + end)[order]
+    heads = np.flatnonzero(np.concatenate([[True], low[1:] >= np.maximum.accumulate(high)[:-1]])) if len(row) else np.arange(0)
+    sizes = np.diff(np.append(heads, len(row)))
+    keep = np.zeros(len(row), bool)
+    keep[heads[sizes == 1]] = True
+    pair = heads[sizes == 2]
+    keep[np.where(rank[order[pair]] < rank[order[pair + 1]], pair, pair + 1) if len(pair) else pair] = True
+    for k in np.flatnonzero(sizes > 2).tolist():
+        group = range(heads[k], heads[k] + sizes[k])
+        best = sorted(group, key=lambda g: rank[order[g]])
+        keep[[g for _, _, g in greedy([(low[g], high[g], g) for g in best])]] = True
+    return order[keep]
+
+
 def _stage(df: DataFrame, text: str, rules: list[Rule], names: bool, out: str, gated: bool = True, whitelist: DataFrame | list[str] | None = None) -> DataFrame:
     """Add one of ``STAGES``."""
     allowed = allowed_texts(whitelist)
     keep = [c for c in df.columns if c.lower() != out.lower()]
     rows = df.withColumn("r__text", F.coalesce(text, F.lit("")))
-    if gated:
-        rows = rows.withColumn("r__words", held(listed_words(F.col("r__text"), rules)))
-    gate = {r.name: may_match(r, F.col("r__text"), F.col("r__words")) if gated else F.lit(True) for r in rules}
-    rows = with_spans(rows, "r__text", {f"r__{r.name}": r.pattern for r in rules if r.pattern}, {f"r__{r.name}": gate[r.name] for r in rules if r.pattern})
-
-    def of(i: int, r: Rule) -> Column:
-        kept = F.filter(f"r__{r.name}", lambda s: (F.length(F.trim(s["surface"])) > 0) & passes(r, s["surface"]))
-        return F.transform(kept, lambda s: F.struct(F.lit(i).alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
-
-    none = F.array().cast("array<struct<rule:int,start:bigint,end:bigint>>")
-    spans = F.concat(none, *[of(i, r) for i, r in enumerate(rules) if r.pattern])
-    walks = F.array_compact(F.array(F.lit(None).cast("int"), *[F.when(gate[r.name], F.lit(i)) for i, r in enumerate(rules) if r.walk]))
-    kept = [F.col(f"`{c}`") for c in keep]
-    rows = rows.select(*kept, F.col("r__text"), spans.alias("r__spans"), walks.alias("r__walks"))
+    gate = [may_match(r, F.col("r__text")) if gated and r.pattern else F.lit(True) for r in rules]
+    patterns = [i for i, r in enumerate(rules) if r.pattern]
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({f"r__hit{i}": F.when(gate[i], F.regexp_extract_all("r__text", F.lit(rules[i].pattern), F.lit(0))).otherwise(none) for i in patterns})
+    gaps = {i: F.when(F.size(f"r__hit{i}") > 0, F.regexp_extract_all("r__text", F.lit(gap_pattern(rules[i].pattern)), F.lit(1))).otherwise(none) for i in patterns}
+    rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.col("r__text"), *[F.col(f"r__hit{i}") for i in patterns], *[gaps[i].alias(f"r__gap{i}") for i in patterns])
     kind, last = arrow_type(STAGES[out]), len(keep)
-
-    def found_in(t: str, spans: list[tuple[int, int, int]], walks: list[int]) -> list[tuple]:
-        words = Words(t) if walks or names else None
-        every = spans + [(i, s, e) for i in walks for s, e in WALKS[rules[i].walk](words)]
+    walks = [(i, WALKS[r.walk], frozenset(r.words) if gated else None) for i, r in enumerate(rules) if r.walk]
+    priority = np.array([r.priority for r in rules], np.int64)
+    labels, rule_names = pa.array([UNIFIED.get(r.label, "OTHER") for r in rules], pa.string()), pa.array([r.name for r in rules], pa.string())
+
+    def walked(texts: list[str]) -> tuple[list[Words | None], list[tuple[int, int, int, int]]]:
+        """The words of each text, and row, rule, start and end of what walks find that a text's words let through."""
+        words, found = [Words(t) if t and (names or walks) else None for t in texts], []
+        for k, x in enumerate(words):
+            if x is not None:
+                for i, walk, known in walks:
+                    if not known or not known.isdisjoint(x.low):
+                        found += [(k, i, s, e) for s, e in walk(x)]
+        return words, found
+
+    def spans_of(batch: pa.RecordBatch, texts: list[str], more: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
+        """Row, rule, start and end of every match, in the order of rows, rules and of the text."""
+        parts = [np.array(more, np.int64).reshape(-1, 4).T]
+        for k, i in enumerate(patterns):
+            hits = batch.column(last + 1 + k)
+            row, start, end = places(batch.column(last + 1 + len(patterns) + k), hits)
+            if len(row):
+                check = CHECKS.get(rules[i].check)
+                good = np.array([bool(h.strip(" ")) and (check is None or check(h)) for h in hits.flatten().to_pylist()])
+                parts.append(np.stack([row, np.full(len(row), i), start, end])[:, good])
+        every = np.concatenate(parts, axis=1)
+        return list(every[:, np.lexsort((every[3], every[2], every[1], every[0]))])
+
+    def found_in(t: str, words: Words | None, spans: list[tuple[int, int, int]]) -> list[tuple]:
         found = Found()
-        for i, s, e in sorted(every) if walks else every:
+        for i, s, e in spans:
             found.add(s, e, rules[i].label, t[s:e], rules[i].priority, rules[i].name)
         if names:
-            named(found, words, allowed)
+            named(found, words or Words(t), allowed)
             discovered(found, t)
         if out == "matches":
             return found.all
         best = ranked(found.all)
         return best if out == "candidates" else greedy([(s, e, label, surface, rule) for _, _, s, _, e, label, surface, rule in best])
 
+    def made(batch: pa.RecordBatch) -> pa.Array:
+        texts = batch.column(last).to_pylist()
+        words, more = walked(texts)
+        row, rule, start, end = spans_of(batch, texts, more)
+        if out == "entities" and not names:
+            kept = resolved(row, start, end, priority[rule])
+            row, rule, start, end = row[kept], rule[kept], start[kept], end[kept]
+            surfaces = pa.array([texts[k][s:e] for k, s, e in zip(row.tolist(), start.tolist(), end.tolist())], pa.string())
+            fields = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
+            spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end), labels.take(pa.array(rule)), surfaces, rule_names.take(pa.array(rule))], fields=fields)
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32()), spans)
+        ends = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+        every = list(zip(rule.tolist(), start.tolist(), end.tolist()))
+        return list_of([found_in(t, x, every[a:b]) if a < b or names else [] for t, x, a, b in zip(texts, words, ends, ends[1:])], kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans, walks = (batch.column(last + k) for k in range(3))
-            flat = spans.flatten()
-            places = list(zip(*[flat.field(n).to_pylist() for n in ("rule", "start", "end")]))
-            ends = np.cumsum([0, *spans.value_lengths().to_pylist()]).tolist()
-            made = []
-            for k, (t, w) in enumerate(zip(texts.to_pylist(), walks.to_pylist())):
-                here = places[ends[k] : ends[k + 1]]
-                made.append(found_in(t, here, w) if here or w or names else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], list_of(made, kind)], names=[*keep, out])
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], made(batch)], names=[*keep, out])
 
     schema = T.StructType([*rows.schema.fields[:last], T.StructField(out, T._parse_datatype_string(STAGES[out]))])
     return rows.mapInArrow(run, schema)

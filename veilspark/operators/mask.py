@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.rows import with_rows
-from veilspark.functions.spans import held, with_spans
+from veilspark.functions.spans import gaps, held, with_spans
 
 from .detect import detect
 from .lexicon import OTHER_TAGS, TAGS
@@ -90,7 +90,7 @@ def restore(df: DataFrame, text: str = "masked", mapping: str = "mapping", out:
     """
     patterns = {"r__hit": PLACEHOLDER} | ({"r__token": r"(?U)\S+"} if tokens else {})
     df = with_spans(df.withColumn("r__text", F.coalesce(text, F.lit(""))), "r__text", patterns)
-    df = df.withColumns({"r__parts": held(F.arrays_zip(F.split("r__text", PLACEHOLDER, -1).alias("gap"), F.col("r__hit").alias("hit"))), "r__names": held(F.map_from_entries(F.transform(mapping, lambda m: F.struct(m["placeholder"], m["surface"]))))})
+    df = df.withColumns({"r__parts": held(F.arrays_zip(gaps(F.col("r__text"), PLACEHOLDER, F.col("r__hit")).alias("gap"), F.col("r__hit").alias("hit"))), "r__names": held(F.map_from_entries(F.transform(mapping, lambda m: F.struct(m["placeholder"], m["surface"]))))})
     if tokens:
         df = df.withColumn("r__own", held(F.filter("r__token", lambda t: F.array_contains(tokens, F.lower(t["surface"])))))
     names = F.create_map(*[F.lit(x) for kv in OTHER_TAGS.items() for x in kv])
@@ -113,7 +113,7 @@ def escape_literals(df: DataFrame, text: str = "text", out: str = "escaped", lit
     """Text shaped like a placeholder becomes a private-use marker; adds the literals, in order; ``first``: the number of the first."""
     df = df.withColumn("e__text", F.coalesce(text, F.lit("")))
     df = df.withColumn(literals, held(F.regexp_extract_all("e__text", F.lit(LITERAL), F.lit(0))))
-    df = df.withColumns({"e__gaps": held(F.split("e__text", LITERAL, -1)), "e__first": F.lit(0).cast("bigint") if first is None else first})
+    df = df.withColumns({"e__gaps": held(gaps(F.col("e__text"), LITERAL, F.col(literals))), "e__first": F.lit(0).cast("bigint") if first is None else first})
     marked = F.transform("e__gaps", lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.lit(OPEN), (F.col("e__first") + i - 1).cast("string"), F.lit(CLOSE), g)))
     return df.withColumn(out, F.array_join(marked, "")).drop("e__gaps", "e__text", "e__first")
 
@@ -121,7 +121,7 @@ def escape_literals(df: DataFrame, text: str = "text", out: str = "escaped", lit
 def unescape(df: DataFrame, text: str = "escaped", out: str = "text", literals: str = "literals") -> DataFrame:
     """Literals in the place of their markers, in one pass; unknown markers stay."""
     marker = f"{OPEN}(\\d+){CLOSE}"
-    df = df.withColumn("u__hits", held(F.regexp_extract_all(text, F.lit(marker), F.lit(1)))).withColumn("u__gaps", held(F.split(F.col(text), marker, -1)))
+    df = df.withColumn("u__hits", held(F.regexp_extract_all(text, F.lit(marker), F.lit(1)))).withColumn("u__gaps", held(gaps(F.col(text), marker, F.col("u__hits"))))
     known = lambda i: F.coalesce(F.get(literals, F.get("u__hits", i - 1).cast("int")), F.concat(F.lit(OPEN), F.get("u__hits", i - 1), F.lit(CLOSE)))
     joined = F.array_join(F.transform("u__gaps", lambda g, i: F.when(i == 0, g).otherwise(F.concat(known(i), g))), "")
     return df.withColumn(out, joined).drop("u__hits", "u__gaps")
