@@ -61,3 +61,17 @@ def test_choice_of_all_rows_at_once_is_that_of_each():
             each = [(s, e, "", "", p, "") for q, s, e, p in found if q == r]
             want += [(r, s, e) for s, e, *_ in detect.greedy([(s, e, i) for _, _, s, i, e, *_ in detect.ranked(each)])]
         assert [(int(row[k]), int(start[k]), int(end[k])) for k in kept] == want
+
+
+def test_touches_of_many_rows_are_those_of_each():
+    import random
+
+    from veilspark.operators import metrics
+
+    rng = random.Random(9)
+    spans = lambda: sorted(({"start": s, "end": s + rng.randrange(1, 9)} for s in (rng.randrange(40) for _ in range(rng.randrange(6)))), key=lambda s: s["start"])
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for _ in range(50):
+        a, b = [spans() for _ in range(12)], [spans() for _ in range(12)]
+        first, stop = metrics.touched_rows(metrics.Spans(pa.array(a, kind)), metrics.Spans(pa.array(b, kind)))
+        assert list(zip(first.tolist(), stop.tolist())) == [t for x, y in zip(a, b) for t in metrics.touched(x, y)]

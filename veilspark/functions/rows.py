@@ -22,6 +22,22 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, SLICE)
 
 
+def with_arrays(df: DataFrame, inputs: dict[str, Column], work: Callable[..., tuple[pa.Array, ...]], outputs: dict[str, str]) -> DataFrame:
+    """As ``with_rows``, but ``work`` takes and gives Arrow arrays of a slice of rows."""
+    gone = {n.lower() for n in outputs}
+    keep = [c for c in df.columns if c.lower() not in gone]
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(f"w__{n}") for n, c in inputs.items()])
+    last, kinds = len(keep), [T._parse_datatype_string(t) for t in outputs.values()]
+    arrow = [to_arrow_type(k) for k in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            made = work(*batch.columns[last:])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *[c.cast(k) for c, k in zip(made, arrow)]], names=[*keep, *outputs])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:last], *[T.StructField(n, k) for n, k in zip(outputs, kinds)]]))
+
+
 def with_rows(df: DataFrame, inputs: dict[str, Column], work: Callable[..., tuple], outputs: dict[str, str]) -> DataFrame:
     """Add ``outputs`` (name: Spark type): ``work`` gives their values from a row's ``inputs``.
 

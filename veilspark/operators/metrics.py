@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.rows import with_rows
+from veilspark.functions.rows import sliced, with_arrays, with_rows
 from veilspark.functions.spans import held
 
 # Labels of direct identifiers, and of the wide definition of a leak.
@@ -61,13 +61,44 @@ def touched(spans: list[dict], others: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+class Spans:
+    """Spans of many rows, by start in each: row, start and end, and where each row's begin."""
+
+    def __init__(self, spans: pa.Array):
+        self.sizes = spans.value_lengths().fill_null(0).to_numpy()
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.row = np.repeat(np.arange(len(spans)), self.sizes)
+        flat = spans.flatten()
+        self.start, self.end = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+
+
+def touched_rows(a: Spans, b: Spans) -> tuple[np.ndarray, np.ndarray]:
+    """``touched`` of every row at once: rows lie behind each other on one line, so that two bisections do for all."""
+    width = int(max(a.end.max(initial=0), b.end.max(initial=0))) + 1
+    starts, ends = b.row * width + b.start, np.maximum.accumulate(b.row * width + b.end)
+    low = np.maximum(np.searchsorted(ends, a.row * width + a.start, "right"), b.first[a.row])
+    high = np.minimum(np.searchsorted(starts, a.row * width + a.end, "left"), b.first[a.row + 1])
+    hits = low < high
+    return np.where(hits, low - b.first[a.row], -1), np.where(hits, high - b.first[a.row], -1)
+
+
+TOUCH = pa.struct([("first", pa.int32()), ("stop", pa.int32())])
+
+
 def with_touch(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
     """Add, for each pair of arrays of spans, an array of (first, stop): where the second has what overlaps each of the first."""
     columns = sorted({c for pair in pairs.values() for c in pair})
     slim = lambda c: F.coalesce(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<start:bigint,end:bigint>>"))
     at = [(columns.index(a), columns.index(b)) for a, b in pairs.values()]
-    work = lambda *spans: tuple(touched(spans[a], spans[b]) for a, b in at)
-    return with_rows(df, {c: slim(c) for c in columns}, work, {n: "array<struct<first:int,stop:int>>" for n in pairs})
+
+    def work(*arrays: pa.Array) -> tuple[pa.Array, ...]:
+        spans, made = [Spans(x) for x in arrays], []
+        for a, b in at:
+            both = [pa.array(x, pa.int32()) for x in touched_rows(spans[a], spans[b])]
+            made.append(pa.ListArray.from_arrays(pa.array(spans[a].first, pa.int32()), pa.StructArray.from_arrays(both, fields=list(TOUCH))))
+        return tuple(made)
+
+    return with_arrays(df, {c: slim(c) for c in columns}, work, {n: "array<struct<first:int,stop:int>>" for n in pairs})
 
 
 def hit(touch: str, i: Column) -> Column:
@@ -80,6 +111,7 @@ def lost(gold: str = "gold", touch: str = "t_gold") -> Column:
     return F.filter(gold, lambda g, i: ~hit(touch, i))
 
 
+_WORD = re.compile(r"\S+")
 WORDS = "array<struct<start:bigint,end:bigint,surface:string,g:boolean,p:boolean>>"
 
 
@@ -89,14 +121,20 @@ def _slim(spans: str) -> Column:
 
 def with_words(df: DataFrame) -> DataFrame:
     """Add ``words``: runs without white space, and whether true and predicted spans overlap them."""
-    by_start = lambda spans: sorted(spans or [], key=lambda s: s["start"])
 
-    def work(text: str | None, gold: list[dict] | None, pred: list[dict] | None) -> tuple:
-        words = [{"start": m.start(), "end": m.end()} for m in re.finditer(r"\S+", text or "")]
-        flags = zip(words, touched(words, by_start(gold)), touched(words, by_start(pred)))
-        return ([(w["start"], w["end"], text[w["start"] : w["end"]], g >= 0, p >= 0) for w, (g, _), (p, _) in flags],)
+    def work(texts: pa.Array, gold: pa.Array, pred: pa.Array) -> tuple[pa.Array, ...]:
+        texts = [t or "" for t in texts.to_pylist()]
+        places = [[m.span() for m in _WORD.finditer(t)] for t in texts]
+        surfaces = pa.array([w for t in texts for w in _WORD.findall(t)], pa.string())
+        flat = np.array([s for row in places for s in row], np.int64).reshape(-1, 2)
+        start, end = (pa.array(flat[:, k]) for k in (0, 1))
+        ends = pa.array(np.cumsum([0, *map(len, places)]), pa.int32())
+        words = Spans(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([start, end], ["start", "end"])))
+        g, p = (pa.array(touched_rows(words, Spans(x))[0] >= 0) for x in (gold, pred))
+        return (pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([start, end, surfaces, g, p], ["start", "end", "surface", "g", "p"])),)
 
-    return with_rows(df, {"text": F.col("text"), "gold": _slim("gold"), "pred": _slim("pred")}, work, {"words": WORDS})
+    by_start = lambda c: F.coalesce(F.array_sort(_slim(c)), F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    return with_arrays(df, {"text": F.col("text"), "gold": by_start("gold"), "pred": by_start("pred")}, work, {"words": WORDS})
 
 
 def greedy(gold: list[dict], pred: list[dict], exact: bool) -> int:
@@ -151,18 +189,24 @@ def word_scores(df: DataFrame) -> DataFrame:
 def per_class(df: DataFrame) -> DataFrame:
     """Strict scores for each label: spans and labels must be equal, each predicted span counts for one true one."""
 
-    def work(gold: list[dict], pred: list[dict]) -> tuple:
-        of = lambda spans: Counter((s["label"], s["start"], s["end"]) for s in spans or [])
-        g, p = of(gold), of(pred)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
-        for part, counts in enumerate((g & p, p, g)):
-            for (label, _, _), n in counts.items():
-                sums.setdefault(label, [0, 0, 0])[part] += n
-        return ([(label, *n) for label, n in sums.items()],)
+        for batch in sliced(batches):
+            each = []
+            for spans in batch.columns:
+                rows = np.repeat(np.arange(batch.num_rows), spans.value_lengths().fill_null(0).to_numpy()).tolist()
+                each.append(Counter(zip(*[f.to_pylist() for f in spans.flatten().flatten()], rows)))
+            g, p = each
+            for part, counts in enumerate((g & p, p, g)):
+                for (label, *_), n in counts.items():
+                    sums.setdefault(label, [0, 0, 0])[part] += n
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        rows = [(label, *n) for label, n in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["label", "tp", "p", "g"])
 
     slim = lambda c: F.transform(c, lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end")))
-    each = with_rows(df.select("gold", "pred"), {"gold": slim("gold"), "pred": slim("pred")}, work, {"scores": "array<struct<label:string,tp:bigint,p:bigint,g:bigint>>"})
-    sums = each.select(F.explode("scores").alias("x")).groupBy("x.label").agg(F.sum("x.tp").alias("tp"), F.sum("x.p").alias("p"), F.sum("x.g").alias("support"))
+    each = df.select(slim("gold").alias("gold"), slim("pred").alias("pred")).mapInArrow(run, "label string, tp long, p long, g long")
+    sums = each.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("p").alias("p"), F.sum("g").alias("support"))
     return prf(sums.select("label", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"), "support"))
 
 
@@ -274,12 +318,15 @@ def rule_false_words(df: DataFrame, matches: str = "matches") -> DataFrame:
     """For each rule the words outside true spans that its matches cover, before anything is resolved."""
 
     def work(words: list[dict], found: list[dict] | None) -> tuple:
-        outside, by_rule = [w for w in words if not w["g"]], {}
+        by_rule: dict = {}
         for m in found or []:
             by_rule.setdefault(m["rule"], []).append(m)
-        return ([(r, sum(first >= 0 for first, _ in touched(outside, sorted(ms, key=lambda m: m["start"])))) for r, ms in by_rule.items()],)
+        return ([(r, sum(first >= 0 for first, _ in touched(words, sorted(ms, key=lambda m: m["start"])))) for r, ms in by_rule.items()],)
 
-    each = with_rows(with_words(df).select("words", matches), {"words": F.col("words"), "found": F.col(matches)}, work, {"false_words": "array<struct<rule:string,n:bigint>>"})
+    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+    outside = F.transform(F.filter("words", lambda w: ~w["g"]), place)
+    slim = F.transform(matches, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["rule"].alias("rule")))
+    each = with_rows(with_words(df).select(outside.alias("words"), slim.alias("found")), {"words": F.col("words"), "found": F.col("found")}, work, {"false_words": "array<struct<rule:string,n:bigint>>"})
     return each.select(F.explode("false_words").alias("x")).groupBy("x.rule").agg(F.sum("x.n").alias("words"))
 
 
