@@ -88,8 +88,11 @@ def restore(df: DataFrame, text: str = "masked", mapping: str = "mapping", out:
     ``tokens``: lower-case words that the user wrote; a bent placeholder that lies in one
     of them whole stays as it is.  Unknown numbers stay too.
     """
-    patterns = {"r__hit": PLACEHOLDER} | ({"r__token": r"(?U)\S+"} if tokens else {})
-    df = with_spans(df.withColumn("r__text", F.coalesce(text, F.lit(""))), "r__text", patterns)
+    df = df.withColumn("r__text", F.coalesce(text, F.lit("")))
+    if tokens:  # places count only beside the user's words
+        df = with_spans(df, "r__text", {"r__hit": PLACEHOLDER, "r__token": r"(?U)\S+"})
+    else:
+        df = df.withColumn("r__hit", held(F.transform(F.regexp_extract_all("r__text", F.lit(PLACEHOLDER), F.lit(0)), lambda h: F.struct(h.alias("surface")))))
     df = df.withColumns({"r__parts": held(F.arrays_zip(gaps(F.col("r__text"), PLACEHOLDER, F.col("r__hit")).alias("gap"), F.col("r__hit").alias("hit"))), "r__names": held(F.map_from_entries(F.transform(mapping, lambda m: F.struct(m["placeholder"], m["surface"]))))})
     if tokens:
         df = df.withColumn("r__own", held(F.filter("r__token", lambda t: F.array_contains(tokens, F.lower(t["surface"])))))
@@ -106,7 +109,7 @@ def restore(df: DataFrame, text: str = "masked", mapping: str = "mapping", out:
         return F.coalesce(found, hit["surface"])
 
     whole = F.array_join(F.transform("r__parts", lambda z: F.concat(z["gap"], F.when(z["hit"].isNotNull(), original(z["hit"])).otherwise(F.lit("")))), "")
-    return df.withColumn(out, whole).drop("r__text", "r__parts", "r__names", "r__own", *patterns)
+    return df.withColumn(out, whole).drop("r__text", "r__parts", "r__names", "r__own", "r__hit", "r__token")
 
 
 def escape_literals(df: DataFrame, text: str = "text", out: str = "escaped", literals: str = "literals", first: Column | None = None) -> DataFrame:
