@@ -22,37 +22,56 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, SLICE)
 
 
-def with_arrays(df: DataFrame, inputs: dict[str, Column], work: Callable[..., tuple[pa.Array, ...]], outputs: dict[str, str]) -> DataFrame:
-    """As ``with_rows``, but ``work`` takes and gives Arrow arrays of a slice of rows."""
+def passed(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``rows.mapInArrow``; a pass over its result that needs columns by name alone runs in the same worker (``over``)."""
+    out = rows.mapInArrow(run, schema)
+    out.pass_before = (rows, run)
+    return out
+
+
+def over(df: DataFrame, columns: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``run`` over batches of some columns; of a frame that is itself such a pass's, without another worker and another transfer."""
+    if not (before := df.__dict__.get("pass_before")):
+        return passed(df.select(*[F.col(f"`{c}`") for c in columns]), run, schema)
+    rows, first = before
+    return passed(rows, lambda batches: run(b.select(columns) for b in first(batches)), schema)
+
+
+def _added(df: DataFrame, inputs: dict[str, Column | str], make: Callable[[list[pa.Array]], list[pa.Array]], outputs: dict[str, str]) -> DataFrame:
+    """The frame with ``outputs`` that ``make`` gives for a slice; inputs that are names are columns as they are."""
     gone = {n.lower() for n in outputs}
     keep = [c for c in df.columns if c.lower() not in gone]
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(f"w__{n}") for n, c in inputs.items()])
-    last, kinds = len(keep), [T._parse_datatype_string(t) for t in outputs.values()]
-    arrow = [to_arrow_type(k) for k in kinds]
+    made = [T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs.items()]
+    fields = {f.name: f for f in df.schema.fields}
+    if all(isinstance(c, str) for c in inputs.values()):
+        needed = [*keep, *[c for c in dict.fromkeys(inputs.values()) if c not in keep]]
+        places = [needed.index(c) for c in inputs.values()]
+    else:
+        df = df.select(*[F.col(f"`{c}`") for c in keep], *[(F.col(c) if isinstance(c, str) else c).alias(f"w__{n}") for n, c in inputs.items()])
+        needed, places = df.columns, list(range(len(keep), len(keep) + len(inputs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            made = work(*batch.columns[last:])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *[c.cast(k) for c, k in zip(made, arrow)]], names=[*keep, *outputs])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *make([batch.column(k) for k in places])], names=[*keep, *outputs])
+
+    return over(df, needed, run, T.StructType([*[fields[c] for c in keep], *made]))
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:last], *[T.StructField(n, k) for n, k in zip(outputs, kinds)]]))
+
+def with_arrays(df: DataFrame, inputs: dict[str, Column | str], work: Callable[..., tuple[pa.Array, ...]], outputs: dict[str, str]) -> DataFrame:
+    """As ``with_rows``, but ``work`` takes and gives Arrow arrays of a slice of rows."""
+    arrow = [to_arrow_type(T._parse_datatype_string(t)) for t in outputs.values()]
+    return _added(df, inputs, lambda columns: [c.cast(k) for c, k in zip(work(*columns), arrow)], outputs)
 
 
-def with_rows(df: DataFrame, inputs: dict[str, Column], work: Callable[..., tuple], outputs: dict[str, str]) -> DataFrame:
+def with_rows(df: DataFrame, inputs: dict[str, Column | str], work: Callable[..., tuple], outputs: dict[str, str]) -> DataFrame:
     """Add ``outputs`` (name: Spark type): ``work`` gives their values from a row's ``inputs``.
 
     Columns of these names are replaced, whatever their case; the others come along.
     """
-    gone = {n.lower() for n in outputs}
-    keep = [c for c in df.columns if c.lower() not in gone]
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(f"w__{n}") for n, c in inputs.items()])
-    last, kinds = len(keep), [T._parse_datatype_string(t) for t in outputs.values()]
-    arrow = [to_arrow_type(k) for k in kinds]
+    arrow = [to_arrow_type(T._parse_datatype_string(t)) for t in outputs.values()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            made = [work(*x) for x in zip(*[c.to_pylist() for c in batch.columns[last:]])]
-            columns = zip(*made) if made else [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *[pa.array(c, k) for c, k in zip(columns, arrow)]], names=[*keep, *outputs])
+    def make(columns: list[pa.Array]) -> list[pa.Array]:
+        made = [work(*x) for x in zip(*[c.to_pylist() for c in columns])]
+        return [pa.array(c, k) for c, k in zip(zip(*made) if made else [()] * len(arrow), arrow)]
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:last], *[T.StructField(n, k) for n, k in zip(outputs, kinds)]]))
+    return _added(df, inputs, make, outputs)

@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.functions.rows import sliced, with_rows
-from veilspark.functions.spans import gap_pattern
+from veilspark.functions.rows import passed, sliced, with_arrays
+from veilspark.functions.spans import gap_pattern, held
 
+from . import swift
 from .lexicon import UNIFIED
 from .names import discovered, named
 from .rules import CHECKS, RULES, WIDE_RULES, Rule, may_match
@@ -106,38 +107,44 @@ def resolved(row: np.ndarray, start: np.ndarray, end: np.ndarray, priority: np.n
     return order[keep]
 
 
-def _stage(df: DataFrame, text: str, rules: list[Rule], names: bool, out: str, gated: bool = True, whitelist: DataFrame | list[str] | None = None) -> DataFrame:
-    """Add one of ``STAGES``."""
+def _stage(df: DataFrame, text: str, rules: list[Rule], names: bool, out: str, gated: bool = True, whitelist: DataFrame | list[str] | None = None, name: str = "") -> DataFrame:
+    """Add one of ``STAGES``, as ``name``."""
     allowed = allowed_texts(whitelist)
-    keep = [c for c in df.columns if c.lower() != out.lower()]
+    name = name or out
+    keep = [c for c in df.columns if c.lower() != name.lower()]
     rows = df.withColumn("r__text", F.coalesce(text, F.lit("")))
+    rows = rows.withColumn("r__far", held(F.col("r__text").rlike(swift.FAR)) if gated else F.lit(True))
     gate = [may_match(r, F.col("r__text")) if gated and r.pattern else F.lit(True) for r in rules]
+    gate = [F.col("r__far") & g if r in swift.FINDERS else g for r, g in zip(rules, gate)]
+    finders = [(i, swift.FINDERS[r], CHECKS.get(r.check)) for i, r in enumerate(rules) if r in swift.FINDERS]
     patterns = [i for i, r in enumerate(rules) if r.pattern]
     none = F.array().cast("array<string>")
     rows = rows.withColumns({f"r__hit{i}": F.when(gate[i], F.regexp_extract_all("r__text", F.lit(rules[i].pattern), F.lit(0))).otherwise(none) for i in patterns})
     gaps = {i: F.when(F.size(f"r__hit{i}") > 0, F.regexp_extract_all("r__text", F.lit(gap_pattern(rules[i].pattern)), F.lit(1))).otherwise(none) for i in patterns}
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.col("r__text"), *[F.col(f"r__hit{i}") for i in patterns], *[gaps[i].alias(f"r__gap{i}") for i in patterns])
+    rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.col("r__text"), F.col("r__far"), *[F.col(f"r__hit{i}") for i in patterns], *[gaps[i].alias(f"r__gap{i}") for i in patterns])
     kind, last = arrow_type(STAGES[out]), len(keep)
     walks = [(i, WALKS[r.walk], frozenset(r.words) if gated else None) for i, r in enumerate(rules) if r.walk]
     priority = np.array([r.priority for r in rules], np.int64)
     labels, rule_names = pa.array([UNIFIED.get(r.label, "OTHER") for r in rules], pa.string()), pa.array([r.name for r in rules], pa.string())
 
-    def walked(texts: list[str]) -> tuple[list[Words | None], list[tuple[int, int, int, int]]]:
-        """The words of each text, and row, rule, start and end of what walks find that a text's words let through."""
-        words, found = [Words(t) if t and (names or walks) else None for t in texts], []
+    other = [w for w in walks if rules[w[0]] not in swift.FINDERS]
+
+    def walked(texts: list[str], far: list[bool]) -> tuple[list[Words | None], list[tuple[int, int, int, int]]]:
+        """The words of each text that needs them, and row, rule, start and end of what walks find that a text's words let through."""
+        words, found = [Words(t) if t and (names or (walks if f else other)) else None for t, f in zip(texts, far)], []
         for k, x in enumerate(words):
             if x is not None:
-                for i, walk, known in walks:
+                for i, walk, known in walks if far[k] else other:
                     if not known or not known.isdisjoint(x.low):
                         found += [(k, i, s, e) for s, e in walk(x)]
         return words, found
 
-    def spans_of(batch: pa.RecordBatch, texts: list[str], more: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
+    def spans_of(batch: pa.RecordBatch, texts: list[str], far: list[bool], more: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
         """Row, rule, start and end of every match, in the order of rows, rules and of the text."""
-        parts = [np.array(more, np.int64).reshape(-1, 4).T]
+        parts = [np.array(more, np.int64).reshape(-1, 4).T, swift.found([None if f else t for t, f in zip(texts, far)], finders)]
         for k, i in enumerate(patterns):
-            hits = batch.column(last + 1 + k)
-            row, start, end = places(batch.column(last + 1 + len(patterns) + k), hits)
+            hits = batch.column(last + 2 + k)
+            row, start, end = places(batch.column(last + 2 + len(patterns) + k), hits)
             if len(row):
                 check = CHECKS.get(rules[i].check)
                 good = np.array([bool(h.strip(" ")) and (check is None or check(h)) for h in hits.flatten().to_pylist()])
@@ -159,8 +166,9 @@ def _stage(df: DataFrame, text: str, rules: list[Rule], names: bool, out: str, g
 
     def made(batch: pa.RecordBatch) -> pa.Array:
         texts = batch.column(last).to_pylist()
-        words, more = walked(texts)
-        row, rule, start, end = spans_of(batch, texts, more)
+        far = batch.column(last + 1).to_pylist()
+        words, more = walked(texts, far)
+        row, rule, start, end = spans_of(batch, texts, far, more)
         if out == "entities" and not names:
             kept = resolved(row, start, end, priority[rule])
             row, rule, start, end = row[kept], rule[kept], start[kept], end[kept]
@@ -174,10 +182,10 @@ def _stage(df: DataFrame, text: str, rules: list[Rule], names: bool, out: str, g
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], made(batch)], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], made(batch)], names=[*keep, name])
 
-    schema = T.StructType([*rows.schema.fields[:last], T.StructField(out, T._parse_datatype_string(STAGES[out]))])
-    return rows.mapInArrow(run, schema)
+    schema = T.StructType([*rows.schema.fields[:last], T.StructField(name, T._parse_datatype_string(STAGES[out]))])
+    return passed(rows, run, schema)
 
 
 def matches(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
@@ -190,44 +198,59 @@ def candidates(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, nam
     return _stage(df, text, rules, names, "candidates", gated, whitelist)
 
 
-def detect(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = False, gated: bool = True, whitelist: DataFrame | list[str] | None = None) -> DataFrame:
-    """Add ``entities``: resolved spans by start; with ``names`` also by line, signature and second search.
+def detect(df: DataFrame, text: str = "text", rules: list[Rule] = RULES, names: bool = False, gated: bool = True, whitelist: DataFrame | list[str] | None = None, out: str = "entities") -> DataFrame:
+    """Add ``out``: resolved spans by start; with ``names`` also by line, signature and second search.
 
     Greedy: a candidate stays if it overlaps none that stayed.  Names that ``whitelist`` has are none.
     """
-    return _stage(df, text, rules, names, "entities", gated, whitelist)
+    return _stage(df, text, rules, names, "entities", gated, whitelist, out)
 
 
-def arbitrate(df: DataFrame, rule_spans: Column, model_spans: Column, more: Column | None = None, out: str = "entities", strong: tuple[str, ...] = ("DATE", "TIME", "PHONE", "EMAIL", "URL", "ID")) -> DataFrame:
+def arbitrate(df: DataFrame, rule_spans: Column | str, model_spans: Column | str, more: Column | str | None = None, out: str = "entities", strong: tuple[str, ...] = ("DATE", "TIME", "PHONE", "EMAIL", "URL", "ID")) -> DataFrame:
     """Add ``out``: rule spans against model spans, in order of start: free ones are added, strong ones push overlapping spans out.
 
     Then spans of a third detector (``more``) where nothing is yet; accepted ones block later ones.
     Spans are (start, end, label, ...).
     """
 
-    def work(rule: list[dict], model: list[dict], third: list[dict]) -> tuple:
-        key = lambda s: (s["start"], s["end"], s["label"] or "")
-        done = sorted(model or [], key=key)
-        taken = Disjoint([(s["start"], s["end"]) for s in done])
-        for s in sorted(rule or [], key=key):
-            at = taken.clashing(s["start"], s["end"])
+    key = lambda s: (s[0], s[1], s[2] or "")
+
+    def chosen(rule: list[tuple], model: list[tuple], third: list[tuple]) -> list[tuple]:
+        done, rule = sorted(model, key=key), sorted(rule, key=key)
+        if not done and all(a[1] <= b[0] for a, b in zip(rule, rule[1:])) and all(s[0] < s[1] for s in rule):
+            done, rule = rule, []
+        taken = Disjoint([(s[0], s[1]) for s in done]) if rule or third else None
+        for s in rule:
+            at = taken.clashing(s[0], s[1])
             clash = done[at]
             if clash:
-                if s["label"] not in strong or (s["label"] == "PHONE" and any(m["label"] == "ID" for m in clash)):
+                if s[2] not in strong or (s[2] == "PHONE" and any(m[2] == "ID" for m in clash)):
                     continue
                 del done[at], taken.starts[at], taken.ends[at]
             done.insert(at.start, s)
-            taken.add(s["start"], s["end"])
-        for s in sorted(third or [], key=key):
-            at = taken.clashing(s["start"], s["end"])
+            taken.add(s[0], s[1])
+        for s in sorted(third, key=key):
+            at = taken.clashing(s[0], s[1])
             if not done[at]:
                 done.insert(at.start, s)
-                taken.add(s["start"], s["end"])
-        return ([(s["start"], s["end"], s["label"]) for s in done],)
-
-    slim = lambda c: F.transform(c, lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"), s["label"].alias("label")))
-    none = F.lit(None).cast("array<struct<start:bigint,end:bigint,label:string>>")
-    return with_rows(df, {"rule": slim(rule_spans), "model": slim(model_spans), "third": none if more is None else slim(more)}, work, {out: "array<struct<start:bigint,end:bigint,label:string>>"})
+                taken.add(s[0], s[1])
+        return done
+
+    def work(*columns: pa.Array) -> tuple[pa.Array]:
+        lists = []
+        for spans in columns:
+            ends = np.cumsum([0, *spans.value_lengths().fill_null(0).to_pylist()]).tolist()
+            flat = spans.flatten()
+            every = list(zip(*[flat.field(n).to_pylist() for n in ("start", "end", "label")]))
+            lists.append([every[a:b] for a, b in zip(ends, ends[1:])])
+        made = [chosen(*x, *[[]] * (3 - len(x))) for x in zip(*lists)]
+        return (list_of(made, arrow),)
+
+    kind = "array<struct<start:bigint,end:bigint,label:string>>"
+    arrow = arrow_type(kind)
+    slim = lambda c: c if isinstance(c, str) else F.transform(c, lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"), s["label"].alias("label")))
+    inputs = {"rule": slim(rule_spans), "model": slim(model_spans)} | ({} if more is None else {"third": slim(more)})
+    return with_arrays(df, inputs, work, {out: kind})
 
 
 def merge_adjacent(tokens: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.rows import with_rows
+from veilspark.functions.rows import with_arrays, with_rows
 from veilspark.functions.spans import gaps, held, with_spans
 
 from .detect import detect
@@ -75,11 +77,31 @@ def mask(df: DataFrame, mapping: DataFrame, request: str, text: str = "text", sp
 def mask_each(df: DataFrame, key: str = "doc_id", text: str = "text", spans: str = "entities") -> DataFrame:
     """Every row is a request of its own: numbers from its spans, without a shuffle; adds ``mapping`` and ``masked``."""
 
-    def work(t: str | None, spans: list[dict] | None) -> tuple:
-        names = named(spans or [])
-        return [(s, *x) for s, x in names.items()], None if t is None else spliced(t, spans or [], {s: p for s, (_, _, p) in names.items()})
-
-    return with_rows(df, {"text": F.col(text), "spans": _slim(spans)}, work, {"mapping": MAPPING, "masked": "string"})
+    def work(texts: pa.Array, spans: pa.Array) -> tuple[pa.Array, pa.Array]:
+        flat, ends = spans.flatten(), np.cumsum([0, *spans.value_lengths().fill_null(0).to_pylist()]).tolist()
+        start, end, label, surface = (flat.field(n).to_pylist() for n in ("start", "end", "label", "surface"))
+        rows, first, masked = [], [0], []
+        for t, a, b in zip(texts.to_pylist(), ends, ends[1:]):
+            names, last, pieces, at = {}, {}, [], 0
+            order = sorted(range(a, b), key=lambda k: (start[k], end[k]))
+            for k in reversed(order):
+                if surface[k] not in names:
+                    tag = TAGS.get(label[k], "ANONIMO")
+                    last[tag] = n = last.get(tag, 0) + 1
+                    names[surface[k]] = placeholder = f"[{tag}_{n}]"
+                    rows.append((surface[k], tag, n, placeholder))
+            first.append(len(rows))
+            if t is not None:
+                for k in order:
+                    pieces += [t[at : start[k]], names[surface[k]]]
+                    at = end[k]
+                t = "".join([*pieces, t[at:]])
+            masked.append(t)
+        fields = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, (pa.string(), pa.string(), pa.int32(), pa.string()))]
+        made = pa.StructArray.from_arrays(fields, ["surface", "tag", "n", "placeholder"])
+        return pa.ListArray.from_arrays(pa.array(first, pa.int32()), made), pa.array(masked, pa.string())
+
+    return with_arrays(df, {"text": text, "spans": spans}, work, {"mapping": MAPPING, "masked": "string"})
 
 
 def restore(df: DataFrame, text: str = "masked", mapping: str = "mapping", out: str = "restored", tokens: str | None = None) -> DataFrame:

@@ -10,7 +10,6 @@ one sum over documents, of which tasks pass on a row or a row for each label.
 from __future__ import annotations
 
 import math
-import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.rows import sliced, with_arrays, with_rows
+from veilspark.functions.rows import over, sliced, with_arrays, with_rows
 from veilspark.functions.spans import held
 
 # Labels of direct identifiers, and of the wide definition of a leak.
@@ -65,11 +64,25 @@ class Spans:
     """Spans of many rows, by start in each: row, start and end, and where each row's begin."""
 
     def __init__(self, spans: pa.Array):
+        """``spans``: lists of structs with ``start`` and ``end``."""
         self.sizes = spans.value_lengths().fill_null(0).to_numpy()
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         self.row = np.repeat(np.arange(len(spans)), self.sizes)
-        flat = spans.flatten()
-        self.start, self.end = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        self.flat = spans.flatten()
+        self.start, self.end = (self.flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "end"))
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, start: np.ndarray, end: np.ndarray) -> Spans:
+        """Of so many in each row, by their places."""
+        made = cls.__new__(cls)
+        made.sizes, made.start, made.end = sizes, start, end
+        made.first, made.row = np.concatenate([[0], np.cumsum(sizes)]), np.repeat(np.arange(len(sizes)), sizes)
+        return made
+
+    def ordered(self) -> Spans:
+        """The same by start and end in each row."""
+        order = np.lexsort((self.end, self.start, self.row))
+        return Spans.of(self.sizes, self.start[order], self.end[order])
 
 
 def touched_rows(a: Spans, b: Spans) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +101,6 @@ TOUCH = pa.struct([("first", pa.int32()), ("stop", pa.int32())])
 def with_touch(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
     """Add, for each pair of arrays of spans, an array of (first, stop): where the second has what overlaps each of the first."""
     columns = sorted({c for pair in pairs.values() for c in pair})
-    slim = lambda c: F.coalesce(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<start:bigint,end:bigint>>"))
     at = [(columns.index(a), columns.index(b)) for a, b in pairs.values()]
 
     def work(*arrays: pa.Array) -> tuple[pa.Array, ...]:
@@ -98,7 +110,7 @@ def with_touch(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
             made.append(pa.ListArray.from_arrays(pa.array(spans[a].first, pa.int32()), pa.StructArray.from_arrays(both, fields=list(TOUCH))))
         return tuple(made)
 
-    return with_arrays(df, {c: slim(c) for c in columns}, work, {n: "array<struct<first:int,stop:int>>" for n in pairs})
+    return with_arrays(df, {c: c for c in columns}, work, {n: "array<struct<first:int,stop:int>>" for n in pairs})
 
 
 def hit(touch: str, i: Column) -> Column:
@@ -111,30 +123,52 @@ def lost(gold: str = "gold", touch: str = "t_gold") -> Column:
     return F.filter(gold, lambda g, i: ~hit(touch, i))
 
 
-_WORD = re.compile(r"\S+")
 WORDS = "array<struct<start:bigint,end:bigint,surface:string,g:boolean,p:boolean>>"
+#: White space by code point; none is beyond the last.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+
 
+def words_of(texts: list[str]) -> Spans:
+    """Runs without white space of many texts, which lie behind each other with a line's end between them."""
+    joined = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _SPACE[np.minimum(joined, 0x3001)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    base = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    start, end = edges[0::2], edges[1::2]
+    row = np.searchsorted(base, start, "right") - 1
+    return Spans.of(np.bincount(row, minlength=len(texts)), start - base[row], end - base[row])
 
-def _slim(spans: str) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end")))
+
+def flagged_words(texts: pa.Array, gold: pa.Array, pred: pa.Array) -> tuple[list[str], Spans, np.ndarray, np.ndarray]:
+    """Texts, their words, and whether true and predicted spans (in any order) overlap each."""
+    texts = [t or "" for t in texts.to_pylist()]
+    words = words_of(texts)
+    return texts, words, *(touched_rows(words, Spans(x).ordered())[0] >= 0 for x in (gold, pred))
 
 
 def with_words(df: DataFrame) -> DataFrame:
     """Add ``words``: runs without white space, and whether true and predicted spans overlap them."""
 
     def work(texts: pa.Array, gold: pa.Array, pred: pa.Array) -> tuple[pa.Array, ...]:
-        texts = [t or "" for t in texts.to_pylist()]
-        places = [[m.span() for m in _WORD.finditer(t)] for t in texts]
-        surfaces = pa.array([w for t in texts for w in _WORD.findall(t)], pa.string())
-        flat = np.array([s for row in places for s in row], np.int64).reshape(-1, 2)
-        start, end = (pa.array(flat[:, k]) for k in (0, 1))
-        ends = pa.array(np.cumsum([0, *map(len, places)]), pa.int32())
-        words = Spans(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([start, end], ["start", "end"])))
-        g, p = (pa.array(touched_rows(words, Spans(x))[0] >= 0) for x in (gold, pred))
-        return (pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([start, end, surfaces, g, p], ["start", "end", "surface", "g", "p"])),)
+        texts, words, g, p = flagged_words(texts, gold, pred)
+        surfaces = [texts[k][s:e] for k, s, e in zip(words.row.tolist(), words.start.tolist(), words.end.tolist())]
+        fields = [pa.array(words.start), pa.array(words.end), pa.array(surfaces, pa.string()), pa.array(g), pa.array(p)]
+        return (pa.ListArray.from_arrays(pa.array(words.first, pa.int32()), pa.StructArray.from_arrays(fields, ["start", "end", "surface", "g", "p"])),)
+
+    return with_arrays(df, {"text": "text", "gold": "gold", "pred": "pred"}, work, {"words": WORDS})
 
-    by_start = lambda c: F.coalesce(F.array_sort(_slim(c)), F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    return with_arrays(df, {"text": F.col("text"), "gold": by_start("gold"), "pred": by_start("pred")}, work, {"words": WORDS})
+
+def word_counts(df: DataFrame) -> DataFrame:
+    """A row for each task: words by whether true and predicted spans overlap them (``tp``, ``fp``, ``fn``, ``tn``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(4, np.int64)
+        for batch in sliced(batches):
+            _, _, g, p = flagged_words(*batch.columns)
+            sums += np.bincount(2 * g + p, minlength=4)
+        yield pa.RecordBatch.from_arrays([pa.array([n]) for n in sums[[3, 1, 2, 0]].tolist()], names=["tp", "fp", "fn", "tn"])
+
+    return over(df, ["text", "gold", "pred"], run, "tp long, fp long, fn long, tn long")
 
 
 def greedy(gold: list[dict], pred: list[dict], exact: bool) -> int:
@@ -181,9 +215,15 @@ def residue(span: Column, inner: Column, text: str = "text") -> Column:
 
 
 def word_scores(df: DataFrame) -> DataFrame:
-    n = lambda keep: count(F.filter("words", keep))
-    each = with_words(df).select(n(lambda w: w["g"] & w["p"]).alias("tp"), n(lambda w: ~w["g"] & w["p"]).alias("fp"), n(lambda w: w["g"] & ~w["p"]).alias("fn"))
-    return prf(each.agg(*[total(F.col(c)).alias(c) for c in ("tp", "fp", "fn")]))
+    return prf(word_counts(df).agg(*[total(F.col(c)).alias(c) for c in ("tp", "fp", "fn")]))
+
+
+def compact(*columns: np.ndarray) -> np.ndarray:
+    """One number for each combination of the columns' values (none negative)."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        out = np.unique(out * (int(c.max(initial=0)) + 1) + c, return_inverse=True)[1]
+    return out
 
 
 def per_class(df: DataFrame) -> DataFrame:
@@ -192,32 +232,54 @@ def per_class(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in sliced(batches):
-            each = []
-            for spans in batch.columns:
-                rows = np.repeat(np.arange(batch.num_rows), spans.value_lengths().fill_null(0).to_numpy()).tolist()
-                each.append(Counter(zip(*[f.to_pylist() for f in spans.flatten().flatten()], rows)))
-            g, p = each
-            for part, counts in enumerate((g & p, p, g)):
-                for (label, *_), n in counts.items():
-                    sums.setdefault(label, [0, 0, 0])[part] += n
+            g, p = map(Spans, batch.columns)
+            both = pa.concat_arrays([x.flat.field("label").cast(pa.string()) for x in (g, p)]).dictionary_encode("encode")
+            label = both.indices.to_numpy()
+            place = compact(label, *[np.concatenate([getattr(g, n), getattr(p, n)]) for n in ("row", "start", "end")])
+            # of each place, how often either has it, and its label
+            of = np.zeros(int(place.max(initial=-1)) + 1, np.int64)
+            of[place] = label
+            n_g, n_p = (np.bincount(x, minlength=len(of)) for x in (place[: len(g.row)], place[len(g.row) :]))
+            parts = [np.bincount(of, x, len(both.dictionary)).astype(np.int64).tolist() for x in (np.minimum(n_g, n_p), n_p, n_g)]
+            for name, *counts in zip(both.dictionary.to_pylist(), *parts):
+                sums[name] = [a + b for a, b in zip(sums.get(name, (0, 0, 0)), counts)]
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
         rows = [(label, *n) for label, n in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["label", "tp", "p", "g"])
 
-    slim = lambda c: F.transform(c, lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end")))
-    each = df.select(slim("gold").alias("gold"), slim("pred").alias("pred")).mapInArrow(run, "label string, tp long, p long, g long")
+    each = over(df, ["gold", "pred"], run, "label string, tp long, p long, g long")
     sums = each.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("p").alias("p"), F.sum("g").alias("support"))
     return prf(sums.select("label", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"), "support"))
 
 
 def span_scores(df: DataFrame, exact: bool) -> DataFrame:
-    slim = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    work = lambda gold, pred: (greedy(gold or [], pred or [], exact),)
-    m = with_rows(df.select("gold", "pred"), {"gold": slim("gold"), "pred": slim("pred")}, work, {"tp": "bigint"})
-    m = m.select("tp", count(F.col("gold")).alias("g"), count(F.col("pred")).alias("p"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(3, np.int64)
+        for batch in sliced(batches):
+            g, p = map(Spans, batch.columns)
+            if exact:
+                place = compact(*[np.concatenate([getattr(g, n), getattr(p, n)]) for n in ("row", "start", "end")])
+                many = int(place.max(initial=-1)) + 1
+                hits = np.minimum(*(np.bincount(x, minlength=many) for x in (place[: len(g.row)], place[len(g.row) :]))).sum()
+            else:
+                hits = greedy_rows(g, p)
+            sums += (hits, len(p.row), len(g.row))
+        yield pa.RecordBatch.from_arrays([pa.array([n]) for n in sums.tolist()], names=["tp", "p", "g"])
+
+    m = over(df, ["gold", "pred"], run, "tp long, p long, g long")
     return prf(m.agg(total(F.col("tp")).alias("tp"), total(F.col("p") - F.col("tp")).alias("fp"), total(F.col("g") - F.col("tp")).alias("fn")))
 
 
+def greedy_rows(g: Spans, p: Spans) -> int:
+    """``greedy`` of every row: rows in which every touch is of one span with one are counted at once, others gone through."""
+    first, stop = touched_rows(g, p)
+    back, back_stop = touched_rows(p, g)
+    hard = np.union1d(g.row[stop - first > 1], p.row[back_stop - back > 1])
+    taken = int(((first >= 0) & ~np.isin(g.row, hard)).sum())
+    spans = lambda x, r: [{"start": s, "end": e} for s, e in zip(x.start[x.first[r] : x.first[r + 1]].tolist(), x.end[x.first[r] : x.first[r + 1]].tolist())]
+    return taken + sum(greedy(spans(g, r), spans(p, r), False) for r in hard.tolist())
+
+
 def leaks(labels: tuple[str, ...] | None) -> Column:
     """1 if a true span (with one of these labels) is lost, else 0."""
     which = lost() if labels is None else F.filter(lost(), lambda g: g["label"].isin(*labels))
@@ -278,25 +340,41 @@ def strict_coverage(df: DataFrame) -> DataFrame:
 
 def over_redaction(df: DataFrame) -> DataFrame:
     """Words outside true spans, and those of them that are covered."""
-    n = lambda keep: count(F.filter("words", keep))
-    each = with_words(df).select(n(lambda w: ~w["g"]).alias("outside"), n(lambda w: ~w["g"] & w["p"]).alias("covered"))
-    sums = each.agg(total(F.col("outside")).alias("outside"), total(F.col("covered")).alias("covered"))
+    sums = word_counts(df).agg(total(F.col("fp") + F.col("tn")).alias("outside"), total(F.col("fp")).alias("covered"))
     return sums.withColumn("rate", F.round(ratio(F.col("covered"), F.col("outside")), 6))
 
 
-def source_of(i: Column, model: str, rule: str, rules: str) -> Column:
-    """Which detector covers the i-th place: both, the model, a rule by the label of its first span, or none; by touches of both."""
+def source_of(i: Column, model: str | None, rule: str, rules: str) -> Column:
+    """Which detector covers the i-th place: both, the model (None: there is none), a rule by the label of its first span, or none; by touches of both."""
     by_rule = F.when(hit(rule, i), F.get(rules, F.get(rule, i)["first"])["label"])
-    by_model = hit(model, i)
+    by_model = hit(model, i) if model else F.lit(False)
     return F.when(by_model & by_rule.isNotNull(), "model+rule").when(by_model, "model").when(by_rule.isNotNull(), F.concat(F.lit("rule:"), by_rule)).otherwise("unattributed")
 
 
-def over_redaction_sources(df: DataFrame, model: str = "model", rule: str = "rules") -> DataFrame:
-    """Covered words outside true spans by the detector that covers them, most first."""
-    found = with_touch(with_words(df), t_model=("words", model), t_rule=("words", rule))
-    sources = F.transform("words", lambda w, i: F.when(~w["g"] & w["p"], source_of(i, "t_model", "t_rule", rule)))
-    rows = found.select(F.explode(sources).alias("source")).where("source is not null")
-    return rows.groupBy("source").agg(F.count("*").alias("words")).orderBy(F.desc("words"), "source")
+def over_redaction_sources(df: DataFrame, model: str | None = "model", rule: str = "rules") -> DataFrame:
+    """Covered words outside true spans by the detector that covers them, most first; counted in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter = Counter()
+        for batch in sliced(batches):
+            _, words, g, p = flagged_words(*batch.columns[:3])
+            wrong = ~g & p
+            wrong = Spans.of(np.bincount(words.row[wrong], minlength=batch.num_rows), words.start[wrong], words.end[wrong])
+            rules = Spans(batch.column(3))
+            at = touched_rows(wrong, rules)[0]
+            places = pa.array(rules.first[wrong.row] + at, mask=at < 0)
+            labels = rules.flat.field("label").take(places).to_pylist()
+            by_model = touched_rows(wrong, Spans(batch.column(4)))[0] >= 0 if model else np.zeros(len(at), bool)
+            sums.update(zip(by_model.tolist(), labels))
+        rows = [("model" + "+rule" * (label is not None) if m else "unattributed" if label is None else f"rule:{label}", n) for (m, label), n in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["source", "n"])
+
+    columns = ["text", "gold", "pred", rule, *([model] if model else [])]
+    if rule == "pred":  # one column is one of a batch
+        inner, run = run, lambda batches: inner(pa.RecordBatch.from_arrays([*b.columns[:3], b.column(2), *b.columns[3:]], names=["text", "gold", "pred", "rule", *(["model"] if model else [])]) for b in batches)
+        columns.remove("pred")
+    rows = over(df, columns, run, "source string, n long")
+    return rows.groupBy("source").agg(F.sum("n").alias("words")).orderBy(F.desc("words"), "source")
 
 
 def plain_text(surface: Column) -> Column:
@@ -304,10 +382,10 @@ def plain_text(surface: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(surface, r"(?U)\s+", " ")), F.lit(" .,;:()[]-/"))
 
 
-def top_false_positives(df: DataFrame, n: int = 20, model: str = "model", rule: str = "rules") -> DataFrame:
+def top_false_positives(df: DataFrame, n: int = 20, model: str | None = "model", rule: str = "rules") -> DataFrame:
     """The texts that are found most often where no true span is, with their most frequent detector (ties: by name)."""
-    found = with_touch(df, t_pred=("pred", "gold"), t_model=("pred", model), t_rule=("pred", rule))
-    wrong = F.transform("pred", lambda p, i: F.when(~hit("t_pred", i), F.struct(plain_text(p["surface"]).alias("text"), source_of(i, "t_model", "t_rule", rule).alias("source"))))
+    found = with_touch(df, t_pred=("pred", "gold"), t_rule=("pred", rule), **({"t_model": ("pred", model)} if model else {}))
+    wrong = F.transform("pred", lambda p, i: F.when(~hit("t_pred", i), F.struct(plain_text(p["surface"]).alias("text"), source_of(i, "t_model" if model else None, "t_rule", rule).alias("source"))))
     rows = found.select(F.explode(wrong).alias("x")).where("x.text <> ''")
     counts = rows.groupBy("x.text", "x.source").agg(F.count("*").alias("k"))
     best = counts.groupBy("text").agg(F.sum("k").alias("n"), F.min(F.struct((-F.col("k")).alias("k"), "source"))["source"].alias("source"))

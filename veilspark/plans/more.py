@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.deltas import char_delta
-from veilspark.functions.spans import with_spans
+from veilspark.functions.spans import held, with_spans
 from veilspark.operators import admission, detect, lexicon, mask, metrics, requests, rules, scored
 from veilspark.sources import results, synthetic
 
@@ -215,10 +215,11 @@ def dotted_addresses(spark, sf):
 
 def combined_redaction_sources(spark, sf):
     """Words that rules and a second detector take out beside true spans, by which of them did."""
-    found = with_spans(detect.detect(N.notes(spark, sf)).withColumnRenamed("entities", "rules"), "text", {"m__number": r"\b10000\d\b", "m__word": r"\bvisto\b"})
+    found = with_spans(N.notes(spark, sf), "text", {"m__number": r"\b10000\d\b", "m__word": r"\bvisto\b"})
     as_spans = lambda c, k, label: F.transform(F.filter(c, lambda s: F.col("doc_id") % 3 == k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label")))
     model = F.array_sort(F.concat(as_spans("m__number", 0, "ID"), as_spans("m__word", 2, "NAME")))
-    both = detect.arbitrate(found.withColumn("model", model), F.col("rules"), F.col("model"), out="pred")
+    ready = found.select("doc_id", "text", "gold", held(model).alias("model"))
+    both = detect.arbitrate(detect.detect(ready, out="rules"), "rules", "model", out="pred")
     return metrics.over_redaction_sources(both)
 
 
@@ -231,7 +232,7 @@ def best_system(spark, sf):
     systems = {"all": rules.RULES} | {n: [r for r in rules.RULES if r.name in names] for n, names in FEW.items()}
     scores = None
     for name, chosen in systems.items():
-        found = detect.detect(N.notes(spark, sf), rules=chosen).withColumnRenamed("entities", "pred")
+        found = detect.detect(N.notes(spark, sf), rules=chosen, out="pred")
         one = metrics.span_scores(found, exact=False).select(F.lit(name).alias("system"), "f1")
         scores = one if scores is None else scores.unionByName(one)
     return metrics.best_by(scores)
@@ -244,13 +245,13 @@ def unmapped_gold_labels(spark, sf):
 
 def leak_examples(spark, sf):
     """The first documents that leak by the wide definition, and what."""
-    found = detect.detect(N.notes(spark, sf)).withColumnRenamed("entities", "pred")
+    found = detect.detect(N.notes(spark, sf), out="pred")
     return metrics.leak_examples(found, 10).select("doc_id", F.array_join("lost", "|").alias("lost"))
 
 
 def metrics_report(spark, sf):
     """The table of strict scores by class as lines of Markdown."""
-    scores = metrics.per_class(detect.detect(N.notes(spark, sf)).withColumnRenamed("entities", "pred"))
+    scores = metrics.per_class(detect.detect(N.notes(spark, sf), out="pred"))
     shown = scores.select("label", *[results.percent(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], F.col("support").cast("string").alias("support"))
     return results.report("Strict scores by class", shown, ["label", "precision", "recall", "f1", "support"], ["label"])
 
