@@ -48,6 +48,8 @@ SIGNS, AGREE = 128, 86
 BANDS, BAND = 21, 6
 #: Members of a bucket that are compared with each other, and bands by which greater ones are split.
 MOST, DEEP = 32, 6
+#: Members of a greater bucket that meet as many others in a task.
+BLOCK = 1024
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, SIGNS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -170,6 +172,26 @@ def dealt(rooted: DataFrame, most: int = MOST) -> tuple[list[DataFrame], DataFra
         rows = rows.join(rooted.select("unit", "sign"), "unit").select("unit", "root", "band", F.xxhash64("bucket", F.substring("sign", at * BAND + 1, F.lit(BAND))).alias("bucket"))
 
 
+def crowded(dealt_first: DataFrame, rooted: DataFrame, roots: DataFrame, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """Rows for ``lookalikes``: every two units of a bucket of more than ``most`` that have different roots by now meet in one of its pairs of blocks.
+
+    ``dealt_first``: buckets of single bands, as ``dealt`` writes them.  Of two units with different roots one hasn't
+    the bucket's most frequent root: blocks of those meet blocks of all, so what is left of a group that is joined costs
+    its rows times the bucket's, not the bucket's square.  A task holds two blocks.
+    """
+    now = rooted.drop("root").join(roots, F.col("unit") == F.col("node"), "left").select("unit", F.coalesce("root", "unit").alias("root"), "n", "sign")
+    rows = dealt_first.where(F.col("members") > most).select("bucket", "unit").join(now, "unit")
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("members"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = lambda n: F.ceil(n / block).cast("long")
+    sizes = sizes.select("bucket", F.col("main.root").alias("main"), blocks(F.col("members") - F.col("main.k")).alias("few"), blocks(F.col("members")).alias("all"))
+    rows = rows.join(sizes, "bucket")
+    place = lambda count: F.pmod(F.xxhash64("unit"), F.col(count))
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    met_by = rows.where("root <> main").withColumn("i", place("few")).withColumn("j", each("all"))
+    meeting = met_by.unionByName(rows.withColumn("j", place("all")).withColumn("i", each("few")).select(met_by.columns))
+    return meeting.select(F.xxhash64("bucket", "i", "j").alias("bucket"), "unit", "root", "n", "sign").distinct()
+
+
 def by_bucket(batches: Iterator[pa.RecordBatch], work: Callable[[list], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
     """Runs ``work`` on the columns (lists of arrays, or of Python values) of each bucket; rows come sorted by the first column."""
     rest: list | None = None
@@ -243,10 +265,20 @@ def links_between(docs: DataFrame, units: DataFrame, most: int) -> DataFrame:
     for rows in small:
         pairs = pairs.unionByName(met(rows.join(rooted, "unit"), ["unit", "root", "n", "sign"], lookalikes))
     more = linked(docs, units, pairs, "more")
-    discard(rooted, *written)
     if more.limit(1).count():
         links = links.unionByName(more)
-    return components(links)
+    roots = components(links)
+    crowds = materialize(crowded(written[0], rooted, roots, most), "crowds")
+    discard(rooted, *written)
+    if not crowds.limit(1).count():
+        discard(crowds)
+        return roots
+    last = linked(docs, units, met(crowds, ["unit", "root", "n", "sign"], lookalikes), "last")
+    discard(crowds)
+    if not last.limit(1).count():
+        return roots
+    discard(roots)
+    return components(links.unionByName(last))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
