@@ -27,6 +27,7 @@ Very long texts are sets like others.  An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,8 @@ SIGNS, AGREE = 128, 86
 BANDS, BAND = 21, 6
 #: Members of a bucket that are compared with each other, and bands by which greater ones are split.
 MOST, DEEP = 32, 6
-#: Members of a greater bucket that meet as many others in a task.
-BLOCK = 1024
+#: Members of a greater bucket that meet as many others in a task, and about how many shingles they have in all.
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, SIGNS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -181,9 +182,10 @@ def crowded(dealt_first: DataFrame, rooted: DataFrame, roots: DataFrame, most: i
     """
     now = rooted.drop("root").join(roots, F.col("unit") == F.col("node"), "left").select("unit", F.coalesce("root", "unit").alias("root"), "n", "sign")
     rows = dealt_first.where(F.col("members") > most).select("bucket", "unit").join(now, "unit")
-    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("members"), F.count("*").alias("roots")).where("roots > 1")
-    blocks = lambda n: F.ceil(n / block).cast("long")
-    sizes = sizes.select("bucket", F.col("main.root").alias("main"), blocks(F.col("members") - F.col("main.k")).alias("few"), blocks(F.col("members")).alias("all"))
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.sum("n").alias("w")).groupBy("bucket").agg(F.max(F.struct("k", "root", "w")).alias("main"), F.sum("k").alias("members"), F.sum("w").alias("shingles"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = lambda members, shingles: F.greatest(F.ceil(members / block), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
+    few = blocks(F.col("members") - F.col("main.k"), F.col("shingles") - F.col("main.w"))
+    sizes = sizes.select("bucket", F.col("main.root").alias("main"), few.alias("few"), blocks(F.col("members"), F.col("shingles")).alias("all"))
     rows = rows.join(sizes, "bucket")
     place = lambda count: F.pmod(F.xxhash64("unit"), F.col(count))
     each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
@@ -235,6 +237,44 @@ def lookalikes(rows: list) -> list[tuple[int, int]]:
     return [(max(u, v), min(u, v)) for i, hit in alike(n, root, sign) for u, v in zip([int(unit[i])] * len(hit), unit[hit].tolist())]
 
 
+def hopeful(rows: list) -> list[tuple[int, int]]:
+    """A bucket's key and each of its units that looks like another one with a different root: a row a unit, however many it looks like."""
+    key, unit, root, n, sign = rows
+    sign = np.frombuffer(b"".join(sign), np.uint8).reshape(-1, SIGNS)
+    found = np.zeros(len(unit), bool)
+    for i, hit in alike(n, root, sign):
+        found[i] = found[hit] = True
+    return list(zip(key[found].tolist(), unit[found].tolist()))
+
+
+def joined(rows: list) -> list[tuple[int, int]]:
+    """Links, the greater first, that join those of a bucket's units whose whole sets are alike and that look alike.
+
+    Every pair of different roots is compared; roots that a link has joined are one from there on, so
+    links are fewer than units.
+    """
+    unit, root, n, sign, sets = rows
+    sign, root, out = np.frombuffer(b"".join(sign), np.uint8).reshape(-1, SIGNS), root.copy(), []
+    sizes = np.array([len(x) for x in sets], np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    has = np.zeros(len(ids), bool)
+    for i, hit in alike(n, root, sign):
+        mine = ids[first[i] : first[i + 1]]
+        has[mine] = True
+        low, high = int(hit[0]), int(hit[-1]) + 1
+        if 4 * len(hit) >= high - low:
+            common = np.add.reduceat(has[ids[first[low] : first[high]]], first[low:high] - first[low], dtype=np.int64)[hit - low]
+        else:
+            common = np.array([np.count_nonzero(has[ids[first[j] : first[j + 1]]]) for j in hit.tolist()])
+        for j in hit[9 * common >= 4 * (sizes[i] + sizes[hit])].tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((int(max(unit[i], unit[j])), int(min(unit[i], unit[j]))))
+        has[mine] = False
+    return out
+
+
 def met(rows: DataFrame, columns: list[str], work: Callable) -> DataFrame:
     """Links (``a``, ``b``) that ``work`` finds in the buckets of ``rows``."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -251,6 +291,19 @@ def linked(docs: DataFrame, units: DataFrame, found: DataFrame, name: str) -> Da
     return out
 
 
+def links_in(docs: DataFrame, units: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """Links between the units that meet in the buckets of ``rows`` and are alike, written: whole sets are compared where the bucket is.
+
+    No pair is a row: a bucket has a row for each unit that looks like another, and fewer links than units.
+    """
+    hope = materialize(met(rows.withColumn("key", F.col("bucket")), ["key", "unit", "root", "n", "sign"], hopeful).select(F.col("a").alias("bucket"), F.col("b").alias("unit")), "hopeful")
+    sets = materialize(sets_of(docs, units, hope.select("unit").distinct()), "sets")
+    meeting = rows.join(hope, ["bucket", "unit"], "left_semi").join(sets, "unit")
+    out = materialize(met(meeting, ["unit", "root", "n", "sign", "shingles"], joined), name)
+    discard(hope, sets)
+    return out
+
+
 def links_between(docs: DataFrame, units: DataFrame, most: int) -> DataFrame:
     """``node`` and ``root``: units joined by links of 0.8 or more."""
     placed = materialize(buckets(units), "buckets")
@@ -262,9 +315,8 @@ def links_between(docs: DataFrame, units: DataFrame, most: int) -> DataFrame:
     discard(roots)
     # what these links leave apart though it looks alike
     small, pairs, written = dealt(rooted, most)
-    for rows in small:
-        pairs = pairs.unionByName(met(rows.join(rooted, "unit"), ["unit", "root", "n", "sign"], lookalikes))
-    more = linked(docs, units, pairs, "more")
+    meeting = reduce(DataFrame.unionByName, small).join(rooted, "unit")
+    more = linked(docs, units, pairs, "more").unionByName(links_in(docs, units, meeting, "small"))
     if more.limit(1).count():
         links = links.unionByName(more)
     roots = components(links)
@@ -273,7 +325,7 @@ def links_between(docs: DataFrame, units: DataFrame, most: int) -> DataFrame:
     if not crowds.limit(1).count():
         discard(crowds)
         return roots
-    last = linked(docs, units, met(crowds, ["unit", "root", "n", "sign"], lookalikes), "last")
+    last = links_in(docs, units, crowds, "last")
     discard(crowds)
     if not last.limit(1).count():
         return roots
