@@ -14,9 +14,11 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,25 +194,6 @@ def greedy(gold: list[dict], pred: list[dict], exact: bool) -> int:
     return taken
 
 
-def among(touch: Column, pred: str = "pred") -> Column:
-    """The predicted spans (which don't overlap each other) that a touch points at."""
-    return F.when(touch["first"] >= 0, F.slice(pred, touch["first"] + 1, touch["stop"] - touch["first"])).otherwise(F.slice(pred, F.lit(1), F.lit(0)))
-
-
-def removed(span: Column, inner: Column) -> Column:
-    """Characters of the span that the predicted ones in it take out."""
-    part = lambda n, p: n + F.least(span["end"], p["end"]) - F.greatest(span["start"], p["start"])
-    return F.aggregate(inner, F.lit(0).cast("long"), part)
-
-
-def residue(span: Column, inner: Column, text: str = "text") -> Column:
-    """The span's text that none of the predicted ones in it takes out."""
-    cut = lambda a, b: F.when(b > a, F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
-    ends = F.concat(F.array(span["start"]), F.transform(inner, lambda p: p["end"]))
-    starts = F.concat(F.transform(inner, lambda p: p["start"]), F.array(span["end"]))
-    return F.array_join(F.zip_with(ends, starts, cut), "")
-
-
 # -- over all documents
 
 
@@ -313,11 +296,27 @@ def unmapped(df: DataFrame, mapping: dict[str, str], spans: str = "gold") -> Dat
 
 
 def leak_attribution(df: DataFrame) -> DataFrame:
-    """Documents by what leaks of the wide definition: one class alone, or several; ``several`` comes first, documents without a leak count for the rate only."""
-    classes = F.array_distinct(F.transform(F.filter(lost(), lambda g: g["label"].isin(*WIDE)), lambda g: g["label"]))
-    each = with_touch(df, t_gold=("gold", "pred")).select(held(classes).alias("c"))
-    kind = F.when(F.size("c") == 0, None).when(F.size("c") == 1, F.concat(F.lit("solo_"), F.get("c", F.lit(0)))).otherwise("multiple")
-    buckets = each.groupBy(kind.alias("bucket")).agg(F.count("*").alias("docs"))
+    """Documents by what leaks of the wide definition: one class alone, or several; ``several`` comes first, documents without a leak count for the rate only. Counted in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter = Counter()
+        for batch in sliced(batches):
+            g, p = map(Spans, batch.columns)
+            label = g.flat.field("label").cast(pa.string()).dictionary_encode()
+            wide = np.array([x in WIDE for x in label.dictionary.to_pylist()] + [False])
+            code = label.indices.fill_null(len(wide) - 1).to_numpy()
+            leaked = (touched_rows(g, p)[0] < 0) & wide[code]
+            row, of = np.unique(np.stack([g.row[leaked], code[leaked]]), axis=1)
+            classes = np.bincount(row, minlength=batch.num_rows)
+            for k, n in enumerate(np.bincount(of[classes[row] == 1], minlength=len(label.dictionary)).tolist()):
+                if n:
+                    sums[f"solo_{label.dictionary[k].as_py()}"] += n
+            sums["multiple"] += int((classes > 1).sum())
+            sums[None] += int((classes == 0).sum())
+        rows = [(bucket, n) for bucket, n in sums.items() if n]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["bucket", "n"])
+
+    buckets = over(df, ["gold", "pred"], run, "bucket string, n long").groupBy("bucket").agg(F.sum("n").alias("docs"))
     # a row for each label at most
     rate = F.round(F.col("docs") / F.sum("docs").over(Window.partitionBy(F.lit(0))), 6)
     return buckets.select("bucket", "docs", rate.alias("rate")).where("bucket is not null").orderBy(F.col("bucket") != "multiple", "bucket")
@@ -329,13 +328,49 @@ def neutralised(df: DataFrame) -> DataFrame:
     return rows.groupBy("x.label").agg(F.count("*").alias("total"), F.sum("x.hit").alias("covered"))
 
 
+STATES = ("missed", "partial", "full")
+
+
+def has_letters(text: str) -> bool:
+    """Whether a letter or number is in the text."""
+    return any(category(c)[0] in "LN" for c in text)
+
+
 def strict_coverage(df: DataFrame) -> DataFrame:
-    """True spans (all, direct) by how much of them is taken out, and those of which letters or digits stay."""
-    within = lambda i: among(F.get("t_gold", i))
-    rest = lambda g, i: F.regexp_replace(residue(g, within(i)), r"[^\p{L}\p{N}]", "")
-    state = lambda g, i: F.when(removed(g, within(i)) == 0, "missed").when(removed(g, within(i)) >= g["end"] - g["start"], "full").otherwise("partial")
-    rows = with_touch(df, t_gold=("gold", "pred")).select(F.explode(F.transform("gold", lambda g, i: F.struct(g["label"].isin(*DIRECT).alias("direct"), state(g, i).alias("state"), (F.length(rest(g, i)) > 0).cast("long").alias("left")))).alias("x"))
-    return rows.groupBy("x.state").agg(F.count("*").alias("spans"), F.sum(F.col("x.direct").cast("long")).alias("direct"), F.sum("x.left").alias("with_residue"), F.sum(F.when(F.col("x.direct"), F.col("x.left")).otherwise(0)).alias("direct_with_residue"))
+    """True spans (all, direct) by how much of them is taken out, and those of which letters or digits stay; counted in tasks."""
+    names = ["spans", "direct", "known", "left", "direct_left"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(STATES), len(names)), np.int64)
+        for batch in sliced(batches):
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            g, p = Spans(batch.column(1)), Spans(batch.column(2))
+            first, stop = touched_rows(g, p)
+            # what each touch takes out of its span
+            many = np.where(first >= 0, stop - first, 0)
+            of = np.repeat(np.arange(len(many)), many)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + (p.first[g.row] + first)[of]
+            low, high = np.maximum(g.start[of], p.start[at]), np.minimum(g.end[of], p.end[at])
+            out = np.bincount(of, high - low, len(many)).astype(np.int64)
+            state = np.where(out == 0, 0, np.where(out >= g.end - g.start, 2, 1))
+            left = np.zeros(len(many), bool)
+            ends = np.cumsum(many)
+            for i in np.flatnonzero((state < 2) | (many > 1)).tolist():
+                text, inner = texts[g.row[i]], range(ends[i] - many[i], ends[i])
+                cuts = [int(g.start[i]), *[int(x) for k in inner for x in (p.start[at[k]], p.end[at[k]])], int(g.end[i])]
+                left[i] = any(has_letters(text[a:b]) for a, b in zip(cuts[0::2], cuts[1::2]) if b > a)
+            label = g.flat.field("label").cast(pa.string())
+            direct = pc.is_in(label, pa.array(DIRECT)).to_numpy(zero_copy_only=False)
+            known = pc.is_valid(label).to_numpy(zero_copy_only=False)
+            for k in range(len(STATES)):
+                here = state == k
+                sums[k] += [here.sum(), (here & direct).sum(), (here & known).sum(), (here & left).sum(), (here & direct & left).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array(STATES), *[pa.array(sums[:, k]) for k in range(len(names))]], names=["state", *names])
+
+    rows = over(df, ["text", "gold", "pred"], run, "state string, " + ", ".join(f"{n} long" for n in names)).where("spans > 0")
+    sums = rows.groupBy("state").agg(*[F.sum(n).alias(n) for n in names])
+    # without any label in a state it isn't known how many are direct
+    return sums.select("state", "spans", F.when(F.col("known") > 0, F.col("direct")).alias("direct"), F.col("left").alias("with_residue"), F.col("direct_left").alias("direct_with_residue"))
 
 
 def over_redaction(df: DataFrame) -> DataFrame:
@@ -344,11 +379,13 @@ def over_redaction(df: DataFrame) -> DataFrame:
     return sums.withColumn("rate", F.round(ratio(F.col("covered"), F.col("outside")), 6))
 
 
-def source_of(i: Column, model: str | None, rule: str, rules: str) -> Column:
-    """Which detector covers the i-th place: both, the model (None: there is none), a rule by the label of its first span, or none; by touches of both."""
-    by_rule = F.when(hit(rule, i), F.get(rules, F.get(rule, i)["first"])["label"])
-    by_model = hit(model, i) if model else F.lit(False)
-    return F.when(by_model & by_rule.isNotNull(), "model+rule").when(by_model, "model").when(by_rule.isNotNull(), F.concat(F.lit("rule:"), by_rule)).otherwise("unattributed")
+#: Different texts that a task counts before it passes them on.
+MOST_COUNTED = 20_000
+
+
+def source_name(model: bool, label: str | None) -> str:
+    """Which detector covers a place: both, the model, a rule by the label of its first span, or none."""
+    return ("model+rule" if label is not None else "model") if model else "unattributed" if label is None else f"rule:{label}"
 
 
 def over_redaction_sources(df: DataFrame, model: str | None = "model", rule: str = "rules") -> DataFrame:
@@ -366,7 +403,7 @@ def over_redaction_sources(df: DataFrame, model: str | None = "model", rule: str
             labels = rules.flat.field("label").take(places).to_pylist()
             by_model = touched_rows(wrong, Spans(batch.column(4)))[0] >= 0 if model else np.zeros(len(at), bool)
             sums.update(zip(by_model.tolist(), labels))
-        rows = [("model" + "+rule" * (label is not None) if m else "unattributed" if label is None else f"rule:{label}", n) for (m, label), n in sums.items()]
+        rows = [(source_name(m, label), n) for (m, label), n in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["source", "n"])
 
     columns = ["text", "gold", "pred", rule, *([model] if model else [])]
@@ -383,11 +420,29 @@ def plain_text(surface: Column) -> Column:
 
 
 def top_false_positives(df: DataFrame, n: int = 20, model: str | None = "model", rule: str = "rules") -> DataFrame:
-    """The texts that are found most often where no true span is, with their most frequent detector (ties: by name)."""
-    found = with_touch(df, t_pred=("pred", "gold"), t_rule=("pred", rule), **({"t_model": ("pred", model)} if model else {}))
-    wrong = F.transform("pred", lambda p, i: F.when(~hit("t_pred", i), F.struct(plain_text(p["surface"]).alias("text"), source_of(i, "t_model" if model else None, "t_rule", rule).alias("source"))))
-    rows = found.select(F.explode(wrong).alias("x")).where("x.text <> ''")
-    counts = rows.groupBy("x.text", "x.source").agg(F.count("*").alias("k"))
+    """The texts that are found most often where no true span is, with their most frequent detector (ties: by name); tasks pass on counts."""
+    columns = list(dict.fromkeys(["pred", "gold", rule, *([model] if model else [])]))
+
+    def rows_of(sums: Counter) -> pa.RecordBatch:
+        rows = [(text, source_name(m, label), k) for (text, m, label), k in sums.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["surface", "source", "k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter = Counter()
+        for batch in sliced(batches):
+            p, g, rules = (Spans(batch.column(columns.index(c))) for c in ("pred", "gold", rule))
+            wrong = np.flatnonzero(touched_rows(p, g)[0] < 0)
+            by_rule = touched_rows(p, rules)[0][wrong]
+            labels = rules.flat.field("label").take(pa.array(rules.first[p.row[wrong]] + by_rule, mask=by_rule < 0)).to_pylist()
+            by_model = (touched_rows(p, Spans(batch.column(columns.index(model))))[0][wrong] >= 0).tolist() if model else [False] * len(wrong)
+            sums.update(zip(p.flat.field("surface").take(pa.array(wrong)).to_pylist(), by_model, labels))
+            if len(sums) > MOST_COUNTED:
+                yield rows_of(sums)
+                sums.clear()
+        yield rows_of(sums)
+
+    rows = over(df, columns, run, "surface string, source string, k long").select(plain_text(F.col("surface")).alias("text"), "source", "k").where("text <> ''")
+    counts = rows.groupBy("text", "source").agg(F.sum("k").alias("k"))
     best = counts.groupBy("text").agg(F.sum("k").alias("n"), F.min(F.struct((-F.col("k")).alias("k"), "source"))["source"].alias("source"))
     return best.orderBy(F.desc("n"), "text").limit(n)
 
