@@ -83,3 +83,24 @@ def test_top_false_positives(frame, rows, monkeypatch, most):
     got = metrics.top_false_positives(frame, model=None, rule="pred")
     assert [(r.text, r.n, r.source) for r in got.collect()] == sorted(best, key=lambda x: (-x[1], x[0].encode()))[:20]
     no_row_a_span(got)
+
+
+def test_placeholders_are_numbered_where_spans_are(spark, rows, tmp_path):
+    """Rows of one document in several slices and batches, null keys and no spans: as ``numbered``, without a sort of spans."""
+    from pyspark.sql import functions as F
+
+    from veilspark.operators import mask
+    from veilspark.plans import catalog
+
+    # documents of up to 300 rows, with starts of their own in each
+    apart = [(None if k < 60 else k // 300, [(s + 50 * k, e + 50 * k, label, x) for s, e, label, x in pred or []]) for k, (_, _, _, pred) in enumerate(rows)] + [(9, []), (10, None)]
+    df = spark.createDataFrame(apart, f"doc_id long, pred {SPAN}")
+    spans = df.select("doc_id", F.explode("pred").alias("s")).select("doc_id", F.col("s.start").alias("span_start"), "s.label", "s.surface")
+    want = mask.numbered(spans, "doc_id").select("doc_id", "surface", "label", "placeholder")
+    got = mask.numbered_together(df.repartition(2, "doc_id").sortWithinPartitions("doc_id"), "doc_id", "pred")
+    plain = lambda x: sorted(map(repr, map(tuple, x.collect())))
+    assert got.count() > 50 and plain(got) == plain(want)
+    spark.range(300).selectExpr("id % 200 as o_orderkey", "id % 200 as o_custkey", "timestamp'2020-01-01' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    query = catalog.placeholder_numbering(spark, str(tmp_path))
+    assert plain(query) == plain(mask.numbered(catalog.resolved_spans(spark, str(tmp_path)), "doc_id").select(query.columns))
+    assert "Window" not in query._jdf.queryExecution().optimizedPlan().toString()
