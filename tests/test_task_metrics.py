@@ -104,3 +104,9 @@ def test_placeholders_are_numbered_where_spans_are(spark, rows, tmp_path):
     query = catalog.placeholder_numbering(spark, str(tmp_path))
     assert plain(query) == plain(mask.numbered(catalog.resolved_spans(spark, str(tmp_path)), "doc_id").select(query.columns))
     assert "Window" not in query._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_metrics_of_nothing(spark, frame):
+    """No rows, and rows of which none leaks or is found wrongly."""
+    for df in (frame.where("false"), frame.where("doc_id < 2")):
+        assert metrics.leak_attribution(df).count() == metrics.strict_coverage(df).count() == metrics.top_false_positives(df, model=None, rule="pred").count() == 0
