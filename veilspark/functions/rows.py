@@ -22,18 +22,32 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, SLICE)
 
 
-def passed(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``rows.mapInArrow``; a pass over its result that needs columns by name alone runs in the same worker (``over``)."""
+def strings(texts: pa.Array) -> list[str]:
+    """The texts, null as an empty one."""
+    return [t or "" for t in texts.to_numpy(zero_copy_only=False).tolist()]
+
+
+Pass = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def passed(rows: DataFrame, run: Pass, schema: T.StructType | str, bare: Pass | None = None) -> DataFrame:
+    """``rows.mapInArrow``; a pass over its result that needs columns by name alone runs in the same worker (``over``).
+
+    ``bare`` is the same without the surfaces of spans, for those that need places alone.
+    """
     out = rows.mapInArrow(run, schema)
-    out.pass_before = (rows, run)
+    out.pass_before = (rows, run, bare or run)
     return out
 
 
-def over(df: DataFrame, columns: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``run`` over batches of some columns; of a frame that is itself such a pass's, without another worker and another transfer."""
+def over(df: DataFrame, columns: list[str], run: Pass, schema: T.StructType | str, surfaces: bool = True) -> DataFrame:
+    """``run`` over batches of some columns; of a frame that is itself such a pass's, without another worker and another transfer.
+
+    Without ``surfaces`` found spans may come without theirs.
+    """
     if not (before := df.__dict__.get("pass_before")):
         return passed(df.select(*[F.col(f"`{c}`") for c in columns]), run, schema)
-    rows, first = before
+    rows, first = before[0], before[1 if surfaces else 2]
     return passed(rows, lambda batches: run(b.select(columns) for b in first(batches)), schema)
 
 

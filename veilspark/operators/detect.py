@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.functions.rows import passed, sliced, with_arrays
+from veilspark.functions.rows import passed, sliced, strings, with_arrays
 from veilspark.functions.spans import gap_pattern, held
 
 from . import swift
@@ -89,15 +89,18 @@ def resolved(row: np.ndarray, start: np.ndarray, end: np.ndarray, priority: np.n
 
     Spans that overlap in a chain are a group; of one or two the best stays, others are gone through.
     """
-    rank = np.empty(len(row), np.int64)
-    rank[np.lexsort((np.arange(len(row)), start, start - end, -priority))] = np.arange(len(row))
-    order = np.lexsort((rank, start, row))
     width = int(end.max(initial=0)) + 1
+    order = np.argsort(row * width + start, kind="stable")
     low, high = (row * width + start)[order], (row * width + end)[order]
     heads = np.flatnonzero(np.concatenate([[True], low[1:] >= np.maximum.accumulate(high)[:-1]])) if len(row) else np.arange(0)
     sizes = np.diff(np.append(heads, len(row)))
     keep = np.zeros(len(row), bool)
     keep[heads[sizes == 1]] = True
+    # ranks of those alone that overlap others
+    among = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    of = order[among]
+    rank = np.zeros(len(row), np.int64)
+    rank[of[np.lexsort((of, start[of], start[of] - end[of], -priority[of]))]] = np.arange(len(of))
     pair = heads[sizes == 2]
     keep[np.where(rank[order[pair]] < rank[order[pair + 1]], pair, pair + 1) if len(pair) else pair] = True
     for k in np.flatnonzero(sizes > 2).tolist():
@@ -107,22 +110,39 @@ def resolved(row: np.ndarray, start: np.ndarray, end: np.ndarray, priority: np.n
     return order[keep]
 
 
+def _looked(text: Column, rules: list[Rule], at: list[int], wanted: Column, gated: bool) -> Column:
+    """For a text that is wanted an array of one struct, else an empty one: what each of some rules' patterns match (``hit``), and what stands before (``gap``).
+
+    Most texts are plain and aren't wanted.  One expression for each pattern in the row's own projection makes
+    a method too great for the JVM to compile, for them too; inside a lambda they are no code of it.
+    """
+    none = F.array().cast("array<string>")
+    gate = lambda t, r: may_match(r, t) if gated else F.lit(True)
+    hits = lambda t: F.struct(t.alias("t"), *[F.when(gate(t, rules[i]), F.regexp_extract_all(t, F.lit(rules[i].pattern), F.lit(0))).otherwise(none).alias(f"hit{i}") for i in at])
+    before = lambda x, i: F.when(F.size(x[f"hit{i}"]) > 0, F.regexp_extract_all(x["t"], F.lit(gap_pattern(rules[i].pattern)), F.lit(1))).otherwise(none)
+    both = lambda x: F.struct(*[x[f"hit{i}"].alias(f"hit{i}") for i in at], *[before(x, i).alias(f"gap{i}") for i in at])
+    texts = F.when(wanted & text.isNotNull(), F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.transform(texts, hits), both)
+
+
 def _stage(df: DataFrame, text: str, rules: list[Rule], names: bool, out: str, gated: bool = True, whitelist: DataFrame | list[str] | None = None, name: str = "") -> DataFrame:
     """Add one of ``STAGES``, as ``name``."""
     allowed = allowed_texts(whitelist)
     name = name or out
     keep = [c for c in df.columns if c.lower() != name.lower()]
-    rows = df.withColumn("r__text", F.coalesce(text, F.lit("")))
-    rows = rows.withColumn("r__far", held(F.col("r__text").rlike(swift.FAR)) if gated else F.lit(True))
-    gate = [may_match(r, F.col("r__text")) if gated and r.pattern else F.lit(True) for r in rules]
-    gate = [F.col("r__far") & g if r in swift.FINDERS else g for r, g in zip(rules, gate)]
-    finders = [(i, swift.FINDERS[r], CHECKS.get(r.check)) for i, r in enumerate(rules) if r in swift.FINDERS]
+    # the text goes to Python once
+    own = text in keep
+    rows = df if own else df.withColumn("r__text", F.col(text))
+    rows = rows.withColumn("r__far", held(F.coalesce(F.col(text).rlike(swift.FAR), F.lit(False))) if gated else F.lit(True))
+    finders = [(i, swift.FINDERS[r], r.check) for i, r in enumerate(rules) if r in swift.FINDERS]
     patterns = [i for i, r in enumerate(rules) if r.pattern]
-    none = F.array().cast("array<string>")
-    rows = rows.withColumns({f"r__hit{i}": F.when(gate[i], F.regexp_extract_all("r__text", F.lit(rules[i].pattern), F.lit(0))).otherwise(none) for i in patterns})
-    gaps = {i: F.when(F.size(f"r__hit{i}") > 0, F.regexp_extract_all("r__text", F.lit(gap_pattern(rules[i].pattern)), F.lit(1))).otherwise(none) for i in patterns}
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.col("r__text"), F.col("r__far"), *[F.col(f"r__hit{i}") for i in patterns], *[gaps[i].alias(f"r__gap{i}") for i in patterns])
+    # rules that aren't tried many texts at a time look at every text, the others at those alone that aren't plain
+    every, some = ([i for i in patterns if (rules[i] in swift.FINDERS) == far] for far in (False, True))
+    shown = [F.col(f"`{c}`") for c in [*keep, *([] if own else ["r__text"]), "r__far"]]
+    looked = {"r__all": every, "r__some": some}
+    rows = rows.select(*shown, *[held(_looked(F.col(text), rules, at, F.col("r__far") if n == "r__some" else F.lit(True), gated)).alias(n) for n, at in looked.items() if at])
     kind, last = arrow_type(STAGES[out]), len(keep)
+    at_text, at_far = keep.index(text) if own else last, last + (not own)
     walks = [(i, WALKS[r.walk], frozenset(r.words) if gated else None) for i, r in enumerate(rules) if r.walk]
     priority = np.array([r.priority for r in rules], np.int64)
     labels, rule_names = pa.array([UNIFIED.get(r.label, "OTHER") for r in rules], pa.string()), pa.array([r.name for r in rules], pa.string())
@@ -142,15 +162,18 @@ def _stage(df: DataFrame, text: str, rules: list[Rule], names: bool, out: str, g
     def spans_of(batch: pa.RecordBatch, texts: list[str], far: list[bool], more: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
         """Row, rule, start and end of every match, in the order of rows, rules and of the text."""
         parts = [np.array(more, np.int64).reshape(-1, 4).T, swift.found([None if f else t for t, f in zip(texts, far)], finders)]
-        for k, i in enumerate(patterns):
-            hits = batch.column(last + 2 + k)
-            row, start, end = places(batch.column(last + 2 + len(patterns) + k), hits)
-            if len(row):
-                check = CHECKS.get(rules[i].check)
-                good = np.array([bool(h.strip(" ")) and (check is None or check(h)) for h in hits.flatten().to_pylist()])
-                parts.append(np.stack([row, np.full(len(row), i), start, end])[:, good])
-        every = np.concatenate(parts, axis=1)
-        return list(every[:, np.lexsort((every[3], every[2], every[1], every[0]))])
+        for n, at in looked.items():
+            if not at or not len(flat := (column := batch.column(n)).flatten()):
+                continue
+            of = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+            for i in at:
+                hits = flat.field(f"hit{i}")
+                row, start, end = places(flat.field(f"gap{i}"), hits)
+                if len(row):
+                    check = CHECKS.get(rules[i].check)
+                    good = np.array([bool(h.strip(" ")) and (check is None or check(h)) for h in hits.flatten().to_pylist()])
+                    parts.append(np.stack([of[row], np.full(len(row), i), start, end])[:, good])
+        return list(swift.ordered(np.concatenate(parts, axis=1)))
 
     def found_in(t: str, words: Words | None, spans: list[tuple[int, int, int]]) -> list[tuple]:
         found = Found()
@@ -164,15 +187,15 @@ def _stage(df: DataFrame, text: str, rules: list[Rule], names: bool, out: str, g
         best = ranked(found.all)
         return best if out == "candidates" else greedy([(s, e, label, surface, rule) for _, _, s, _, e, label, surface, rule in best])
 
-    def made(batch: pa.RecordBatch) -> pa.Array:
-        texts = batch.column(last).to_pylist()
-        far = batch.column(last + 1).to_pylist()
+    def made(batch: pa.RecordBatch, surfaced: bool) -> pa.Array:
+        texts = strings(batch.column(at_text))
+        far = batch.column(at_far).to_numpy(zero_copy_only=False).tolist()
         words, more = walked(texts, far)
         row, rule, start, end = spans_of(batch, texts, far, more)
         if out == "entities" and not names:
             kept = resolved(row, start, end, priority[rule])
             row, rule, start, end = row[kept], rule[kept], start[kept], end[kept]
-            surfaces = pa.array([texts[k][s:e] for k, s, e in zip(row.tolist(), start.tolist(), end.tolist())], pa.string())
+            surfaces = pa.array([texts[k][s:e] for k, s, e in zip(row.tolist(), start.tolist(), end.tolist())], pa.string()) if surfaced else pa.nulls(len(row), pa.string())
             fields = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
             spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end), labels.take(pa.array(rule)), surfaces, rule_names.take(pa.array(rule))], fields=fields)
             return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32()), spans)
@@ -180,12 +203,12 @@ def _stage(df: DataFrame, text: str, rules: list[Rule], names: bool, out: str, g
         every = list(zip(rule.tolist(), start.tolist(), end.tolist()))
         return list_of([found_in(t, x, every[a:b]) if a < b or names else [] for t, x, a, b in zip(texts, words, ends, ends[1:])], kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], surfaced: bool = True) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], made(batch)], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], made(batch, surfaced)], names=[*keep, name])
 
     schema = T.StructType([*rows.schema.fields[:last], T.StructField(name, T._parse_datatype_string(STAGES[out]))])
-    return passed(rows, run, schema)
+    return passed(rows, run, schema, lambda batches: run(batches, False))
 
 
 def matches(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:

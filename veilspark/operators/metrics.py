@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.rows import over, sliced, with_arrays, with_rows
+from veilspark.functions.rows import over, sliced, strings, with_arrays, with_rows
 from veilspark.functions.spans import held
 
 # Labels of direct identifiers, and of the wide definition of a leak.
@@ -81,11 +81,6 @@ class Spans:
         made.first, made.row = np.concatenate([[0], np.cumsum(sizes)]), np.repeat(np.arange(len(sizes)), sizes)
         return made
 
-    def ordered(self) -> Spans:
-        """The same by start and end in each row."""
-        order = np.lexsort((self.end, self.start, self.row))
-        return Spans.of(self.sizes, self.start[order], self.end[order])
-
 
 def touched_rows(a: Spans, b: Spans) -> tuple[np.ndarray, np.ndarray]:
     """``touched`` of every row at once: rows lie behind each other on one line, so that two bisections do for all."""
@@ -97,6 +92,15 @@ def touched_rows(a: Spans, b: Spans) -> tuple[np.ndarray, np.ndarray]:
     return np.where(hits, low - b.first[a.row], -1), np.where(hits, high - b.first[a.row], -1)
 
 
+def covered(words: Spans, spans: Spans) -> np.ndarray:
+    """Whether spans (in any order) overlap each of the words, which don't overlap each other: each span's first and last word are found by bisection."""
+    width = int(max(words.end.max(initial=0), spans.end.max(initial=0))) + 1
+    low = np.maximum(np.searchsorted(words.row * width + words.end, spans.row * width + spans.start, "right"), words.first[spans.row])
+    high = np.minimum(np.searchsorted(words.row * width + words.start, spans.row * width + spans.end, "left"), words.first[spans.row + 1])
+    hits, many = low < high, len(words.row) + 1
+    return np.cumsum(np.bincount(low[hits], minlength=many) - np.bincount(high[hits], minlength=many))[:-1] > 0
+
+
 TOUCH = pa.struct([("first", pa.int32()), ("stop", pa.int32())])
 
 
@@ -128,12 +132,16 @@ def lost(gold: str = "gold", touch: str = "t_gold") -> Column:
 WORDS = "array<struct<start:bigint,end:bigint,surface:string,g:boolean,p:boolean>>"
 #: White space by code point; none is beyond the last.
 _SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+_SPACE_BYTES = _SPACE[:256].tobytes()
 
 
 def words_of(texts: list[str]) -> Spans:
     """Runs without white space of many texts, which lie behind each other with a line's end between them."""
-    joined = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    space = _SPACE[np.minimum(joined, 0x3001)]
+    joined = "\n".join(["", *texts, ""])
+    try:
+        space = np.frombuffer(joined.encode("latin-1").translate(_SPACE_BYTES), np.bool_)
+    except UnicodeEncodeError:
+        space = _SPACE[np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 0x3001)]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     base = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
     start, end = edges[0::2], edges[1::2]
@@ -143,9 +151,9 @@ def words_of(texts: list[str]) -> Spans:
 
 def flagged_words(texts: pa.Array, gold: pa.Array, pred: pa.Array) -> tuple[list[str], Spans, np.ndarray, np.ndarray]:
     """Texts, their words, and whether true and predicted spans (in any order) overlap each."""
-    texts = [t or "" for t in texts.to_pylist()]
+    texts = strings(texts)
     words = words_of(texts)
-    return texts, words, *(touched_rows(words, Spans(x).ordered())[0] >= 0 for x in (gold, pred))
+    return texts, words, *(covered(words, Spans(x)) for x in (gold, pred))
 
 
 def with_words(df: DataFrame) -> DataFrame:
@@ -170,7 +178,7 @@ def word_counts(df: DataFrame) -> DataFrame:
             sums += np.bincount(2 * g + p, minlength=4)
         yield pa.RecordBatch.from_arrays([pa.array([n]) for n in sums[[3, 1, 2, 0]].tolist()], names=["tp", "fp", "fn", "tn"])
 
-    return over(df, ["text", "gold", "pred"], run, "tp long, fp long, fn long, tn long")
+    return over(df, ["text", "gold", "pred"], run, "tp long, fp long, fn long, tn long", surfaces=False)
 
 
 def greedy(gold: list[dict], pred: list[dict], exact: bool) -> int:
@@ -230,7 +238,7 @@ def per_class(df: DataFrame) -> DataFrame:
         rows = [(label, *n) for label, n in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["label", "tp", "p", "g"])
 
-    each = over(df, ["gold", "pred"], run, "label string, tp long, p long, g long")
+    each = over(df, ["gold", "pred"], run, "label string, tp long, p long, g long", surfaces=False)
     sums = each.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("p").alias("p"), F.sum("g").alias("support"))
     return prf(sums.select("label", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"), "support"))
 
@@ -249,7 +257,7 @@ def span_scores(df: DataFrame, exact: bool) -> DataFrame:
             sums += (hits, len(p.row), len(g.row))
         yield pa.RecordBatch.from_arrays([pa.array([n]) for n in sums.tolist()], names=["tp", "p", "g"])
 
-    m = over(df, ["gold", "pred"], run, "tp long, p long, g long")
+    m = over(df, ["gold", "pred"], run, "tp long, p long, g long", surfaces=False)
     return prf(m.agg(total(F.col("tp")).alias("tp"), total(F.col("p") - F.col("tp")).alias("fp"), total(F.col("g") - F.col("tp")).alias("fn")))
 
 
@@ -316,7 +324,7 @@ def leak_attribution(df: DataFrame) -> DataFrame:
         rows = [(bucket, n) for bucket, n in sums.items() if n]
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["bucket", "n"])
 
-    buckets = over(df, ["gold", "pred"], run, "bucket string, n long").groupBy("bucket").agg(F.sum("n").alias("docs"))
+    buckets = over(df, ["gold", "pred"], run, "bucket string, n long", surfaces=False).groupBy("bucket").agg(F.sum("n").alias("docs"))
     # a row for each label at most
     rate = F.round(F.col("docs") / F.sum("docs").over(Window.partitionBy(F.lit(0))), 6)
     return buckets.select("bucket", "docs", rate.alias("rate")).where("bucket is not null").orderBy(F.col("bucket") != "multiple", "bucket")
@@ -343,7 +351,7 @@ def strict_coverage(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(STATES), len(names)), np.int64)
         for batch in sliced(batches):
-            texts = [t or "" for t in batch.column(0).to_pylist()]
+            texts = strings(batch.column(0))
             g, p = Spans(batch.column(1)), Spans(batch.column(2))
             first, stop = touched_rows(g, p)
             # what each touch takes out of its span
@@ -367,7 +375,7 @@ def strict_coverage(df: DataFrame) -> DataFrame:
                 sums[k] += [here.sum(), (here & direct).sum(), (here & known).sum(), (here & left).sum(), (here & direct & left).sum()]
         yield pa.RecordBatch.from_arrays([pa.array(STATES), *[pa.array(sums[:, k]) for k in range(len(names))]], names=["state", *names])
 
-    rows = over(df, ["text", "gold", "pred"], run, "state string, " + ", ".join(f"{n} long" for n in names)).where("spans > 0")
+    rows = over(df, ["text", "gold", "pred"], run, "state string, " + ", ".join(f"{n} long" for n in names), surfaces=False).where("spans > 0")
     sums = rows.groupBy("state").agg(*[F.sum(n).alias(n) for n in names])
     # without any label in a state it isn't known how many are direct
     return sums.select("state", "spans", F.when(F.col("known") > 0, F.col("direct")).alias("direct"), F.col("left").alias("with_residue"), F.col("direct_left").alias("direct_with_residue"))
@@ -410,7 +418,7 @@ def over_redaction_sources(df: DataFrame, model: str | None = "model", rule: str
     if rule == "pred":  # one column is one of a batch
         inner, run = run, lambda batches: inner(pa.RecordBatch.from_arrays([*b.columns[:3], b.column(2), *b.columns[3:]], names=["text", "gold", "pred", "rule", *(["model"] if model else [])]) for b in batches)
         columns.remove("pred")
-    rows = over(df, columns, run, "source string, n long")
+    rows = over(df, columns, run, "source string, n long", surfaces=False)
     return rows.groupBy("source").agg(F.sum("n").alias("words")).orderBy(F.desc("words"), "source")
 
 
