@@ -6,19 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from veilspark.functions.rows import over, sliced, with_arrays, with_rows
+from veilspark.functions.rows import over, sliced, strings, with_arrays, with_rows
 from veilspark.functions.spans import gaps, held, with_spans
 
+from . import restoring
 from .detect import detect
 from .lexicon import OTHER_TAGS, TAGS
+from .restoring import TAG_WORDS
 from .rules import RULES, Rule
 
-TAG_WORDS = "|".join(sorted({*TAGS.values(), *OTHER_TAGS}, key=lambda t: (-len(t), t)))
 NUMBERED_TAG = rf"(?:{TAG_WORDS})[\s_]*\d+(?!\d)"
 #: What a language model may make of a placeholder: bold, inner blanks or a line break, any case, another language's tag, plural or genitive.
 PLACEHOLDER = rf"(?iU)\*{{0,2}}\[\s*{NUMBERED_TAG}\s*\](?-i:'s|s)?\*{{0,2}}"
@@ -120,57 +122,68 @@ def mask_each(df: DataFrame, key: str = "doc_id", text: str = "text", spans: str
     """Every row is a request of its own: numbers from its spans, without a shuffle; adds ``mapping`` and ``masked``."""
 
     def work(texts: pa.Array, spans: pa.Array) -> tuple[pa.Array, pa.Array]:
-        flat, ends = spans.flatten(), np.cumsum([0, *spans.value_lengths().fill_null(0).to_pylist()]).tolist()
-        start, end, label, surface = (flat.field(n).to_pylist() for n in ("start", "end", "label", "surface"))
-        rows, first, masked = [], [0], []
-        for t, a, b in zip(texts.to_pylist(), ends, ends[1:]):
-            names, last, pieces, at = {}, {}, [], 0
-            order = sorted(range(a, b), key=lambda k: (start[k], end[k]))
-            for k in reversed(order):
+        flat, size = spans.flatten(), spans.value_lengths().fill_null(0).to_numpy()
+        start, end = (flat.field(n).to_numpy() for n in ("start", "end"))
+        row, ends = np.repeat(np.arange(len(size)), size), np.cumsum([0, *size]).tolist()
+        order = np.lexsort((end, start, row))
+        if (order[1:] < order[:-1]).any():
+            flat, start, end = flat.take(pa.array(order)), start[order], end[order]
+        label, surfaces = flat.field("label").dictionary_encode(), flat.field("surface")
+        kinds = pa.array([*(TAGS.get(k, "ANONIMO") for k in label.dictionary.to_pylist()), "ANONIMO"], pa.string())
+        kind = label.indices.fill_null(len(kinds) - 1)
+        start, end, tag, surface = start.tolist(), end.tolist(), strings(kinds.take(kind)), surfaces.to_numpy(zero_copy_only=False).tolist()
+        visit, number, placeholder, first, masked = [], [], [], [0], []
+        for t, a, b in zip(texts.to_numpy(zero_copy_only=False).tolist(), ends, ends[1:]):
+            names, last = {}, {}
+            for k in range(b - 1, a - 1, -1):
                 if surface[k] not in names:
-                    tag = TAGS.get(label[k], "ANONIMO")
-                    last[tag] = n = last.get(tag, 0) + 1
-                    names[surface[k]] = placeholder = f"[{tag}_{n}]"
-                    rows.append((surface[k], tag, n, placeholder))
-            first.append(len(rows))
+                    last[tag[k]] = n = last.get(tag[k], 0) + 1
+                    names[surface[k]] = made = f"[{tag[k]}_{n}]"
+                    visit.append(k)
+                    number.append(n)
+                    placeholder.append(made)
+            first.append(len(visit))
             if t is not None:
-                for k in order:
-                    pieces += [t[at : start[k]], names[surface[k]]]
+                pieces, at = [], 0
+                for k in range(a, b):
+                    pieces += (t[at : start[k]], names[surface[k]])
                     at = end[k]
                 t = "".join([*pieces, t[at:]])
             masked.append(t)
-        fields = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, (pa.string(), pa.string(), pa.int32(), pa.string()))]
+        at = pa.array(visit, pa.int64())
+        fields = [surfaces.take(at).cast(pa.string()), kinds.take(kind.take(at)), pa.array(number, pa.int32()), pa.array(placeholder, pa.string())]
         made = pa.StructArray.from_arrays(fields, ["surface", "tag", "n", "placeholder"])
         return pa.ListArray.from_arrays(pa.array(first, pa.int32()), made), pa.array(masked, pa.string())
 
     return with_arrays(df, {"text": text, "spans": spans}, work, {"mapping": MAPPING, "masked": "string"})
 
 
-def restore(df: DataFrame, text: str = "masked", mapping: str = "mapping", out: str = "restored", tokens: str | None = None) -> DataFrame:
+def restore(df: DataFrame, text: str = "masked", mapping: str | dict[str, str] = "mapping", out: str = "restored", tokens: str | None = None) -> DataFrame:
     """Originals in the place of placeholders, in one pass: what is put in is not read again.
 
     ``tokens``: lower-case words that the user wrote; a bent placeholder that lies in one
-    of them whole stays as it is.  Unknown numbers stay too.
+    of them whole stays as it is.  Unknown numbers stay too.  Without tokens ``mapping`` may be
+    the originals of all rows, by placeholder.
     """
-    df = df.withColumn("r__text", F.coalesce(text, F.lit("")))
-    if tokens:  # places count only beside the user's words
-        df = with_spans(df, "r__text", {"r__hit": PLACEHOLDER, "r__token": r"(?U)\S+"})
-    else:
-        df = df.withColumn("r__hit", held(F.transform(F.regexp_extract_all("r__text", F.lit(PLACEHOLDER), F.lit(0)), lambda h: F.struct(h.alias("surface")))))
+    if isinstance(mapping, dict):
+        if tokens:
+            raise ValueError("with tokens mapping is a column")
+        return with_arrays(df, {"text": text}, lambda texts: (pa.array(restoring.restored_alike(strings(texts), mapping), pa.string()),), {out: "string"})
+    if not tokens:
+        work = lambda texts, mapping: (pa.array(restoring.restored(strings(texts), mapping), pa.string()),)
+        return with_arrays(df, {"text": text, "mapping": mapping}, work, {out: "string"})
+    # places count only beside the user's words
+    df = with_spans(df.withColumn("r__text", F.coalesce(text, F.lit(""))), "r__text", {"r__hit": PLACEHOLDER, "r__token": r"(?U)\S+"})
     df = df.withColumns({"r__parts": held(F.arrays_zip(gaps(F.col("r__text"), PLACEHOLDER, F.col("r__hit")).alias("gap"), F.col("r__hit").alias("hit"))), "r__names": held(F.map_from_entries(F.transform(mapping, lambda m: F.struct(m["placeholder"], m["surface"]))))})
-    if tokens:
-        df = df.withColumn("r__own", held(F.filter("r__token", lambda t: F.array_contains(tokens, F.lower(t["surface"])))))
+    df = df.withColumn("r__own", held(F.filter("r__token", lambda t: F.array_contains(tokens, F.lower(t["surface"])))))
     names = F.create_map(*[F.lit(x) for kv in OTHER_TAGS.items() for x in kv])
 
     def original(hit: Column) -> Column:
         tag = F.upper(F.regexp_extract(hit["surface"], rf"(?i)({TAG_WORDS})", 1))
         want = F.concat(F.lit("["), F.coalesce(names[tag], tag), F.lit("_"), F.regexp_extract(hit["surface"], r"(?U)(\d+)", 1), F.lit("]"))
-        found = F.col("r__names")[want]
-        if tokens:
-            plain = F.lower(F.trim(hit["surface"], F.lit("*"))) == F.lower(want)
-            own = F.exists("r__own", lambda t: (t["start"] <= hit["start"]) & (hit["end"] <= t["end"]))
-            found = F.when(plain | ~own, found)
-        return F.coalesce(found, hit["surface"])
+        plain = F.lower(F.trim(hit["surface"], F.lit("*"))) == F.lower(want)
+        own = F.exists("r__own", lambda t: (t["start"] <= hit["start"]) & (hit["end"] <= t["end"]))
+        return F.coalesce(F.when(plain | ~own, F.col("r__names")[want]), hit["surface"])
 
     whole = F.array_join(F.transform("r__parts", lambda z: F.concat(z["gap"], F.when(z["hit"].isNotNull(), original(z["hit"])).otherwise(F.lit("")))), "")
     return df.withColumn(out, whole).drop("r__text", "r__parts", "r__names", "r__own", "r__hit", "r__token")
@@ -268,7 +281,7 @@ def translated(text: Column) -> Column:
     return text
 
 
-#: Nine ways in which a model's answer may bend a placeholder; the flag says whether restoration undoes it.
+#: Nine ways in which a model's answer may bend a placeholder (``restoring.BEND`` has them for texts in tasks); the flag says whether restoration undoes it.
 PERTURBATIONS = {
     "uppercase": (lambda c: F.upper(c), True),
     "bold": (lambda c: F.regexp_replace(c, r"(\[[A-Z]+_\d+\])", "**$1**"), True),
@@ -280,3 +293,23 @@ PERTURBATIONS = {
     "genitive": (lambda c: F.regexp_replace(c, r"(\[[A-Z]+_\d+\])", "$1's"), True),
     "newline": (lambda c: F.regexp_replace(c, r"\[([A-Z]+)_(\d+)\]", "[$1_\n$2]"), True),
 }
+
+
+def kept_when_bent(df: DataFrame, text: str = "masked", mapping: str = "mapping") -> DataFrame:
+    """For each way to bend, how many texts have placeholders, and in how many of them all originals are there again after restoring.
+
+    Bent texts are no rows: a task bends, restores and compares a slice of texts at a time, and passes on a row for each way.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, kept = 0, dict.fromkeys(restoring.BEND, 0)
+        for batch in sliced(batches):
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column(1)), 0))
+            texts += batch.num_rows
+            for name, n in restoring.kept(strings(batch.column(0)), batch.column(1)):
+                kept[name] += n
+        if texts:
+            yield pa.RecordBatch.from_pydict({"name": list(kept), "texts": [texts] * len(kept), "restored": list(kept.values())})
+
+    each = over(df, [text, mapping], run, "name string, texts bigint, restored bigint")
+    return each.groupBy("name").agg(F.sum("texts").alias("texts"), F.sum("restored").alias("restored"))

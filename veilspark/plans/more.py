@@ -181,14 +181,14 @@ ORIGINAL = "ññ"
 def spurious_restores(spark, sf):
     """Texts without a whole placeholder but for one in ten that has one behind it, restored with every tag known: those alone may change."""
     tags = sorted(set(lexicon.TAGS.values()))
-    known = F.array(*[F.struct(F.lit(ORIGINAL).alias("surface"), F.lit(tag).alias("tag"), F.lit(n).alias("n"), F.lit(f"[{tag}_{n}]").alias("placeholder")) for tag in tags for n in (1, 2, 3)])
+    known = {f"[{tag}_{n}]": ORIGINAL for tag in tags for n in (1, 2, 3)}
     kinds = {"natural": synthetic.NATURAL, "adversarial": synthetic.ADVERSARIAL}
     rows = None
     for kind, templates in kinds.items():
         part = synthetic.samples(_ids(spark, sf), templates).withColumn("kind", F.lit(kind))
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.withColumn("text", F.when(F.col("id") % 10 == 0, F.concat("text", F.lit(" [FECHA_1]"))).otherwise(F.col("text")))
-    back = mask.restore(rows.withColumn("mapping", known), "text", "mapping", "restored")
+    back = mask.restore(rows, "text", known, "restored")
     changed = F.col("text") != F.col("restored")
     return back.groupBy("kind").agg(F.count("*").alias("samples"), F.count_if(changed).alias("altered"), F.sum(F.length("text")).alias("chars"), F.sum(F.when(changed, char_delta(F.col("text"), F.col("restored"))).otherwise(0)).cast("long").alias("altered_chars"))
 
